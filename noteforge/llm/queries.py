@@ -1,10 +1,23 @@
 """The corpus operators' queries and their SQL."""
 
-from noteforge.llm import decontaminate, quality, sharding
+from noteforge.llm import decontaminate, dedup, html, langid, licenses, packing, quality, sharding, toxicity, urls
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op2_language_id": langid.op2_language_id,
+    "op3_ordinal_toxicity": toxicity.op3_ordinal_toxicity,
+    "op4_tag_path_ratios": html.op4_tag_path_ratios,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_hyperminhash": dedup.op6_hyperminhash,
+    "op7_digest_array": urls.op7_digest_array,
+    "op8_column_generation": packing.op8_column_generation,
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
     "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
 }
-ORACLE_SQL = {"op5_quality_rules": quality.ORACLE, "op10_suffix_automaton": decontaminate.ORACLE}
+ORACLE_SQL = {
+    "op1_license_scan": licenses.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
+    "op6_hyperminhash": dedup.ORACLE,
+    "op7_digest_array": urls.ORACLE,
+    "op10_suffix_automaton": decontaminate.ORACLE,
+}
