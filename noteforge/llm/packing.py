@@ -14,7 +14,9 @@ a special token's string in a text is encoded as the tokenizer does; extra colum
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +44,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Parts that a Python worker remembers at most (about 200 bytes each).
+MOST_PARTS = 1_200_000
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder: what it has learnt serves the next tasks of the worker too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class Encoder(dict):
     """Text to little-endian unsigned 32-bit ids. The parts that the tokenizer's own pattern cuts are encoded once each."""
 
@@ -56,13 +70,16 @@ class Encoder(dict):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > 300_000:
+        if len(self) > MOST_PARTS:
             self.clear()
         ids = self[part] = self.whole(part)
         return ids
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -75,7 +92,7 @@ def pieces(docs: DataFrame, rules: Packing) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, size = Encoder(rules.tokenizer), 4 * rules.sequence
+        encode, size = encoder(rules.tokenizer), 4 * rules.sequence
         end = rules.end.to_bytes(4, "little")
         for batch in batches:
             rows = []
