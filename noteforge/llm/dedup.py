@@ -8,8 +8,8 @@
 3. Hubs. In each bucket all members are paired with its hub, the member that shares most buckets overall, not with each
    other. Pairs whose corrected register estimate is 4.5 deviations below the threshold are dropped, the others are
    verified on full sets; verified links are brought to components.
-4. Rest. Buckets that still hold more than one component are compared in blocks of about 128 members, registers against
-   registers, across components only; pairs with a high estimate that no hub has tested are verified too. So no bucket
+4. Rest. Buckets that still hold more than one component are compared in blocks of about 512 members, registers against
+   registers, across components only (the largest component's blocks only with the others'); pairs with a high estimate that no hub has tested are verified too. So no bucket
    is cut short, while a group of copies costs a link each.
 
 Defined cases: null or empty text, or text without words, has an empty set, is linked with nothing and is its own
@@ -46,7 +46,7 @@ class NearDuplicates:
     bands: int = 32
     rows: int = 4
     deviations: float = 4.5
-    block: int = 128
+    block: int = 512
 
     @property
     def registers(self) -> int:
@@ -176,8 +176,12 @@ def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, tested: Dat
     rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     rows = staged(rows.join(staged(mixed, "mixed"), "bucket"), "rest")
-    parts = f"cast(ceil(size / {rules.block}) AS int)"
-    rows = rows.selectExpr("bucket", "node", "label", f"cast(pmod(xxhash64(node), {parts}) AS int) AS own", f"explode(sequence(0, {parts} - 1)) AS other")
+    # A bucket's largest component isn't compared with itself: its members stay in their block, met by the blocks of the others.
+    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    major = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).selectExpr("bucket", "most.label AS major", f"cast(ceil(most.n / {rules.block}) AS int) AS mains", f"cast(ceil((all - most.n) / {rules.block}) AS int) AS others")
+    rows = rows.join(staged(major, "major"), "bucket").withColumn("main", F.expr("label = major"))
+    rows = rows.selectExpr("bucket", "node", "label", "mains", "others", "main", "cast(if(main, pmod(xxhash64(node), mains), mains + pmod(xxhash64(node), others)) AS int) AS own")
+    rows = rows.selectExpr("bucket", "own", "node", "label", "explode(if(main, sequence(mains, mains + others - 1), sequence(0, mains + others - 1))) AS other")
     rows = rows.selectExpr("bucket", "least(own, other) AS i", "greatest(own, other) AS j", "own", "node", "label")
     rows = rows.join(classes.select("node", "n_shingles", "regs"), "node")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
