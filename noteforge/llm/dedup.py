@@ -9,8 +9,8 @@
    other. Pairs whose corrected register estimate is 4.5 deviations below the threshold are dropped, the others are
    verified on full sets; verified links are brought to components.
 4. Rest. Buckets that still hold more than one component are compared in blocks of about 512 members, registers against
-   registers, across components only (the largest component's blocks only with the others'); pairs with a high estimate that no hub has tested are verified too. So no bucket
-   is cut short, while a group of copies costs a link each.
+   registers, across components only (the largest component's blocks only with the others'); pairs with a high estimate that no hub has tested are verified too, in large
+   buckets on the spot. So no bucket is cut short, while a group of copies costs a link each.
 
 Defined cases: null or empty text, or text without words, has an empty set, is linked with nothing and is its own
 component; fewer words than a shingle make one shingle; repeated rows (also of one doc_id) are copies of each other; a null
@@ -47,11 +47,18 @@ class NearDuplicates:
     rows: int = 4
     deviations: float = 4.5
     block: int = 512
+    #: buckets with more members than this are verified in place
+    most_pairs: int = 64
 
     @property
     def registers(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def band_bits(self) -> int:
+        """Low bits of a bucket's key that hold its band."""
+        return max(1, (self.bands - 1).bit_length())
+
     @property
     def least_estimate(self) -> float:
         j = self.percent / 100
@@ -171,33 +178,68 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rules: Near
     return staged(joined.where(f"100L * common >= {rules.percent}L * (size(sa) + size(sb) - common)").select("a", "b"), "verified")
 
 
-def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """Likely pairs across components in buckets that hold several, by blocks; those in `tested` are left out."""
+def _rest(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """Pairs (a, b, sure) across components in buckets that hold several, by blocks.
+
+    A pair is looked at in the first band on which it agrees. In buckets of up to `most_pairs` members likely pairs are
+    given out to be verified; in larger ones the sets come along, pairs are verified on the spot and only links that
+    bring components together are given out, so that what comes out grows with the members.
+    """
     rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     rows = staged(rows.join(staged(mixed, "mixed"), "bucket"), "rest")
+    large = rows.where(F.col("size") > rules.most_pairs).select("node").distinct()
+    sets = _sets(docs, classes.join(large, "node", "left_semi").select("node", "doc_id", "digest"), rules)
     # A bucket's largest component isn't compared with itself: its members stay in their block, met by the blocks of the others.
     sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     major = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).selectExpr("bucket", "most.label AS major", f"cast(ceil(most.n / {rules.block}) AS int) AS mains", f"cast(ceil((all - most.n) / {rules.block}) AS int) AS others")
     rows = rows.join(staged(major, "major"), "bucket").withColumn("main", F.expr("label = major"))
-    rows = rows.selectExpr("bucket", "node", "label", "mains", "others", "main", "cast(if(main, pmod(xxhash64(node), mains), mains + pmod(xxhash64(node), others)) AS int) AS own")
-    rows = rows.selectExpr("bucket", "own", "node", "label", "explode(if(main, sequence(mains, mains + others - 1), sequence(0, mains + others - 1))) AS other")
-    rows = rows.selectExpr("bucket", "least(own, other) AS i", "greatest(own, other) AS j", "own", "node", "label")
+    rows = rows.selectExpr("bucket", "node", "label", "size", "mains", "others", "main", "cast(if(main, pmod(xxhash64(node), mains), mains + pmod(xxhash64(node), others)) AS int) AS own")
+    rows = rows.selectExpr("bucket", "own", "node", "label", "size", "explode(if(main, sequence(mains, mains + others - 1), sequence(0, mains + others - 1))) AS other")
+    rows = rows.selectExpr("bucket", "least(own, other) AS i", "greatest(own, other) AS j", "own", "node", "label", f"size > {rules.most_pairs} AS large")
     rows = rows.join(classes.select("node", "n_shingles", "regs"), "node")
+    few = rows.where("NOT large").withColumn("shingles", F.lit(None).cast("array<long>"))
+    rows = few.unionByName(rows.where("large").join(sets, "node"))
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    bits, per = rules.band_bits, rules.rows
 
-    def compare(g: pd.DataFrame) -> list[tuple[int, int]]:
-        own, j = g["own"].to_numpy(), g["j"].iat[0]
+    def compare(g: pd.DataFrame) -> list[tuple[int, int, bool]]:
+        own, j, band = g["own"].to_numpy(), g["j"].iat[0], int(g["bucket"].iat[0]) & ((1 << bits) - 1)
         regs = np.frombuffer(b"".join(g["regs"]), "<u2").reshape(len(g), -1)
         node, label, n = (g[c].to_numpy() for c in ("node", "label", "n_shingles"))
         left = np.flatnonzero(own == g["i"].iat[0])
         right = np.flatnonzero(own == j)
+        sets = g["shingles"].to_list() if bool(g["large"].iat[0]) else None
+        merged: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while merged.get(x, x) != x:
+                x = merged[x]
+            return x
+
         out = []
-        for x in left:
+        for x in left.tolist():
             ys = right[(label[right] != label[x]) & (100 * np.minimum(n[right], n[x]) >= rules.percent * np.maximum(n[right], n[x]))]
-            if len(ys):
-                ys = ys[estimate(regs[ys], regs[x]) >= rules.least_estimate]
-                out += [(min(node[x], node[y]), max(node[x], node[y])) for y in ys]
+            if not len(ys):
+                continue
+            same = regs[ys] == regs[x]
+            first = same.reshape(len(ys), -1, per).all(axis=2).argmax(axis=1) == band
+            ys = ys[first & ((same.mean(axis=1) - COLLIDE) / (1 - COLLIDE) >= rules.least_estimate)]
+            if sets is None:
+                out += [(min(node[x], node[y]), max(node[x], node[y]), False) for y in ys.tolist()]
+                continue
+            ys = np.array([y for y in ys.tolist() if root(label[y]) != root(label[x])], dtype=np.int64)
+            if not len(ys):
+                continue
+            mine, every = np.sort(np.asarray(sets[x])), np.concatenate([sets[y] for y in ys.tolist()])
+            at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+            starts = np.concatenate(([0], np.cumsum(n[ys])[:-1]))
+            common = np.add.reduceat((mine[at] == every).astype(np.int64), starts)
+            for y in ys[100 * common >= rules.percent * (n[ys] + n[x] - common)].tolist():
+                a, b = root(label[x]), root(label[y])
+                if a != b:
+                    merged[max(a, b)] = min(a, b)
+                    out.append((min(node[x], node[y]), max(node[x], node[y]), True))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,12 +250,13 @@ def _rest(buckets: DataFrame, classes: DataFrame, labels: DataFrame, tested: Dat
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             starts = [0, *cuts]
             held = batch.iloc[starts[-1] :]
-            out = {p for b, e in zip(starts, starts[1:]) for p in (compare(batch.iloc[b:e]) if e - b > 1 else ())}
-            yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+            out = [p for b, e in zip(starts, starts[1:]) if e - b > 1 for p in compare(batch.iloc[b:e])]
+            yield pd.DataFrame(out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
         if held is not None and len(held) > 1:
-            yield pd.DataFrame(sorted({*compare(held)}), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(compare(held), columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
 
-    return staged(rows.mapInPandas(run, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "rest-pairs")
+    found = staged(rows.mapInPandas(run, "a long, b long, sure boolean").distinct(), "rest-pairs")
+    return staged(found.join(tested, ["a", "b"], "left_anti"), "rest-untested")
 
 
 def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -223,7 +266,7 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     width = 2 * rules.rows
-    banded = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rules.bands - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))))).alias("bucket"))
+    banded = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rules.bands - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))).bitwiseAND(F.lit(-(1 << rules.band_bits))).bitwiseOR(i.cast("long")))).alias("bucket"))
     banded = staged(banded, "bands")
     shared = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     buckets = staged(banded.join(shared, "bucket"), "members")
@@ -232,9 +275,10 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
     stars = staged(buckets.join(hubs, "bucket").where("node <> hub").selectExpr("least(node, hub) AS a", "greatest(node, hub) AS b").distinct(), "stars")
     links = _verified(staged(_likely(stars, classes, rules), "likely"), docs, classes, rules)
     labels = staged(connected_components(links), "labels")
-    rest = _rest(buckets, classes, labels, stars, rules)
+    rest = _rest(buckets, docs, classes, labels, stars, rules)
     if not rest.isEmpty():
-        labels = staged(connected_components(links.union(_verified(rest, docs, classes, rules))), "labels")
+        more = _verified(rest.where("NOT sure").select("a", "b"), docs, classes, rules).union(rest.where("sure").select("a", "b"))
+        labels = staged(connected_components(links.union(more)), "labels")
     named = staged(classes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     least = staged(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
     named = staged(named.join(least, "label").select("digest", "component_id"), "named")
