@@ -29,7 +29,7 @@ from noteforge.llm.base import fresh, read, staged
 
 #: Bytes of words as they are kept: ASCII letters in lower case, digits and all bytes above 127; other bytes part words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-SPAN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SPAN = re.compile(rb"[^ ]+")  # of translated bytes, which keep their places
 
 
 def words(text: str | None) -> list[bytes]:
@@ -138,8 +138,9 @@ class Automaton:
         first = None
         while True:
             raw = text.encode("utf-8", "surrogatepass")
-            places = [m.span() for m in SPAN.finditer(raw)]
-            spans, _ = self.match(raw.translate(TABLE).split())
+            plain = raw.translate(TABLE)
+            places = [m.span() for m in SPAN.finditer(plain)]
+            spans, _ = self.match(plain.split())
             if not spans:
                 return text
             first = first or len(places)
