@@ -120,7 +120,7 @@ def strip_marker(text: Column) -> Column:
 
 def parse_marker(text: Column) -> Column:
     """version, tags, links of the marker; nulls without one."""
-    part = lambda name: F.filter(F.transform(F.split(F.regexp_extract(text, rf"enrichment v\d+[^>]*{name}=\[([^\]]*)\]", 1), ","), F.trim), lambda x: x != "")
+    part = lambda name: F.filter(F.transform(F.split(F.regexp_extract(text, rf"enrichment v\d+[^>]*{name}=\[([^\]]*)\]", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     version = F.regexp_extract(text, r"<!--[^>]*enrichment v(\d+)", 1)
     return F.when(version != "", F.struct(version.try_cast("int").alias("version"), part("tags").alias("tags"), part("links").alias("links")))
 
