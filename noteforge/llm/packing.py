@@ -37,6 +37,9 @@ class Packing:
     sequence: int = 1024
     unit: int = 8
     end: int = 0
+    #: parts that a Python worker remembers at most (about 200 bytes each), and whether it does so beyond a task
+    remember: int = 2_000_000
+    reuse: bool = True
 
 
 def default_tokenizer() -> str:
@@ -45,25 +48,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Parts that a Python worker remembers at most (about 200 bytes each).
-MOST_PARTS = 2_000_000
 #: The tokenizer's pattern for texts of ASCII and Latin-1 letters only, where the faster standard engine parts them alike.
 LATIN_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*\Z").match
 LATIN_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+").findall
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The process's encoder: what it has learnt serves the next tasks of the worker too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(rules: Packing) -> Encoder:
+    """With reuse, the process's encoder: what it has learnt serves the next tasks of the worker too."""
+    if not rules.reuse:
+        return Encoder(rules.tokenizer, rules.remember)
+    if rules.tokenizer not in _ENCODERS:
+        _ENCODERS[rules.tokenizer] = Encoder(rules.tokenizer, rules.remember)
+    return _ENCODERS[rules.tokenizer]
 
 
 class Encoder(dict):
     """Text to little-endian unsigned 32-bit ids. The parts that the tokenizer's own pattern cuts are encoded once each."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 100_000):
+        self.most = most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
@@ -74,7 +78,7 @@ class Encoder(dict):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > MOST_PARTS:
+        if len(self) > self.most:
             self.clear()
         ids = self[part] = self.whole(part)
         return ids
@@ -96,7 +100,7 @@ def pieces(docs: DataFrame, rules: Packing) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, size = encoder(rules.tokenizer), 4 * rules.sequence
+        encode, size = encoder(rules), 4 * rules.sequence
         end = rules.end.to_bytes(4, "little")
         for batch in batches:
             rows = []
