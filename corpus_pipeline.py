@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteforge.llm import decontaminate, dedup, langid, packing, quality
-from noteforge.llm.base import fresh, read, staged
+from noteforge.llm.base import bounded_batches, fresh, read, staged
 
 #: Documents whose language is uncertain go; so do those without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -23,6 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language of at least LEAST_LANGUAGE_SCORE."""
+    bounded_batches(spark)
     (was,) = fresh(docs, "_was")
     out = langid.identify(docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias(was)))
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(f"{was}.*")
@@ -30,16 +31,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    bounded_batches(spark)
     return dedup.keep_one(docs).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans that benchmark items share; those mostly made of such spans go."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences and offsets. Workers serve the other stages too, so they keep no words beyond a task."""
+    bounded_batches(spark)
     return packing.pack(docs, packing.Packing(packing.default_tokenizer(), remember=300_000, reuse=False))
 
 
