@@ -31,7 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    bounded_batches(spark)
+    bounded_batches(spark, 250)
     return dedup.keep_one(docs).select(*docs.columns)
 
 
@@ -55,7 +55,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can't express language ID and packing; tests/llm hold run() against brute-force versions.
+#: SQL can't express language ID and packing; tests/llm hold the stages' decisions against planted cases.
 ORACLE_SQL = None
 
 
