@@ -44,7 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences and offsets. Workers serve the other stages too, so they keep no words beyond a task."""
     bounded_batches(spark)
-    return packing.pack(docs, packing.Packing(packing.default_tokenizer(), remember=300_000, reuse=False))
+    return packing.pack(docs, packing.Packing(packing.default_tokenizer(), remember=100_000, reuse=False))
 
 
 STAGES = [

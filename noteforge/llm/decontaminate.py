@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteforge.llm.base import fresh, read, staged
+from noteforge.llm.base import fresh, read, released, staged
 
 #: Bytes of words as they are kept: ASCII letters in lower case, digits and all bytes above 127; other bytes part words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -208,7 +208,7 @@ def _pass(sent):
                 items.append(sorted({a.ids[i] for i in found} - {None} | {*had}))
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "text": b["text"].array, "n_words": n, "spans": spans, "items": items})
 
-    return run
+    return released(run)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rules: Decontamination = Decontamination()) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteforge.llm.base import fresh, read, small, staged
+from noteforge.llm.base import fresh, read, released, small, staged
 from noteforge.llm.components import connected_components
 
 MANTISSA = 10
@@ -137,7 +137,7 @@ def signatures(docs: DataFrame, rules: NearDuplicates) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(released(run), schema)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, rules: NearDuplicates) -> DataFrame:
@@ -152,7 +152,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, rules: NearDuplicates) -> DataFrame
             sets = [shingle_set(t, rules.shingle, hashes) for t in batch["text"]]
             yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    sets = texts.mapInPandas(run, "digest binary, shingles array<long>")
+    sets = texts.mapInPandas(released(run), "digest binary, shingles array<long>")
     return staged(sets.join(small(nodes.select("node", "digest"), nodes.count()), "digest").select("node", "shingles").dropDuplicates(["node"]), "sets")
 
 
@@ -255,7 +255,7 @@ def _rest(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataF
         if held is not None and len(held) > 1:
             yield pd.DataFrame(compare(held), columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
 
-    found = staged(rows.mapInPandas(run, "a long, b long, sure boolean").distinct(), "rest-pairs")
+    found = staged(rows.mapInPandas(released(run), "a long, b long, sure boolean").distinct(), "rest-pairs")
     return staged(found.join(tested, ["a", "b"], "left_anti"), "rest-untested")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteforge.llm.base import fresh, read
+from noteforge.llm.base import fresh, read, released
 from noteforge.llm.ftrl import Ftrl, Leader
 
 #: Hash multipliers per place of an n-gram.
@@ -85,7 +85,7 @@ def frequencies(labelled: DataFrame, rules: LanguageId) -> tuple[int, np.ndarray
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": np.append(at, -1).astype(np.int32), "n": np.append(total[at], docs)})
 
-    sums = labelled.select("text").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = labelled.select("text").mapInPandas(released(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     df = np.zeros(1 << rules.bits, np.int64)
     docs = 0
     for bucket, n in sums.collect():  # at most 2**bits + 1 rows
@@ -109,7 +109,7 @@ def _sample(labelled: DataFrame, counts: dict[str, int], most: int, rules: Langu
             yield pd.DataFrame({"lang": b["lang"].array, "h": b["h"].array, "at": [x for x, _ in f], "n": [x for _, x in f]})
 
     chosen = labelled.select("lang", "text", h.alias("h")).where(F.col("h") < F.element_at(rate, F.col("lang")))
-    rows = chosen.mapInPandas(run, "lang string, h double, at array<int>, n array<int>").toPandas().sort_values(["h", "lang"], kind="stable")
+    rows = chosen.mapInPandas(released(run), "lang string, h double, at array<int>, n array<int>").toPandas().sort_values(["h", "lang"], kind="stable")
     rows = rows.groupby("lang").head(most)
     return [(r.lang, (np.asarray(r.at, np.int32), np.asarray(r.n, np.int32))) for r in rows.itertuples()]
 

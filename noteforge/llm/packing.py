@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteforge.llm.base import read, shuffle_parts, spread_rank, staged
+from noteforge.llm.base import read, released, shuffle_parts, spread_rank, staged
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, rules: Packing) -> DataFrame:
                 rows += [(doc, at // 4, len(part := ids[at : at + size]) // 4, zlib.crc32(part), len(ids) // 4) for at in range(0, len(ids), size)]
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(released(run), schema)
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
