@@ -110,13 +110,17 @@ def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
     return links.withColumn("key", title_key(F.col("target"))).join(title_index(notes), "key", "left").drop("key")
 
 
-def structural_delta(notes: DataFrame, state: DataFrame, now: Column, force: bool = False, cooldown_s: int = 600) -> DataFrame:
-    """note_id, process, reason of notes(note_id, title, body) against state(note_id, content_hash, structural_status, updated_at)."""
+def structural_delta(notes: DataFrame, state: DataFrame, now: Column, force: bool = False, cooldown_s: int = 600, model: str | None = None) -> DataFrame:
+    """note_id, process, reason of notes(note_id, title, body) against state(note_id, content_hash, structural_status, updated_at).
+
+    With a model, notes whose vectors are of another one (embedding_model of state; null: no vectors) are processed again.
+    """
     n = notes.select("note_id", content_hash(F.col("title"), F.col("body")).alias("hash"))
-    s = state.select("note_id", "content_hash", "structural_status", "updated_at", F.lit(True).alias("known"))
+    stored = F.col("embedding_model") if model is not None else F.lit(None).cast("string")
+    s = state.select("note_id", "content_hash", "structural_status", "updated_at", stored.alias("stored"), F.lit(True).alias("known"))
     young = F.timestamp_diff("SECOND", F.col("updated_at"), now) < cooldown_s
     reason = F.when(F.lit(force), "force").when(F.col("known").isNull(), "no_state").when(F.col("hash") != F.coalesce("content_hash", F.lit("")), "hash_changed")
-    reason = reason.when((F.col("structural_status") == "failed") & young, "cooldown").when(F.col("structural_status") == "failed", "retry").when(F.col("structural_status") != "success", "pending").otherwise("hash_equal")
+    reason = reason.when((F.col("structural_status") == "failed") & young, "cooldown").when(F.col("structural_status") == "failed", "retry").when(F.col("structural_status") != "success", "pending").when(F.col("stored") != F.lit(model), "model_changed").otherwise("hash_equal")
     return n.join(s, "note_id", "left").select("note_id", reason.alias("reason")).withColumn("process", ~F.col("reason").isin("cooldown", "hash_equal"))
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noteforge.functions import text as tx
+from noteforge.operators import chats as ch
 from noteforge.operators import indexing as ix
 from noteforge.operators import retrieval as rt
 from noteforge.operators import runs as rn
+from noteforge.operators import search as se
 from noteforge.operators import semantic as sm
 from noteforge.sources import notes as src
 from noteforge.streaming import events as ev
@@ -533,3 +535,90 @@ def embed_notes(spark, d):
 @query("SELECT item_id AS query_id, CASE WHEN trim(text) = '' THEN '\"\"' ELSE array_to_string(list_filter(string_split_regex(replace(trim(text), '\"', '\"\"'), '\\s+'), lambda t: t <> ''), ' AND ') END AS match FROM benchmark")
 def fts_query_text(spark, d):
     return src.benchmark_queries(spark, d).select("query_id", tx.fts_query(F.col("query")).alias("match"))
+
+
+@query(f"""WITH {STATE}, r AS (SELECT n.note_id, CASE WHEN s.note_id IS NULL THEN 'no_state' WHEN hash <> content_hash THEN 'hash_changed' WHEN structural_status = 'failed' AND updated_at > TIMESTAMP '{NOW}' - INTERVAL 600 SECOND THEN 'cooldown'
+WHEN structural_status = 'failed' THEN 'retry' WHEN structural_status <> 'success' THEN 'pending' WHEN extraction_model <> 'model' THEN 'model_changed' ELSE 'hash_equal' END AS reason FROM (SELECT 'd' || doc_id AS note_id, {HASH} AS hash FROM documents) n LEFT JOIN s USING (note_id))
+SELECT note_id, reason, reason NOT IN ('cooldown', 'hash_equal') AS process FROM r""")
+def delta_embedding_model(spark, d):
+    state = _state(spark, d).withColumnRenamed("extraction_model", "embedding_model")
+    return ix.structural_delta(src.notes(spark, d), state, F.lit(NOW).cast("timestamp_ntz"), model="model")
+
+
+def bm25_porter_topk(spark, d):
+    asked = src.benchmark_queries(spark, d).withColumn("query", tx.fts_query(F.col("query")))
+    return se.search(asked, src.chunks(spark, d))
+
+
+def _forms(spark, d):
+    """Queries in each form of the syntax, from two words of every benchmark item."""
+    w = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 3)
+    two = src.table(spark, d, "benchmark").select("item_id", w.alias("w")).where("size(w) > 1").select("item_id", F.col("w")[0].alias("a"), F.col("w")[1].alias("b"))
+    forms = ["{0} AND {1}", "{0} OR {1}", "{0} NOT {1}", "({1} OR {0}) NOT {0}", '"{0} {1}"', "{0} + {1}*", "NEAR({0} {1}, 5)", "{0} {1} OR", "{0} {1}"]
+    each = [F.struct(F.lit(i).alias("form"), F.replace(F.replace(F.lit(f), F.lit("{0}"), F.col("a")), F.lit("{1}"), F.col("b")).alias("query")) for i, f in enumerate(forms)]
+    return two.select("item_id", F.explode(F.array(*each)).alias("f")).select(F.concat_ws(":", "item_id", "f.form").alias("query_id"), "f.query")
+
+
+def search_syntax(spark, d):
+    return se.search(_forms(spark, d), src.chunks(spark, d), None)
+
+
+def search_snippets(spark, d):
+    asked, chunks = _forms(spark, d), src.chunks(spark, d)
+    return se.with_snippets(se.search(asked, chunks, 10), chunks, asked)
+
+
+QUERIES |= {f.__name__: f for f in (bm25_porter_topk, search_syntax, search_snippets)}  # stems have no SQL here
+
+_STORE = "SELECT conv_id AS conversation_id, turn + 1 AS seq, role, text AS content, NULL::VARCHAR AS error, TIMESTAMP '2024-01-01 00:00:00' AS changed_at FROM conversations"
+_LAST = "SELECT conv_id AS conversation_id, max(turn) + 1 AS seq FROM conversations GROUP BY conv_id"
+
+
+def _store(spark, d):
+    m = _messages(spark, d)
+    return m.select("conversation_id", (F.col("seq") + 1).alias("seq"), "role", "content", F.lit(None).cast("string").alias("error"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("changed_at"))
+
+
+def _ends(m):
+    return m.groupBy("conversation_id").agg(F.max("seq").alias("seq"))
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+@query(f"{_STORE} UNION ALL SELECT conversation_id, seq + place, role, content, NULL, TIMESTAMP '{NOW}' FROM ({_LAST}), (VALUES (1, 'user', 'next'), (2, 'assistant', 'reply')) v(place, role, content)")
+def message_append(spark, d):
+    m = _store(spark, d)
+    two = F.array(*(F.struct(F.lit(p).alias("place"), F.lit(r).alias("role"), F.lit(c).alias("content")) for p, r, c in ((2, "assistant", "reply"), (1, "user", "next"))))
+    return ch.append(m, m.select("conversation_id").distinct().select("conversation_id", F.explode(two).alias("n")).select("conversation_id", "n.*"), _now())
+
+
+@query(f"SELECT m.conversation_id, m.seq, role, CASE WHEN l.seq IS NULL THEN content ELSE 'new' END AS content, error, CASE WHEN l.seq IS NULL THEN changed_at ELSE TIMESTAMP '{NOW}' END AS changed_at FROM ({_STORE}) m LEFT JOIN ({_LAST}) l ON m.conversation_id = l.conversation_id AND m.seq = l.seq")
+def message_replace(spark, d):
+    m = _store(spark, d)
+    return ch.replace(m, _ends(m).withColumn("content", F.lit("new")), _now())
+
+
+@query(f"SELECT m.conversation_id, m.seq, role, content, CASE WHEN l.seq IS NULL THEN error ELSE 'timeout' END AS error, changed_at FROM ({_STORE}) m LEFT JOIN ({_LAST}) l ON m.conversation_id = l.conversation_id AND m.seq = l.seq")
+def message_error(spark, d):
+    m = _store(spark, d)
+    return ch.set_error(m, _ends(m).withColumn("error", F.lit("timeout")))
+
+
+@query(f"SELECT m.* FROM ({_STORE}) m ANTI JOIN ({_LAST}) l ON m.conversation_id = l.conversation_id AND m.seq = l.seq")
+def message_delete(spark, d):
+    m = _store(spark, d)
+    return ch.remove(m, _ends(m))
+
+
+@query(f"SELECT * FROM ({_STORE}) WHERE conversation_id % 3 <> 0")
+def conversation_delete(spark, d):
+    m = _store(spark, d)
+    return ch.delete(m, m.where("conversation_id % 3 = 0").select("conversation_id").distinct())
+
+
+@query(f"SELECT conv_id AS conversation_id, CASE WHEN conv_id % 3 = 0 THEN 'renamed' END AS title, CASE WHEN conv_id % 3 = 0 THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at FROM conversations GROUP BY conv_id")
+def conversation_update(spark, d):
+    c = _store(spark, d).groupBy("conversation_id").agg(F.lit(None).cast("string").alias("title"), F.max("changed_at").alias("updated_at"))
+    return ch.rename(c, c.where("conversation_id % 3 = 0").select("conversation_id", F.lit("renamed").alias("title")), _now())
