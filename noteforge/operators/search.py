@@ -213,7 +213,7 @@ def _evaluated():
 def search(queries: DataFrame, chunks: DataFrame, k: int | None = 50, fallback: bool = True) -> DataFrame:
     """query_id, chunk_id, score, rank of the chunks (chunk_id, content) that match; BM25 over phrases, higher is better.
 
-    With fallback, queries with a syntax error are looked up as substrings, with score 0.
+    With fallback, queries with a syntax error are looked up as substrings (of the text in `literal`, if queries have it), with score 0.
     """
     parsed, post = _parsed(queries), positions(chunks)
     words = parsed.where("tree IS NOT NULL").select("query_id", F.explode("words").alias("w")).select("query_id", "w.*")
@@ -233,6 +233,8 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = 50, fallback:
     scored = seen.where("matched").join(frequency, ["query_id", "phrase"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), 6).alias("score"))
     if fallback:
         wrong = parsed.where("error").select("query_id", "query")
+        if "literal" in queries.columns:
+            wrong = queries.join(_hint(wrong.select("query_id")), "query_id", "left_semi").select("query_id", F.col("literal").alias("query"))
         if not wrong.isEmpty():
             scored = scored.union(like(wrong, chunks.select(F.col("chunk_id").cast("string"), "content"), ["content"]).select("query_id", "chunk_id", "score"))
     return top(scored, k, [F.desc("score"), F.col("chunk_id")])
@@ -261,7 +263,7 @@ def snippet(text: str | None, stems: set[str], most: int = 20, marks: tuple[str,
     return out + (marks[2] if b + most < len(words) else text[at:])
 
 
-def with_snippets(hits: DataFrame, chunks: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
+def with_snippets(hits: DataFrame, chunks: DataFrame, queries: DataFrame, most: int = 20, marks: tuple[str, str, str] = ("[", "]", "…")) -> DataFrame:
     """hits with a snippet of each chunk's content for its query."""
 
     @F.pandas_udf("string")
@@ -272,7 +274,7 @@ def with_snippets(hits: DataFrame, chunks: DataFrame, queries: DataFrame, most:
             except SearchSyntaxError:
                 return set(analyze(q))
 
-        return pd.Series([snippet(t, stems(q), most) for t, q in zip(texts, asked, strict=True)], dtype=object)
+        return pd.Series([snippet(t, stems(q), most, marks) for t, q in zip(texts, asked, strict=True)], dtype=object)
 
     full = chunks.select(F.col("chunk_id").cast("string"), "content").join(hits, "chunk_id").join(_hint(queries.select("query_id", "query")), "query_id")
     return full.withColumn("snippet", run("content", "query")).drop("content", "query")

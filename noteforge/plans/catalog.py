@@ -546,7 +546,7 @@ def delta_embedding_model(spark, d):
 
 
 def bm25_porter_topk(spark, d):
-    asked = src.benchmark_queries(spark, d).withColumn("query", tx.fts_query(F.col("query")))
+    asked = src.benchmark_queries(spark, d).withColumns({"literal": F.col("query"), "query": tx.fts_query(F.col("query"))})
     return se.search(asked, src.chunks(spark, d))
 
 

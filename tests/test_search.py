@@ -57,6 +57,8 @@ def test_fallback_and_blank(spark):
     queries = spark.createDataFrame([(1, "broken AND"), (2, " "), (3, None), (4, '""')], "query_id int, query string")
     assert [(r.query_id, r.chunk_id, r.score) for r in se.search(queries, chunks).collect()] == [(1, "c1", 0.0)]
     assert se.search(queries, chunks.limit(0)).count() == 0
+    literal = queries.where("query_id = 1").selectExpr("query_id", "query", "'a broken' AS literal")
+    assert [(r.chunk_id, r.rank) for r in se.search(literal, chunks).collect()] == [("c1", 1)]
 
 
 @pytest.mark.parametrize("bad", ["a AND", "OR b", "(a", "a)", '"a', "a.b", "NEAR(a b, x)", "a NOT", "*", "a (b)"])
