@@ -4,8 +4,9 @@ A page is read as a sequence of tags and texts. Every run of text inside one blo
 block elements from the root to it. Per path, text length, punctuation and blocks are summed; the ratios of length and of
 punctuation to blocks are smoothed over neighbouring paths in page order and fused into a score. Paths that pass through
 elements which mark menus, headers, footers, sidebars, notices, adverts, forms or reader comments (by element, role, id or
-class) score nothing. From the root downwards, the child element that holds most of the page's score is entered until no
-child does; the blocks in that element whose path passes the threshold, and its headings, are the main text.
+class) score nothing. The smallest element that holds every block whose path passes the threshold, and every heading, is
+chosen, but never one inside the article or main that holds them all; the blocks in the chosen element whose path passes
+the threshold, and its headings, are the main text.
 
 Defined cases: null or empty html, or a page without such text, gives an empty text; unclosed and stray tags are tolerated,
 implied ends (p, li, td, ...) are applied; repeated rows are extracted one by one; an empty table gives an empty result; other columns are ignored.
@@ -35,6 +36,7 @@ ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 # HTML's void and phrasing elements, elements that are no main text, and names that mark such.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+ARTICLE = frozenset(["article", "main"])
 APART = frozenset("nav header footer aside form head menu dialog fieldset".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright footer header masthead menu modal nav navbar navigation newsletter "
@@ -57,17 +59,15 @@ WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 @dataclass(frozen=True)
 class TagPaths:
-    #: share of an element's score that one child must hold to be entered
-    enter: float = 0.6
-    #: a path passes with this share of the mean score of the chosen element's paths
+    #: a path passes with this share of the mean score of the page's or the chosen element's paths
     threshold: float = 0.05
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "apart", "score")
+    __slots__ = ("tag", "path", "parent", "apart")
 
     def __init__(self, tag: str, parent: _Element | None, apart: bool, mark: str = ""):
-        self.tag, self.parent, self.score = tag, parent, 0.0
+        self.tag, self.parent = tag, parent
         self.apart = apart or bool(parent and parent.apart)
         self.path = f"{parent.path}/{tag}{mark}" if parent else tag
 
@@ -151,34 +151,28 @@ def main_text(page: str | None, rules: TagPaths = TagPaths()) -> str:
         near = [ratios[k] for k in (i - 1, i, i, i + 1) if 0 <= k < len(paths)]
         length, points = (sum(r[x] for r in near) / len(near) for x in (0, 1))
         score[p] = (0.5 * length + 0.5 * ratios[i][0]) * (1 + points) if sums[p][3] else 0.0
-    total = 0.0
-    under: dict[_Element | None, dict[_Element, float]] = {}
-    for e, _, _ in found:
-        if e.apart:
-            continue
-        total += score[e.path]
-        x = e
-        while x is not None:
-            under.setdefault(x.parent, {}).setdefault(x, 0.0)
-            under[x.parent][x] += score[e.path]
-            x = x.parent
-    if not total:
+    open_paths = {e.path for e, _, _ in found if not e.apart}
+    if not sum(score[p] for p in open_paths):
         return ""
-    chosen, mass = None, total
-    while under.get(chosen):
-        best = max(under[chosen], key=under[chosen].__getitem__)
-        if under[chosen][best] < rules.enter * mass or (chosen is not None and best.tag not in under_tags(under, best)):
-            break
-        chosen, mass = best, under[chosen][best]
+    least = rules.threshold * sum(score[p] for p in open_paths) / len(open_paths)
+    chosen = _holder([e for e, _, _ in found if not e.apart and (score[e.path] >= least or HEADING.match(e.tag))])
     inside = [(e, text) for e, text, _ in found if not e.apart and _in(e, chosen)]
     each = {e.path: score[e.path] for e, _ in inside}
     least = rules.threshold * sum(each.values()) / max(1, len(each))
     return "\n\n".join(text for e, text in inside if each[e.path] >= least or HEADING.match(e.tag))
 
 
-def under_tags(under: dict, element: _Element) -> tuple[str, ...]:
-    """An element is entered if it has block children with text; a paragraph or item by itself is no container."""
-    return (element.tag,) if element in under else ()
+def _holder(elements: list[_Element]) -> _Element | None:
+    """The smallest element that holds all of elements, but the article or main around them all if there is one."""
+    common: list[_Element] | None = None
+    for e in dict.fromkeys(elements):
+        line, x = [], e
+        while x is not None:
+            line.append(x)
+            x = x.parent
+        line.reverse()
+        common = line if common is None else [a for a, b in zip(common, line) if a is b]
+    return next((x for x in common or () if x.tag in ARTICLE), common[-1] if common else None)
 
 
 def _in(element: _Element | None, chosen: _Element | None) -> bool:

@@ -135,6 +135,16 @@ def test_html():
     assert html.main_text(None) == html.main_text("") == html.main_text("<script>x</script>") == "" and html.main_text("a < b") == "a < b"
 
 
+def test_html_keeps_what_stands_outside_the_dominant_child():
+    body = "".join(f"<p>Paragraph {i} of the body, with commas, and an end. It goes on, and on, for a while.</p>" for i in range(9))
+    want = ["T", "A lead, of a few words.", *(f"Paragraph {i} of the body, with commas, and an end. It goes on, and on, for a while." for i in range(9))]
+    for outer in ("article", "main", "div"):
+        page = f'<body><nav><a href="/">Home</a></nav><{outer}><h1>T</h1><p>A lead, of a few words.</p><div class=body>{body}</div></{outer}><footer>Imprint, and more.</footer></body>'
+        assert html.main_text(page).split("\n\n") == want
+    parts = f"<section><h2>One</h2><p>Short, but a part of it.</p></section><blockquote>{body}</blockquote><section><h2>Two</h2><p>An end, in few words.</p></section>"
+    assert html.main_text(f"<body><article>{parts}</article></body>").split("\n\n") == ["One", "Short, but a part of it.", *want[2:], "Two", "An end, in few words."]
+
+
 def test_licenses(make):
     rows = [*CASES, (30, "Intro words here. Released under the MIT License. More."), (31, "x " * 500 + "licensed under the apache license version 2.0 " + "y " * 77), (32, "All rights reserved."), (33, "the license of the state")]
     got = by_id(licenses.scan(make(rows)))
