@@ -4,9 +4,10 @@ A page is read as a sequence of tags and texts. Every run of text inside one blo
 block elements from the root to it. Per path, text length, punctuation and blocks are summed; the ratios of length and of
 punctuation to blocks are smoothed over neighbouring paths in page order and fused into a score. Paths that pass through
 elements which mark menus, headers, footers, sidebars, notices, adverts, forms or reader comments (by element, role, id or
-class) score nothing. The smallest element that holds every block whose path passes the threshold, and every heading, is
-chosen, but never one inside the article or main that holds them all; the blocks in the chosen element whose path passes
-the threshold, and its headings, are the main text.
+class) score nothing. A path of links is one whose text is linked for the most part. Chosen is the smallest element that
+holds every block of other paths which passes the threshold or is a heading, cell, item, caption or pre, but never one
+inside the article or main that holds them all. Its blocks are the main text, short ones too; only those on paths of
+links have to pass the threshold, except headings and, in an article or main, cells, items, captions and pre.
 
 Defined cases: null or empty html, or a page without such text, gives an empty text; unclosed and stray tags are tolerated,
 implied ends (p, li, td, ...) are applied; repeated rows are extracted one by one; an empty table gives an empty result; other columns are ignored.
@@ -53,6 +54,8 @@ ENDS = {
     "option": frozenset(["option", "optgroup"]),
 }
 HEADING = re.compile(r"h[1-6]\Z")
+# Short texts of these elements belong to what is around them.
+KEPT = re.compile(r"(?:h[1-6]|td|th|li|dt|dd|pre|caption|figcaption)\Z")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -61,6 +64,8 @@ WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 class TagPaths:
     #: a path passes with this share of the mean score of the page's or the chosen element's paths
     threshold: float = 0.05
+    #: a path with more than this share of linked text is one of links, and has to pass
+    linked: float = 0.5
 
 
 class _Element:
@@ -139,11 +144,13 @@ def main_text(page: str | None, rules: TagPaths = TagPaths()) -> str:
     found = blocks(page) if page else []
     sums: dict[str, list[float]] = {}
     for e, text, linked in found:
-        s = sums.setdefault(e.path, [0.0, 0.0, 0.0, 0.0])
+        s = sums.setdefault(e.path, [0.0, 0.0, 0.0, 0.0, 0.0])
         s[0] += len(text) - linked
         s[1] += len(PUNCTUATION.findall(text))
         s[2] += 1
-        s[3] += 0 if e.apart else 1
+        if not e.apart:
+            s[3] += len(text)
+            s[4] += linked
     paths = list(sums)
     ratios = [(s[0] / s[2], s[1] / s[2]) for s in sums.values()]
     score: dict[str, float] = {}
@@ -151,15 +158,19 @@ def main_text(page: str | None, rules: TagPaths = TagPaths()) -> str:
         near = [ratios[k] for k in (i - 1, i, i, i + 1) if 0 <= k < len(paths)]
         length, points = (sum(r[x] for r in near) / len(near) for x in (0, 1))
         score[p] = (0.5 * length + 0.5 * ratios[i][0]) * (1 + points) if sums[p][3] else 0.0
-    open_paths = {e.path for e, _, _ in found if not e.apart}
+    open_paths = [p for p in paths if sums[p][3]]
     if not sum(score[p] for p in open_paths):
         return ""
     least = rules.threshold * sum(score[p] for p in open_paths) / len(open_paths)
-    chosen = _holder([e for e, _, _ in found if not e.apart and (score[e.path] >= least or HEADING.match(e.tag))])
-    inside = [(e, text) for e, text, _ in found if not e.apart and _in(e, chosen)]
+    dense = {p for p in open_paths if sums[p][4] > rules.linked * sums[p][3]}
+    ours = [(e, text) for e, text, _ in found if not e.apart]
+    held = [e for e, _ in ours if e.path not in dense and (score[e.path] >= least or KEPT.match(e.tag))]
+    chosen = _holder(held or [e for e, _ in ours if score[e.path] >= least])
+    inside = [(e, text) for e, text in ours if _in(e, chosen)]
     each = {e.path: score[e.path] for e, _ in inside}
     least = rules.threshold * sum(each.values()) / max(1, len(each))
-    return "\n\n".join(text for e, text in inside if each[e.path] >= least or HEADING.match(e.tag))
+    always = KEPT if chosen is not None and chosen.tag in ARTICLE else HEADING
+    return "\n\n".join(text for e, text in inside if e.path not in dense or each[e.path] >= least or always.match(e.tag))
 
 
 def _holder(elements: list[_Element]) -> _Element | None:

@@ -145,6 +145,17 @@ def test_html_keeps_what_stands_outside_the_dominant_child():
     assert html.main_text(f"<body><article>{parts}</article></body>").split("\n\n") == ["One", "Short, but a part of it.", *want[2:], "Two", "An end, in few words."]
 
 
+def test_html_keeps_short_cells_items_and_captions():
+    long = "A sentence, of words, is here. " * 10
+    cells = [(f"Name {i}", f"{i}.5", f"{i} m") for i in range(4)]
+    table = "<table><caption>Sizes</caption>" + "".join(f"<tr><th>{a}</th><td>{b}</td><td>{c}</td></tr>" for a, b, c in cells) + "</table>"
+    lists = "<dl><dt>a<dd>b</dl><ul><li>x<ul><li>y</ul></ul><pre>k</pre>"
+    links = '<div class=more><a href="/1">One</a> <a href="/2">Two</a></div>'
+    want = [long.strip(), "Sizes", *(x for row in cells for x in row), "a", "b", "x", "y", "k", long.strip()]
+    for page in (f"<article><p>{long}</p>{table}{lists}<p>{long}</p></article>{links}", f"<div>{links}</div><div><div class=x><p>{long}</p></div>{table}{lists}<p>{long}</p></div>"):
+        assert html.main_text(f"<body>{page}</body>").split("\n\n") == want
+
+
 def test_licenses(make):
     rows = [*CASES, (30, "Intro words here. Released under the MIT License. More."), (31, "x " * 500 + "licensed under the apache license version 2.0 " + "y " * 77), (32, "All rights reserved."), (33, "the license of the state")]
     got = by_id(licenses.scan(make(rows)))
