@@ -9,8 +9,8 @@ holds every block of other paths which passes the threshold or is a heading, cel
 inside the article or main that holds them all. Its blocks are the main text, short ones too; only those on paths of
 links have to pass the threshold, except headings and, in an article or main, cells, items, captions and pre.
 
-Defined cases: null or empty html, or a page without such text, gives an empty text; unclosed and stray tags are tolerated,
-implied ends (p, li, td, ...) are applied; repeated rows are extracted one by one; an empty table gives an empty result; other columns are ignored.
+Defined cases: null or empty html, or a page without such text, gives an empty text; unclosed and stray tags are tolerated (an
+unclosed svg, button or the like ends where it begins), formulas in MathML are text; names don't mark html, body, main and article; implied ends (p, li, td, ...) are applied; repeated rows are extracted one by one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,21 +28,28 @@ from noteforge.llm.base import read
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|iframe)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTR = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # HTML's void and phrasing elements, elements that are no main text, and names that mark such.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mstyle mpadded mphantom mspace menclose merror mfenced semantics".split())
+# Left out with all they hold, where they are closed.
+SKIPPED = frozenset("svg object select button noscript template annotation annotation-xml".split())
+NESTED = frozenset("svg object template".split())
 ARTICLE = frozenset(["article", "main"])
+# Elements that hold the page or the article, whose names tell of its layout.
+PLAIN = ARTICLE | {"html", "body"}
 APART = frozenset("nav header footer aside form head menu dialog fieldset".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright footer header masthead menu modal nav navbar navigation newsletter "
     "notice notices pagination pager popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+PLACES = frozenset(["top", "bottom", "site", "global"])
 ENDS = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt td th tr".split()),
     "li": frozenset(["li"]),
@@ -77,17 +84,41 @@ class _Element:
         self.path = f"{parent.path}/{tag}{mark}" if parent else tag
 
 
+def _names(token: str) -> bool:
+    """Whether a token of class, id or role is one of NAMES, or made of such and PLACES only (cookie-banner, top-menu, not has-sidebar)."""
+    words = [w.lower() for w in WORDS.findall(token)]
+    return any(w in NAMES for w in words) and all(w in NAMES or w in PLACES for w in words)
+
+
 def _marks(attrs: str) -> tuple[bool, str]:
     """Whether names in class, id or role mark something apart from the text; the class."""
     apart, mark = False, ""
     for name, a, b, c in ATTR.findall(attrs) if attrs else ():
         value = a or b or c
-        apart = apart or any(w.lower() in NAMES for w in WORDS.findall(value)) or (name.lower() == "role" and value.lower() in ("contentinfo", "complementary", "search"))
+        apart = apart or any(map(_names, value.split())) or (name.lower() == "role" and value.lower() in ("contentinfo", "complementary", "search"))
         if name.lower() == "class":
             mark = "." + value.strip()
     return apart, mark
 
 
+def _skips(tokens: list[re.Match]) -> dict[int, int]:
+    """Number of the end tag by number of the start tag of every closed element of SKIPPED."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for i, m in enumerate(tokens):
+        tag = m["tag"]
+        if tag is None or (tag := tag.lower()) not in SKIPPED or m["attrs"].endswith("/"):
+            continue
+        open_ = begun.setdefault(tag, [])
+        if not m["end"]:
+            if tag not in NESTED:
+                open_.clear()
+            open_.append(i)
+        elif open_:
+            out[open_.pop()] = i
+    return out
+
+
 def blocks(page: str) -> list[tuple[_Element, str, int]]:
     """(element, text, length of linked text) of every block, in page order."""
     stack = [_Element("", None, False)]
@@ -103,7 +134,11 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         run.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    skips, until = _skips(tokens), -1
+    for i, m in enumerate(tokens):
+        if i <= until:
+            continue
         text = m["text"]
         if text is not None:
             run.append(text)
@@ -113,7 +148,10 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in INLINE:
+        if tag in SKIPPED:  # by itself where it isn't closed
+            until = skips.get(i, i)
+            continue
+        if tag in INLINE or tag in MATH:
             if tag == "a":
                 in_link = 0 if m["end"] else 1
             continue
@@ -135,7 +173,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         if m["attrs"].endswith("/") and tag not in ("p", "div", "li"):
             continue
         apart, mark = _marks(m["attrs"])
-        stack.append(_Element(tag, stack[-1], apart or tag in APART, mark))
+        stack.append(_Element(tag, stack[-1], (apart and tag not in PLAIN) or tag in APART, mark))
     close()
     return out
 

@@ -156,6 +156,16 @@ def test_html_keeps_short_cells_items_and_captions():
         assert html.main_text(f"<body>{page}</body>").split("\n\n") == want
 
 
+def test_html_names_and_raw_elements_take_no_more_than_their_own():
+    text = "One long text, with commas, and so on. It is text."
+    for begin, end in (('<body class="has-sidebar">', "</body>"), ('<main class="page no-sidebar">', "</main>"), ('<article class="post share-enabled">', "</article>"), ('<article class="sidebar">', "</article>"), ('<div data-id="menu">', "</div>")):
+        assert html.main_text(f'{begin}<h2 class="section-header">H</h2><p>{text}</p><div class="cookie-banner"><p>{text}</p></div>{end}') == f"H\n\n{text}"
+    for raw in ('<svg viewBox="0"/>', "<svg><svg><text>a</text></svg><title>t</title></svg>", "<button>", "<button>a</button>", "<button><button>b</button>", "<select>", "<object>", "<noscript><p>n</p></noscript>"):
+        assert html.main_text(f"<article><p>{text}</p>{raw}<p>{text}</p></article>") == f"{text}\n\n{text}"
+    assert html.main_text(f"<article><p>{text}</p><button-group>Own text.</button-group><p>{text}</p></article>").split("\n\n") == [text, "Own text.", text]
+    assert html.main_text("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so.") == "Let x=1 be so."
+
+
 def test_licenses(make):
     rows = [*CASES, (30, "Intro words here. Released under the MIT License. More."), (31, "x " * 500 + "licensed under the apache license version 2.0 " + "y " * 77), (32, "All rights reserved."), (33, "the license of the state")]
     got = by_id(licenses.scan(make(rows)))
