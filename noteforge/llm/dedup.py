@@ -120,9 +120,9 @@ def functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     return g.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), g.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
 
 
-def signatures(docs: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), regs of every row."""
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, digest binary, regs binary")])
+def signatures(docs: DataFrame, rules: NearDuplicates, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, digest (null for an empty set), regs and the columns of also, of every row."""
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, digest binary, regs binary"), *(docs.schema[c] for c in also)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, (a, b) = _Hashes(), functions(rules.registers)
@@ -134,10 +134,11 @@ def signatures(docs: DataFrame, rules: NearDuplicates) -> DataFrame:
                     "n_shingles": [len(s) for s in sets],
                     "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "regs": [registers(s, a, b).tobytes() if len(s) else None for s in sets],
+                    **{c: batch[c].array for c in also},
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(released(run), schema)
+    return docs.select("doc_id", "text", *also).mapInPandas(released(run), schema)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, rules: NearDuplicates) -> DataFrame:
@@ -259,10 +260,10 @@ def _rest(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataF
     return staged(found.join(tested, ["a", "b"], "left_anti"), "rest-untested")
 
 
-def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+def _components(docs: DataFrame, rules: NearDuplicates, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, digest, the columns of also, label (null for an empty set), component_id of every row of docs."""
+    signed = staged(signatures(docs, rules, also), "signatures")
     docs = docs.select("doc_id", "text")
-    signed = staged(signatures(docs, rules), "signatures")
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     width = 2 * rules.rows
@@ -281,20 +282,40 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
         labels = staged(connected_components(links.union(more)), "labels")
     named = staged(classes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     least = staged(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
-    named = staged(named.join(least, "label").select("digest", "component_id"), "named")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = staged(named.join(least, "label").select("digest", "label", "component_id"), "named")
+    return signed.select("doc_id", "n_shingles", "digest", *also).join(named, "digest", "left")
+
+
+def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+    out = _components(docs.select("doc_id", "text"), rules)
     out = out.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """docs with the row of the least doc_id of each component (one of repeated rows); columns as they are."""
-    kept = staged(near_duplicates(docs, rules).where("kept").select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    n, repeated = kept.agg(F.count(F.lit(1)), F.max("n")).first()
-    (own,) = fresh(docs, "_kept")
-    wanted = small(kept.select(F.col("doc_id").alias(own)), n)
-    out = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if (repeated or 1) > 1 else out
+    """docs with one row of each component, of its least doc_id (and of that one's least text hash); columns as they are.
+
+    Rows are told apart by doc_id and a 128-bit hash of the text, as ids may be null or repeated. Of rows that agree on both
+    one is kept.
+    """
+    h1, h2, was, n, w1, w2 = fresh(docs, "_h1", "_h2", "_kept", "_n", "_w1", "_w2")
+    hashed = docs.withColumns({h1: F.xxhash64("text"), h2: F.xxhash64(F.lit(1), "text")})
+    rows = _components(hashed.select("doc_id", "text", h1, h2), rules, (h1, h2)).groupBy("label", "doc_id", h1, h2).agg(F.count(F.lit(1)).alias(n))
+    rows = staged(rows, "texts")
+    first = rows.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", h1, h2, n)).alias("least"))
+    kept = first.select(F.col("least.doc_id").alias(was), *(F.col(f"least.{c}").alias(c) for c in (h1, h2, n)))
+    kept = staged(kept.union(rows.where("label IS NULL").select(F.col("doc_id").alias(was), h1, h2, n)), "kept")
+    total, repeated = kept.agg(F.count(F.lit(1)), F.count_if(F.col(n) > 1)).first()
+
+    def of(wanted: DataFrame, size: int) -> DataFrame:
+        w = small(wanted.select(was, F.col(h1).alias(w1), F.col(h2).alias(w2)), size)
+        return hashed.join(w, F.col("doc_id").eqNullSafe(F.col(was)) & (F.col(h1) == F.col(w1)) & (F.col(h2) == F.col(w2)), "left_semi")
+
+    if not repeated:
+        return of(kept, total).select(*docs.columns)
+    once = of(kept.where(F.col(n) == 1), total - repeated)
+    return once.union(of(kept.where(F.col(n) > 1), repeated).dropDuplicates(["doc_id", h1, h2])).select(*docs.columns)
 
 
 def op6_hyperminhash(spark, sf_dir: str) -> DataFrame:

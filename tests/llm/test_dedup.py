@@ -63,6 +63,16 @@ def test_nulls_ties_and_empty(make, spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4] and kept.columns == make(rows).columns
 
 
+def test_one_row_of_each_component_whatever_its_id(make):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(None if i % 3 == 0 else i, text(i)) for i in range(30)]
+    rows += [(100, text(1)), (100, text(100)), (None, text(2)), (None, text(3)), (101, text(101)), (101, text(102)), (101, text(101)), (102, ""), (102, ""), (None, None), (None, " ")]
+    kept = dedup.keep_one(make(rows))
+    got = sorted((r.doc_id or -1, r.text or "") for r in kept.collect())
+    want = rows[:30] + [(100, text(100)), (101, text(101)), (101, text(102)), (102, ""), (None, None), (None, " ")]
+    assert got == sorted((d or -1, t or "") for d, t in want) and kept.columns == make(rows).columns
+
+
 def test_estimate_follows_similarity():
     a, b = dedup.functions(512)
     r = np.random.default_rng(0)
