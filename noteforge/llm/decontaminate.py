@@ -7,7 +7,8 @@ the items that hold the window; an item of fewer words is hit where it occurs as
 spans from texts, and drops texts of which more than `max_coverage` of the words are hit.
 
 The benchmark is small by nature, but its size is checked: items are dealt into automata of at most `max_tokens` words,
-each of which is sent by itself and makes one pass over the documents.
+each of which is sent by itself and makes one pass over the documents. clean() with several of them unites their spans before it
+cuts, and goes over the texts that were hit again until no automaton finds any.
 
 Defined cases: a null or empty document has no words and no hits; a null or empty item occurs nowhere; items with a null
 id hit words but aren't counted; equal items count each; repeated documents are judged one by one; an empty benchmark hits
@@ -19,13 +20,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteforge.llm.base import fresh, read, released, staged
+from noteforge.llm.base import drop_staged, fresh, read, released, staged
 
 #: Bytes of words as they are kept: ASCII letters in lower case, digits and all bytes above 127; other bytes part words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -135,23 +138,28 @@ class Automaton:
 
     def cut(self, text: str, max_coverage: float) -> str | None:
         """text without hit spans, until no window is left; None if too much of it was hit."""
-        first = None
+        first = 0
         while True:
-            raw = text.encode("utf-8", "surrogatepass")
-            plain = raw.translate(TABLE)
-            places = [m.span() for m in SPAN.finditer(plain)]
-            spans, _ = self.match(plain.split())
+            spans, _ = self.match(words(text))
             if not spans:
                 return text
-            first = first or len(places)
-            kept = len(places) - sum(e - b for b, e in spans)
-            if kept < (1 - max_coverage) * first:
+            text, first = without(text, spans, first, max_coverage)
+            if text is None:
                 return None
-            out, at = [], 0
-            for b, e in spans:
-                out.append(raw[at : places[b][0]])
-                at = places[e - 1][1]
-            text = b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def without(text: str, spans: list[tuple[int, int]], first: int, max_coverage: float) -> tuple[str | None, int]:
+    """text without spans of words, None if less than it may lose is left of its `first` words (0: those it has now); that number."""
+    raw = text.encode("utf-8", "surrogatepass")
+    places = [m.span() for m in SPAN.finditer(raw.translate(TABLE))]
+    first = first or len(places)
+    if len(places) - sum(e - b for b, e in spans) < (1 - max_coverage) * first:
+        return None, first
+    out, at = [], 0
+    for b, e in spans:
+        out.append(raw[at : places[b][0]])
+        at = places[e - 1][1]
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass"), first
 
 
 def automata(benchmark: DataFrame, rules: Decontamination) -> Iterator[Automaton]:
@@ -227,22 +235,72 @@ def _cutter(sent, max_coverage: float):
     return cut
 
 
+def _hits(sent):
+    """Flat spans of one automaton united with those of earlier ones."""
+
+    @F.pandas_udf("array<int>")
+    def hits(texts: pd.Series, old: pd.Series) -> pd.Series:
+        a, out = sent.value, []
+        for t, had in zip(texts, old, strict=True):
+            now, _ = a.match(words(t))
+            out.append([int(x) for span in _union([*now, *_pairs(had)]) for x in span])
+        return pd.Series(out, dtype=object)
+
+    return hits
+
+
+def _pairs(flat: Iterable[int]) -> list[tuple[int, int]]:
+    flat = [int(x) for x in flat]
+    return list(zip(flat[::2], flat[1::2], strict=True))
+
+
+def _remover(max_coverage: float):
+    @F.pandas_udf("text string, first int")
+    def remove(texts: pd.Series, spans: pd.Series, first: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([without(t, _pairs(s), int(n), max_coverage) for t, s, n in zip(texts, spans, first, strict=True)], columns=["text", "first"])
+
+    return remove
+
+
+def _clean_by_many(docs: DataFrame, benchmark: DataFrame, rules: Decontamination) -> DataFrame:
+    """clean() by several automata: in each round all of them mark spans, which are then cut together; texts that were hit go round again."""
+    columns, spark = docs.columns, docs.sparkSession
+    spans, first, new = fresh(docs, "_spans", "_first", "_new")
+    none = F.array().cast("array<int>")
+    now, clear = docs.withColumns({spans: none, first: F.lit(0)}), []
+    while True:
+        last = None
+        for a in automata(benchmark, rules):
+            sent = spark.sparkContext.broadcast(a)
+            now = staged(now.withColumn(spans, _hits(sent)("text", spans)), "marked")
+            sent.unpersist()
+            if last is not None:
+                drop_staged(last)
+            last = now
+        clear.append(now.where(F.size(spans) == 0).select(*columns))
+        hit = now.where(F.size(spans) > 0).withColumn(new, _remover(rules.max_coverage)("text", spans, first)).where(F.col(f"{new}.text").isNotNull())
+        now = staged(hit.withColumns({"text": F.col(f"{new}.text"), first: F.col(f"{new}.first"), spans: none}).drop(new), "cut")
+        if now.isEmpty():
+            return reduce(DataFrame.union, clear)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, rules: Decontamination = Decontamination()) -> DataFrame:
     """docs without hit spans (n_chars, if there, follows) and without texts hit beyond max_coverage; all columns kept.
 
-    A null text stays as it is.
+    A null text stays as it is. The number of automata changes nothing: coverage is that of all items, against the words a
+    text had at first, and texts are cut until none of the items' windows is left.
     """
-    columns, first = docs.columns, True
+    columns = docs.columns
     (new,) = fresh(docs, "_text")
-    for a in automata(benchmark, rules):
-        docs = docs if first else staged(docs, "cleaned")
-        first = False
-        cut = _cutter(docs.sparkSession.sparkContext.broadcast(a), rules.max_coverage)
+    one, *more = islice(automata(benchmark, rules), 2)
+    if more:
+        docs = _clean_by_many(docs, benchmark, rules)
+    else:
+        cut = _cutter(docs.sparkSession.sparkContext.broadcast(one), rules.max_coverage)
         docs = docs.withColumn(new, cut("text")).where(F.col("text").isNull() | F.col(new).isNotNull()).withColumn("text", F.col(new))
-        if "n_chars" in columns:
-            docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-        docs = docs.select(*columns)
-    return docs
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(*columns)
 
 
 def op10_suffix_automaton(spark, sf_dir: str) -> DataFrame:

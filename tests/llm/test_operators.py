@@ -88,6 +88,19 @@ def test_decontamination_cases(make, spark):
     assert decontaminate.contamination(make(rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_cleaning_is_the_same_by_any_number_of_automata(make, spark):
+    item = lambda k, n=10: [f"i{k}x{j}" for j in range(n)]
+    filler = [f"f{j}" for j in range(40)]
+    bench = spark.createDataFrame([(k, " ".join(item(k))) for k in range(6)], "item_id long, text string").coalesce(1)
+    half = [*filler, *(w for k in range(6) for w in item(k))]  # 30 of 100 words by the first three items, 30 by the others
+    joined = [*filler, *item(0)[:5], *item(5), *item(0)[5:], "end"]
+    rows = [(1, " ".join(half)), (2, " ".join(joined)), (3, " ".join(filler)), (4, None), (5, " ".join([*filler, *item(4), "z"])), (5, " ".join(item(3)))]
+    got = [sorted((r.doc_id, r.text or "", r.n_chars or 0) for r in decontaminate.clean(make(rows), bench, decontaminate.Decontamination(max_tokens=n)).collect()) for n in (200_000, 30, 10)]
+    assert [(d, t.split()) for d, t, _ in got[0]] == [(2, [*filler, "end"]), (3, filler), (4, []), (5, [*filler, "z"])]
+    assert got[0] == got[1] == got[2]
+    assert decontaminate.clean(make(rows), bench, decontaminate.Decontamination(max_tokens=30)).columns == make(rows).columns
+
+
 def test_packing_round_trip(make):
     r = random.Random(9)
     rows = [(1000 + i, " ".join(f"w{r.randrange(10**r.randrange(1, 7))}'s" for _ in range(r.randrange(900)))) for i in range(60)] + CASES + [(70, "x <|endoftext|> y"), (71, "日本語 ½ ² ١٢ \u00a0\x1c z  ")]
