@@ -2,8 +2,8 @@
 
 Features are hashed 1- to 3-grams of the lower-cased text's code points, weighted (1 + log count) * idf and brought to unit
 length. Document frequencies count every labelled document that may be learnt from. The regression is fitted by
-follow-the-regularised-leader with elastic-net penalties on a bounded sample, `per_language` documents of each language at
-most (those of least hash); a temperature is then fitted on documents that the regression didn't see, and divides the
+follow-the-regularised-leader with elastic-net penalties on a bounded sample, `per_language` distinct texts of each language
+at most (those of least hash); a temperature is then fitted on documents that the regression didn't see, and divides the
 logits of every prediction. Only the text is an input of a prediction.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; null labels aren't learnt from; with nothing to
@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,7 @@ _M = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 class LanguageId:
     bits: int = 15
     longest: int = 3
-    #: bound of the sample per language: for fitting, and a third of it for calibration
+    #: bound of the sample's distinct texts per language: for fitting, and a third of it for calibration
     per_language: int = 600
     epochs: int = 4
     ftrl: Ftrl = field(default_factory=lambda: Ftrl(alpha=1.0, l1=0.02, l2=0.01))
@@ -97,20 +97,25 @@ def frequencies(labelled: DataFrame, rules: LanguageId) -> tuple[int, np.ndarray
 
 
 def _sample(labelled: DataFrame, counts: dict[str, int], most: int, rules: LanguageId) -> list[tuple[str, tuple[np.ndarray, np.ndarray]]]:
-    """About `most` documents per language, those of least hash, as features (never texts) on the driver."""
+    """At most `most` distinct texts per language, those of least hash, as features (never texts) on the driver.
+
+    counts: about how many distinct texts each language has. A share of the hashes that holds somewhat more than `most` of
+    them is looked at; copies go, and so does what is over, before anything is brought to the driver.
+    """
     if not counts:
         return []
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, most / max(n, 1)))))
+    rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.1 * most + 50) / max(n, 1)))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             f = [grams(t, rules) for t in b["text"]]
             yield pd.DataFrame({"lang": b["lang"].array, "h": b["h"].array, "at": [x for x, _ in f], "n": [x for _, x in f]})
 
-    chosen = labelled.select("lang", "text", h.alias("h")).where(F.col("h") < F.element_at(rate, F.col("lang")))
+    chosen = labelled.select("lang", "text", h.alias("h"), F.xxhash64("text").alias("key")).where(F.col("h") < F.element_at(rate, F.col("lang"))).dropDuplicates(["lang", "key"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))  # bounded: about `most` rows per language
+    chosen = chosen.withColumn("place", place).where(F.col("place") <= most).select("lang", "text", "h")
     rows = chosen.mapInPandas(released(run), "lang string, h double, at array<int>, n array<int>").toPandas().sort_values(["h", "lang"], kind="stable")
-    rows = rows.groupby("lang").head(most)
     return [(r.lang, (np.asarray(r.at, np.int32), np.asarray(r.n, np.int32))) for r in rows.itertuples()]
 
 
@@ -118,7 +123,7 @@ def fit(docs: DataFrame, learn: Column, calibrate: Column, rules: LanguageId = L
     """A model from text and lang of the rows of docs where learn or calibrate holds."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     own, other = usable.where(learn), usable.where(calibrate)
-    counts = {r[0]: (r[1], r[2]) for r in usable.groupBy("lang").agg(F.count_if(learn), F.count_if(calibrate)).collect()}  # a row per language
+    counts = {r[0]: (r[1], r[2]) for r in usable.groupBy("lang").agg(*(F.approx_count_distinct(F.when(c, F.xxhash64("text")), 0.02) for c in (learn, calibrate))).collect()}  # a row per language
     n, df = frequencies(usable.where(learn | calibrate), rules)
     idf = np.log((n + 1) / (df + 1)) + 1
     train = _sample(own, {k: v[0] for k, v in counts.items() if v[0]}, rules.per_language, rules)

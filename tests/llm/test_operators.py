@@ -203,6 +203,15 @@ def test_language_id_held_out(make):
     assert alone[1][0].lang_pred == alone[3][0].lang_pred == "und"
 
 
+def test_language_sample_takes_a_text_once(make):
+    rows = [(d, t, "aa", "s") for d, t, _, _ in languages(400)]
+    df = make(rows)
+    least = df.orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30))).first().text
+    rules = langid.LanguageId()
+    got = langid._sample(df.union(make([(1000 + i, least, "aa", "s") for i in range(2000)])), {"aa": 400}, 50, rules)
+    assert len(got) == 50 and len({at.tobytes() for _, (at, _) in got}) == 50
+
+
 def test_toxicity_held_out(make, spark):
     r = random.Random(4)
     word = lambda: f"w{r.randrange(300)}"
