@@ -48,11 +48,15 @@ def hilbert_index(df: DataFrame, dims: list[str], bits: int, out: str) -> DataFr
 
 
 def _cells(texts: DataFrame, name: str, most: int = 65_536) -> DataFrame:
-    """texts with c_<name>: the value's place in the sorted dictionary scaled to BITS, or its hash if there are many."""
+    """texts with c_<name>: the value's place in the sorted dictionary scaled to BITS, or that of its range if there are many values."""
     values = staged(texts.select(name).distinct(), f"values-{name}")
     n = values.count()
     if n > most:
-        return texts.withColumn(f"c_{name}", F.pmod(F.xxhash64(name), F.lit(1 << BITS)))
+        ranges = values.repartitionByRange(1 << BITS, F.col(name).asc_nulls_first()).select(F.col(name).alias("_v"), F.spark_partition_id().alias("_range"))
+        ranges = staged(ranges, f"ranges-{name}")
+        parts = ranges.agg(F.max("_range")).first()[0] + 1
+        places = ranges.select("_v", F.floor(F.col("_range") * F.lit(1 << BITS) / F.lit(max(parts, 1 << BITS))).cast("long").alias(f"c_{name}"))
+        return texts.join(small(places, n), F.col(name).eqNullSafe(F.col("_v")), "left").drop("_v")
     place = F.row_number().over(Window.orderBy(F.col(name).asc_nulls_first())) - 1  # bounded: at most `most` rows
     places = values.select(F.col(name).alias("_v"), F.floor(place * F.lit(1 << BITS) / F.lit(max(n, 1 << BITS))).cast("long").alias(f"c_{name}"))
     return texts.join(small(places, n), F.col(name).eqNullSafe(F.col("_v")), "left").drop("_v")

@@ -56,6 +56,13 @@ def test_shards(make, spark):
     assert [r.i for r in grid] == list(range(64)) and all(abs(x.a - y.a) + abs(x.b - y.b) == 1 for x, y in zip(grid, grid[1:]))
 
 
+def test_cells_of_many_values_keep_their_order(spark):
+    df = spark.createDataFrame([(f"s{i:05d}",) for i in range(3000)] + [(None,)], "source string")
+    out = sharding._cells(df, "source", most=100).orderBy(F.col("source").asc_nulls_first()).collect()
+    cells = [r.c_source for r in out]
+    assert len(out) == 3001 and cells == sorted(cells) and set(cells) == set(range(32)) and max(map(cells.count, set(cells))) < 400
+
+
 def test_automaton_against_brute_force():
     for seed in range(200):
         r = random.Random(seed)
