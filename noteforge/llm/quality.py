@@ -2,11 +2,20 @@
 
 Each document gets integer measures. A sketch is a log-linear histogram of one measure: buckets are exact up to 127 and
 keep six further bits of the leading position above (relative error at most 1/64), so that sketches merge by adding
-counts, in any order, with one result. Thresholds are fences above the upper quartile of a group's sketch. A group of
-fewer than `min_rows` documents uses the merged sketch of its language, or else of everything.
+counts, in any order, with one result. No cutoff is fixed: a group's fence is the larger of
+
+    q3 + spread * (q3 - q2)       (median and upper quartile of its sketch)
+    q2 + spread * mean excess     (the mean of what values exceed the median by)
+
+The second serves measures that are 0 in most documents, whose quartiles agree: a value is out if it is more than `spread`
+times the average excess, as long as such values make less than 1 / spread of the group. The mean excess is drawn towards
+that of the merged sketch of the language, and that one's towards everything's, as if `min_rows` documents of it were in
+the group, so that one odd sign in a small group isn't out by itself. A group of fewer than `min_rows` documents uses the
+fence of its language, or else of everything.
 
 Defined cases: null or empty text has no words and fails the base rules; null language or source is a group of its own;
-repeated rows are judged one by one; an empty table gives an empty result; extra columns pass through untouched.
+repeated rows and ties are judged alike, one by one (a value equal to the fence is kept); an empty table gives an empty
+result; extra columns pass through, but for those named like a result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -18,58 +27,54 @@ from pyspark.sql import functions as F
 
 from noteforge.llm.base import BLANKS, WORD, fresh, read, small, staged
 
-#: Measure -> (SQL over the counts, floor of its fence: where most of a group measure 0, the quartiles alone would fence at 0).
+#: Measure -> SQL over the counts.
 MEASURES = {
-    "symbol_pm": ("coalesce(1000 * n_symbols div nullif(word_chars, 0), 0)", 20),
-    "dup_line_pm": ("coalesce(1000 * n_dup_lines div nullif(n_lines, 0), 0)", 350),
-    "repeat_pm": ("coalesce(1000 * n_repeat_words div nullif(n_words, 0), 0)", 150),
-    "word_len_cm": ("coalesce(100 * word_chars div nullif(n_words, 0), 0)", 0),
+    "symbol_pm": "coalesce(1000 * n_symbols div nullif(word_chars, 0), 0)",
+    "dup_line_pm": "coalesce(1000 * n_dup_lines div nullif(n_lines, 0), 0)",
+    "repeat_pm": "coalesce(1000 * n_repeat_words div nullif(n_words, 0), 0)",
+    "word_len_cm": "coalesce(100 * word_chars div nullif(n_words, 0), 0)",
 }
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class QualityRules:
     min_words: int = 10
-    #: fence = upper quartile + spread * (upper quartile - median), but at least 1.5 upper quartiles and the floor
+    #: how far beyond the quartile (in distances from the median) or the median (in mean excesses) a fence stands
     spread: int = 8
     min_rows: int = 30
 
 
-def _repeat_words() -> tuple[str, str, str, str]:
-    """Words covered by 5-word windows that occur twice or more. _g: window hashes by position.
+def _without(df: DataFrame, names) -> list[str]:
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
 
-    Hash and position are packed in one long so that sorting is a sort of longs: 44 bits of hash, 20 of position; equal
-    neighbours are compared on all 64 bits. Texts of 2**20 words or more sort (hash, position) pairs instead.
-    """
-    packed = """sort_array(transform(_g, (x, i) -> (x & -1048576L) | i))"""
-    alike = """filter(transform(_s, (x, i) -> if(
-        (i > 0 AND _g[cast(x & 1048575L AS int)] = _g[cast(_s[i - 1] & 1048575L AS int)])
-        OR (i < size(_s) - 1 AND _g[cast(x & 1048575L AS int)] = _g[cast(_s[i + 1] & 1048575L AS int)]), x & 1048575L, -1L)), p -> p >= 0)"""
-    pairs = """sort_array(transform(_g, (x, i) -> struct(x AS h, cast(i AS bigint) AS p)))"""
-    alike_pairs = """filter(transform(_sp, (x, i) -> if((i > 0 AND _sp[i - 1].h = x.h) OR (i < size(_sp) - 1 AND _sp[i + 1].h = x.h), x.p, -1L)), p -> p >= 0)"""
-    return packed, alike, pairs, alike_pairs
 
-
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, packed_below: int = 1 << 20) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long); the text is read once.
 
-    These columns replace columns of the same name that docs may have.
+    Words of 5-word windows that occur twice or more count as repeated. Hash and position of a window are packed in one
+    long, so that sorting is a sort of longs: 44 bits of hash, 20 of position; equal neighbours are compared on all 64 bits.
+    Texts of `packed_below` windows or more sort (hash, position) pairs instead.
     """
-    keep = [c for c in docs.columns if c.lower() not in {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"}]
+    keep = _without(docs, COUNTS)
     df = docs.select(*keep)
-    t, w, lines, wh, g, s, sp, pos = fresh(df, "_t", "_w", "_lines", "_wh", "_g", "_s", "_sp", "_pos")
-    assert (g, s, sp) == ("_g", "_s", "_sp"), "columns _g, _s and _sp are reserved"
-    packed, alike, pairs, alike_pairs = _repeat_words()
+    t, w, lines, wh, g, again, s, sp, pos = fresh(df, "_t", "_w", "_lines", "_wh", "_g", "_again", "_s", "_sp", "_pos")
     df = df.withColumn(t, F.coalesce(F.col("text"), F.lit("")))
     df = df.withColumn(w, F.expr(f"filter(split({t}, '{BLANKS.replace(chr(92), chr(92) * 2)}'), x -> x != '')"))
     word = WORD.replace("\\", "\\\\")
     df = df.withColumn(lines, F.expr(f"filter(split({t}, '\\n'), x -> x rlike '{word}')"))
     df = df.withColumn(wh, F.expr(f"transform({w}, x -> xxhash64(x))"))
     df = df.withColumn(g, F.expr(f"if(size({wh}) < 6, array(), transform(sequence(0, greatest(size({wh}) - 5, 0)), i -> xxhash64({', '.join(f'{wh}[i + {k}]' for k in range(5))})))"))
-    df = df.withColumn("_again", F.expr("size(array_distinct(_g)) < size(_g)"))
-    df = df.withColumn(s, F.expr(f"if(_again AND size(_g) < 1048576, {packed}, array())"))
-    df = df.withColumn(sp, F.expr(f"if(_again AND size(_g) >= 1048576, {pairs}, array())"))
-    df = df.withColumn(pos, F.expr(f"sort_array(if(size(_sp) > 0, {alike_pairs}, {alike}))"))
+    df = df.withColumn(again, F.expr(f"size(array_distinct({g})) < size({g})"))
+    packed = f"sort_array(transform({g}, (x, i) -> (x & -1048576L) | i))"
+    pairs = f"sort_array(transform({g}, (x, i) -> struct(x AS h, cast(i AS bigint) AS p)))"
+    df = df.withColumn(s, F.expr(f"if({again} AND size({g}) < {packed_below}, {packed}, array())"))
+    df = df.withColumn(sp, F.expr(f"if({again} AND size({g}) >= {packed_below}, {pairs}, array())"))
+    at = lambda i: f"{g}[cast({s}[{i}] & 1048575L AS int)]"
+    alike = f"filter(transform({s}, (x, i) -> if((i > 0 AND {at('i')} = {at('i - 1')}) OR (i < size({s}) - 1 AND {at('i')} = {at('i + 1')}), x & 1048575L, -1L)), p -> p >= 0)"
+    alike_pairs = f"filter(transform({sp}, (x, i) -> if((i > 0 AND {sp}[i - 1].h = x.h) OR (i < size({sp}) - 1 AND {sp}[i + 1].h = x.h), x.p, -1L)), p -> p >= 0)"
+    df = df.withColumn(pos, F.expr(f"sort_array(if(size({sp}) > 0, {alike_pairs}, {alike}))"))
     return df.select(
         *keep,
         F.size(w).cast("long").alias("n_words"),
@@ -87,31 +92,49 @@ BUCKET = "CASE WHEN {v} < 128 THEN {v} ELSE ({v} >> (length(bin({v})) - 7)) + 64
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n): one mergeable histogram per group and measure."""
-    stack = ", ".join(f"'{m}', {sql}" for m, (sql, _) in MEASURES.items())
+    stack = ", ".join(f"'{m}', {sql}" for m, sql in MEASURES.items())
     long = measured.where("NOT base_failed").selectExpr("lang", "source", f"stack({len(MEASURES)}, {stack}) AS (measure, v)")
     return long.selectExpr("lang", "source", "measure", f"cast({BUCKET.format(v='v')} AS bigint) AS bucket").groupBy("lang", "source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def thresholds(sketch: DataFrame, rules: QualityRules) -> DataFrame:
-    """(lang, source, <measure>_max ...) for each group, from its own sketch or a merged one."""
-    floors = "CASE measure " + " ".join(f"WHEN '{m}' THEN {floor}" for m, (_, floor) in MEASURES.items()) + " END"
+    """(lang, source, <measure>_max ...) for each group, from its own sketch and those it merges into."""
+    top = "CASE WHEN bucket < 128 THEN bucket ELSE (((bucket % 64) + 65) << cast(bucket div 64 - 1 AS int)) - 1 END"
 
-    def fences(keys: list[str], tag: str) -> DataFrame:
+    def quantiles(keys: list[str], tag: str) -> DataFrame:
+        """n, median q2, upper quartile q3 and the sum of excesses e of each merged sketch."""
         merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
         by = ", ".join([*keys, "measure"])
-        run = merged.selectExpr(*keys, "measure", "bucket", f"sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto", f"sum(n) OVER (PARTITION BY {by}) AS total")
-        top = "CASE WHEN bucket < 128 THEN bucket ELSE (((bucket % 64) + 65) << cast(bucket div 64 - 1 AS int)) - 1 END"
-        return run.groupBy(*keys, "measure").agg(F.max("total").alias(f"n_{tag}"), F.expr(f"min(CASE WHEN 2 * upto >= total THEN {top} END)").alias("q2"), F.expr(f"min(CASE WHEN 4 * upto >= 3 * total THEN {top} END)").alias("q3")).selectExpr(*keys, "measure", f"n_{tag}", f"greatest({floors}, 3 * q3 div 2, q3 + {rules.spread} * (q3 - q2)) AS max_{tag}")
+        run = merged.selectExpr(*keys, "measure", "n", f"{top} AS top", f"sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto", f"sum(n) OVER (PARTITION BY {by}) AS total")
+        run = run.selectExpr("*", f"min(CASE WHEN 2 * upto >= total THEN top END) OVER (PARTITION BY {by}) AS q2")
+        out = run.groupBy(*keys, "measure").agg(F.max("total"), F.max("q2"), F.expr("min(CASE WHEN 4 * upto >= 3 * total THEN top END)"), F.expr("sum(n * greatest(top - q2, 0))"))
+        return out.toDF(*keys, "measure", *(f"{c}_{tag}" for c in ("n", "q2", "q3", "e")))
 
-    own, lang, every = fences(["lang", "source"], "own"), fences(["lang"], "lang"), fences([], "every")
-    l2, m2, m3 = F.col("l.lang"), F.col("l.measure"), F.col("e.measure")
-    best = (
+    own, lang, every = quantiles(["lang", "source"], "own"), quantiles(["lang"], "lang"), quantiles([], "every")
+    both = (
         own.alias("o")
-        .join(lang.alias("l"), F.col("o.lang").eqNullSafe(l2) & (F.col("o.measure") == m2))
-        .join(F.broadcast(every).alias("e"), F.col("o.measure") == m3)
-        .selectExpr("o.lang", "o.source", "o.measure", f"CASE WHEN n_own >= {rules.min_rows} THEN max_own WHEN n_lang >= {rules.min_rows} THEN max_lang ELSE max_every END AS most")
+        .join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.measure") == F.col("l.measure")))
+        .join(F.broadcast(every).alias("e"), F.col("o.measure") == F.col("e.measure"))
+        .selectExpr("o.lang", "o.source", "o.measure", *(f"{c}_{t}" for t in ("own", "lang", "every") for c in ("n", "q2", "q3", "e")))
     )
-    return best.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col("most"))).alias(f"{m}_max") for m in MEASURES))
+    for sql in _fences(rules, " div "):
+        both = both.selectExpr("*", sql)
+    return both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col("most"))).alias(f"{m}_max") for m in MEASURES))
+
+
+def _fences(rules: QualityRules, div: str) -> list[str]:
+    """Columns in order: mean excess (in thousandths) of everything, the language and the group; their fences; the one that holds."""
+    rows, spread = rules.min_rows, rules.spread
+    fence = lambda t: f"greatest(q3_{t} + {spread} * (q3_{t} - q2_{t}), q2_{t} + ({spread} * m_{t}){div}1000)"
+    return [
+        f"(1000 * e_every){div}n_every AS m_every",
+        f"(1000 * e_lang + {rows} * m_every){div}(n_lang + {rows}) AS m_lang",
+        f"(1000 * e_own + {rows} * m_lang){div}(n_own + {rows}) AS m_own",
+        f"CASE WHEN n_own >= {rows} THEN {fence('own')} WHEN n_lang >= {rows} THEN {fence('lang')} ELSE {fence('every')} END AS most",
+    ]
+
+
+RESULTS = (*COUNTS, "base_failed", *MEASURES, *(f"{m}_max" for m in MEASURES), "kept")
 
 
 def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), keep_text: bool = True) -> DataFrame:
@@ -120,21 +143,22 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), keep_te
     The measured table is staged once; with keep_text=False the text isn't carried. Thresholds are broadcast if their
     counted rows allow it, else joined by shuffle with the documents of each group dealt over 32 salts.
     """
-    measured = measure(docs)
+    measured = measure(docs.select(*_without(docs, RESULTS)))
     if not keep_text:
         measured = measured.drop("text")
     measured = measured.withColumn("base_failed", F.expr(f"n_words < {rules.min_words} OR 100 * n_repeat_words > 20 * n_words"))
     measured = staged(measured, "quality")
     cuts = staged(thresholds(staged(sketches(measured), "sketches"), rules), "fences")
     rows = cuts.count()
-    cuts = cuts.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    own_lang, own_source, salt, deal = fresh(measured, "_lang", "_source", "_salt", "_deal")
+    cuts = cuts.withColumnsRenamed({"lang": own_lang, "source": own_source})
+    on = F.col("lang").eqNullSafe(F.col(own_lang)) & F.col("source").eqNullSafe(F.col(own_source))
     if rows > 200_000:
-        cuts = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        measured = measured.withColumn("_deal", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int"))
-        on = on & (F.col("_deal") == F.col("_salt"))
-    judged = measured.join(small(cuts, rows), on, "left").drop("_lang", "_source", "_salt", "_deal")
-    for m, (sql, _) in MEASURES.items():
+        cuts = cuts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(31))))
+        measured = measured.withColumn(deal, F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int"))
+        on = on & (F.col(deal) == F.col(salt))
+    judged = measured.join(small(cuts, rows), on, "left").drop(own_lang, own_source, salt, deal)
+    for m, sql in MEASURES.items():
         judged = judged.withColumn(m, F.expr(f"cast({sql} AS bigint)"))
     over = " OR ".join(f"{m} > {m}_max" for m in MEASURES)
     return judged.withColumn("kept", F.expr(f"NOT base_failed AND NOT coalesce({over}, false)"))
@@ -146,16 +170,24 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_LONG = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {sql.replace(' div ', ' // ')} AS v FROM j WHERE NOT base_failed" for m, (sql, _) in MEASURES.items()) + ")"
+_LONG = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {sql.replace(' div ', ' // ')} AS v FROM j WHERE NOT base_failed" for m, sql in MEASURES.items()) + ")"
 
 
-def _fence_sql(keys: str, tag: str) -> str:
+def _quantile_sql(keys: str, tag: str) -> str:
     by = f"{keys}, measure" if keys else "measure"
-    sel = f"{keys}, " if keys else ""
-    floors = "CASE measure " + " ".join(f"WHEN '{m}' THEN {floor}" for m, (_, floor) in MEASURES.items()) + " END"
     top = "CASE WHEN bucket < 128 THEN bucket ELSE (((bucket % 64) + 65) << (bucket // 64 - 1)::INT) - 1 END"
-    return f"""f_{tag} AS (SELECT {sel}measure, max(total) AS n_{tag}, greatest({floors}, 3 * min(CASE WHEN 4 * upto >= 3 * total THEN {top} END) // 2, min(CASE WHEN 4 * upto >= 3 * total THEN {top} END) + 8 * (min(CASE WHEN 4 * upto >= 3 * total THEN {top} END) - min(CASE WHEN 2 * upto >= total THEN {top} END))) AS max_{tag}
-  FROM (SELECT {sel}measure, bucket, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {sel}measure, bucket, sum(n) AS n FROM sk GROUP BY {by}, bucket)) GROUP BY {by})"""
+    merged = f"SELECT {by}, {top} AS top, bucket, sum(n) AS n FROM sk GROUP BY {by}, bucket"
+    run = f"SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM ({merged})"
+    mid = f"SELECT *, min(CASE WHEN 2 * upto >= total THEN top END) OVER (PARTITION BY {by}) AS q2 FROM ({run})"
+    return f"f_{tag} AS (SELECT {by}, max(total) AS n_{tag}, max(q2) AS q2_{tag}, min(CASE WHEN 4 * upto >= 3 * total THEN top END) AS q3_{tag}, sum(n * greatest(top - q2, 0)) AS e_{tag} FROM ({mid}) GROUP BY {by})"
+
+
+def _fence_sql() -> str:
+    """Nested selects, one for each column of _fences()."""
+    out = "SELECT o.*, l.* EXCLUDE (lang, measure), e.* EXCLUDE (measure) FROM f_own o JOIN f_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN f_every e ON o.measure = e.measure"
+    for sql in _fences(QualityRules(), " // "):
+        out = f"SELECT *, {sql} FROM ({out})"
+    return out
 
 
 #: The same rules in DuckDB's SQL, with exact windows of words instead of hashes.
@@ -170,13 +202,12 @@ c AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(length(a
 j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
 l AS ({_LONG}),
 sk AS (SELECT lang, source, measure, {BUCKET.format(v='v').replace('>> (length(bin(v)) - 7)', '>> (length(bin(v)) - 7)::INT')} AS bucket, count(*) AS n FROM l GROUP BY ALL),
-{_fence_sql('lang, source', 'own')},
-{_fence_sql('lang', 'lang')},
-{_fence_sql('', 'every')},
-m AS (SELECT o.lang, o.source, o.measure, CASE WHEN n_own >= 30 THEN max_own WHEN n_lang >= 30 THEN max_lang ELSE max_every END AS most
-  FROM f_own o JOIN f_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN f_every e ON o.measure = e.measure),
+{_quantile_sql('lang, source', 'own')},
+{_quantile_sql('lang', 'lang')},
+{_quantile_sql('', 'every')},
+m AS ({_fence_sql()}),
 x AS (SELECT lang, source, {', '.join(f"max(CASE WHEN measure = '{m}' THEN most END) AS {m}_max" for m in MEASURES)} FROM m GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce({' OR '.join(f"{sql.replace(' div ', ' // ')} > {m}_max" for m, (sql, _) in MEASURES.items())}, false) AS kept
+  NOT base_failed AND NOT coalesce({' OR '.join(f"{sql.replace(' div ', ' // ')} > {m}_max" for m, sql in MEASURES.items())}, false) AS kept
 FROM j LEFT JOIN x ON j.lang IS NOT DISTINCT FROM x.lang AND j.source IS NOT DISTINCT FROM x.source
 """

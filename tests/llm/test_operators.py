@@ -43,6 +43,41 @@ def test_quality_thresholds_follow_the_group(make):
     assert got[5][0].kept and got[105][0].kept and not got[500][0].kept
 
 
+def test_quality_fences_of_every_measure_differ_by_group(make):
+    """Two sources with other levels of each measure: what is usual in one is out in the other, and no fence is the same."""
+    r = random.Random(6)
+    word = lambda n=5: "".join(r.choice("abcdefghij") for _ in range(n))
+    line = lambda n=5: " ".join(word(n) for _ in range(12))
+
+    def text(symbols, lines, repeats, length):
+        some = [line(length) for _ in range(8)]
+        again = [some[0][:20]] * lines
+        return "\n".join([*some, *again, " ".join(["#"] * symbols), " ".join(some[1].split()[:repeats])])
+
+    few = [(i, text(i % 2, i % 2, 5 * (i % 2), 5), "en", "a") for i in range(80)]
+    many = [(100 + i, text(5 + i % 9, 2 + i % 3, 10 + i % 2, 9), "en", "b") for i in range(80)]
+    odd = [(500 + k, many[k][1], "en", "a") for k in range(2)]
+    rows = quality.quality_rules(make(few + many + odd, extra=False)).collect()
+    for m in quality.MEASURES:
+        fences = {x.source: x[f"{m}_max"] for x in rows}
+        assert 0 < fences["a"] < fences["b"], m
+    kept = {x.doc_id: x.kept for x in rows}
+    assert np.mean([kept[i] for i in [*range(80), *range(100, 180)]]) > 0.9 and not kept[500] and not kept[501]
+
+
+def test_quality_long_texts_ties_and_clashing_columns(make, spark):
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice(["a", "bb", "ccc", "d d"]) for _ in range(r.randrange(80)))) for i in range(60)] + CASES
+    both = [{(x.doc_id, x.text): x.n_repeat_words for x in quality.measure(make(rows), n).collect()} for n in (1 << 20, 3)]
+    assert both[0] == both[1] and max(both[0].values()) > 20
+    names = ["_g", "_s", "_sp", "_again", "_lang", "_source", "_t", "_salt"]
+    clash = make(rows).withColumns({**{n: F.lit("mine") for n in names}, "kept": F.lit("old"), "n_words": F.lit("old"), "symbol_pm_max": F.lit("old")})
+    got = quality.quality_rules(clash)
+    assert all(x[n] == "mine" for x in got.collect() for n in names) and dict(got.dtypes)["kept"] == "boolean" and dict(got.dtypes)["n_words"] == "bigint"
+    ties = quality.quality_rules(make([(i, "ten words here are just enough to pass the rules", "en", "s") for i in range(50)])).collect()
+    assert len(ties) == 50 and all(x.kept for x in ties)
+
+
 def test_shards(make, spark):
     rows = [(10_000 + i, "t" * (i % 50), "en de".split()[i % 2], f"s{i % 7}") for i in range(500)] + [(600 + i, "hot text", "en", "s1") for i in range(300)] + CASES
     out = sharding.shards(make(rows)).toPandas()
