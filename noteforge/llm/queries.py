@@ -19,5 +19,6 @@ ORACLE_SQL = {
     "op5_quality_rules": quality.ORACLE,
     "op6_hyperminhash": dedup.ORACLE,
     "op7_digest_array": urls.ORACLE,
+    "op9_hilbert_shards": sharding.ORACLE,
     "op10_suffix_automaton": decontaminate.ORACLE,
 }
