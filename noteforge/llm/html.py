@@ -4,32 +4,38 @@ A page is read as a sequence of tags and texts. Every run of text inside one blo
 block elements from the root to it. Per path, text length, punctuation and blocks are summed; the ratios of length and of
 punctuation to blocks are smoothed over neighbouring paths in page order and fused into a score. Paths that pass through
 elements which mark menus, headers, footers, sidebars, notices, adverts, forms or reader comments (by element, role, id or
-class) score nothing. A path of links is one whose text is linked for the most part. Chosen is the smallest element that
+class) score nothing. A form, or an element marked by a name other than a comment's, that holds more than half of the
+page's unlinked text isn't apart (a page may lie in one form); of an article's own header the headings stay. A path of
+links is one whose text is linked for the most part. Chosen is the smallest element that
 holds every block of other paths which passes the threshold or is a heading, cell, item, caption or pre, but never one
 inside the article or main that holds them all. Its blocks are the main text, short ones too; only those on paths of
 links have to pass the threshold, except headings and, in an article or main, cells, items, captions and pre.
 
+Time and memory grow in proportion to the page: paths are numbers (parent, tag, class), elements are numbered in page order,
+so that an element holds a range of numbers.
+
 Defined cases: null or empty html, or a page without such text, gives an empty text; unclosed and stray tags are tolerated (an
-unclosed svg, button or the like ends where it begins), formulas in MathML are text; names don't mark html, body, main and article; implied ends (p, li, td, ...) are applied; repeated rows are extracted one by one; an empty table gives an empty result; other columns are ignored.
+unclosed svg, button or the like ends where it begins; a tag with an unbalanced quote ends at its first >), formulas in MathML are
+text; names don't mark html, body, main, article and headings; implied ends (p, li, td, ...) are applied; repeated rows are
+extracted one by one and alike; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from noteforge.llm.base import read
+from noteforge.llm.base import map_rows, read
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|iframe)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<raw>script|style|textarea|title|iframe)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,400}+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,400}+)>"
+    r"|<(?P<bad_end>/?)(?P<bad>[a-zA-Z][a-zA-Z0-9:-]*)[^<>]*+>"
     r"|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -49,7 +55,11 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright footer header masthead menu modal nav navbar navigation newsletter "
     "notice notices pagination pager popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-PLACES = frozenset(["top", "bottom", "site", "global"])
+PLACES = frozenset(["top", "bottom", "site", "global", "page", "main"])
+# Of a compound name: parts that a marking name may be followed by, and those that tell of something else than the element.
+SHAPES = frozenset("area bar block body box button buttons container content footer form inner item items link links list message outer overlay panel posts section text thread title wrap wrapper".split())
+OTHERS = frozenset("enabled has hide hides no not show shows with without".split())
+COMMENTS = frozenset("comment comments replies reply respond".split())
 ENDS = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt td th tr".split()),
     "li": frozenset(["li"]),
@@ -76,29 +86,39 @@ class TagPaths:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "apart")
+    __slots__ = ("tag", "path", "parent", "at", "last", "own", "apart", "header")
 
-    def __init__(self, tag: str, parent: _Element | None, apart: bool, mark: str = ""):
-        self.tag, self.parent = tag, parent
-        self.apart = apart or bool(parent and parent.apart)
-        self.path = f"{parent.path}/{tag}{mark}" if parent else tag
+    def __init__(self, tag: str, parent: _Element | None, at: int, path: int, own: str = ""):
+        self.tag, self.parent, self.path = tag, parent, path
+        self.at = self.last = at  # its number, and the last one inside
+        self.own = own  # what marks it: "apart", "claim" (void if it holds most of the text), "header" (of an article) or nothing
+        self.apart = self.header = False  # by itself or what it is in; by an article's header only
 
 
-def _names(token: str) -> bool:
-    """Whether a token of class, id or role is one of NAMES, or made of such and PLACES only (cookie-banner, top-menu, not has-sidebar)."""
+def _names(token: str) -> str:
+    """`apart`, `comments` or nothing, by one class, id or role: its words are NAMES and PLACES (top-menu), or NAMES with SHAPES behind (comment-list)."""
     words = [w.lower() for w in WORDS.findall(token)]
-    return any(w in NAMES for w in words) and all(w in NAMES or w in PLACES for w in words)
+    if OTHERS.intersection(words) or not any(w in NAMES for w in words):
+        return ""
+    if words[-1] in COMMENTS or words[0] in COMMENTS and all(w in NAMES or w in SHAPES for w in words):
+        return "comments"
+    first = next(i for i, w in enumerate(words) if w in NAMES)
+    whole = all(w in PLACES for w in words[:first]) and all(w in NAMES or w in PLACES or w in SHAPES for w in words[first:])
+    return "apart" if whole else ""
 
 
-def _marks(attrs: str) -> tuple[bool, str]:
-    """Whether names in class, id or role mark something apart from the text; the class."""
-    apart, mark = False, ""
+def _marks(attrs: str) -> tuple[set[str], str]:
+    """What names in class, id or role mark; the class."""
+    marks: set[str] = set()
+    mark = ""
     for name, a, b, c in ATTR.findall(attrs) if attrs else ():
         value = a or b or c
-        apart = apart or any(map(_names, value.split())) or (name.lower() == "role" and value.lower() in ("contentinfo", "complementary", "search"))
+        marks.update(filter(None, map(_names, value.split())))
+        if name.lower() == "role" and value.lower() in ("contentinfo", "complementary", "search"):
+            marks.add("apart")
         if name.lower() == "class":
             mark = "." + value.strip()
-    return apart, mark
+    return marks, mark
 
 
 def _skips(tokens: list[re.Match]) -> dict[int, int]:
@@ -106,11 +126,11 @@ def _skips(tokens: list[re.Match]) -> dict[int, int]:
     out: dict[int, int] = {}
     begun: dict[str, list[int]] = {}
     for i, m in enumerate(tokens):
-        tag = m["tag"]
-        if tag is None or (tag := tag.lower()) not in SKIPPED or m["attrs"].endswith("/"):
+        tag = m["tag"] or m["bad"]
+        if tag is None or (tag := tag.lower()) not in SKIPPED or (m["attrs"] or "").endswith("/"):
             continue
         open_ = begun.setdefault(tag, [])
-        if not m["end"]:
+        if not (m["end"] or m["bad_end"]):
             if tag not in NESTED:
                 open_.clear()
             open_.append(i)
@@ -121,10 +141,13 @@ def _skips(tokens: list[re.Match]) -> dict[int, int]:
 
 def blocks(page: str) -> list[tuple[_Element, str, int]]:
     """(element, text, length of linked text) of every block, in page order."""
-    stack = [_Element("", None, False)]
+    stack = [_Element("", None, 0, 0)]
+    paths: dict[tuple[int, str, str], int] = {}
+    opened: Counter[str] = Counter()
+    elements = stack.copy()
     out: list[tuple[_Element, str, int]] = []
     run: list[str] = []
-    linked, in_link = 0, 0
+    linked, in_link, made = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
@@ -134,6 +157,10 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         run.clear()
         linked = 0
 
+    def pop() -> None:
+        stack[-1].last = made
+        opened[stack.pop().tag] -= 1
+
     tokens = list(TOKEN.finditer(page))
     skips, until = _skips(tokens), -1
     for i, m in enumerate(tokens):
@@ -144,16 +171,16 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             run.append(text)
             linked += len(text) if in_link else 0
             continue
-        tag = m["tag"]
+        tag = m["tag"] or m["bad"]
         if tag is None:
             continue
-        tag = tag.lower()
+        tag, ends, attrs = tag.lower(), m["end"] or m["bad_end"], m["attrs"] or ""
         if tag in SKIPPED:  # by itself where it isn't closed
             until = skips.get(i, i)
             continue
         if tag in INLINE or tag in MATH:
             if tag == "a":
-                in_link = 0 if m["end"] else 1
+                in_link = 0 if ends else 1
             continue
         if tag == "br":
             run.append(" ")
@@ -161,26 +188,59 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
         close()
         if tag in VOID:
             continue
-        if m["end"]:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if at:
-                del stack[at:]
+        if ends:
+            if opened[tag] > 0:
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
                 in_link = 0
             continue
         while tag in ENDS.get(stack[-1].tag, ()):
-            stack.pop()
+            pop()
             in_link = 0
-        if m["attrs"].endswith("/") and tag not in ("p", "div", "li"):
+        if attrs.endswith("/") and tag not in ("p", "div", "li"):
             continue
-        apart, mark = _marks(m["attrs"])
-        stack.append(_Element(tag, stack[-1], (apart and tag not in PLAIN) or tag in APART, mark))
+        marks, mark = _marks(attrs)
+        if tag in PLAIN or HEADING.match(tag):
+            own = ""
+        elif tag == "header" and any(opened[x] > 0 for x in ARTICLE):
+            own = "header"
+        elif "comments" in marks or tag in APART - {"form"}:
+            own = "apart"
+        else:
+            own = "claim" if marks or tag == "form" else ""
+        made += 1
+        stack.append(_Element(tag, stack[-1], made, paths.setdefault((stack[-1].path, tag, mark), len(paths) + 1), own))
+        elements.append(stack[-1])
+        opened[tag] += 1
     close()
+    for e in stack:
+        e.last = made
+    _judge(elements, out)
     return out
 
 
+def _judge(elements: list[_Element], found: list[tuple[_Element, str, int]]) -> None:
+    """Set apart and header of the elements (in order of their numbers)."""
+    upto = [0] * (len(elements) + 1)  # unlinked text of the elements before a number
+    for e, text, linked in found:
+        upto[e.at + 1] += len(text) - linked
+    for i in range(len(elements)):
+        upto[i + 1] += upto[i]
+    for e in elements[1:]:
+        above = e.parent
+        if above.apart:
+            e.header = above.header
+            e.apart = not (e.header and HEADING.match(e.tag))
+        else:
+            e.header = e.own == "header"
+            most = e.own == "claim" and 2 * (upto[e.last + 1] - upto[e.at]) > upto[-1]
+            e.apart = bool(e.own) and not most
+
+
 def main_text(page: str | None, rules: TagPaths = TagPaths()) -> str:
     found = blocks(page) if page else []
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for e, text, linked in found:
         s = sums.setdefault(e.path, [0.0, 0.0, 0.0, 0.0, 0.0])
         s[0] += len(text) - linked
@@ -191,7 +251,7 @@ def main_text(page: str | None, rules: TagPaths = TagPaths()) -> str:
             s[4] += linked
     paths = list(sums)
     ratios = [(s[0] / s[2], s[1] / s[2]) for s in sums.values()]
-    score: dict[str, float] = {}
+    score: dict[int, float] = {}
     for i, p in enumerate(paths):
         near = [ratios[k] for k in (i - 1, i, i, i + 1) if 0 <= k < len(paths)]
         length, points = (sum(r[x] for r in near) / len(near) for x in (0, 1))
@@ -204,7 +264,7 @@ def main_text(page: str | None, rules: TagPaths = TagPaths()) -> str:
     ours = [(e, text) for e, text, _ in found if not e.apart]
     held = [e for e, _ in ours if e.path not in dense and (score[e.path] >= least or KEPT.match(e.tag))]
     chosen = _holder(held or [e for e, _ in ours if score[e.path] >= least])
-    inside = [(e, text) for e, text in ours if _in(e, chosen)]
+    inside = [(e, text) for e, text in ours if chosen is None or chosen.at <= e.at <= chosen.last]
     each = {e.path: score[e.path] for e, _ in inside}
     least = rules.threshold * sum(each.values()) / max(1, len(each))
     always = KEPT if chosen is not None and chosen.tag in ARTICLE else HEADING
@@ -213,35 +273,27 @@ def main_text(page: str | None, rules: TagPaths = TagPaths()) -> str:
 
 def _holder(elements: list[_Element]) -> _Element | None:
     """The smallest element that holds all of elements, but the article or main around them all if there is one."""
-    common: list[_Element] | None = None
-    for e in dict.fromkeys(elements):
-        line, x = [], e
-        while x is not None:
-            line.append(x)
-            x = x.parent
-        line.reverse()
-        common = line if common is None else [a for a, b in zip(common, line) if a is b]
-    return next((x for x in common or () if x.tag in ARTICLE), common[-1] if common else None)
-
-
-def _in(element: _Element | None, chosen: _Element | None) -> bool:
-    while element is not None:
-        if element is chosen:
-            return True
-        element = element.parent
-    return chosen is None
+    if not elements:
+        return None
+    now, last, found = min(elements, key=lambda e: e.at), max(e.at for e in elements), None
+    while now is not None:
+        if now.last >= last:
+            if found is None or now.tag in ARTICLE:
+                found = now
+        now = now.parent
+    return found
 
 
 def extract(pages: DataFrame, rules: TagPaths = TagPaths(), key: str = "page_id") -> DataFrame:
     """key, url, text, n_chars of every row of pages(key, url, html)."""
-    schema = T.StructType([pages.schema[key], pages.schema["url"], *T.StructType.fromDDL("text string, n_chars long")])
+    def begin():
+        def run(pages: list[str | None]) -> dict[str, list]:
+            texts = [main_text(p, rules) for p in pages]
+            return {"text": texts, "n_chars": [len(t) for t in texts]}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [main_text(h, rules) for h in b["html"]]
-            yield pd.DataFrame({key: b[key].array, "url": b["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
+        return run
 
-    return pages.select(key, "url", "html").mapInPandas(run, schema)
+    return map_rows(pages, begin, ["html"], [key, "url"], "text string, n_chars long")
 
 
 def op4_tag_path_ratios(spark, sf_dir: str) -> DataFrame:
