@@ -41,7 +41,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 class QualityRules:
     min_words: int = 10
     #: how far beyond the quartile (in distances from the median) or the median (in mean excesses) a fence stands
-    spread: int = 8
+    spread: int = 12
     min_rows: int = 30
 
 
