@@ -7,12 +7,14 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A word is a run of characters that are neither blanks nor TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,42 +27,94 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python workers in batches of at most `rows` (the default of 10,000 long texts fills a small executor)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block; afterwards it is as before."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def free() -> None:
+    """Give a Python worker's free memory back: workers outlive the task and the stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
-def released(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """run, after whose last batch the worker gives its free memory back: workers outlive the task and the stage."""
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after whose last batch the worker gives its free memory back."""
 
     @wraps(run)
-    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
+        free()
 
     return wrapped
 
 
+#: Key of a result that tells, for each output row, the input row (of the slice) whose kept columns it gets.
+ROW = "_row"
+
+
+def map_rows(df: DataFrame, begin: Callable[[], Callable[..., dict[str, list]]], inputs: list[str], keep: list[str], added: str, rows: int = 200) -> DataFrame:
+    """df[keep] and the columns `added` (DDL), by an Arrow-batched Python step.
+
+    begin() is called once per task. What it returns takes the columns `inputs` of a slice as lists and gives the new
+    columns as lists; slices have at most `rows` rows, so that of a batch (bounded by Spark in rows and bytes) only few texts
+    are Python objects at once. Kept columns stay in Arrow: ids are neither copied nor turned into floats beside a null.
+    """
+    new = T.StructType.fromDDL(added)
+    schema = T.StructType([*(df.schema[c] for c in keep), *new])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = begin()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = compute(*(part.column(c).to_pylist() for c in inputs))
+                kept = [part.column(c) for c in keep]
+                if ROW in out:
+                    take = pa.array(out[ROW], pa.int64())
+                    kept = [c.take(take) for c in kept]
+                made = [pa.array(out[f.name], arrow.field(len(keep) + i).type) for i, f in enumerate(new)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
+        free()
+
+    return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one in local mode, an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="noteforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Texts go to Python workers in batches of at most 1,000 rows meanwhile (and of the session's bound in bytes).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/noteforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    with setting(spark, key, str(now if 0 < now < 1000 else 1000)):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

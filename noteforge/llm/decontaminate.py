@@ -23,12 +23,10 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import islice
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from noteforge.llm.base import drop_staged, fresh, read, released, staged
+from noteforge.llm.base import drop_staged, fresh, map_rows, read, staged
 
 #: Bytes of words as they are kept: ASCII letters in lower case, digits and all bytes above 127; other bytes part words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -190,33 +188,37 @@ SPANS = "n_words long, spans array<struct<begin:int,end:int>>, items array<strin
 
 def scan(docs: DataFrame, benchmark: DataFrame, rules: Decontamination = Decontamination()) -> DataFrame:
     """doc_id, n_words, spans (hit word ranges), items (ids with an occurring window) of every row of docs."""
-    df, first = docs.select("doc_id", "text"), True
-    text = [docs.schema["doc_id"], docs.schema["text"]]
+    out = None
     for a in automata(benchmark, rules):
-        if not first:
-            df = staged(df, "scanned")
-        df = df.mapInPandas(_pass(df.sparkSession.sparkContext.broadcast(a)), T.StructType([*text, *T.StructType.fromDDL(SPANS)]))
-        first = False
-    return df.drop("text")
+        sent = docs.sparkSession.sparkContext.broadcast(a)
+        if out is None:
+            out = docs.select("doc_id", "text")
+            out = map_rows(out, _scanner(sent), ["text"], out.columns, SPANS)
+        else:
+            out = staged(out, "scanned").withColumnsRenamed({"n_words": "_n", "spans": "_spans", "items": "_items"})
+            out = map_rows(out, _scanner(sent), ["text", "_spans", "_items"], ["doc_id", "text"], SPANS)
+    return out.drop("text")
 
 
-def _pass(sent):
+def _scanner(sent):
     """Adds one automaton's hits to those of earlier ones."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         a = sent.value
-        for b in batches:
+
+        def run(texts: list[str | None], *before: list) -> dict[str, list]:
             n, spans, items = [], [], []
-            before = zip(b["spans"], b["items"], strict=True) if "spans" in b else [((), ())] * len(b)
-            for t, (old, had) in zip(b["text"], before, strict=True):
+            for t, old, had in zip(texts, *(before or ([()] * len(texts), [()] * len(texts))), strict=True):
                 w = words(t)
                 now, found = a.match(w)
                 n.append(len(w))
-                spans.append([{"begin": x, "end": y} for x, y in (_union([*now, *((o["begin"], o["end"]) for o in old)]) if len(old) else now)])
+                spans.append([{"begin": x, "end": y} for x, y in (_union([*now, *((o["begin"], o["end"]) for o in old)]) if old else now)])
                 items.append(sorted({a.ids[i] for i in found} - {None} | {*had}))
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "text": b["text"].array, "n_words": n, "spans": spans, "items": items})
+            return {"n_words": n, "spans": spans, "items": items}
+
+        return run
 
-    return released(run)
+    return begin
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rules: Decontamination = Decontamination()) -> DataFrame:
@@ -228,58 +230,66 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rules: Decontamination
 
 
 def _cutter(sent, max_coverage: float):
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else sent.value.cut(t, max_coverage) for t in texts], dtype=object)
+    def begin():
+        a = sent.value
+        return lambda texts: {CUT: [None if t is None else a.cut(t, max_coverage) for t in texts]}
 
-    return cut
+    return begin
 
 
 def _hits(sent):
     """Flat spans of one automaton united with those of earlier ones."""
 
-    @F.pandas_udf("array<int>")
-    def hits(texts: pd.Series, old: pd.Series) -> pd.Series:
-        a, out = sent.value, []
-        for t, had in zip(texts, old, strict=True):
-            now, _ = a.match(words(t))
-            out.append([int(x) for span in _union([*now, *_pairs(had)]) for x in span])
-        return pd.Series(out, dtype=object)
+    def begin():
+        a = sent.value
+
+        def run(texts: list[str | None], old: list[list[int]]) -> dict[str, list]:
+            return {CUT: [[x for span in _union([*a.match(words(t))[0], *_pairs(had)]) for x in span] for t, had in zip(texts, old, strict=True)]}
+
+        return run
 
-    return hits
+    return begin
 
 
-def _pairs(flat: Iterable[int]) -> list[tuple[int, int]]:
-    flat = [int(x) for x in flat]
+def _pairs(flat: list[int]) -> list[tuple[int, int]]:
     return list(zip(flat[::2], flat[1::2], strict=True))
 
 
 def _remover(max_coverage: float):
-    @F.pandas_udf("text string, first int")
-    def remove(texts: pd.Series, spans: pd.Series, first: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([without(t, _pairs(s), int(n), max_coverage) for t, s, n in zip(texts, spans, first, strict=True)], columns=["text", "first"])
+    def begin():
+        def run(texts: list[str], spans: list[list[int]], first: list[int]) -> dict[str, list]:
+            out = [without(t, _pairs(s), n, max_coverage) for t, s, n in zip(texts, spans, first, strict=True)]
+            return {CUT: [t for t, _ in out], CUT_FIRST: [n for _, n in out]}
+
+        return run
+
+    return begin
+
 
-    return remove
+#: Columns that the steps below add and take away again.
+CUT, CUT_FIRST = "_noteforge_cut", "_noteforge_first"
 
 
 def _clean_by_many(docs: DataFrame, benchmark: DataFrame, rules: Decontamination) -> DataFrame:
     """clean() by several automata: in each round all of them mark spans, which are then cut together; texts that were hit go round again."""
     columns, spark = docs.columns, docs.sparkSession
-    spans, first, new = fresh(docs, "_spans", "_first", "_new")
+    spans, first = fresh(docs, "_spans", "_first")
     none = F.array().cast("array<int>")
     now, clear = docs.withColumns({spans: none, first: F.lit(0)}), []
     while True:
         last = None
         for a in automata(benchmark, rules):
             sent = spark.sparkContext.broadcast(a)
-            now = staged(now.withColumn(spans, _hits(sent)("text", spans)), "marked")
+            marked = map_rows(now, _hits(sent), ["text", spans], now.columns, f"{CUT} array<int>")
+            now = staged(marked.withColumn(spans, F.col(CUT)).drop(CUT), "marked")
             sent.unpersist()
             if last is not None:
                 drop_staged(last)
             last = now
         clear.append(now.where(F.size(spans) == 0).select(*columns))
-        hit = now.where(F.size(spans) > 0).withColumn(new, _remover(rules.max_coverage)("text", spans, first)).where(F.col(f"{new}.text").isNotNull())
-        now = staged(hit.withColumns({"text": F.col(f"{new}.text"), first: F.col(f"{new}.first"), spans: none}).drop(new), "cut")
+        hit = now.where(F.size(spans) > 0)
+        hit = map_rows(hit, _remover(rules.max_coverage), ["text", spans, first], hit.columns, f"{CUT} string, {CUT_FIRST} int").where(F.col(CUT).isNotNull())
+        now = staged(hit.withColumns({"text": F.col(CUT), first: F.col(CUT_FIRST), spans: none}).drop(CUT, CUT_FIRST), "cut")
         if now.isEmpty():
             return reduce(DataFrame.union, clear)
 
@@ -291,13 +301,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, rules: Decontamination = Decont
     text had at first, and texts are cut until none of the items' windows is left.
     """
     columns = docs.columns
-    (new,) = fresh(docs, "_text")
     one, *more = islice(automata(benchmark, rules), 2)
     if more:
         docs = _clean_by_many(docs, benchmark, rules)
     else:
-        cut = _cutter(docs.sparkSession.sparkContext.broadcast(one), rules.max_coverage)
-        docs = docs.withColumn(new, cut("text")).where(F.col("text").isNull() | F.col(new).isNotNull()).withColumn("text", F.col(new))
+        cut = map_rows(docs, _cutter(docs.sparkSession.sparkContext.broadcast(one), rules.max_coverage), ["text"], columns, f"{CUT} string")
+        docs = cut.where(F.col("text").isNull() | F.col(CUT).isNotNull()).withColumn("text", F.col(CUT))
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return docs.select(*columns)

@@ -28,9 +28,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from noteforge.llm.base import fresh, read, released, small, staged
+from noteforge.llm.base import fresh, map_rows, read, released, small, staged
 from noteforge.llm.components import connected_components
 
 MANTISSA = 10
@@ -69,7 +68,7 @@ class _Hashes(dict):
     """Hash of a word; forgets all when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -122,23 +121,21 @@ def functions(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(docs: DataFrame, rules: NearDuplicates, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, digest (null for an empty set), regs and the columns of also, of every row."""
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, digest binary, regs binary"), *(docs.schema[c] for c in also)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         hashes, (a, b) = _Hashes(), functions(rules.registers)
-        for batch in batches:
-            sets = [shingle_set(t, rules.shingle, hashes) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].array,
-                    "n_shingles": [len(s) for s in sets],
-                    "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "regs": [registers(s, a, b).tobytes() if len(s) else None for s in sets],
-                    **{c: batch[c].array for c in also},
-                }
-            )
 
-    return docs.select("doc_id", "text", *also).mapInPandas(released(run), schema)
+        def run(texts: list[str | None]) -> dict[str, list]:
+            sets = [shingle_set(t, rules.shingle, hashes) for t in texts]
+            return {
+                "n_shingles": [len(s) for s in sets],
+                "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                "regs": [registers(s, a, b).tobytes() if len(s) else None for s in sets],
+            }
+
+        return run
+
+    out = map_rows(docs, begin, ["text"], ["doc_id", *also], "n_shingles long, digest binary, regs binary")
+    return out.select("doc_id", "n_shingles", "digest", "regs", *also)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, rules: NearDuplicates) -> DataFrame:
@@ -147,13 +144,16 @@ def _sets(docs: DataFrame, nodes: DataFrame, rules: NearDuplicates) -> DataFrame
     wanted = nodes.select(F.col("doc_id").alias("_wanted")).distinct()
     texts = docs.join(small(wanted, nodes.count()), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin():
         hashes = _Hashes()
-        for batch in batches:
-            sets = [shingle_set(t, rules.shingle, hashes) for t in batch["text"]]
-            yield pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    sets = texts.mapInPandas(released(run), "digest binary, shingles array<long>")
+        def run(texts: list[str | None]) -> dict[str, list]:
+            sets = [shingle_set(t, rules.shingle, hashes) for t in texts]
+            return {"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]}
+
+        return run
+
+    sets = map_rows(texts, begin, ["text"], [], "digest binary, shingles array<long>")
     return staged(sets.join(small(nodes.select("node", "digest"), nodes.count()), "digest").select("node", "shingles").dropDuplicates(["node"]), "sets")
 
 

@@ -19,16 +19,14 @@ import sys
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from noteforge.llm.base import read, released, shuffle_parts, spread_rank, staged
+from noteforge.llm.base import ROW, map_rows, read, shuffle_parts, spread_rank, staged
 
 
 @dataclass(frozen=True)
@@ -37,9 +35,8 @@ class Packing:
     sequence: int = 1024
     unit: int = 8
     end: int = 0
-    #: parts that a Python worker remembers at most (about 200 bytes each), and whether it does so beyond a task
-    remember: int = 2_000_000
-    reuse: bool = True
+    #: parts that a Python worker remembers in each of two generations at most (about 200 bytes each)
+    remember: int = 150_000
 
 
 def default_tokenizer() -> str:
@@ -51,23 +48,29 @@ def default_tokenizer() -> str:
 #: The tokenizer's pattern for texts of ASCII and Latin-1 letters only, where the faster standard engine parts them alike.
 LATIN_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*\Z").match
 LATIN_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+").findall
-_ENCODERS: dict[str, Encoder] = {}
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def encoder(rules: Packing) -> Encoder:
-    """With reuse, the process's encoder: what it has learnt serves the next tasks of the worker too."""
-    if not rules.reuse:
-        return Encoder(rules.tokenizer, rules.remember)
-    if rules.tokenizer not in _ENCODERS:
-        _ENCODERS[rules.tokenizer] = Encoder(rules.tokenizer, rules.remember)
-    return _ENCODERS[rules.tokenizer]
+    """The process's encoder: what it has learnt serves the next tasks of the worker too."""
+    key = (rules.tokenizer, rules.remember)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 class Encoder(dict):
-    """Text to little-endian unsigned 32-bit ids. The parts that the tokenizer's own pattern cuts are encoded once each."""
+    """Text to little-endian unsigned 32-bit ids. The parts that the tokenizer's own pattern cuts are encoded once each.
+
+    Parts are remembered in two generations of `most`: a full one becomes the old one, from which parts in use come back, so
+    that frequent parts stay however many rare ones pass.
+    """
 
     def __init__(self, path: str, most: int = 100_000):
-        self.most = most
+        self.most, self.old = most, {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
@@ -78,9 +81,13 @@ class Encoder(dict):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > self.most:
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self[part] = self.whole(part)
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.whole(part)
+        self[part] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
@@ -97,19 +104,27 @@ class Encoder(dict):
 
 def pieces(docs: DataFrame, rules: Packing) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: every document's ids, cut at multiples of the sequence length."""
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long")])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, size = encoder(rules), 4 * rules.sequence
-        end = rules.end.to_bytes(4, "little")
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = memoryview((encode(text) if text else b"") + end)
-                rows += [(doc, at // 4, len(part := ids[at : at + size]) // 4, zlib.crc32(part), len(ids) // 4) for at in range(0, len(ids), size)]
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+    size, end = 4 * rules.sequence, rules.end.to_bytes(4, "little")
+
+    def begin():
+        encode = encoder(rules)
 
-    return docs.select("doc_id", "text").mapInPandas(released(run), schema)
+        def run(texts: list[str | None]) -> dict[str, list]:
+            row, start, length, crc, tokens = [], [], [], [], []
+            for i, text in enumerate(texts):
+                ids = memoryview((encode(text) if text else b"") + end)
+                for at in range(0, len(ids), size):
+                    part = ids[at : at + size]
+                    row.append(i)
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    tokens.append(len(ids) // 4)
+            return {ROW: row, "start": start, "length": length, "ids_crc32": crc, "doc_tokens": tokens}
+
+        return run
+
+    return map_rows(docs, begin, ["text"], ["doc_id"], "start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
