@@ -36,10 +36,42 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def to_nfc(text: Column) -> Column:
+    """text in NFC; only texts beyond ASCII go through the Python step (others go as nulls)."""
+    return F.coalesce(nfc(F.when(F.length(text) != F.octet_length(text), text)), text)
+
+
+#: What an enrichment marker looks like: a comment with a version, tags and links.
+MARKER = r"<!--[^>]*enrichment v\d+"
+
+
+def marker(version: int, tags: list[str], links: list[str]) -> str:
+    return f"<!-- enrichment v{version} tags=[{', '.join(tags)}] links=[{', '.join(links)}] -->"
+
+
+def strip_marker(text: Column, strict: bool = False) -> Column:
+    """text without the enrichment marker at its end; strict: only one that is whole, with tags and links."""
+    body = r"\s+tags=\[[^\]]*\]\s+links=\[[^\]]*\]\s*-->" if strict else ".*?-->"
+    return F.rtrim(F.regexp_replace(text, rf"(?s)\s*{MARKER}{body}\s*$", ""))
+
+
+def parse_marker(text: Column) -> Column:
+    """version, tags, links of the marker; nulls without one."""
+    part = lambda name: F.filter(F.transform(F.split(F.regexp_extract(text, rf"enrichment v\d+[^>]*{name}=\[([^\]]*)\]", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
+    version = F.regexp_extract(text, r"<!--[^>]*enrichment v(\d+)", 1)
+    return F.when(version != "", F.struct(version.try_cast("int").alias("version"), part("tags").alias("tags"), part("links").alias("links")))
+
+
 def content_hash(title: Column, body: Column) -> Column:
-    """SHA-256 of the trimmed title, a line feed and the body, in NFC; ASCII texts skip the Python step."""
-    whole = F.concat(trim_all(title), F.lit("\n"), body)
-    return F.sha2(F.when(F.length(whole) == F.octet_length(whole), whole).otherwise(nfc(whole)), 256)
+    """SHA-256 of the trimmed title, a line feed and the body without its marker, in NFC."""
+    own = F.when(F.contains(body, F.lit("enrichment v")), strip_marker(body)).otherwise(body)
+    return F.sha2(to_nfc(F.concat(trim_all(title), F.lit("\n"), own)), 256)
+
+
+def full_content(title: Column, body: Column) -> Column:
+    """`# title`, a blank line and the body without its marker; the body alone without a title."""
+    own, head = strip_marker(F.coalesce(body, F.lit(""))), trim_all(F.coalesce(title, F.lit("")))
+    return F.when(head != "", F.concat(F.lit("# "), head, F.lit("\n\n"), own)).otherwise(own)
 
 
 def edit_key(text: Column) -> Column:
@@ -49,8 +81,8 @@ def edit_key(text: Column) -> Column:
 
 
 def entity_key(name: Column) -> Column:
-    """Lower case, single blanks, no punctuation at the ends."""
-    one = F.regexp_replace(F.lower(trim_all(name)), r"\s+", " ")
+    """NFC, lower case, single blanks, no punctuation at the ends."""
+    one = F.regexp_replace(F.lower(trim_all(to_nfc(name))), r"\s+", " ")
     return F.trim(F.regexp_replace(one, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
 
 
@@ -109,14 +141,67 @@ def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
+#: Units of an interval and their milliseconds (fixed values).
+UNITS = {"s sec secs seconds": 1000, "m min mins minutes": 60_000, "h hr hrs hours": 3_600_000, "d day days": 86_400_000}
+
+
 def interval_ms(text: Column) -> Column:
-    """`30m`, `every 6h`, `45s`, `1d` in milliseconds; null otherwise."""
-    n = F.regexp_extract(F.lower(F.trim(text)), r"^(?:every\s+)?(\d+)\s*([smhd])$", 1)
-    unit = F.regexp_extract(F.lower(F.trim(text)), r"^(?:every\s+)?(\d+)\s*([smhd])$", 2)
-    each = F.when(unit == "s", 1000).when(unit == "m", 60_000).when(unit == "h", 3_600_000).when(unit == "d", 86_400_000)
+    """`30m`, `30 min`, `every 6h`, `45s`, `1 day` in milliseconds; null otherwise."""
+    form = rf"^(?:every\s+)?(\d+)\s*({'|'.join(u for us in UNITS for u in us.split())})$"
+    low = F.lower(trim_all(text))
+    n, unit = F.regexp_extract(low, form, 1), F.regexp_extract(low, form, 2)
+    each = F.lit(None).cast("long")
+    for units, ms in UNITS.items():
+        each = F.when(unit.isin(*units.split()), F.lit(ms).cast("long")).otherwise(each)
     return F.when(n != "", n.try_cast("long") * each)
 
 
+def fingerprint(secret: Column) -> Column:
+    """The first eight signs of a secret's SHA-256, to name it in logs."""
+    return F.substring(F.sha2(secret, 256), 1, 8)
+
+
+def cut_error(message: Column, most: int = 1000) -> Column:
+    return F.substring(message, 1, most)
+
+
+def escape_html(text: Column, quotes: bool = True) -> Column:
+    """text with &, <, > and " (and with quotes ' too) as character references."""
+    for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), *((("'", "&#39;"),) if quotes else ())):
+        text = F.replace(text, F.lit(sign), F.lit(reference))
+    return text
+
+
+def cited(text: Column) -> Column:
+    """Numbers n of the citations [n] in an answer, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda n: n.cast("int"))
+
+
+def with_citation_links(text: Column, link: str = "#cite-") -> Column:
+    """text with each [n] as a link."""
+    return F.regexp_replace(text, r"\[(\d+)\]", rf'<a href="{link}$1">[$1]</a>')
+
+
+def sse_deltas(body: Column) -> Column:
+    """The texts of a server-sent event stream's deltas, in order, up to [DONE]; events that aren't JSON have none.
+
+    Events end at blank lines; an event's data lines belong together; other fields are left out.
+    """
+    lines = F.split(F.regexp_replace(body, "\r\n", "\n"), "\n\n+")
+    data = lambda e: F.trim(F.array_join(F.transform(F.filter(F.split(e, "\n"), lambda x: x.startswith("data:")), lambda x: F.ltrim(F.substring(x, 6, 1 << 30))), "\n"))
+    events = F.transform(lines, data)
+    done = F.array_position(events, "[DONE]")
+    upto = F.when(done > 0, F.slice(events, F.lit(1), done.cast("int") - 1)).otherwise(events)
+    deltas = F.transform(upto, lambda e: F.get_json_object(e, "$.choices[0].delta.content"))
+    return F.filter(deltas, lambda d: d.isNotNull() & (d != ""))
+
+
+def toggled(bm25: Column, tfidf: Column, fuzzy: Column, dense: Column, graph: Column, graph_enabled: Column) -> Column:
+    """Retrievers that a chat's toggles ask for; graph needs both of its flags."""
+    flags = (("bm25", bm25), ("tfidf", tfidf), ("fuzzy", fuzzy), ("dense", dense), ("graph", graph & graph_enabled))
+    return F.filter(F.array(*(F.when(flag, name) for name, flag in flags)), lambda x: x.isNotNull())
+
+
 def cron_field(field: str, low: int, high: int) -> set[int]:
     """Values of one cron field: `*`, `*/n`, lists, ranges with steps. Raises ValueError if it isn't valid."""
     out: set[int] = set()

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteforge.functions.text import content_hash, title_key
+from noteforge.operators.providers import Health, Provider, StubProvider
+from noteforge.sources.staging import staged
 
 _HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
-_FENCE = re.compile(r"\s{0,3}(`{3,}|~{3,})")
-_UNDERLINE = re.compile(r"\s{0,3}(=+|-+)\s*$")
+_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
+_UNDERLINE = re.compile(r"([=-]{2,})\s*$")
 
 
 def strip_front_matter(text: str) -> str:
@@ -27,7 +30,7 @@ def sections(text: str) -> list[tuple[int, str, str]]:
         mark = _FENCE.match(line)
         if fence:
             out[-1][2].append(line)
-            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not line.strip(" `~"):
+            if line.strip().startswith(fence[0]):  # any line that begins with the fence's sign ends it
                 level, heading = out[-2][:2] if len(out) > 1 else (0, "")
                 out.append((level, heading, []))
                 fence = ""
@@ -58,6 +61,7 @@ def chunk_texts(title: str, body: str, most: int = 2000, overlap: int = 200) ->
     """Chunks before and after overlap: sections merged while they fit, long ones split, each led by its predecessor's tail."""
     raw: list[str] = []
     now = ""
+    title = title.strip()
     whole = f"# {title}\n\n{strip_front_matter(body)}" if title else body
     for _, _, text in sections(whole):
         if now and len(now) + len(text) + 2 <= most:
@@ -138,6 +142,14 @@ def merge(old: DataFrame, new: DataFrame, key: list[str], keep: dict[str, Column
     return joined.select(*(value(c).alias(c) for c in columns))
 
 
+def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """old and those rows of new (one for each key, the first by its values) whose key old doesn't have."""
+    fresh = new.join(old.select(*key).distinct(), key, "left_anti").select(*old.columns)
+    order = [c for c in old.columns if c not in key] or key
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return old.unionByName(fresh.withColumn("_n", first).where("_n = 1").drop("_n"))
+
+
 def replace_for(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of old whose key new doesn't have, and new: the way changed notes' rows are overwritten."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
@@ -149,12 +161,184 @@ def purge(child: DataFrame, gone: DataFrame, on: str) -> DataFrame:
 
 
 def descendants(folders: DataFrame, roots: DataFrame, deepest: int = 100) -> DataFrame:
-    """root, id: every folder below each root, itself included. folders(id, parent_id) is a tree."""
-    out = roots.select(F.col("id").alias("root"), F.col("id").alias("id"))
-    level = out
+    """root, id: every folder below each root, itself included. folders(id, parent_id) is a tree; each level is staged."""
+    level = staged(roots.select(F.col("id").alias("root"), F.col("id").alias("id")), "folders")
+    out = level
     for _ in range(deepest):
-        level = level.join(folders.select(F.col("id").alias("_c"), F.col("parent_id").alias("id")), "id").select("root", F.col("_c").alias("id"))
+        level = staged(level.join(folders.select(F.col("id").alias("_c"), F.col("parent_id").alias("id")), "id").select("root", F.col("_c").alias("id")), "folders")
         if level.isEmpty():
             return out
         out = out.union(level)
     raise ValueError("folders aren't a tree")
+
+
+def by_ids(notes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The notes of ids(note_id) that there are, each once."""
+    return notes.join(ids.select("note_id").distinct(), "note_id", "left_semi")
+
+
+def note_by_id(notes: DataFrame, note_id: object) -> DataFrame:
+    """The one note; LookupError if there is none."""
+    out = notes.where(F.col("note_id") == note_id)
+    if out.isEmpty():
+        raise LookupError(f"no note {note_id}")
+    return out
+
+
+def resolve_scope(notes: DataFrame, folders: DataFrame | None = None, *, note: object = None, folder: object = None, everything: bool = False) -> DataFrame:
+    """The notes of a scope: one note, a folder with all below it, or all. Exactly one of them must be asked for.
+
+    notes(note_id, parent_id); a note without a folder is in folder ''.
+    """
+    if (note is not None) + (folder is not None) + bool(everything) != 1:
+        raise ValueError("a scope is one of note, folder and everything")
+    if note is not None:
+        return note_by_id(notes, note)
+    if folder is None:
+        return notes
+    tree = folders if folders is not None else notes.sparkSession.createDataFrame([], "id string, parent_id string")
+    root = notes.sparkSession.createDataFrame([(folder,)], "id string")
+    inside = descendants(tree, root).select(F.col("id").alias("_folder")).distinct()
+    return notes.withColumn("_folder", F.coalesce(F.col("parent_id").cast("string"), F.lit(""))).join(inside, "_folder", "left_semi").drop("_folder")
+
+
+def tags_of(tags: DataFrame, note_tags: DataFrame) -> DataFrame:
+    """note_id, tag_id, title of note_tags(note_id, tag_id) and tags(tag_id, title)."""
+    return note_tags.select("note_id", "tag_id").distinct().join(tags.select("tag_id", "title"), "tag_id").select("note_id", "tag_id", "title")
+
+
+def edge(source: Column, target: Column, kind: str, weight: float = 1.0) -> list[Column]:
+    """Columns of a structural edge."""
+    return [F.concat(source, F.lit("->"), target, F.lit(f":{kind}")).alias("id"), F.lit("structural").alias("layer"), source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("type"), F.lit(weight).alias("weight")]
+
+
+def structural_nodes(notes: DataFrame, tagged: DataFrame) -> DataFrame:
+    """id, layer, kind, label, note_id: a node for each note and each tag of tagged(note_id, tag_id, title)."""
+    n = notes.select(F.concat(F.lit("note:"), "note_id").alias("id"), F.lit("structural").alias("layer"), F.lit("note").alias("kind"), F.coalesce("title", F.col("note_id").cast("string")).alias("label"), F.col("note_id").cast("string").alias("note_id"))
+    t = tagged.groupBy("tag_id").agg(F.min("title").alias("label")).select(F.concat(F.lit("tag:"), "tag_id").alias("id"), F.lit("structural").alias("layer"), F.lit("entity").alias("kind"), "label", F.lit(None).cast("string").alias("note_id"))
+    return n.union(t)
+
+
+def structural_edges(resolved: DataFrame, tagged: DataFrame) -> DataFrame:
+    """id, layer, source_id, target_id, type, weight: link, backlink and tag edges, each once.
+
+    resolved(note_id, target_id) as resolve_links() gives it; backlinks are the links turned round.
+    """
+    r = resolved.where("target_id IS NOT NULL").select("note_id", "target_id").distinct()
+    a, b = F.concat(F.lit("note:"), "note_id"), F.concat(F.lit("note:"), "target_id")
+    t = tagged.select("note_id", "tag_id").distinct()
+    return r.select(*edge(a, b, "link")).union(r.select(*edge(b, a, "backlink"))).union(t.select(*edge(F.concat(F.lit("note:"), "note_id"), F.concat(F.lit("tag:"), "tag_id"), "tag")))
+
+
+def unresolved(resolved: DataFrame) -> DataFrame:
+    """note_id, unresolved: links of each note whose target is no note's title."""
+    return resolved.groupBy("note_id").agg(F.count_if(F.col("target_id").isNull()).alias("unresolved"))
+
+
+def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes with the labels of new, and the new ones."""
+    return merge(nodes, new, ["id"], {c: F.coalesce(f"o.{c}", f"n.{c}") for c in nodes.columns if c not in ("label", "updated_at") and c in new.columns})
+
+
+def drop_structural(edges: DataFrame, notes: DataFrame) -> DataFrame:
+    """edges without the structural ones that start at notes(note_id), and the backlinks to them."""
+    gone = notes.select(F.concat(F.lit("note:"), "note_id").alias("_note")).distinct()
+    own = edges.where("layer = 'structural'").join(gone, F.col("source_id") == F.col("_note"), "left_anti")
+    own = own.where("type <> 'backlink'").unionByName(own.where("type = 'backlink'").join(gone, F.col("target_id") == F.col("_note"), "left_anti"))
+    return edges.where("layer <> 'structural'").unionByName(own)
+
+
+def purge_graph(nodes: DataFrame, edges: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges without those of deleted notes(note_id), whatever the edges' layer and direction."""
+    gone = notes.select(F.concat(F.lit("note:"), "note_id").alias("id")).distinct()
+    left = edges.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+    return nodes.join(gone, "id", "left_anti"), left.select(*edges.columns)
+
+
+def orphans(indexed: DataFrame, live: DataFrame, key: str = "note_id") -> DataFrame:
+    """key of what is indexed but no longer there."""
+    return indexed.select(key).distinct().join(live.select(key), key, "left_anti")
+
+
+@dataclass(frozen=True)
+class Tables:
+    """The structural index: snapshot(note_id, title, content_hash, created_at), chunks, vectors(chunk_id, model, ...), nodes, edges, state."""
+
+    snapshot: DataFrame
+    chunks: DataFrame
+    vectors: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    state: DataFrame
+
+
+@dataclass(frozen=True)
+class IndexRun:
+    """The tables after a run and its counts."""
+
+    tables: Tables
+    processed: int
+    skipped: int
+    chunks: int
+    unresolved: int
+    purged: int
+    error: str = ""
+
+
+def empty_tables(spark) -> Tables:
+    make = lambda ddl: spark.createDataFrame([], ddl)
+    return Tables(
+        make("note_id string, title string, content_hash string, created_at timestamp_ntz"),
+        make("chunk_id string, note_id string, chunk_index long, content string, token_count long"),
+        make("chunk_id string, model string, dims int, vector array<float>"),
+        make("id string, layer string, kind string, label string, note_id string"),
+        make("id string, layer string, source_id string, target_id string, type string, weight double"),
+        make("note_id string, content_hash string, structural_status string, last_indexed_at timestamp_ntz, error string, updated_at timestamp_ntz, embedding_model string"),
+    )
+
+
+def index_notes(tables: Tables, scope: DataFrame, live: DataFrame, tagged: DataFrame, now: Column, *, everything: bool = False, force: bool = False, provider: Provider | None = None, model: str = "stub", health: Health | None = None, most: int = 2000, overlap: int = 200) -> IndexRun:
+    """The structural run over scope(note_id, title, body, created_at): notes that changed are cut, embedded, linked and replaced.
+
+    live is the table of all notes (for titles and, in a run over everything, orphans, which are purged); tagged(note_id,
+    tag_id, title). If the provider is down, chunks and graph are written without vectors and the notes' state is `pending`.
+    """
+    provider = provider or StubProvider()
+    up = (health or Health()).check(provider) == "up"
+    decisions = staged(structural_delta(scope, tables.state, now, force, model=model if up else None), "decisions")
+    todo = staged(scope.join(decisions.where("process").select("note_id"), "note_id", "left_semi"), "todo")
+    keys = todo.select("note_id")
+    chunks = staged(chunk_notes(todo, most, overlap).drop("raw"), "chunks")
+    gone = tables.chunks.join(keys, "note_id", "left_semi").select("chunk_id")
+    vectors = purge(tables.vectors, gone, "chunk_id")
+    if up:
+        from noteforge.operators.semantic import embed_chunks
+
+        vectors = vectors.unionByName(embed_chunks(chunks, provider, model))
+    all_chunks = tables.chunks.join(keys, "note_id", "left_anti").select(*tables.chunks.columns).unionByName(chunks.select(*tables.chunks.columns))
+    resolved = staged(resolve_links(wiki_links(todo), live), "links")
+    own_tags = tagged.join(keys, "note_id", "left_semi")
+    nodes = upsert_nodes(tables.nodes, structural_nodes(todo, own_tags))
+    edges = insert_missing(drop_structural(tables.edges, todo), structural_edges(resolved, own_tags), ["id"])
+    hashed = todo.select("note_id", "title", content_hash(F.col("title"), F.col("body")).alias("content_hash"), "created_at")
+    snapshot = merge(tables.snapshot, hashed, ["note_id"])
+    status = "success" if up else "pending"
+    new = hashed.select("note_id", "content_hash", F.lit(status).alias("structural_status"), (now if up else F.lit(None).cast("timestamp_ntz")).alias("last_indexed_at"), F.lit(None if up else "the provider is down").cast("string").alias("error"), now.alias("updated_at"), F.lit(model if up else None).cast("string").alias("embedding_model"))
+    state = merge(tables.state, new, ["note_id"], {"last_indexed_at": F.coalesce("n.last_indexed_at", "o.last_indexed_at")})
+    out = Tables(snapshot, all_chunks, vectors, nodes, edges, state)
+    purged = 0
+    if everything:
+        lost = staged(orphans(out.snapshot, live), "orphans")
+        purged = lost.count()
+        if purged:
+            out = purge_index(out, lost)
+    out = Tables(**{f: staged(getattr(out, f), f) for f in ("snapshot", "chunks", "vectors", "nodes", "edges", "state")})
+    n, m = decisions.agg(F.count_if(F.col("process")), F.count_if(~F.col("process"))).first()
+    return IndexRun(out, n, m, chunks.count(), resolved.where("target_id IS NULL").count(), purged, "" if up else "the provider is down")
+
+
+def purge_index(tables: Tables, notes: DataFrame) -> Tables:
+    """The tables without deleted notes(note_id): a cascade over all of them."""
+    chunks = tables.chunks.join(notes.select("note_id"), "note_id", "left_semi").select("chunk_id")
+    nodes, edges = purge_graph(tables.nodes, tables.edges, notes)
+    return Tables(purge(tables.snapshot, notes, "note_id"), purge(tables.chunks, notes, "note_id"), purge(tables.vectors, chunks, "chunk_id"), nodes, edges, purge(tables.state, notes, "note_id"))

@@ -1,88 +1,130 @@
-"""Retrievers over many queries at once, fusion by reciprocal rank, context under a token budget."""
+"""Retrievers over many queries at once, fusion by reciprocal rank, context under a token budget, and the facade over all.
+
+Every retriever gives query_id, chunk_id, score and rank. Term statistics come from one table of postings (an Index), which is
+made without a shuffle and staged, so that several retrievers read it and none reads the texts again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteforge.functions.text import damerau_levenshtein, edit_key, estimate_tokens, tokens, trigrams
+from noteforge.sources.staging import staged
 
 #: Queries are broadcast up to this many rows of terms; beyond it the join shuffles.
 MOST_TERMS = 500_000
 
 
-def _hint(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _hint(df: DataFrame, most: int = MOST_TERMS, judged: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if `judged` (df by default; give its cheap source where df depends on the corpus) has at most `most` rows."""
+    return F.broadcast(df) if (df if judged is None else judged).limit(most + 1).count() <= most else df
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf, len (tokens of the chunk)."""
-    t = chunks.select("chunk_id", tokens(F.col("content")).alias("t"))
-    return t.select("chunk_id", F.size("t").cast("long").alias("len"), F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    """chunk_id, term, tf, len (tokens of the chunk): runs of each chunk's sorted tokens, without a shuffle."""
+    t = chunks.select("chunk_id", F.array_sort(tokens(F.col("content"))).alias("t")).where("t IS NOT NULL")
+    begins = t.withColumn("b", F.expr("filter(sequence(0, size(t)), i -> i < size(t) AND (i = 0 OR t[i] <> t[i - 1]))"))
+    runs = "transform(b, (p, i) -> struct(t[p] AS term, cast(coalesce(get(b, i + 1), size(t)) - p AS bigint) AS tf))"
+    return begins.selectExpr("chunk_id", "cast(size(t) AS bigint) AS len", f"explode({runs}) AS x").selectExpr("chunk_id", "x.term", "x.tf", "len")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings of a corpus with its number of chunks and tokens."""
+
+    postings: DataFrame
+    chunks: int
+    tokens: int
+
+    @staticmethod
+    def of(chunks: DataFrame) -> Index:
+        p = staged(postings(chunks), "postings")
+        return Index(p, chunks.count(), p.agg(F.sum("tf")).first()[0] or 0)
 
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def top(df: DataFrame, k: int | None, by: list[Column], score: str = "score") -> DataFrame:
-    """rank within each query; at most k rows of each."""
-    out = df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by)).cast("long"))
-    return out.where(F.col("rank") <= k) if k else out
+def top(df: DataFrame, k: int | None, by: list[Column]) -> DataFrame:
+    """rank within each query; at most k rows of each (cut before the shuffle too)."""
+    out = df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by)))
+    return (out.where(F.col("rank") <= k) if k else out).withColumn("rank", F.col("rank").cast("long"))
 
 
-def tfidf(queries: DataFrame, chunks: DataFrame, k: int | None = 50) -> DataFrame:
+def tfidf(queries: DataFrame, chunks: DataFrame, k: int | None = 50, index: Index | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: cosine of TF-IDF vectors, positive scores only. All chunks are scored."""
-    p, n = postings(chunks), chunks.count()
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    index = index or Index.of(chunks)
+    p, n = index.postings, index.chunks
+    df = staged(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
     d = p.join(df, "term").select("chunk_id", "term", (F.col("tf") / F.col("len") * idf).alias("w"))
     norms = d.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    q = postings(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("content"))).withColumnRenamed("chunk_id", "query_id")
-    q = q.join(df, "term", "left").select("query_id", "term", (F.col("tf") / F.col("len") * F.coalesce(idf, F.lit(1.0))).alias("qw"))
+    own = postings(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("content"))).withColumnRenamed("chunk_id", "query_id")
+    q = staged(own.join(df, "term", "left").select("query_id", "term", (F.col("tf") / F.col("len") * F.coalesce(idf, F.lit(1.0))).alias("qw")), "query-weights")
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     dots = d.join(_hint(q), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(norms, "chunk_id").join(_hint(qn), "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
+    scored = dots.join(norms, "chunk_id").join(_hint(qn, judged=q), "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
     return top(scored.where("score > 0"), k, [F.desc("score"), F.col("chunk_id")])
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = 50) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = 50, index: Index | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: chunks with all terms of the query, higher is better."""
-    p = postings(chunks)
-    n, total = chunks.select(F.count(F.lit(1)), F.sum(F.size(tokens(F.col("content"))))).first()
-    average = (total or 0) / n if n else 1.0
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    index = index or Index.of(chunks)
+    average = index.tokens / index.chunks if index.chunks else 1.0
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    q = q.withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).join(df, "term", "left")
-    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    q = staged(q.withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy("query_id"))), "query-terms")
+    p = index.postings.join(_hint(q.select("term").distinct(), judged=q), "term", "left_semi")
+    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(index.chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     gain = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(average)))
-    hits = p.join(_hint(q), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), 6).alias("score"), F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))
+    weighted = p.join(_hint(df, judged=q), "term").select("chunk_id", "term", gain.alias("gain"))
+    hits = weighted.join(_hint(q), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("gain"), 6).alias("score"), F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))
     return top(hits.where("n = terms").select("query_id", "chunk_id", "score"), k, [F.desc("score"), F.col("chunk_id")])
 
 
-def like(queries: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs of a query and a row of texts with the query as a substring (ASCII case-insensitive), score 0."""
-    has = [F.contains(F.lower(F.col(c)), F.lower("query")) for c in columns]
-    on = has[0]
-    for h in has[1:]:
-        on = on | h
-    return texts.join(F.broadcast(queries), on).withColumn("score", F.lit(0.0))
+def like(queries: DataFrame, texts: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """query_id, key, score 0 of the texts that hold the query as a substring (case-insensitive) in one of the columns.
 
-
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
-    """query_id, vec_id, score, rank: exact cosine of queries(query_id, vector) and vectors(vec_id, vector).
+    Nothing meets everything: a query is joined on a word that other signs enclose (a text that holds the query has that very
+    word), or on the words of the vocabulary that hold its longest word, or, without any, on its first sign; then compared in
+    full. Blank queries find nothing.
+    """
+    q = queries.where("trim(query) <> ''").select("query_id", F.lower("query").alias("low"))
+    longest = "array_max(transform(regexp_extract_all(low, '{0}', 1), w -> struct(length(w) AS n, w))).w"
+    q = staged(q.withColumns({"inner": F.expr(longest.format("(?<=[^a-z0-9])([a-z0-9]+)(?=[^a-z0-9])")), "run": F.expr(longest.format("([a-z0-9]+)"))}), "like-queries")
+    lows = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in columns]
+    all_lows = F.concat_ws("\n", *lows)
+    t = texts.select(F.col(key).alias("id"), F.array(*lows).alias("lows"), F.concat(F.split(all_lows, "[^a-z0-9]+"), F.split(F.regexp_replace(all_lows, "[a-z0-9]+", ""), "")).alias("keys"))
+    t = t.select("id", "lows", F.explode(F.array_distinct("keys")).alias("at"))
+    part = q.where("inner IS NULL AND run IS NOT NULL")
+    keyed = q.where("inner IS NOT NULL").select("query_id", "low", F.col("inner").alias("at")).union(q.where("run IS NULL").select("query_id", "low", F.substring("low", 1, 1).alias("at")))
+    if not part.isEmpty():
+        words = t.select("at").distinct()
+        held = _labelled(part.select("query_id", F.col("run").alias("term")), words.select(F.col("at").alias("seed"), F.col("at").alias("label")))
+        keyed = keyed.union(held.join(part, "query_id").select("query_id", "low", F.col("seed").alias("at")))
+    hits = t.join(_hint(keyed), "at").where(F.exists("lows", lambda x: F.contains(x, F.col("low"))))
+    return hits.select("query_id", F.col("id").alias(key), F.lit(0.0).alias("score")).distinct()
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096, key: str = "vec_id") -> DataFrame:
+    """query_id, key, score, rank: exact cosine of queries(query_id, vector) and vectors(key, vector).
 
     Queries are taken in blocks of a fixed size; a block is a matrix that each task multiplies with its batches, keeping
-    k rows of a query and batch. Vectors of other dimensions and zero vectors are left out.
+    k rows of a query and batch. Vectors of other dimensions are left out; a zero vector scores 0.
     """
     parts = []
     rows = queries.select("query_id", "vector").orderBy("query_id")
     ids: list = []
     held: list = []
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
 
     def scored(ids: list, held: list) -> DataFrame:
         q = np.array(held, dtype=np.float64)
@@ -104,9 +146,9 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096
                 low = np.take_along_axis(s, at, 1).min(axis=1)
                 keep = s >= low[:, None]  # ties at the cut stay
                 i, j = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": np.array(ids)[i], "vec_id": b["vec_id"].to_numpy()[j], "score": s[i, j]})
+                yield pd.DataFrame({"query_id": np.array(ids)[i], key: b[key].to_numpy()[j], "score": s[i, j]})
 
-        return vectors.select("vec_id", "vector").mapInPandas(run, "query_id long, vec_id long, score double")
+        return vectors.select(key, "vector").mapInPandas(run, schema)
 
     for row in rows.toLocalIterator():
         ids.append(row[0])
@@ -119,58 +161,240 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return top(out.withColumn("score", F.round("score", 6)), k, [F.desc("score"), F.col("vec_id")])
+    return top(out.withColumn("score", F.round("score", 6)), k, [F.desc("score"), F.col(key)])
 
 
-def fuzzy(queries: DataFrame, titles: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, title, distance, rank: nearest titles that share a trigram with the query, by edit distance.
-
-    Distances are computed once for each pair of different normal forms.
-    """
+def _near_titles(queries: DataFrame, titles: DataFrame, closer_than: int | None) -> DataFrame:
+    """query_id, title, distance of titles that share a trigram with the query; each pair of normal forms is measured once."""
     q = queries.select("query_id", edit_key(F.col("query")).alias("qk"))
     t = titles.select("title", edit_key(F.col("title")).alias("tk")).distinct()
     grams = t.select("tk").distinct().select("tk", F.explode(trigrams(F.col("tk"))).alias("g"))
     pairs = q.select("qk").distinct().select("qk", F.explode(trigrams(F.col("qk"))).alias("g")).join(grams, "g").select("qk", "tk").distinct()
     near = pairs.withColumn("distance", damerau_levenshtein("qk", "tk"))
-    return top(q.join(near, "qk").join(t, "tk").select("query_id", "title", "distance"), k, [F.col("distance"), F.col("title")])
+    near = near if closer_than is None else near.where(F.col("distance") < closer_than)
+    return q.join(near, "qk").join(t, "tk").select("query_id", "title", "distance")
+
+
+def fuzzy(queries: DataFrame, titles: DataFrame, k: int = 10, closer_than: int | None = None) -> DataFrame:
+    """query_id, title, distance, rank: nearest titles that share a trigram with the query, by edit distance."""
+    return top(_near_titles(queries, titles, closer_than), k, [F.col("distance"), F.col("title")])
+
+
+def fuzzy_chunks(queries: DataFrame, notes: DataFrame, chunks: DataFrame, k: int = 50, closer_than: int | None = 10) -> DataFrame:
+    """query_id, chunk_id, score, rank: chunks of the notes with the nearest titles, score the negative distance."""
+    near = _near_titles(queries, notes.select("title"), closer_than)
+    hits = near.join(notes.select("note_id", "title"), "title").join(chunks.select("chunk_id", "note_id"), "note_id")
+    hits = hits.groupBy("query_id", "chunk_id").agg(F.min("distance").alias("distance"))
+    return top(hits.select("query_id", "chunk_id", (-F.col("distance")).cast("double").alias("score")), k, [F.desc("score"), F.col("chunk_id")])
 
 
-def graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 50) -> DataFrame:
-    """query_id, node_id, score, rank: notes one hop from nodes whose label holds a term of the query, either way."""
+def _labelled(terms: DataFrame, labels: DataFrame) -> DataFrame:
+    """query_id, seed of terms(query_id, term) and labels(seed, label) that hold the term; % and _ in it stand for any text or sign.
+
+    Joined on the first up to three signs of the term's longest run without such signs, then compared in full.
+    """
+    run = "array_max(transform(split(term, '[%_]+'), r -> struct(length(r) AS n, r))).r"
+    t = terms.withColumn("gram", F.expr(f"substring({run}, 1, 3)"))
+    grams = F.array_distinct(F.expr("flatten(array(array(''), transform(sequence(1, greatest(length(label), 1)), i -> substring(label, i, 1)), transform(sequence(1, greatest(length(label) - 1, 1)), i -> substring(label, i, 2)), transform(sequence(1, greatest(length(label) - 2, 1)), i -> substring(label, i, 3))))"))
+    found = labels.select("seed", "label", F.explode(grams).alias("gram")).join(_hint(t), "gram")
+    return found.where(F.expr(r"label LIKE concat('%', replace(term, '\\', '\\\\'), '%')")).select("query_id", "seed").distinct()
+
+
+def graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int | None = 50, layer: str = "both") -> DataFrame:
+    """query_id, node_id, score, rank: notes one hop from nodes whose label holds a term of the query, either way.
+
+    layer: `structural`, `semantic` or `both`, where nodes and edges have a layer.
+    """
+    if layer != "both":
+        nodes, edges = (x.where(F.col("layer") == layer) for x in (nodes, edges))
     terms = queries.select("query_id", F.explode(F.filter(F.split(F.lower("query"), r"\s+"), lambda t: t != "")).alias("term"))
-    labels = nodes.select(F.col("id").alias("seed"), F.lower("label").alias("label"))
-    seeds = labels.join(F.broadcast(terms), F.contains("label", "term")).select("query_id", "seed").distinct()
+    seeds = _labelled(terms, nodes.select(F.col("id").alias("seed"), F.lower("label").alias("label")))
     both = edges.select(F.col("source_id").alias("seed"), F.col("target_id").alias("id"), "weight").union(edges.select("target_id", "source_id", "weight"))
     hits = seeds.join(both, "seed").groupBy("query_id", "id").agg(F.max("weight").alias("weight"))
     hits = hits.join(nodes.where("kind = 'note'").select("id"), "id")
     return top(hits.select("query_id", F.col("id").alias("node_id"), F.round(F.col("weight") / 2, 6).alias("score")), k, [F.desc("score"), F.col("node_id")])
 
 
+def graph_chunks(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 50, layer: str = "both") -> DataFrame:
+    """query_id, chunk_id, score, rank: the chunks of graph()'s notes. nodes(id, kind, label, note_id)."""
+    hits = graph(queries, nodes, edges, None, layer).drop("rank").join(nodes.select(F.col("id").alias("node_id"), "note_id"), "node_id")
+    hits = hits.join(chunks.select("chunk_id", "note_id"), "note_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top(hits, k, [F.desc("score"), F.col("chunk_id")])
+
+
 #: Order of retrievers where ranks tie.
 RETRIEVERS = ("bm25", "tfidf", "fuzzy", "dense", "graph")
 
 
+def clamp(value: float, low: float, high: float) -> float:
+    return max(low, min(high, value))
+
+
+def to_int(value: object, default: int) -> int:
+    """A whole number from a number or text, the default otherwise."""
+    try:
+        return int(float(value))  # type: ignore[arg-type]
+    except (TypeError, ValueError, OverflowError):
+        return default
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Retrieval settings; clamped() brings numbers into their ranges (fixed values), validate() names what is out of them."""
+
+    enabled: dict[str, bool] = field(default_factory=lambda: dict.fromkeys(RETRIEVERS, True))
+    dense_k: int = 20
+    token_budget: int = 4000
+    max_chunks_per_note: int = 3
+    rrf_k: int = 60
+    rerank: bool = False
+
+    RANGES = {"dense_k": (1, 100), "token_budget": (500, 32000), "max_chunks_per_note": (1, 20), "rrf_k": (1, 200)}
+
+    def clamped(self) -> Settings:
+        default = Settings()
+        return replace(self, **{n: int(clamp(to_int(getattr(self, n), getattr(default, n)), *r)) for n, r in self.RANGES.items()})
+
+    def validate(self) -> list[str]:
+        out = [] if isinstance(self.enabled, dict) else ["enabled must map retrievers to booleans"]
+        for n, (low, high) in self.RANGES.items():
+            v = getattr(self, n)
+            if not isinstance(v, int) or isinstance(v, bool) or not low <= v <= high:
+                out.append(f"{n} must be a whole number from {low} to {high}")
+        return out if isinstance(self.rerank, bool) else [*out, "rerank must be a boolean"]
+
+
+def chosen(requested: Iterable[str] | None, settings: Settings) -> list[str]:
+    """Requested retrievers that are enabled, or all that are."""
+    return [r for r in (RETRIEVERS if requested is None else requested) if settings.enabled.get(r, False)]
+
+
+def check_query(query: object, limit: object = 10, longest: int = 500) -> int:
+    """The limit of a search request, from 1 to 100; ValueError for a query that is blank or too long."""
+    if not isinstance(query, str) or not query.strip():
+        raise ValueError("the query must be a text that isn't blank")
+    if len(query) > longest:
+        raise ValueError(f"the query is longer than {longest}")
+    return int(clamp(to_int(limit, 10) or 10, 1, 100))
+
+
+HIT = "query_id {0}, key string, chunk_id string, note_id string, score double, retrievers string"
+
+
 def fuse(hits: dict[str, DataFrame], rrf_k: int = 60, enabled: dict[str, bool] | None = None) -> DataFrame:
-    """query_id, chunk_id, score, retrievers: reciprocal rank fusion of the enabled retrievers' (query_id, chunk_id, rank)."""
+    """query_id, key, chunk_id, note_id, score, retrievers: reciprocal rank fusion of the enabled retrievers' hits.
+
+    hits(query_id, chunk_id[, note_id], rank); a hit without chunk stands for its note (key `note:...`). Columns come from
+    the first retriever's best hit. With nothing enabled the result is empty.
+    """
     out = None
-    for name in RETRIEVERS:
+    for place, name in enumerate(RETRIEVERS):
         if name in hits and (enabled or {}).get(name, True):
-            one = hits[name].select("query_id", "chunk_id", "rank", F.lit(name).alias("retriever"))
+            h = hits[name]
+            note = F.col("note_id") if "note_id" in h.columns else F.lit(None).cast("string")
+            one = h.select("query_id", "chunk_id", note.alias("note_id"), "rank", F.lit(place).alias("place"), F.lit(name).alias("retriever"))
             out = one if out is None else out.union(one)
     if out is None:
-        raise ValueError("no retriever is enabled")
-    return out.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("retriever")), ",").alias("retrievers"))
+        some = next(iter(hits.values()), None)
+        kind = some.schema["query_id"].dataType.simpleString() if some is not None else "bigint"
+        return (some.sparkSession if some is not None else SparkSession.active()).createDataFrame([], HIT.format(kind))
+    out = out.withColumn("key", F.coalesce("chunk_id", F.concat(F.lit("note:"), "note_id")))
+    best = F.min_by(F.struct("chunk_id", "note_id"), F.struct("place", "rank"))
+    fused = out.groupBy("query_id", "key").agg(F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), 9).alias("score"), F.array_join(F.array_sort(F.collect_set("retriever")), ",").alias("retrievers"), best.alias("best"))
+    return fused.select("query_id", "key", "best.chunk_id", "best.note_id", "score", "retrievers")
+
+
+Reranker = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def identity_reranker(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    return hits
+
+
+def rerank(hits: DataFrame, queries: DataFrame, reranker: Reranker = identity_reranker) -> DataFrame:
+    """What the reranker makes of hits and queries; hits as they are if it can't."""
+    try:
+        return reranker(hits, queries)
+    except Exception:
+        logging.getLogger(__name__).warning("the reranker failed", exc_info=True)
+        return hits
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What the retrievers search: chunks(chunk_id, note_id, content), notes(note_id, title), and where there are any,
+    vectors(chunk_id, vector), nodes(id, layer, kind, label, note_id) and edges(layer, source_id, target_id, weight)."""
+
+    chunks: DataFrame
+    notes: DataFrame
+    vectors: DataFrame | None = None
+    nodes: DataFrame | None = None
+    edges: DataFrame | None = None
+    index: Index | None = None
+
+
+def retrieve(queries: DataFrame, corpus: Corpus, settings: Settings = Settings(), requested: Iterable[str] | None = None, limit: int = 50, layer: str = "both", reranker: Reranker = identity_reranker) -> DataFrame:
+    """Fused hits (columns of fuse(), rank) of the requested and enabled retrievers, at most `limit` a query.
+
+    queries(query_id, query[, vector]); blank ones find nothing. A retriever that can't be planned (no vectors, no graph, a
+    missing column) finds nothing and is logged; the others stand.
+    """
+    settings = settings.clamped()
+    queries = queries.where("trim(query) <> ''")
+    names = chosen(requested, settings)
+    index = corpus.index or (Index.of(corpus.chunks) if {"bm25", "tfidf"} & set(names) else None)
+    each = {
+        "bm25": lambda: bm25(queries, corpus.chunks, limit, index),
+        "tfidf": lambda: tfidf(queries, corpus.chunks, limit, index),
+        "fuzzy": lambda: fuzzy_chunks(queries, corpus.notes, corpus.chunks, limit),
+        "dense": lambda: dense(queries.where("vector IS NOT NULL"), corpus.vectors.join(corpus.chunks.select("chunk_id"), "chunk_id", "left_semi"), settings.dense_k, key="chunk_id"),
+        "graph": lambda: graph_chunks(queries, corpus.nodes, corpus.edges, corpus.chunks, limit, layer),
+    }
+    hits: dict[str, DataFrame] = {}
+    for name in names:
+        try:
+            hits[name] = each[name]()
+        except Exception:
+            logging.getLogger(__name__).warning("%s failed", name, exc_info=True)
+    if not hits:
+        return queries.select("query_id").limit(0).selectExpr("query_id", *(f"cast(null AS {t}) AS {c}" for c, t in (("key", "string"), ("chunk_id", "string"), ("note_id", "string"), ("score", "double"), ("retrievers", "string"), ("rank", "bigint"))))
+    fused = fuse(hits, settings.rrf_k).drop("note_id").join(corpus.chunks.select("chunk_id", "note_id"), "chunk_id", "left")
+    fused = fused.select("query_id", "key", "chunk_id", "note_id", "score", "retrievers")
+    if settings.rerank:
+        fused = rerank(fused, queries, reranker)
+    return top(fused, limit, [F.desc("score"), F.col("key")])
 
 
 def assemble(hits: DataFrame, budget: int = 4000, per_note: int = 3) -> DataFrame:
-    """query_id, place, chunk_id, note_id, score, tokens of the context.
+    """query_id, place, chunk_id, note_id, score, tokens of the context, and title, content and retrievers where hits have them.
 
-    hits(query_id, chunk_id, note_id, content, score): one row per chunk (the best), at most per_note of a note, then a
-    prefix by score: the first is always kept, the first overflow ends it.
+    hits(query_id, chunk_id, note_id, content or tokens, score): of a chunk (or a note without chunk) the best hit, at most
+    per_note of a note, then a prefix by score: the first is always kept, the first overflow ends it. Ties go by rank, then
+    by content.
     """
-    best = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("score")))).where("_n = 1")
+    if "tokens" not in hits.columns:
+        hits = hits.withColumn("tokens", F.coalesce(estimate_tokens(F.col("content")), F.lit(0)))
+    ties = [F.col(c) for c in ("rank", "content") if c in hits.columns]
+    key = F.coalesce("chunk_id", F.concat(F.lit("note:"), "note_id"))
+    best = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", key).orderBy(F.desc("score"), *ties))).where("_n = 1")
     best = best.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "note_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("_n") <= per_note)
-    best = best.withColumn("tokens", estimate_tokens(F.col("content")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id", "note_id")
     best = best.withColumns({"_upto": F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(w).cast("long")})
-    return best.where(~((F.col("_upto") > budget) & (F.col("_upto") - F.col("tokens") > 0))).select("query_id", "place", "chunk_id", "note_id", "score", "tokens")
+    more = [c for c in ("title", "content", "retrievers") if c in hits.columns]
+    return best.where(~((F.col("_upto") > budget) & (F.col("_upto") - F.col("tokens") > 0))).select("query_id", "place", "chunk_id", "note_id", "score", "tokens", *more)
+
+
+def with_texts(hits: DataFrame, corpus: Corpus) -> DataFrame:
+    """hits with title and content of their chunks and notes."""
+    return hits.join(corpus.chunks.select("chunk_id", "content"), "chunk_id", "left").join(corpus.notes.select("note_id", "title"), "note_id", "left")
+
+
+def chat_context(context: DataFrame) -> DataFrame:
+    """query_id, chunks (place, chunk_id, note_id, title, content, score, retrievers), total_tokens of an assembled context."""
+    row = F.struct("place", "chunk_id", "note_id", "title", "content", "score", "retrievers")
+    return context.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("chunks"), F.sum(F.coalesce(estimate_tokens(F.col("content")), F.lit(0))).alias("total_tokens"))
+
+
+def search_rows(context: DataFrame) -> DataFrame:
+    """query_id, place, note_id, title, chunk_text, score, retrievers: an assembled context as a result list."""
+    return context.select("query_id", "place", "note_id", F.coalesce("title", F.lit("")).alias("title"), F.col("content").alias("chunk_text"), "score", "retrievers")

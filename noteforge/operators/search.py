@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from noteforge.functions.porter import analyze, spans
 from noteforge.operators.retrieval import _hint, like, top
+from noteforge.sources.staging import staged
 
 LEX = re.compile(r'\s*(?:("(?:[^"]|"")*")|([A-Za-z0-9_\x1a\u0080-\U0010ffff]+)|([()*+,]))')
 NEAR_DEFAULT = 10
@@ -215,12 +216,13 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = 50, fallback:
 
     With fallback, queries with a syntax error are looked up as substrings (of the text in `literal`, if queries have it), with score 0.
     """
-    parsed, post = _parsed(queries), positions(chunks)
+    parsed, post = staged(_parsed(queries), "parsed"), staged(positions(chunks), "positions")
     words = parsed.where("tree IS NOT NULL").select("query_id", F.explode("words").alias("w")).select("query_id", "w.*")
     starts = words.where("prefix").withColumnRenamed("term", "start")
-    vocabulary = post.select("term").distinct().withColumn("start", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring(F.col("term"), F.lit(1), i))))
     terms = words.where("NOT prefix").select("query_id", "phrase", "token", "term")
-    if not starts.isEmpty():
+    if not starts.isEmpty():  # a stem's first signs, as many as a start has at most, are its keys
+        most = starts.agg(F.max(F.length("start"))).first()[0]
+        vocabulary = post.select("term").distinct().withColumn("start", F.explode(F.expr(f"transform(sequence(1, least(length(term), {most})), i -> substring(term, 1, i))")))
         terms = terms.union(vocabulary.join(_hint(starts), "start").select("query_id", "phrase", "token", "term"))
     hits = post.join(_hint(terms), "term").groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("phrase", "token", "places")).alias("hits"), F.first("len").alias("len"))
     trees = parsed.where("tree IS NOT NULL").select("query_id", "tree", "sizes")
@@ -236,7 +238,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = 50, fallback:
         if "literal" in queries.columns:
             wrong = queries.join(_hint(wrong.select("query_id")), "query_id", "left_semi").select("query_id", F.col("literal").alias("query"))
         if not wrong.isEmpty():
-            scored = scored.union(like(wrong, chunks.select(F.col("chunk_id").cast("string"), "content"), ["content"]).select("query_id", "chunk_id", "score"))
+            scored = scored.union(like(wrong, chunks.select(F.col("chunk_id").cast("string"), "content"), ["content"], "chunk_id"))
     return top(scored, k, [F.desc("score"), F.col("chunk_id")])
 
 

@@ -1,29 +1,27 @@
-"""Semantic layer: entities, relations, evidence, confidence, cascades, enrichment, extraction results."""
+"""Semantic layer: entities, relations, evidence, confidence, cascades, enrichment.
+
+Tables: entities(entity_id, canonical_name, type, confidence, aliases), relations(relation_id, source_entity_id, target_entity_id,
+relation_type, confidence), evidence(relation_id, chunk_id, note_id[, confidence]), nodes(id, layer, kind, label, note_id, entity_id),
+edges(id, layer, source_id, target_id, type, weight, source). Every change gives the table that follows; a relation's confidence
+is always an aggregate over its evidence, so what loses evidence is recomputed by the same join as what gains some.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteforge.functions.text import entity_id, entity_key, tag_slug
-
-EXTRACTION = "struct<entities:array<struct<name:string,type:string,confidence:double>>,relations:array<struct<`from`:string,`to`:string,type:string,confidence:double>>>"
-
-
-def parse_extraction(raw: Column) -> Column:
-    """Extraction JSON without code fences; malformed text gives empty lists, items without a name or ends go."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
-    x = F.from_json(bare, EXTRACTION)
-    some = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
-    entities = F.filter(F.coalesce(x["entities"], F.array().cast("array<struct<name:string,type:string,confidence:double>>")), lambda e: some(e["name"]))
-    entities = F.transform(entities, lambda e: F.struct(F.trim(e["name"]).alias("name"), F.when(some(e["type"]), F.trim(e["type"])).otherwise("unknown").alias("type"), e["confidence"].alias("confidence")))
-    relations = F.filter(F.coalesce(x["relations"], F.array().cast("array<struct<`from`:string,`to`:string,type:string,confidence:double>>")), lambda r: some(r["from"]) & some(r["to"]) & some(r["type"]))
-    return F.struct(entities.alias("entities"), relations.alias("relations"))
-
+from noteforge.functions.text import content_hash, entity_id, entity_key, relation_id, tag_slug
+from noteforge.operators.extraction import extract, extracted_entities, extracted_relations, merge_relations, units
+from noteforge.operators.indexing import insert_missing, merge, purge
+from noteforge.operators.providers import Health, Provider, StubProvider
+from noteforge.sources.staging import shared_dir, staged
 
 def canonicalize(mentions: DataFrame) -> DataFrame:
     """entity_id, canonical_name, type, confidence, aliases, mentions of mentions(ord, name, type, confidence) by normal form."""
@@ -60,113 +58,346 @@ def similar_entities(vectors: DataFrame, queries: DataFrame, threshold: float =
     return best.where(F.col("score") > threshold).groupBy("query_id").agg(F.max(F.struct("score", -F.col("vec_id"))).alias("m")).select("query_id", (-F.col("m.col2")).alias("vec_id"), F.col("m.score").alias("score"))
 
 
-def greedy_merge(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """key, ord, canonical: in order, each entity joins the best earlier one above the threshold or becomes one.
+def greedy_merge(entities: DataFrame, existing: DataFrame | None = None, threshold: float = 0.85, block: int = 2048) -> DataFrame:
+    """key, ord, canonical: in order, each entity joins the best earlier canonical one above the threshold or becomes one.
 
-    entities(part, ord, key, vector). The result depends on the order, so each part (such as a type) is taken in sequence; parts are independent
-    of each other. A part must fit a task; choose parts accordingly.
+    entities(ord, key, vector); existing(key, vector) are canonical from the start. The result depends on the order, so blocks
+    of `block` entities are taken in order: a block is compared with all canonical entities so far, which stay in a table, by a
+    distributed scan, then with itself on the driver. Ties go to the earliest. A null or zero vector is near nothing.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ord", kind="stable")
-        names: list[str] = []
-        rows: list[np.ndarray] = []
+    spark = entities.sparkSession
+    path = f"{shared_dir(spark)}/noteforge/canonical-{uuid.uuid4().hex}"
+    canonical, assigned = "ord long, key string, vector array<double>", "key string, ord long, canonical string"
+    if existing is not None:
+        order = F.row_number().over(Window.orderBy("key")) if "ord" not in existing.columns else F.col("ord")
+        existing.select((order - (1 << 62)).cast("long").alias("ord"), F.col("key").cast("string"), F.col("vector").cast("array<double>")).write.parquet(f"{path}/canonical")
+    else:
+        spark.createDataFrame([], canonical).write.parquet(f"{path}/canonical")
+    spark.createDataFrame([], assigned).write.parquet(f"{path}/assigned")
+    ordered = staged(entities.select(F.col("ord").cast("long"), F.col("key").cast("string"), F.col("vector").cast("array<double>")).orderBy("ord"), "entities")
+
+    def unit(v) -> np.ndarray:
+        v = np.asarray(v if v is not None else [], np.float64)
+        return v / (np.linalg.norm(v) or 1.0)
+
+    def settle(rows: list) -> None:
+        vectors = [unit(r.vector) for r in rows]
+        sent = spark.sparkContext.broadcast(vectors)
+
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: dict[int, tuple[float, int, str]] = {}
+            of_size: dict[int, list[int]] = {}
+            for i, w in enumerate(sent.value):
+                of_size.setdefault(len(w), []).append(i)
+            for b in batches:
+                for o, k, v in zip(b["ord"], b["key"], b["vector"], strict=True):
+                    u = unit(v)
+                    for i in of_size.get(len(u), []):
+                        score = float(u @ sent.value[i])
+                        if score > threshold and (i not in best or (score, -o) > (best[i][0], -best[i][1])):
+                            best[i] = (score, o, k)
+            yield pd.DataFrame([(i, s, o, k) for i, (s, o, k) in best.items()], columns=["i", "score", "ord", "key"]).astype({"i": "int64", "score": "float64", "ord": "int64"})
+
+        found = spark.read.schema(canonical).parquet(f"{path}/canonical").mapInPandas(nearest, "i long, score double, ord long, key string")
+        best = {r.i: r.m for r in found.groupBy("i").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "key")).alias("m")).collect()}  # a row per entity of the block
+        new: list[int] = []
         out = []
-        for key, v in zip(g["key"], g["vector"], strict=True):
-            v = np.asarray(v, np.float64)
-            v = v / (np.linalg.norm(v) or 1.0)
-            s = np.array([r @ v if len(r) == len(v) else 0.0 for r in rows])
-            if len(s) and s.max() > threshold:
-                out.append(names[int(s.argmax())])
-            else:
-                names.append(key)
-                rows.append(v)
-                out.append(key)
-        return pd.DataFrame({"key": g["key"], "ord": g["ord"], "canonical": out})
-
-    return entities.groupBy("part").applyInPandas(run, "key string, ord long, canonical string")
+        for i, r in enumerate(rows):
+            score, name = (best[i].score, best[i].key) if i in best else (threshold, None)
+            for j in new:
+                if len(vectors[i]) == len(vectors[j]) and (s := float(vectors[i] @ vectors[j])) > score:
+                    score, name = s, rows[j].key
+            if name is None:
+                new.append(i)
+            out.append((r.key, r.ord, name or r.key))
+        spark.createDataFrame(out, assigned).coalesce(1).write.mode("append").parquet(f"{path}/assigned")
+        if new:
+            spark.createDataFrame([(rows[i].ord, rows[i].key, [float(x) for x in vectors[i]]) for i in new], canonical).coalesce(1).write.mode("append").parquet(f"{path}/canonical")
+
+    held: list = []
+    for row in ordered.orderBy("ord").toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            settle(held)
+            held = []
+    if held:
+        settle(held)
+    return spark.read.schema(assigned).parquet(f"{path}/assigned")
+
+
+def neighbours(mentions: DataFrame, entities: DataFrame, seen: DataFrame, fanout: int) -> DataFrame:
+    """note_id: at most fanout notes that mention one of entities(entity_id) and aren't seen, the latest first."""
+    near = mentions.join(entities.select("entity_id").distinct(), "entity_id", "left_semi").join(seen.select("note_id"), "note_id", "left_anti")
+    return near.groupBy("note_id").agg(F.max("updated_at").alias("_u")).orderBy(F.desc("_u"), "note_id").limit(fanout).select("note_id")
 
 
 def cascade(mentions: DataFrame, start: DataFrame, depth: int = 1, fanout: int = 50) -> DataFrame:
     """note_id, hop: notes reached from start(note_id) over shared entities, breadth first.
 
-    mentions(note_id, entity_id, updated_at). At most fanout notes are added at a hop, the latest first (a setting of the operator).
+    mentions(note_id, entity_id, updated_at). At most fanout notes are added at a hop, the latest first (a setting of the
+    operator). Each level is staged.
     """
-    seen = start.select("note_id").distinct().withColumn("hop", F.lit(0).cast("long"))
+    depth, fanout = max(1, min(5, depth)), max(10, min(200, fanout))
+    seen = staged(start.select("note_id").distinct().withColumn("hop", F.lit(0).cast("long")), "hops")
     level = seen
     for hop in range(1, depth + 1):
-        entities = mentions.join(level.select("note_id"), "note_id", "left_semi").select("entity_id").distinct()
-        near = mentions.join(entities, "entity_id", "left_semi").join(seen.select("note_id"), "note_id", "left_anti")
-        near = near.groupBy("note_id").agg(F.max("updated_at").alias("_u")).orderBy(F.desc("_u"), "note_id").limit(fanout)
-        level = near.select("note_id", F.lit(hop).cast("long").alias("hop"))
+        entities = mentions.join(level.select("note_id"), "note_id", "left_semi").select("entity_id")
+        level = staged(neighbours(mentions, entities, seen, fanout).withColumn("hop", F.lit(hop).cast("long")), "hops")
         seen = seen.union(level)
     return seen
 
 
-def enrichment_tags(mentions: DataFrame, most: int = 3, of: int = 5) -> DataFrame:
-    """note_id, place, tag: slugs of the top entities of each note by confidence. mentions(note_id, name, confidence)."""
-    w = Window.partitionBy("note_id").orderBy(F.desc("confidence"), "name")
-    t = mentions.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= of).withColumn("tag", tag_slug(F.col("name")))
-    return t.where((F.col("tag") != "") & (F.col("place") <= most)).select("note_id", "place", "tag")
+def evidenced_mentions(evidence: DataFrame, relations: DataFrame, notes: DataFrame) -> DataFrame:
+    """note_id, entity_id, updated_at: both ends of every relation a note evidences, for cascades over evidence."""
+    ends = F.explode(F.array("source_entity_id", "target_entity_id"))
+    return evidence.join(relations, "relation_id").select("note_id", ends.alias("entity_id")).distinct().join(notes.select("note_id", "updated_at"), "note_id")
 
 
-def marker(version: int, tags: list[str], links: list[str]) -> str:
-    return f"<!-- enrichment v{version} tags=[{', '.join(tags)}] links=[{', '.join(links)}] -->"
+def affected(before: DataFrame, after: DataFrame) -> DataFrame:
+    """note_id, entity_id in one of the tables only: what a note began or ceased to mention."""
+    keys = ["note_id", "entity_id"]
+    b, a = before.select(*keys).distinct(), after.select(*keys).distinct()
+    return b.join(a, keys, "left_anti").union(a.join(b, keys, "left_anti"))
 
 
-def strip_marker(text: Column) -> Column:
-    return F.rtrim(F.regexp_replace(text, r"(?s)\s*<!--[^>]*enrichment v\d+.*?-->\s*$", ""))
+def entities_of_notes(edges: DataFrame) -> DataFrame:
+    """note_id, entity_id of the mention edges."""
+    m = edges.where("layer = 'semantic' AND type = 'mention'")
+    return m.select(F.regexp_replace("source_id", "^note:", "").alias("note_id"), F.regexp_replace("target_id", "^entity:", "").alias("entity_id")).distinct()
 
 
-def parse_marker(text: Column) -> Column:
-    """version, tags, links of the marker; nulls without one."""
-    part = lambda name: F.filter(F.transform(F.split(F.regexp_extract(text, rf"enrichment v\d+[^>]*{name}=\[([^\]]*)\]", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
-    version = F.regexp_extract(text, r"<!--[^>]*enrichment v(\d+)", 1)
-    return F.when(version != "", F.struct(version.try_cast("int").alias("version"), part("tags").alias("tags"), part("links").alias("links")))
+def with_mentions(kept: DataFrame, mentions: DataFrame) -> DataFrame:
+    """note_id, entity_id of mentions(note_id, name) by canonical name of kept(entity_id, canonical_name)."""
+    named = mentions.select("note_id", entity_key(F.col("name")).alias("canonical_name"))
+    return named.join(kept.select("canonical_name", "entity_id"), "canonical_name").select("note_id", "entity_id").distinct()
 
 
-class StubProvider:
-    """A deterministic stand-in for a language model: hashed bags of words, capitalised names, answers by hash."""
+def upsert_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
+    """entities with new ones of the same columns: a known one keeps its name and type, gets the union of aliases and the higher confidence."""
+    columns = ["entity_id", "canonical_name", "type", "confidence", "aliases"]
+    none = F.array().cast("array<string>")
+    aliases = F.array_sort(F.array_union(F.coalesce("o.aliases", none), F.coalesce("n.aliases", none)))
+    keep = {"confidence": F.greatest("o.confidence", "n.confidence"), "aliases": aliases, "type": F.coalesce("o.type", "n.type"), "canonical_name": F.coalesce("o.canonical_name", "n.canonical_name"), "entity_id": F.coalesce("o.entity_id", "n.entity_id")}
+    return merge(entities.select(*columns), new.select(*columns), ["entity_id"], keep)
 
-    def __init__(self, dims: int = 64):
-        self.dims = dims
 
-    def embeddings(self, texts: list[str]) -> list[np.ndarray]:
-        import zlib
+def resolve_names(names: DataFrame, column: str, entities: DataFrame, out: str) -> DataFrame:
+    """names with the entity id of a name column as out; rows whose name is no entity's go."""
+    keyed = names.withColumn("_key", entity_key(F.col(column)))
+    return keyed.join(entities.select(F.col("canonical_name").alias("_key"), F.col("entity_id").alias(out)), "_key").drop("_key")
 
-        out = []
-        for t in texts:
-            v = np.zeros(self.dims, np.float32)
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % self.dims] += 1.0 if h & 1024 else -1.0
-            out.append(v / (np.linalg.norm(v) or 1.0))
-        return out
 
-    def extract(self, text: str) -> dict:
-        import re
+def add_evidence(evidence: DataFrame, new: DataFrame) -> DataFrame:
+    """evidence and new rows whose (relation_id, chunk_id) isn't there yet."""
+    return insert_missing(evidence, new, ["relation_id", "chunk_id"])
+
+
+def remove_evidence(evidence: DataFrame, gone: DataFrame, on: str = "note_id") -> DataFrame:
+    """evidence without that of the notes (or chunks, by on) of gone."""
+    return purge(evidence, gone, on)
+
+
+def recompute(relations: DataFrame, evidence: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """relations and edges with confidences and weights by the evidence there is; relations without any go, with their edges.
+
+    A relation's own confidence counts as reported. Evidence with a confidence column is united by noisy-or, else counted.
+    """
+    own = noisy_or(F.col("confidence")) if "confidence" in evidence.columns else count_confidence(F.count(F.lit(1)))
+    g = evidence.groupBy("relation_id").agg(own.alias("_c"))
+    kept = relations.join(g, "relation_id").withColumn("confidence", F.round(F.greatest("_c", F.coalesce("reported", F.lit(0.0)) if "reported" in relations.columns else F.lit(0.0)), 6)).drop("_c")
+    ends = kept.groupBy(F.concat(F.lit("entity:"), "source_entity_id", F.lit("->entity:"), "target_entity_id", F.lit(":relation")).alias("id")).agg(F.max("confidence").alias("_w"))
+    is_relation = (F.col("layer") == "semantic") & (F.col("type") == "relation")
+    changed = edges.where(is_relation).join(ends, "id").withColumn("weight", F.col("_w")).select(*edges.columns)
+    return kept, edges.where(~is_relation).unionByName(changed)
+
+
+def relation_edges(relations: DataFrame, source: str = "extraction") -> DataFrame:
+    """An edge for each pair of entities with a relation, of the highest confidence."""
+    a, b = F.concat(F.lit("entity:"), "source_entity_id"), F.concat(F.lit("entity:"), "target_entity_id")
+    g = relations.groupBy(a.alias("source_id"), b.alias("target_id")).agg(F.max("confidence").alias("weight"))
+    return g.select(F.concat("source_id", F.lit("->"), "target_id", F.lit(":relation")).alias("id"), F.lit("semantic").alias("layer"), "source_id", "target_id", F.lit("relation").alias("type"), "weight", F.lit(source).alias("source"))
+
+
+def mention_edges(mentions: DataFrame, source: str = "extraction") -> DataFrame:
+    a, b = F.concat(F.lit("note:"), "note_id"), F.concat(F.lit("entity:"), "entity_id")
+    return mentions.select(F.concat(a, F.lit("->"), b, F.lit(":mention")).alias("id"), F.lit("semantic").alias("layer"), a.alias("source_id"), b.alias("target_id"), F.lit("mention").alias("type"), F.lit(1.0).alias("weight"), F.lit(source).alias("source"))
+
 
-        names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*", text)))
-        return {"entities": [{"name": n, "type": "unknown"} for n in names], "relations": [{"from": a, "to": b, "type": "near"} for a, b in zip(names, names[1:])]}
+def drop_mentions(edges: DataFrame, notes: DataFrame) -> DataFrame:
+    """edges without the mention edges of notes(note_id)."""
+    gone = notes.select(F.concat(F.lit("note:"), "note_id").alias("source_id")).distinct()
+    mention = (F.col("layer") == "semantic") & (F.col("type") == "mention")
+    return edges.where(~mention).unionByName(edges.where(mention).join(gone, "source_id", "left_anti").select(*edges.columns))
 
-    def chat(self, messages: list[dict]) -> str:
-        import hashlib
 
-        return "answer " + hashlib.sha256("\n".join(m["content"] for m in messages).encode()).hexdigest()[:12]
+@dataclass(frozen=True)
+class Layer:
+    """The semantic tables."""
 
-    def list_models(self) -> list[str]:
-        return ["stub"]
+    entities: DataFrame
+    relations: DataFrame
+    evidence: DataFrame
+    edges: DataFrame
 
 
-def embed_chunks(chunks: DataFrame, provider=None, model: str = "stub") -> DataFrame:
-    """chunk_id, model, dims, vector: the provider is called once per Arrow batch."""
+def persist(layer: Layer, notes: DataFrame, entities: DataFrame, relations: DataFrame, first_chunks: DataFrame) -> Layer:
+    """The layer after new extractions of notes(note_id), which replace what these notes evidenced and mentioned before.
+
+    entities(note_id, ord, name, type, confidence) and relations(note_id, ord, from, to, type, confidence) are all that was
+    extracted; first_chunks(note_id, chunk_id) evidence the relations (`note:0` where a note has none). A relation whose ends
+    are no entities is left out; relations without evidence go, confidences follow the evidence.
+    """
+    evidence = remove_evidence(layer.evidence, notes)
+    edges = drop_mentions(layer.edges, notes)
+    all_entities = staged(upsert_entities(layer.entities, canonicalize(entities)), "entities")
+    mentioned = with_mentions(all_entities, entities)
+    merged = merge_relations(relations)
+    ends = resolve_names(resolve_names(merged, "from", all_entities, "source_entity_id"), "to", all_entities, "target_entity_id")
+    ends = ends.withColumn("relation_id", relation_id(F.col("source_entity_id"), F.col("target_entity_id"), F.col("kind")))
+    ends = ends.join(first_chunks.select("note_id", "chunk_id"), "note_id", "left").withColumn("chunk_id", F.coalesce("chunk_id", F.concat("note_id", F.lit(":0"))))
+    ends = staged(ends, "relation-ends")
+    evidence = staged(add_evidence(evidence, ends.select("relation_id", "chunk_id", "note_id").dropDuplicates(["relation_id", "chunk_id"])), "evidence")
+    found = ends.groupBy("relation_id", "source_entity_id", "target_entity_id").agg(F.min("kind").alias("relation_type"), F.max(F.coalesce("confidence", F.lit(0.6))).alias("reported"))
+    both = insert_missing(found.select("relation_id", "source_entity_id", "target_entity_id", "relation_type", "reported"), layer.relations.withColumn("reported", F.lit(0.0)).select("relation_id", "source_entity_id", "target_entity_id", "relation_type", "reported"), ["relation_id"])
+    kept, _ = recompute(both.withColumn("confidence", F.lit(0.0)), evidence, edges)
+    kept = staged(kept.select("relation_id", "source_entity_id", "target_entity_id", "relation_type", "confidence"), "relations")
+    rest = edges.where("NOT (layer = 'semantic' AND type = 'relation')")
+    edges = rest.unionByName(relation_edges(kept).select(*edges.columns)).unionByName(mention_edges(mentioned).select(*edges.columns))
+    return Layer(all_entities, kept, evidence, staged(edges, "edges"))
+
+
+def purge_notes(layer: Layer, notes: DataFrame) -> Layer:
+    """The layer without what notes(note_id) evidenced and mentioned; what other notes evidence is recomputed."""
+    evidence = remove_evidence(layer.evidence, notes)
+    kept, edges = recompute(layer.relations, evidence, drop_mentions(layer.edges, notes))
+    return replace(layer, relations=kept, evidence=evidence, edges=edges)
+
+
+def merge_into(layer: Layer, mapping: DataFrame, nodes: DataFrame) -> tuple[Layer, DataFrame]:
+    """The layer and nodes(id, ..., entity_id) after each entity of mapping(absorbed, surviving) went into another one.
+
+    Pairs with an unknown or the same end change nothing. Aliases are united, ends of relations and nodes rewritten, nodes of
+    absorbed entities go. Relations that come to agree are one, with the evidence of both.
+    """
+    known = layer.entities.select("entity_id")
+    pairs = mapping.where("absorbed <> surviving").join(known.withColumnRenamed("entity_id", "absorbed"), "absorbed", "left_semi").join(known.withColumnRenamed("entity_id", "surviving"), "surviving", "left_semi").dropDuplicates(["absorbed"])
+    gone = pairs.select(F.col("absorbed").alias("entity_id"), "surviving")
+    extra = layer.entities.join(gone, "entity_id").groupBy(F.col("surviving").alias("entity_id")).agg(F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("_more"))
+    left = layer.entities.join(gone, "entity_id", "left_anti").join(extra, "entity_id", "left")
+    entities = left.withColumn("aliases", F.when(F.col("_more").isNotNull(), F.array_sort(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), "_more"))).otherwise(F.col("aliases"))).drop("_more")
+
+    def renamed(df: DataFrame, column: str) -> DataFrame:
+        m = gone.withColumnsRenamed({"entity_id": column, "surviving": "_to"})
+        return df.join(m, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to").select(*df.columns)
+
+    moved = renamed(renamed(layer.relations, "source_entity_id"), "target_entity_id")
+    moved = moved.withColumn("_id", relation_id(F.col("source_entity_id"), F.col("target_entity_id"), F.col("relation_type")))
+    ids = moved.select("relation_id", "_id")
+    relations = moved.groupBy(F.col("_id").alias("relation_id")).agg(*(F.min(c).alias(c) for c in ("source_entity_id", "target_entity_id", "relation_type")), F.max("confidence").alias("confidence"))
+    evidence = layer.evidence.join(ids, "relation_id").withColumn("relation_id", F.col("_id")).drop("_id").dropDuplicates(["relation_id", "chunk_id"]).select(*layer.evidence.columns)
+    kept, _ = recompute(relations.withColumn("reported", F.col("confidence")), evidence, layer.edges.limit(0))
+    kept = kept.drop("reported")
+    ends = layer.edges.where("type <> 'relation'")
+    for c in ("source_id", "target_id"):
+        m = gone.select(F.concat(F.lit("entity:"), "entity_id").alias(c), F.concat(F.lit("entity:"), "surviving").alias("_to"))
+        ends = ends.join(m, c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to").select(*layer.edges.columns)
+    ends = ends.withColumn("id", F.concat("source_id", F.lit("->"), "target_id", F.lit(":"), "type")).dropDuplicates(["id"])
+    edges = ends.unionByName(relation_edges(kept).select(*layer.edges.columns))
+    return Layer(entities, kept, evidence, edges), nodes.join(gone.select("entity_id"), "entity_id", "left_anti").select(*nodes.columns)
+
+
+def semantic_delta(notes: DataFrame, state: DataFrame, model: str | None = None, force: bool = False) -> DataFrame:
+    """note_id, process, reason of notes(note_id, title, body) against state(note_id, content_hash, semantic_status, extraction_model)."""
+    n = notes.select("note_id", content_hash(F.col("title"), F.col("body")).alias("hash"))
+    s = state.select("note_id", "content_hash", "semantic_status", "extraction_model", F.lit(True).alias("known"))
+    reason = F.when(F.lit(force), "force").when(F.col("known").isNull(), "no_state").when(F.col("hash") != F.coalesce("content_hash", F.lit("")), "hash_changed").when(F.coalesce("semantic_status", F.lit("")) != "success", "status_not_success")
+    if model is not None:
+        reason = reason.when(F.coalesce("extraction_model", F.lit("")) != model, "model_changed")
+    return n.join(s, "note_id", "left").select("note_id", reason.otherwise("equal").alias("reason")).withColumn("process", F.col("reason") != "equal")
+
+
+def semantic_status(state: DataFrame, notes: DataFrame) -> DataFrame:
+    """note_id, semantic_status (`pending` where there is none) and error of notes(note_id)."""
+    s = state.select("note_id", "semantic_status", "error")
+    return notes.select("note_id").join(s, "note_id", "left").withColumn("semantic_status", F.coalesce("semantic_status", F.lit("pending")))
+
+
+def lazy_cascade(evidence: DataFrame, notes: DataFrame) -> DataFrame:
+    """relation_id: relations that notes(note_id) evidence. Nothing more is to be done, as confidences are aggregates over the evidence."""
+    return evidence.join(notes.select("note_id").distinct(), "note_id", "left_semi").select("relation_id").distinct()
+
+
+def run_semantic(layer: Layer, notes: DataFrame, state: DataFrame, first_chunks: DataFrame, provider: Provider | None = None, model: str = "stub", health: Health | None = None, force: bool = False, granularity: str = "per-note") -> tuple[Layer, DataFrame, DataFrame]:
+    """The layer and state after a semantic run over notes(note_id, title, body), and affected (note_id, entity_id).
+
+    state(note_id, content_hash, semantic_status, extraction_model, error). Notes that changed are extracted and persisted; notes
+    with an error in every unit keep what they had and are `failed`. If the provider is down nothing changes.
+    """
+    provider = provider or StubProvider()
+    none = layer.edges.limit(0).select(F.col("source_id").alias("note_id"), F.col("target_id").alias("entity_id"))
+    if (health or Health()).check(provider) != "up":
+        return layer, state, none
+    todo = staged(notes.join(semantic_delta(notes, state, model, force).where("process").select("note_id"), "note_id", "left_semi"), "semantic-todo")
+    found = staged(extract(units(todo, granularity), provider), "extractions")
+    failed = staged(found.groupBy("note_id").agg(F.min(F.col("error").isNotNull()).alias("all"), F.max("error").alias("error")).where("all").select("note_id", "error"), "failed")
+    good = todo.join(failed.select("note_id"), "note_id", "left_anti")
+    before = entities_of_notes(layer.edges).join(good.select("note_id"), "note_id", "left_semi")
+    new = persist(layer, good, extracted_entities(found), extracted_relations(found), first_chunks)
+    after = entities_of_notes(new.edges).join(good.select("note_id"), "note_id", "left_semi")
+    rows = todo.join(failed, "note_id", "left").select("note_id", content_hash(F.col("title"), F.col("body")).alias("content_hash"), F.when(F.col("error").isNull(), "success").otherwise("failed").alias("semantic_status"), F.lit(model).alias("extraction_model"), "error")
+    return new, staged(merge(state, rows, ["note_id"]), "semantic-state"), affected(before, after)
+
+
+def enriched_only(rows: DataFrame, source: str = "enrichment") -> DataFrame:
+    return rows.where(F.col("source") == source)
+
+
+def without_enrichment(rows: DataFrame, notes: DataFrame, source: str = "enrichment") -> DataFrame:
+    """rows(source, source_id) without the enrichment of notes(note_id); what users or the extraction made stays."""
+    gone = notes.select(F.concat(F.lit("note:"), "note_id").alias("source_id")).distinct()
+    made = F.coalesce(F.col("source") == source, F.lit(False))
+    return rows.where(~made).unionByName(rows.where(made).join(gone, "source_id", "left_anti").select(*rows.columns))
+
+
+def enrichment_tags(mentions: DataFrame, most: int = 3, of: int = 5) -> DataFrame:
+    """note_id, place, tag: slugs of the top entities of each note by confidence. mentions(note_id, name, confidence)."""
+    w = Window.partitionBy("note_id").orderBy(F.desc("confidence"), "name")
+    t = mentions.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= of).withColumn("tag", tag_slug(F.col("name")))
+    return t.where((F.col("tag") != "") & (F.col("place") <= most)).select("note_id", "place", "tag")
+
+
+def enrichment_links(mentions: DataFrame, notes: DataFrame, most: int = 3) -> DataFrame:
+    """note_id, place, target of mentions(note_id, name, confidence): notes whose title is a mentioned name, the most confident first."""
+    from noteforge.functions.text import title_key
+    from noteforge.operators.indexing import title_index
+
+    m = mentions.withColumn("key", title_key(F.col("name"))).join(title_index(notes), "key").groupBy("note_id", F.col("target_id").alias("target")).agg(F.max("confidence").alias("c"))
+    w = Window.partitionBy("note_id").orderBy(F.desc("c"), "target")
+    return m.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("note_id", F.col("place").cast("long").alias("place"), "target")
+
+
+def embed_chunks(chunks: DataFrame, provider: Provider | None = None, model: str = "stub", batch: int = 32) -> DataFrame:
+    """chunk_id, model, dims, vector: the provider gets `batch` texts at a time; an error names the task's batch."""
     provider = provider or StubProvider()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = 0
         for b in batches:
-            v = provider.embeddings(b["content"].tolist())
-            if len(v) != len(b):
-                raise ValueError(f"{len(v)} vectors for {len(b)} texts")
-            yield pd.DataFrame({"chunk_id": b["chunk_id"].array, "model": model, "dims": [len(x) for x in v], "vector": list(v)})
+            texts, vectors = b["content"].fillna("").tolist(), []
+            for at in range(0, len(texts), batch):
+                number += 1
+                try:
+                    v = provider.embeddings(texts[at : at + batch])
+                    if len(v) != len(texts[at : at + batch]):
+                        raise ValueError(f"{len(v)} vectors for {len(texts[at : at + batch])} texts")
+                except Exception as e:
+                    raise RuntimeError(f"embedding batch {number} failed: {e}") from e
+                vectors += list(v)
+            yield pd.DataFrame({"chunk_id": b["chunk_id"].array, "model": model, "dims": [len(x) for x in vectors], "vector": vectors})
 
     return chunks.select("chunk_id", "content").mapInPandas(run, "chunk_id string, model string, dims int, vector array<float>")
+
+
+def stale_vectors(vectors: DataFrame, model: str) -> DataFrame:
+    """chunk_id, model of the vectors of another model."""
+    return vectors.where(~F.col("model").eqNullSafe(model)).select("chunk_id", "model")

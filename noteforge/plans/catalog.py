@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noteforge.functions import text as tx
 from noteforge.operators import chats as ch
+from noteforge.operators import extraction as xt
 from noteforge.operators import indexing as ix
 from noteforge.operators import retrieval as rt
 from noteforge.operators import runs as rn
@@ -75,7 +76,7 @@ def bm25_topk(spark, d):
 
 @query("SELECT item_id AS query_id, 'd' || doc_id AS note_id, 0.0::DOUBLE AS score FROM documents, benchmark WHERE contains(lower(documents.text), lower(benchmark.text))")
 def like_fallback(spark, d):
-    return rt.like(src.benchmark_queries(spark, d), src.notes(spark, d), ["body"]).select("query_id", "note_id", "score")
+    return rt.like(src.benchmark_queries(spark, d), src.notes(spark, d), ["body"], "note_id")
 
 
 _EDIT = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -125,7 +126,8 @@ def graph_degree(spark, d):
 
 def _hits(spark, d):
     q, c = src.benchmark_queries(spark, d), src.chunks(spark, d)
-    return {"bm25": rt.bm25(q, c), "tfidf": rt.tfidf(q, c)}
+    index = rt.Index.of(c)
+    return {"bm25": rt.bm25(q, c, index=index), "tfidf": rt.tfidf(q, c, index=index)}
 
 
 @query(f"WITH {TFIDF}, {BM25}, {RRF} SELECT query_id, chunk_id, score FROM rrf")
@@ -147,8 +149,9 @@ def contributing_retrievers(spark, d):
 o AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id ROWS UNBOUNDED PRECEDING) AS upto FROM h WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, chunk_id))
 SELECT query_id, place, chunk_id, note_id, score, tokens FROM o WHERE NOT (upto > 4000 AND upto - tokens > 0)""")
 def context_assemble(spark, d):
-    hits = rt.fuse(_hits(spark, d)).join(src.chunks(spark, d), "chunk_id")
-    return rt.assemble(hits)
+    sizes = src.chunks(spark, d).select("chunk_id", "note_id", tx.estimate_tokens(F.col("content")).alias("tokens"))
+    hits = rt.fuse(_hits(spark, d)).drop("note_id").join(sizes, "chunk_id")
+    return rt.assemble(hits).select("query_id", "place", "chunk_id", "note_id", "score", "tokens")
 
 
 @query("SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents")
@@ -164,18 +167,28 @@ def content_hash(spark, d):
     return src.notes(spark, d).select("note_id", tx.content_hash(F.col("title"), F.col("body")).alias("content_hash"))
 
 
-@query()
+#: Documents hold no headings and fences, so a note is one section, cut at the last blank line, line end or blank in the second half.
+_CUT = "coalesce(" + ", ".join(f"nullif((SELECT CASE WHEN p BETWEEN 1000 AND 2000 THEN p ELSE -1 END FROM (SELECT length(head) - strpos(reverse(head), reverse({m})) - {n} + 1 AS p, strpos(head, {m}) AS f FROM (SELECT substr(rest, 1, 2000 + {n}) AS head)) WHERE f > 0), -1)" for m, n in (("chr(10) || chr(10)", 2), ("chr(10)", 1), ("' '", 1))) + ", 2000)"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+CHUNKS = f"""w AS (SELECT doc_id, trim('# Document ' || doc_id || chr(10) || chr(10) || text, {_BLANKS}) AS t FROM documents WHERE trim(text, {_BLANKS}) <> ''),
+r AS (SELECT doc_id, 0 AS n, NULL::VARCHAR AS piece, t AS rest FROM w UNION ALL SELECT doc_id, n + 1, trim(substr(rest, 1, cut), {_BLANKS}), trim(substr(rest, cut + 1), {_BLANKS}) FROM (SELECT *, CASE WHEN length(rest) <= 2000 THEN length(rest) ELSE {_CUT} END AS cut FROM r WHERE rest <> '')),
+raw AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index, piece AS raw FROM r WHERE piece <> ''),
+led AS (SELECT *, ltrim(right(lag(raw) OVER (PARTITION BY doc_id ORDER BY chunk_index), 200), {_BLANKS}) AS tail FROM raw),
+ch AS (SELECT 'd' || doc_id || ':' || chunk_index AS chunk_id, 'd' || doc_id AS note_id, chunk_index, raw, CASE WHEN coalesce(tail, '') = '' OR (length(tail) > 20 AND starts_with(raw, substr(tail, 1, 20))) THEN raw ELSE tail || chr(10) || chr(10) || raw END AS content FROM led)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, note_id, chunk_index, content, ceil(length(content) / 4.0)::BIGINT AS token_count FROM ch")
 def chunk_notes(spark, d):
     return ix.chunk_notes(src.notes(spark, d)).select("chunk_id", "note_id", "chunk_index", "content", "token_count")
 
 
-@query("SELECT 'd' || doc_id AS note_id, 0::BIGINT AS position, '# Document ' || doc_id AS heading FROM documents")
+@query(f"WITH RECURSIVE {CHUNKS} SELECT note_id, chunk_index AS position, regexp_extract(raw, '^([^\n]*)', 1) AS heading FROM ch")
 def chunk_sections(spark, d):
-    first = ix.chunk_notes(src.notes(spark, d)).where("chunk_index = 0")
-    return first.select("note_id", F.col("chunk_index").alias("position"), F.regexp_extract("raw", r"^(.*)", 1).alias("heading"))
+    c = ix.chunk_notes(src.notes(spark, d))
+    return c.select("note_id", F.col("chunk_index").alias("position"), F.regexp_extract("raw", r"^([^\n]*)", 1).alias("heading"))
 
 
-@query()
+@query(f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, length(content) - length(raw) AS overlap FROM ch")
 def chunk_overlap(spark, d):
     c = ix.chunk_notes(src.notes(spark, d))
     return c.select("chunk_id", (F.length("content") - F.length("raw")).cast("long").alias("overlap"))
@@ -205,21 +218,27 @@ def link_resolve(spark, d):
 @query(f"WITH {LINKS} SELECT note_id, count(*) FILTER (WHERE target_id IS NULL) AS unresolved FROM r GROUP BY note_id")
 def unresolved_links(spark, d):
     n = _linked(spark, d)
-    return ix.resolve_links(ix.wiki_links(n), n).groupBy("note_id").agg(F.count_if(F.col("target_id").isNull()).alias("unresolved"))
+    return ix.unresolved(ix.resolve_links(ix.wiki_links(n), n))
 
 
-@query(f"WITH {LINKS} SELECT DISTINCT target_id || '->' || note_id || ':backlink' AS id, target_id AS source_id, note_id AS target_id FROM r WHERE target_id IS NOT NULL")
+@query(f"WITH {LINKS} SELECT DISTINCT 'note:' || target_id || '->note:' || note_id || ':backlink' AS id, 'note:' || target_id AS source_id, 'note:' || note_id AS target_id FROM r WHERE target_id IS NOT NULL")
 def backlinks(spark, d):
     n = _linked(spark, d)
-    r = ix.resolve_links(ix.wiki_links(n), n).where("target_id IS NOT NULL")
-    return r.select(F.concat("target_id", F.lit("->"), "note_id", F.lit(":backlink")).alias("id"), F.col("target_id").alias("source_id"), F.col("note_id").alias("target_id")).distinct()
+    edges = ix.structural_edges(ix.resolve_links(ix.wiki_links(n), n), _tagged(spark, d))
+    return edges.where("type = 'backlink'").select("id", "source_id", "target_id")
 
 
 @query("SELECT 'note:d' || doc_id || '->tag:' || tag || ':tag' AS id, 'note:d' || doc_id AS source_id, 'tag:' || tag AS target_id FROM (SELECT doc_id, lang AS tag FROM documents UNION SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1)")
 def tag_edges(spark, d):
-    t = src.table(spark, d, "documents").select("doc_id", F.col("lang").alias("tag")).union(src.table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit("toxic"))).distinct()
-    a, b = F.concat(F.lit("note:d"), "doc_id"), F.concat(F.lit("tag:"), "tag")
-    return t.select(F.concat(a, F.lit("->"), b, F.lit(":tag")).alias("id"), a.alias("source_id"), b.alias("target_id"))
+    none = spark.createDataFrame([], "note_id string, target_id string")
+    return ix.structural_edges(none, _tagged(spark, d)).select("id", "source_id", "target_id")
+
+
+def _tagged(spark, d):
+    """note_id, tag_id, title: each document's language and, where it is labelled so, `toxic`, as tags of notes."""
+    tags = src.table(spark, d, "documents").select(F.col("lang").alias("tag_id")).union(spark.range(1).select(F.lit("toxic"))).distinct().withColumn("title", F.upper("tag_id"))
+    given = src.table(spark, d, "documents").select("doc_id", F.col("lang").alias("tag_id")).union(src.table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit("toxic")))
+    return ix.tags_of(tags, given.select(F.concat(F.lit("d"), "doc_id").alias("note_id"), "tag_id"))
 
 
 @query("""SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY ALL""")
@@ -241,7 +260,7 @@ def scope_notes(spark, d):
     f = src.folders(spark, d)
     scope = ix.descendants(f, f.where("parent_id IS NULL"))
     c = src.table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("note_id"), F.concat(F.lit("n"), "c_nationkey").alias("id"))
-    return c.join(F.broadcast(scope), "id").select("root", "note_id")
+    return c.join(scope, "id").select("root", "note_id")
 
 
 #: A state table derived from the documents: one note in seven is unknown, others changed, failed long ago or just now, or pending.
@@ -272,15 +291,13 @@ def delta_decisions(spark, d):
 @query(f"""WITH {STATE} SELECT n.note_id, CASE WHEN s.note_id IS NULL THEN 'no_state' WHEN hash <> content_hash THEN 'hash_changed' WHEN structural_status <> 'success' THEN 'status_not_success' WHEN coalesce(extraction_model, '') <> 'model' THEN 'model_changed' ELSE 'equal' END AS reason
 FROM (SELECT 'd' || doc_id AS note_id, {HASH} AS hash FROM documents) n LEFT JOIN s USING (note_id)""")
 def semantic_delta(spark, d):
-    n = src.notes(spark, d).select("note_id", tx.content_hash(F.col("title"), F.col("body")).alias("hash"))
-    s = _state(spark, d)
-    reason = F.when(s["note_id"].isNull(), "no_state").when(F.col("hash") != F.col("content_hash"), "hash_changed").when(F.col("structural_status") != "success", "status_not_success")
-    return n.join(s, n["note_id"] == s["note_id"], "left").select(n["note_id"], reason.when(F.coalesce("extraction_model", F.lit("")) != "model", "model_changed").otherwise("equal").alias("reason"))
+    state = _state(spark, d).withColumnRenamed("structural_status", "semantic_status")
+    return sm.semantic_delta(src.notes(spark, d), state, "model").select("note_id", "reason")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_notes(spark, d):
-    return src.table(spark, d, "documents").select("doc_id").join(src.table(spark, d, "labels"), "doc_id", "left_anti")
+    return ix.orphans(src.table(spark, d, "documents"), src.table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -297,17 +314,23 @@ def index_state_merge(spark, d):
     return ix.merge(_state(spark, d), new, ["note_id"], {"updated_at": at})
 
 
-@query("SELECT vec_id, label::BIGINT AS model FROM embeddings WHERE label <> 3")
+@query("SELECT 'd' || vec_id || ':0' AS chunk_id, CASE WHEN label = 5 THEN NULL ELSE 'm' || label END AS model FROM embeddings WHERE label <> 3")
 def embedding_stale_models(spark, d):
-    return src.table(spark, d, "embeddings").where("label <> 3").select("vec_id", F.col("label").cast("long").alias("model"))
+    model = F.when(F.col("label") != 5, F.concat(F.lit("m"), "label"))
+    return sm.stale_vectors(src.table(spark, d, "embeddings").select(F.concat(F.lit("d"), "vec_id", F.lit(":0")).alias("chunk_id"), model.alias("model")), "m3")
+
 
+_ENT = "trim(regexp_replace(regexp_replace(lower(trim(nfc_normalize({0}))), '\\s+', ' ', 'g'), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))"
 
-_ENT = "trim(regexp_replace(regexp_replace(lower(trim({0})), '\\s+', ' ', 'g'), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))"
 
+#: Part names with accents, composed on odd keys and decomposed on even ones, in signs and blanks that don't count.
+_ACCENTED = "CASE WHEN p_partkey % 2 = 1 THEN '!!Café  ' || p_name || '.' ELSE ' Cafe' || chr(769) || ' ' || upper(p_name) END"
 
-@query(f"SELECT p_partkey, {_ENT.format('p_name')} AS key, 'ent_' || substr(sha256({_ENT.format('p_name')}), 1, 16) AS entity_id FROM part")
+
+@query(f"SELECT p_partkey, {_ENT.format(_ACCENTED)} AS key, 'ent_' || substr(sha256({_ENT.format(_ACCENTED)}), 1, 16) AS entity_id FROM part")
 def entity_normalize(spark, d):
-    p = src.table(spark, d, "part").select("p_partkey", tx.entity_key(F.col("p_name")).alias("key"))
+    name = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("!!Café  "), "p_name", F.lit("."))).otherwise(F.concat(F.lit(" Cafe\u0301 "), F.upper("p_name")))
+    p = src.table(spark, d, "part").select("p_partkey", tx.entity_key(name).alias("key"))
     return p.withColumn("entity_id", tx.entity_id(F.col("key")))
 
 
@@ -327,17 +350,20 @@ def entity_similarity_pairs(spark, d):
 
 @query()
 def entity_merge_greedy(spark, d):
-    e = src.table(spark, d, "embeddings").select(F.col("label").alias("part"), F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"))
-    return sm.greedy_merge(e)
+    e = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"))
+    return sm.greedy_merge(e, threshold=0.4)
 
 
 @query("SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS aliases, max(p_size)::BIGINT AS confidence FROM part GROUP BY p_brand")
 def alias_union(spark, d):
     p = src.table(spark, d, "part")
-    halves = [p.where(F.col("p_partkey") % 2 == k).groupBy("p_brand").agg(F.collect_set("p_type").alias(f"a{k}"), F.max("p_size").alias(f"m{k}")) for k in (0, 1)]
-    j = halves[0].join(halves[1], "p_brand", "full_outer")
-    none = F.array().cast("array<string>")
-    return j.select("p_brand", F.array_join(F.array_sort(F.array_union(F.coalesce("a0", none), F.coalesce("a1", none))), "|").alias("aliases"), F.greatest("m0", "m1").cast("long").alias("confidence"))
+
+    def half(k):
+        g = p.where(F.col("p_partkey") % 2 == k).groupBy("p_brand").agg(F.collect_set("p_type").alias("aliases"), F.max("p_size").cast("double").alias("confidence"))
+        return g.select(F.col("p_brand").alias("entity_id"), F.lower("p_brand").alias("canonical_name"), F.lit("brand").alias("type"), "confidence", "aliases")
+
+    out = sm.upsert_entities(half(0), half(1))
+    return out.select(F.col("entity_id").alias("p_brand"), F.array_join(F.array_sort("aliases"), "|").alias("aliases"), F.col("confidence").cast("long").alias("confidence"))
 
 
 @query("SELECT l_suppkey, l_partkey, count(*) AS n, round(greatest(1 - pow(0.4, count(*)), max(coalesce(l_discount, 0.6))), 6) AS confidence FROM lineitem GROUP BY ALL")
@@ -363,7 +389,7 @@ def extraction_parse(spark, d):
     two = F.concat(F.lit('{"entities":[{"name":"A","type":"'), "o_orderpriority", F.lit('","confidence":0.5},{"name":"B"}],"relations":'))
     k = F.col("o_orderkey") % 4
     raw = F.when(k == 0, "invalid json").when(k == 1, '{"entities":[{"name":"A"},{"name":" "}]}').when(k == 2, F.concat(F.lit("```json\n"), two, F.lit("[]}\n```"))).otherwise(F.concat(two, F.lit('[{"from":"A","to":"B","type":"r"},{"from":"A","to":"","type":"r"}]}')))
-    x = o.select("o_orderkey", sm.parse_extraction(raw).alias("x"))
+    x = o.select("o_orderkey", xt.parse_extraction(raw).alias("x"))
     return x.select("o_orderkey", F.size("x.entities").cast("long").alias("n_entities"), F.size("x.relations").cast("long").alias("n_relations"), F.array_join(F.transform("x.entities", lambda e: e["type"]), "|").alias("types"))
 
 
@@ -386,12 +412,9 @@ def enrichment_tags(spark, d):
 @query("""WITH t AS (SELECT lower(trim(p_name)) AS key, arg_min(p_partkey, p_partkey) AS target FROM part GROUP BY ALL), m AS (SELECT l_orderkey AS note_id, target, max(l_quantity) AS c FROM lineitem JOIN part ON l_partkey = p_partkey JOIN t ON key = lower(trim(p_name)) GROUP BY ALL)
 SELECT note_id, place, target FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY c DESC, target) AS place FROM m) WHERE place <= 3""")
 def enrichment_links(spark, d):
-    p = src.table(spark, d, "part")
-    titles = ix.title_index(p.select(F.col("p_partkey").alias("note_id"), F.col("p_name").alias("title"), F.col("p_partkey").alias("created_at")))
-    named = p.select(F.col("p_partkey").alias("l_partkey"), tx.title_key(F.col("p_name")).alias("key"))
-    m = src.table(spark, d, "lineitem").join(named, "l_partkey").join(titles, "key").groupBy(F.col("l_orderkey").alias("note_id"), F.col("target_id").alias("target")).agg(F.max("l_quantity").alias("c"))
-    w = Window.partitionBy("note_id").orderBy(F.desc("c"), "target")
-    return m.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("note_id", "place", "target")
+    p = src.table(spark, d, "part").select(F.col("p_partkey").alias("note_id"), F.col("p_name").alias("title"), F.col("p_partkey").alias("created_at"))
+    m = src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("note_id"), F.col("l_quantity").alias("confidence"))
+    return sm.enrichment_links(m.join(p, "note_id").select(F.col("order").alias("note_id"), F.col("title").alias("name"), "confidence"), p)
 
 
 RUNS = "r AS (SELECT event_id AS id, user_id AS queue, CASE event_type WHEN 'click' THEN 'structural' ELSE 'semantic' END AS pipeline, CASE event_type WHEN 'error' THEN 'failed' ELSE 'success' END AS status, ts AS started_at FROM events)"
@@ -418,10 +441,11 @@ def run_queue_order(spark, d):
     return rn.queue_order(e).select("id", "queue", "place")
 
 
-@query("SELECT o_orderkey AS batch_id, count(*) AS notes, sum(l_quantity)::DOUBLE AS chunks, string_agg(DISTINCT l_returnflag, '; ' ORDER BY l_returnflag) AS errors FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+@query("SELECT l_orderkey AS batch_id, count(*) AS phases, count(*) AS processed, sum(l_quantity)::DOUBLE AS chunks, coalesce(string_agg(CASE WHEN l_returnflag <> 'N' THEN 'line ' || l_linenumber || ': ' || l_returnflag END, '; ' ORDER BY l_linenumber, l_returnflag), '') AS errors FROM lineitem GROUP BY l_orderkey")
 def batch_rollup(spark, d):
-    j = src.table(spark, d, "orders").select("o_orderkey").join(src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_returnflag"), "o_orderkey")
-    return j.groupBy(F.col("o_orderkey").alias("batch_id")).agg(F.count(F.lit(1)).alias("notes"), F.sum("l_quantity").cast("double").alias("chunks"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "; ").alias("errors"))
+    errors = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("line "), "l_linenumber", F.lit(": "), "l_returnflag"))
+    phases = src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("batch_id"), F.col("l_linenumber").alias("place"), F.lit(1).cast("long").alias("processed"), F.col("l_quantity").cast("double").alias("chunks"), errors.alias("errors"))
+    return rn.rollup(phases, ["processed", "chunks"])
 
 
 @query("SELECT t AS tick FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-08', INTERVAL 1 MINUTE)) AS t) WHERE minute(t) IN (0, 30) AND hour(t) BETWEEN 6 AND 18 AND dayofweek(t) BETWEEN 1 AND 5")
@@ -429,10 +453,14 @@ def schedule_ticks(spark, d):
     return rn.cron_ticks(spark, "2024-01-01 00:00:00", "2024-01-08 00:00:00", "*/30 6-18 * * 1-5")
 
 
-@query("SELECT DISTINCT p_size || 'm' AS text, p_size * 60000::BIGINT AS ms FROM part UNION SELECT 'every ' || p_size || 'h', p_size * 3600000::BIGINT FROM part UNION SELECT 'off', -1")
+#: Forms of an interval and their milliseconds a unit (0: none).
+FORMS = {"{}m": 60_000, "every {}h": 3_600_000, "{} min": 60_000, "{} minutes": 60_000, "every {} hours": 3_600_000, "{} Day": 86_400_000, " {}d ": 86_400_000, "{} secs": 1000, "every {} weeks": 0, "{}": 0}
+
+
+@query("SELECT DISTINCT replace(f, '{}', p_size::VARCHAR) AS text, CASE WHEN ms = 0 THEN -1 ELSE p_size * ms END AS ms FROM part, (VALUES " + ", ".join(f"('{f}', {ms}::BIGINT)" for f, ms in FORMS.items()) + ") v(f, ms)")
 def parse_interval(spark, d):
-    s = src.table(spark, d, "part").select("p_size").distinct()
-    t = s.select(F.concat("p_size", F.lit("m")).alias("text")).union(s.select(F.concat(F.lit("every "), "p_size", F.lit("h")))).union(spark.range(1).select(F.lit("off")))
+    s = src.table(spark, d, "part").select(F.col("p_size").cast("string").alias("n")).distinct()
+    t = s.select(F.explode(F.array(*(F.replace(F.lit(f), F.lit("{}"), F.col("n")) for f in FORMS))).alias("text"))
     return t.select("text", F.coalesce(tx.interval_ms(F.col("text")), F.lit(-1)).alias("ms"))
 
 
@@ -474,19 +502,22 @@ def evidence_remove(spark, d):
     return sm.relation_confidence(ix.purge(src.table(spark, d, "lineitem"), gone, "l_orderkey"), ["l_suppkey", "l_partkey"])
 
 
-@query(f"SELECT l_orderkey, l_linenumber::BIGINT AS line, 'ent_' || substr(sha256({_ENT.format('p_name')}), 1, 16) AS entity_id FROM lineitem JOIN part ON l_partkey = p_partkey")
+@query(f"SELECT l_orderkey, l_linenumber::BIGINT AS line, 'ent_' || substr(sha256({_ENT.format('p_name')}), 1, 16) AS entity_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {_ENT.format('p_name')} IN (SELECT {_ENT.format('p_name')} FROM part WHERE p_size <= 5)")
 def entity_name_lookup(spark, d):
-    p = src.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), tx.entity_id(tx.entity_key(F.col("p_name"))).alias("entity_id"))
-    return src.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), "l_partkey").join(p, "l_partkey").drop("l_partkey")
+    """Lines whose part's name, in upper case, is that of a known entity (parts of size 5 or less)."""
+    known = sm.canonicalize(src.table(spark, d, "part").where("p_size <= 5").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.lit(0.5).alias("confidence")))
+    names = src.table(spark, d, "lineitem").join(src.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.upper("p_name").alias("name")), "l_partkey")
+    return sm.resolve_names(names, "name", known, "entity_id").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), "entity_id")
 
 
 def _messages(spark, d):
     return src.table(spark, d, "conversations").select(F.col("conv_id").alias("conversation_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
 
 
-@query("SELECT conv_id AS conversation_id, count(*) AS messages, max(turn) AS last_seq FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS conversation_id, count(*) AS messages, max(turn) AS last_seq, max(TIMESTAMP '2024-01-01' + to_hours(turn * conv_id % 7)) AS updated_at FROM conversations GROUP BY conv_id")
 def conversation_list(spark, d):
-    return _messages(spark, d).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"), F.max("seq").alias("last_seq"))
+    changed = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(seq * conversation_id % 7 AS int), 0, 0)")
+    return ch.conversation_list(_messages(spark, d).withColumn("changed_at", changed))
 
 
 @query("SELECT conv_id AS conversation_id, max(turn) + 1 AS next_seq FROM conversations GROUP BY conv_id")
@@ -521,10 +552,13 @@ def context_block(spark, d):
     return rn.context_block(hits).withColumn("block", F.sha2("block", 256))
 
 
-@query("SELECT documents.doc_id, 'Document ' || documents.doc_id AS title, coalesce(quality, -1)::BIGINT AS quality FROM documents LEFT JOIN labels USING (doc_id) WHERE contains(lower(text), 'license')")
+@query(f"""WITH {DOCS}, {TERMS}, {BM25} SELECT query_id, chunk_id, note_id, rank, score, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Document ' || doc_id END AS title FROM bm25 JOIN c USING (chunk_id) JOIN (SELECT doc_id, 'd' || doc_id AS note_id FROM documents) USING (note_id)""")
 def title_search_left_join(spark, d):
-    n = src.table(spark, d, "documents").where(F.contains(F.lower("text"), F.lit("license"))).select("doc_id", F.concat(F.lit("Document "), "doc_id").alias("title"))
-    return n.join(src.table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "title", F.coalesce("quality", F.lit(-1)).cast("long").alias("quality"))
+    """Search rows keep chunks whose note isn't there (every third), with an empty title."""
+    chunks = src.chunks(spark, d)
+    hits = rt.bm25(src.benchmark_queries(spark, d), chunks).join(chunks.select("chunk_id", "note_id"), "chunk_id")
+    some = src.notes(spark, d).where(F.substring("note_id", 2, 20).cast("long") % 3 != 0).select("note_id", "title")
+    return hits.join(some, "note_id", "left").select("query_id", "chunk_id", "note_id", "rank", "score", F.coalesce("title", F.lit("")).alias("title"))
 
 
 @query()
@@ -622,3 +656,6 @@ def conversation_delete(spark, d):
 def conversation_update(spark, d):
     c = _store(spark, d).groupBy("conversation_id").agg(F.lit(None).cast("string").alias("title"), F.max("changed_at").alias("updated_at"))
     return ch.rename(c, c.where("conversation_id % 3 = 0").select("conversation_id", F.lit("renamed").alias("title")), _now())
+
+
+from noteforge.plans import facade, layers  # noqa: E402, F401  # they add their queries

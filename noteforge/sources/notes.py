@@ -31,3 +31,24 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"))
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
     return r.union(n)
+
+
+#: Values that columns of the index may have (fixed values).
+DOMAINS = {
+    "layer": ["structural", "semantic"],
+    "kind": ["note", "entity", "relation"],
+    "type": ["link", "backlink", "tag", "mention", "relation"],
+    "structural_status": ["pending", "success", "failed"],
+    "semantic_status": ["pending", "success", "failed"],
+    "status": ["running", "success", "failed", "cancelled"],
+    "pipeline": ["structural", "semantic", "both"],
+}
+
+
+def out_of_domain(rows: DataFrame, domains: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows with a value that a column's domain doesn't hold; null is in every domain."""
+    wrong = F.lit(False)
+    for column, values in (domains or DOMAINS).items():
+        if column in rows.columns:
+            wrong = wrong | F.coalesce(~F.col(column).isin(values), F.lit(False))
+    return rows.where(wrong)

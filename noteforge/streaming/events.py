@@ -78,3 +78,157 @@ def bounded_buffer(keys: list, most: int = 1000) -> tuple[list, list]:
             del waiting[first]
         waiting[k] = True
     return list(waiting), dropped
+
+
+def flush_batches(events: DataFrame, gap: str, key: str = "note_id") -> DataFrame:
+    """flush_at, notes (sorted), n: the second debounce. Debounced notes whose timers fire closer than gap go in one flush, a gap after the last.
+
+    One shared timer takes few rows (a flush for each quiet time), from sessions of keys that were already aggregated.
+    """
+    fired = debounce(events, gap, key).select(key, (F.col("ended") + F.expr(f"interval {gap}")).alias("ts"))
+    flushed = fired.groupBy(F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_set(key)).alias("notes"), F.max("ts").alias("_last"))
+    return flushed.select((F.col("_last") + F.expr(f"interval {gap}")).alias("flush_at"), "notes", F.size("notes").cast("long").alias("n"))
+
+
+def gate(requests: DataFrame, locks: DataFrame) -> DataFrame:
+    """requests(request_id, ts) with deferred and run_at: what comes while locked (locks: began, ended) waits for the unlock.
+
+    A lock without an end holds what comes for good (run_at null). Locks don't overlap.
+    """
+    l = locks.select(F.col("began").alias("_b"), F.col("ended").alias("_e"))
+    inside = (F.col("ts") >= F.col("_b")) & (F.col("_e").isNull() | (F.col("ts") < F.col("_e")))
+    hit = requests.join(F.broadcast(l) if l.limit(10_001).count() <= 10_000 else l, inside, "left")
+    return hit.withColumn("deferred", F.col("_b").isNotNull()).withColumn("run_at", F.when(F.col("_b").isNull(), F.col("ts")).otherwise(F.col("_e"))).drop("_b", "_e")
+
+
+class Coalesce:
+    """One run at a time: of requests that come while it is busy only the latest waits, and runs when it ends."""
+
+    def __init__(self, busy: float):
+        self.busy, self.until, self.waiting = busy, None, None
+
+    def offer(self, request, at: float) -> list[tuple[object, float, str]]:
+        """(request, time, `run` or `dropped`) that this request brings about."""
+        out = []
+        while self.until is not None and at >= self.until:
+            if self.waiting is None:
+                self.until = None
+                break
+            out.append((self.waiting, self.until, "run"))
+            self.waiting, self.until = None, self.until + self.busy
+        if self.until is None:
+            self.until = at + self.busy
+            return [*out, (request, at, "run")]
+        if self.waiting is not None:
+            out.append((self.waiting, at, "dropped"))
+        self.waiting = request
+        return out
+
+    def end(self) -> list[tuple[object, float, str]]:
+        return [] if self.waiting is None else [(self.waiting, self.until, "run")]
+
+
+def coalesced(requests: DataFrame, busy: float, key: str = "pipeline") -> DataFrame:
+    """key, request_id, at, outcome (`run` or `dropped`) of requests(key, request_id, ts), where each run takes `busy` seconds."""
+    rows = requests.select(key, "request_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "at", "request_id")
+    schema = f"{key} {requests.schema[key].dataType.simpleString()}, request_id {requests.schema['request_id'].dataType.simpleString()}, at double, outcome string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, now = None, None
+        for b in batches:
+            out = []
+            for k, r, at in zip(b[key], b["request_id"], b["at"], strict=True):
+                if state is None or k != now:
+                    out += [(now, *x) for x in (state.end() if state else [])]
+                    state, now = Coalesce(busy), k
+                out += [(k, *x) for x in state.offer(r, at)]
+            yield pd.DataFrame(out, columns=[key, "request_id", "at", "outcome"])
+        if state and (left := state.end()):
+            yield pd.DataFrame([(now, *x) for x in left], columns=[key, "request_id", "at", "outcome"])
+
+    return rows.mapInPandas(run, schema)
+
+
+def _timed(events: DataFrame, watermark: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+
+
+def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
+
+
+def rate_limited_stream(events: DataFrame, most: int = 5, seconds: float = 60.0, key: str = "note_id", watermark: str = "10 minutes") -> DataFrame:
+    """event_id, refused as a stream: the window's begin and count are the key's state, and go when a window has passed."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        limit = RateLimit(most, seconds)
+        if state.exists:
+            limit.began[0] = state.get
+        rows = _in_order(batches, ["ts", "event_id"])
+        refused = [limit.refuse(0, t.timestamp(), bool(f)) for t, f in zip(rows["ts"], rows["failed"], strict=True)]
+        if 0 in limit.began:
+            state.update((float(limit.began[0][0]), int(limit.began[0][1])))
+            state.setTimeoutTimestamp(max(int((limit.began[0][0] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["event_id"], "refused": refused})
+
+    return _timed(events, watermark).groupBy(key).applyInPandasWithState(run, "event_id long, refused boolean", "began double, n long", "append", "EventTimeTimeout")
+
+
+def buffered_stream(events: DataFrame, most: int = 1000, queue: str = "queue", key: str = "note_id") -> DataFrame:
+    """queue, key, outcome as a stream: what a queue's bounded buffer takes in (`waiting`) and drops (`dropped`) for it; the buffer is the state."""
+    kind, queues = (events.schema[c].dataType.simpleString() for c in (key, queue))
+
+    def run(q: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        waiting = dict.fromkeys(state.get[0]) if state.exists else {}
+        out = []
+        for k in _in_order(batches, ["ts", "event_id"])[key].tolist():
+            if k not in waiting:
+                if len(waiting) >= most:
+                    out.append((q[0], first := next(iter(waiting)), "dropped"))
+                    del waiting[first]
+                out.append((q[0], k, "waiting"))
+            waiting[k] = None
+        state.update((list(waiting),))
+        yield pd.DataFrame(out, columns=[queue, key, "outcome"])
+
+    return events.groupBy(queue).applyInPandasWithState(run, f"{queue} {queues}, {key} {kind}, outcome string", f"waiting array<{kind}>", "append", "NoTimeout")
+
+
+def coalesced_stream(requests: DataFrame, busy: float, key: str = "pipeline", watermark: str = "10 minutes") -> DataFrame:
+    """coalesced() as a stream; a waiting request runs when event time passes the end of the run before it."""
+    rid, kind = (requests.schema[c].dataType.simpleString() for c in ("request_id", key))
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        c = Coalesce(busy)
+        if state.exists:
+            c.until, waiting, some = state.get
+            c.waiting = waiting if some else None
+        out = []
+        if state.hasTimedOut:
+            out = c.end()
+            c.until, c.waiting = (c.until + busy, None) if out else (None, None)
+        else:
+            rows = _in_order(batches, ["ts", "request_id"])
+            for r, t in zip(rows["request_id"].tolist(), rows["ts"], strict=True):
+                out += c.offer(r, t.timestamp())
+        if c.until is None:
+            state.remove()
+        else:
+            state.update((float(c.until), c.waiting if c.waiting is not None else 0, c.waiting is not None))
+            state.setTimeoutTimestamp(max(int(c.until * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(k[0], *x) for x in out], columns=[key, "request_id", "at", "outcome"])
+
+    return _timed(requests, watermark).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, request_id {rid}, at double, outcome string", f"until double, waiting {rid}, some boolean", "append", "EventTimeTimeout")
+
+
+def suppressed_stream(events: DataFrame, writes: DataFrame, seconds: int = 5, key: str = "note_id", watermark: str = "10 minutes") -> DataFrame:
+    """Events of a stream that don't follow one of our own writes within the window: an interval join with what was written, by watermarks."""
+    e = events.withWatermark("ts", watermark).alias("e")
+    w = writes.withColumnRenamed(key, "_key").withWatermark("written_at", watermark).alias("w")
+    inside = F.expr(f"e.{key} = w._key AND w.written_at <= e.ts AND w.written_at > e.ts - interval {seconds} seconds")
+    both = e.join(w, inside, "leftOuter")
+    return both.where("_key IS NULL").select("e.*")
