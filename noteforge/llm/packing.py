@@ -35,8 +35,8 @@ class Packing:
     sequence: int = 1024
     unit: int = 8
     end: int = 0
-    #: parts that a Python worker remembers in each of two generations at most (about 200 bytes each)
-    remember: int = 150_000
+    #: parts that a Python worker remembers in each of two generations at most: about 120 MB in all
+    remember: int = 400_000
 
 
 def default_tokenizer() -> str:
@@ -69,7 +69,7 @@ class Encoder(dict):
     that frequent parts stay however many rare ones pass.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.most, self.old = most, {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
