@@ -118,6 +118,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_shared(spark: SparkSession, name: str, content: bytes) -> None:
+    """Write a file into the shared folder and have Spark copy it to each executor, where SparkFiles.get(name) finds it."""
+    jvm = spark.sparkContext._jvm
+    path = f"{shared_dir(spark)}/noteforge/{name}"
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file, True)
+    for at in range(0, len(content), 1 << 20):
+        out.write(bytearray(content[at : at + (1 << 20)]))
+    out.close()
+    spark.sparkContext.addFile(path)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

@@ -1,31 +1,35 @@
 """URL filtering by a sorted digest array.
 
 Rules (a host and the begin of a path, block or allow) are kept as a sorted array of 64-bit xxhash keys and the rules' full
-strings. The array is memory-mapped in each worker; all hosts' suffixes and path beginnings of a batch are hashed and
-probed in one vectorised binary search, and a hit counts only if the stored string equals the probe. The longest rule wins.
+strings, in one file of the folder that driver and executors share. Spark copies it once to each executor, whose workers
+memory-map it, so that it is in memory once however many of them there are. All hosts' suffixes and path beginnings of a
+slice are hashed and probed in one vectorised binary search, and a hit counts only if the stored string equals the probe.
+The longest rule wins. A host is probed with as many of its last labels as a rule has at most, in as many signs as the longest
+rule's host and path have, so a probe is bounded by the rules and not by the url.
 
-The rules' bytes are sent to the executors up to `MOST_BYTES`; a larger list is cut into parts of that size, each of which
-makes one pass and keeps the longest match so far.
+The rules are streamed into files of `MOST_BYTES` at most; a larger list makes one pass for each file and keeps the longest
+match so far.
 
 Defined cases: a null url, or one without `://`, has empty host and path and matches nothing; a url that no rule fits is
-allowed; repeated rows are judged one by one; an empty table gives an empty result; other columns are ignored; of two
-rules for the same host and path, a block wins.
+allowed; repeated rows are judged one by one and alike; an empty table gives an empty result; other columns are ignored,
+whatever their names; of two rules for the same host and path, a block wins, and of fitting rules of one length too, else the
+one that sorts last; rules without a `/` are refused.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from noteforge.llm.base import read, staged
+from noteforge.llm.base import map_rows, read, staged, write_shared
 
 MOST_BYTES = 64_000_000
 #: The list of the query (fixed values): rule string and verdict.
@@ -39,24 +43,28 @@ def parts(url: str | None) -> tuple[str, str]:
     return (found[1].translate(LOWER), found[2]) if found else ("", "")
 
 
+def _stronger(a: tuple[str | None, str | None], b: tuple[str | None, str | None]) -> tuple[str | None, str | None]:
+    """Of two fitting rules with their verdicts the longer one, then a block, then the one that sorts last."""
+    return max(a, b, key=lambda x: (-1, False, "") if x[0] is None else (len(x[0]), x[1] == "block", x[0]))
+
+
 class DigestArray:
     """Sorted keys, then offsets and verdicts in key order, then the rules' strings; mapped from one file."""
 
-    def __init__(self, image: bytes, n: int, lengths: tuple[int, ...]):
-        self.lengths = lengths  # of the rules' paths
-        with tempfile.NamedTemporaryFile(prefix="digests-") as f:
-            f.write(image)
-            f.flush()
-            mapped = np.memmap(f.name, np.uint8, "r")
+    def __init__(self, file: str, n: int, lengths: tuple[int, ...], labels: int, most: int):
+        self.lengths, self.labels, self.most = lengths, labels, most  # of the rules' paths; the most labels of a rule's host and signs of a rule
+        mapped = np.memmap(file, np.uint8, "r")
         self.keys = mapped[: 8 * n].view("<u8")
         self.offsets = mapped[8 * n : 16 * n + 8].view("<u8")
         self.block = mapped[16 * n + 8 : 17 * n + 8]
         self.strings = mapped[17 * n + 8 :]
 
     @staticmethod
-    def image(rules: Iterable[tuple[str, str]]) -> tuple[bytes, int, tuple[int, ...]]:
+    def image(rules: Iterable[tuple[str, str]]) -> tuple[bytes, int, tuple[int, ...], int, int]:
         verdicts: dict[str, str] = {}
         for rule, verdict in rules:
+            if "/" not in rule:
+                raise ValueError(f"rule {rule!r} has no path")
             if verdicts.get(rule) != "block":
                 verdicts[rule] = verdict
         ordered = sorted((xxhash.xxh64_intdigest(r.encode()), r.encode(), v == "block") for r, v in verdicts.items())
@@ -64,17 +72,20 @@ class DigestArray:
         offsets = np.cumsum([0, *(len(r) for _, r, _ in ordered)]).astype("<u8")
         block = np.array([b for _, _, b in ordered], np.uint8)
         lengths = tuple(sorted({len(r) - r.index("/") for r in verdicts}))
-        return keys.tobytes() + offsets.tobytes() + block.tobytes() + b"".join(r for _, r, _ in ordered), len(ordered), lengths
+        labels = max((r[: r.index("/")].count(".") + 1 for r in verdicts), default=0)
+        return keys.tobytes() + offsets.tobytes() + block.tobytes() + b"".join(r for _, r, _ in ordered), len(ordered), lengths, labels, max(map(len, verdicts), default=0)
 
     def longest(self, places: list[tuple[str, str]]) -> tuple[list[str | None], list[str | None]]:
         """Rule and verdict of each (host, path)."""
         probes, of = [], []
         for i, (host, path) in enumerate(places):
-            labels = host.split(".") if host else []
+            ends = host.rsplit(".", self.labels)[-self.labels :] if host and self.labels else []
             for begin in (path[:k] for k in self.lengths if k <= len(path)):
-                for k in range(len(labels)):
-                    probes.append((".".join(labels[k:]) + begin).encode("utf-8", "surrogatepass"))
-                    of.append(i)
+                for k in range(len(ends)):
+                    probe = ".".join(ends[k:]) + begin
+                    if len(probe) <= self.most:
+                        probes.append(probe.encode("utf-8", "surrogatepass"))
+                        of.append(i)
         rule: list[str | None] = [None] * len(places)
         verdict: list[str | None] = [None] * len(places)
         if not probes or not len(self.keys):
@@ -86,37 +97,57 @@ class DigestArray:
                 if self.keys[a] != keys[p]:
                     break
                 if self.strings[int(self.offsets[a]) : int(self.offsets[a + 1])].tobytes() == probes[p]:
-                    found = probes[p].decode()
-                    if rule[of[p]] is None or len(found) > len(rule[of[p]]):
-                        rule[of[p]], verdict[of[p]] = found, "block" if self.block[a] else "allow"
+                    rule[of[p]], verdict[of[p]] = _stronger((rule[of[p]], verdict[of[p]]), (probes[p].decode(), "block" if self.block[a] else "allow"))
         return rule, verdict
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, key: str = "page_id") -> DataFrame:
     """key, host, path, rule, verdict of every row of pages(key, url)."""
-    schema = T.StructType([pages.schema[key], T.StructField("url", T.StringType()), *T.StructType.fromDDL("host string, path string, rule string, verdict string")])
-    rules = list(rules)
-    share = max(1, MOST_BYTES // (17 + max((len(r.encode()) for r, _ in rules), default=1)))
-    df = pages.select(key, "url")
-    for n, at in enumerate(range(0, max(1, len(rules)), share)):
-        df = df if not n else staged(df, "urls")
-        df = df.mapInPandas(_pass(df.sparkSession.sparkContext.broadcast(DigestArray.image(rules[at : at + share])), key), schema)
+    df = None
+    for name, shape in _files(pages.sparkSession, rules):
+        if df is None:
+            df = map_rows(pages.select(key, "url"), _pass(name, shape), ["url"], [key, "url"], FOUND)
+        else:
+            df = staged(df, "urls").withColumnsRenamed({"rule": "_rule", "verdict": "_verdict"}).drop("host", "path")
+            df = map_rows(df, _pass(name, shape), ["url", "_rule", "_verdict"], [key, "url"], FOUND)
     return df.select(key, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
-def _pass(sent, key: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        array = DigestArray(*sent.value)
-        for b in batches:
-            places = [parts(u) for u in b["url"]]
+FOUND = "host string, path string, rule string, verdict string"
+
+
+def _files(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> Iterator[tuple[str, tuple]]:
+    """Name of the file that executors get, and what DigestArray needs beside it, for each part of the rules."""
+    part: list[tuple[str, str]] = []
+    size = made = 0
+    for rule in chain(rules, [None]):
+        if rule is None or (part and size + len(rule[0].encode()) + 17 > MOST_BYTES):
+            if part or not made:
+                image, *shape = DigestArray.image(part)
+                name = f"digests-{uuid.uuid4().hex}"
+                write_shared(spark, name, image)
+                yield name, tuple(shape)
+                made += 1
+            part, size = [], 0
+        if rule is not None:
+            part.append(rule)
+            size += len(rule[0].encode()) + 17
+
+
+def _pass(name: str, shape: tuple):
+    def begin():
+        array = DigestArray(SparkFiles.get(name), *shape)
+
+        def run(urls: list[str | None], *before: list) -> dict[str, list]:
+            places = [parts(u) for u in urls]
             rule, verdict = array.longest(places)
-            if "rule" in b:
-                for i, (r, v) in enumerate(zip(b["rule"], b["verdict"], strict=True)):
-                    if r is not None and (rule[i] is None or len(r) > len(rule[i])):
-                        rule[i], verdict[i] = r, v
-            yield pd.DataFrame({key: b[key].array, "url": b["url"].array, "host": [h for h, _ in places], "path": [p for _, p in places], "rule": pd.Series(rule, dtype=object), "verdict": pd.Series(verdict, dtype=object)})
+            for i, (r, v) in enumerate(zip(*before, strict=True) if before else ()):
+                rule[i], verdict[i] = _stronger((rule[i], verdict[i]), (r, v))
+            return {"host": [h for h, _ in places], "path": [p for _, p in places], "rule": rule, "verdict": verdict}
+
+        return run
 
-    return run
+    return begin
 
 
 def op7_digest_array(spark, sf_dir: str) -> DataFrame:
