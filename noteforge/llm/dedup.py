@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.llm.base import fresh, map_rows, read, released, small, staged
+from noteforge.llm.base import drop_staged, fresh, map_rows, read, released, small, staged
 from noteforge.llm.components import connected_components
 
 MANTISSA = 10
@@ -154,7 +154,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, rules: NearDuplicates) -> DataFrame
         return run
 
     sets = map_rows(texts, begin, ["text"], [], "digest binary, shingles array<long>")
-    return staged(sets.join(small(nodes.select("node", "digest"), nodes.count()), "digest").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    out = staged(sets.join(small(nodes.select("node", "digest"), nodes.count()), "digest").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    drop_staged(nodes)
+    return out
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
@@ -176,7 +178,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rules: Near
     ends = pairs.selectExpr("a AS node").union(pairs.selectExpr("b AS node")).distinct()
     sets = _sets(docs, ends.join(classes.select("node", "doc_id", "digest"), "node"), rules)
     joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return staged(joined.where(f"100L * common >= {rules.percent}L * (size(sa) + size(sb) - common)").select("a", "b"), "verified")
+    out = staged(joined.where(f"100L * common >= {rules.percent}L * (size(sa) + size(sb) - common)").select("a", "b"), "verified")
+    drop_staged(sets)
+    return out
 
 
 def _rest(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, rules: NearDuplicates) -> DataFrame:
@@ -257,6 +261,7 @@ def _rest(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataF
             yield pd.DataFrame(compare(held), columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
 
     found = staged(rows.mapInPandas(released(run), "a long, b long, sure boolean").distinct(), "rest-pairs")
+    drop_staged(sets)
     return staged(found.join(tested, ["a", "b"], "left_anti"), "rest-untested")
 
 
@@ -271,12 +276,18 @@ def _components(docs: DataFrame, rules: NearDuplicates, also: tuple[str, ...] =
     banded = staged(banded, "bands")
     shared = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     buckets = staged(banded.join(shared, "bucket"), "members")
+    drop_staged(banded)
+    drop_staged(shared)
     degree = staged(buckets.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
     hubs = staged(buckets.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub")).selectExpr("bucket", "hub.node AS hub"), "hubs")
     stars = staged(buckets.join(hubs, "bucket").where("node <> hub").selectExpr("least(node, hub) AS a", "greatest(node, hub) AS b").distinct(), "stars")
+    drop_staged(degree)
+    drop_staged(hubs)
     links = _verified(staged(_likely(stars, classes, rules), "likely"), docs, classes, rules)
     labels = staged(connected_components(links), "labels")
     rest = _rest(buckets, docs, classes, labels, stars, rules)
+    drop_staged(buckets)
+    drop_staged(stars)
     if not rest.isEmpty():
         more = _verified(rest.where("NOT sure").select("a", "b"), docs, classes, rules).union(rest.where("sure").select("a", "b"))
         labels = staged(connected_components(links.union(more)), "labels")

@@ -7,7 +7,8 @@ at most (those of least hash); a temperature is then fitted on documents that th
 logits of every prediction. Only the text is an input of a prediction.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; null labels aren't learnt from; with nothing to
-learn from every text is `und`; repeated rows are judged one by one; an empty table gives an empty result; extra columns are kept.
+learn from every text is `und`; ties go to the language that sorts first; repeated rows are judged one by one and alike; an empty
+table gives an empty result; extra columns are kept, lang_pred, score and held_out are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteforge.llm.base import fresh, read, released
+from noteforge.llm.base import map_rows, read, released
 from noteforge.llm.ftrl import Ftrl, Leader
 
 #: Hash multipliers per place of an n-gram.
@@ -34,6 +35,8 @@ class LanguageId:
     longest: int = 3
     #: bound of the sample's distinct texts per language: for fitting, and a third of it for calibration
     per_language: int = 600
+    #: bound of the languages that are learnt, those of most documents: what bounds the model's size
+    most_languages: int = 400
     epochs: int = 4
     ftrl: Ftrl = field(default_factory=lambda: Ftrl(alpha=1.0, l1=0.02, l2=0.01))
 
@@ -123,7 +126,8 @@ def fit(docs: DataFrame, learn: Column, calibrate: Column, rules: LanguageId = L
     """A model from text and lang of the rows of docs where learn or calibrate holds."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     own, other = usable.where(learn), usable.where(calibrate)
-    counts = {r[0]: (r[1], r[2]) for r in usable.groupBy("lang").agg(*(F.approx_count_distinct(F.when(c, F.xxhash64("text")), 0.02) for c in (learn, calibrate))).collect()}  # a row per language
+    per = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(F.when(c, F.xxhash64("text")), 0.02) for c in (learn, calibrate)))
+    counts = {r[0]: (r[2], r[3]) for r in per.orderBy(F.desc("n"), "lang").limit(rules.most_languages).collect()}
     n, df = frequencies(usable.where(learn | calibrate), rules)
     idf = np.log((n + 1) / (df + 1)) + 1
     train = _sample(own, {k: v[0] for k, v in counts.items() if v[0]}, rules.per_language, rules)
@@ -154,20 +158,23 @@ def predict(docs: DataFrame, model: Model, rules: LanguageId = LanguageId()) ->
     """docs with lang_pred and score (the calibrated probability)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits * languages weights
 
-    @F.pandas_udf("lang string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def begin():
         m = sent.value
-        rows = []
-        for t in texts:
+
+        def judge(t: str | None) -> tuple[str, float]:
             if t is None or not m.languages or not any(map(str.isalpha, t)):
-                rows.append(("und", 0.0))
-            else:
-                p = _softmax(m.logits(grams(t, rules)) / m.temperature)
-                rows.append((m.languages[k := int(p.argmax())], float(min(1.0, p[k]))))
-        return pd.DataFrame(rows, columns=["lang", "score"])
-
-    (out,) = fresh(docs, "_language")
-    return docs.withColumn(out, run("text")).withColumns({"lang_pred": F.col(f"{out}.lang"), "score": F.col(f"{out}.score")}).drop(out)
+                return "und", 0.0
+            p = _softmax(m.logits(grams(t, rules)) / m.temperature)
+            return m.languages[k := int(p.argmax())], float(min(1.0, p[k]))
+
+        def run(texts: list[str | None]) -> dict[str, list]:
+            rows = [judge(t) for t in texts]
+            return {"lang_pred": [a for a, _ in rows], "score": [b for _, b in rows]}
+
+        return run
+
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return map_rows(docs, begin, ["text"], keep, "lang_pred string, score double")
 
 
 def fold(key: str = "doc_id") -> Column:

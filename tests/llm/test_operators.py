@@ -207,6 +207,34 @@ def test_urls(spark):
     assert out[1].host == "" and out[3].host == "a.example.net" and out[3].path == "/en/x" and out[4].verdict == "block" and out[3].verdict == "allow"
 
 
+def brute_urls(rows, rules):
+    out = []
+    for i, u in rows:
+        host, path = urls.parts(u)
+        fits = [(len(r), v == "block", r, v) for r, v in rules for h, p in [(r[: r.index("/")], r[r.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, False, None, "allow"))
+        out.append((i, host, path, best[2], best[3]))
+    return out
+
+
+def test_urls_against_brute_force(spark, monkeypatch):
+    r = random.Random(4)
+    name = lambda: ".".join(r.choice(["a", "bb", "net", "org"]) for _ in range(r.randint(1, 4)))
+    rules = list({(name() + r.choice(["/", "/x", "/x/y", "/y"]), r.choice(["allow", "block"])) for _ in range(40)}) + [("net/", "allow"), ("net/", "block")]
+    rows = [(i, f"{r.choice(['http', ''])}://{name().upper() if i % 3 == 0 else name()}{r.choice(['', '/', '/x', '/x/y?q', '/y#f', '/X'])}") for i in range(300)]
+    rows += [(1000, None), (1000, None), (None, "://net/"), (2**53 + 1, "http://" + "a." * 100_000 + "net/x/y"), (1001, "http://" + "a" * 1_000_000 + ".net/x"), (1002, "http://net/" + "x" * 1_000_000), (1003, ""), (1004, "://"), (1005, "net/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("mine") for c in ("rule", "host", "verdict", "_rule")})
+    want = sorted(brute_urls(rows, rules), key=str)
+    began = time.time()
+    for most in (64_000_000, 300):
+        monkeypatch.setattr(urls, "MOST_BYTES", most)
+        assert sorted(map(tuple, urls.judge(pages, rules).collect()), key=str) == want
+    assert time.time() - began < 60
+    assert urls.judge(pages.limit(0), rules).count() == 0 and urls.judge(pages, []).where("verdict <> 'allow'").count() == 0
+    with pytest.raises(ValueError):
+        urls.judge(pages, [("nopath", "block")])
+
+
 def test_html():
     page = '<html><head><title>T</title></head><body><div id="top-menu"><a href=1>Home</a></div><div class="content"><h2>Title &mdash; x</h2><p>One long text, with commas, and <b>so</b>\n on. It is text.<ul><li>First item.<li>Second item.</ul><div class="ad">Buy!</div><pre>a\nb</pre><section class="comments"><p>I liked it, really. So much.</p></section></div><aside><p>Side text, long, with, commas. Yes.</p></aside></body></html>'
     assert html.main_text(page) == "Title — x\n\nOne long text, with commas, and so on. It is text.\n\nFirst item.\n\nSecond item.\n\na b"
@@ -283,6 +311,64 @@ def test_licenses(make):
     assert got[1][0].n_licenses == 0 and len(got[3]) == 2 and licenses.scan(make(rows).limit(0)).count() == 0
 
 
+def test_each_license_by_its_own_words(make):
+    rows = [(1, "under the terms of the gnu general public license version 3"), (2, "Under the terms of the GNU Affero General Public License, version 3."), (3, "under the terms of the GNU Lesser General Public License"), (4, "This work is licensed under the GNU General Public License, version 3")]
+    rows += [(10 + i, f"word{i} " * 9 + text + " and on " * 50) for i, (_, text) in enumerate(licenses.TEMPLATES)]
+    rows += [(50, licenses.TEMPLATES[-3][1][:60]), (51, "z " * 40_000 + licenses.TEMPLATES[-3][1] + " z" * 40_000)]
+    docs = make(rows).withColumns({c: F.lit("mine") for c in ("_id", "_w", "shingles", "at", "near", "license", "n_licenses")})
+    got = {r.doc_id: (r.licenses, r.n_licenses, r._id) for r in licenses.scan(docs).collect()}
+    assert [got[i][0] for i in (1, 2, 3, 4)] == ["gpl-3.0", "agpl-3.0", "lgpl", "gpl-3.0"]
+    assert [got[10 + i][0] for i in range(len(licenses.TEMPLATES))] == [name for name, _ in licenses.TEMPLATES]
+    assert licenses.TEMPLATES[-3][0] == "mit-text" and got[50][0] == "" and got[51] == ("mit-text", 1, "mine")
+
+
+def test_many_templates(make):
+    r = random.Random(2)
+    texts = [(f"l{i}", " ".join(f"t{r.randrange(3000)}" for _ in range(40))) for i in range(300)]
+    docs = make([(i, "some words before " + t + " some words behind") for i, (_, t) in enumerate(texts)] + [(900, "nothing of the kind " * 30)])
+    got = {x.doc_id: x.licenses for x in licenses.scan(docs, texts).collect()}
+    assert got == {**{i: name for i, (name, _) in enumerate(texts)}, 900: ""}
+
+
+def test_html_marks_hold_for_the_element_they_name():
+    long = ("A sentence, of words, is here. " * 4).strip()
+    own = '<header class="entry-header"><h1>Title</h1><span>by me</span><nav>n</nav></header>'
+    for page, want in (
+        (f"<form><nav>x</nav><article><h1>Title</h1><p>{long}</p></article></form>", f"Title\n\n{long}"),
+        (f'<form action="/"><div><h1>Title</h1><p>{long}</p></div><div class="footer">F</div></form>', f"Title\n\n{long}"),
+        (f'<article class="no-comments">{own}<p>{long}</p><section class="post-comments"><p>{long} {long} {long}</p></section></article>', f"Title\n\n{long}"),
+        (f'<div class="layout-with-header"><h1>Title</h1><p>{long}</p></div><div class="related-posts"><p>{long}</p></div>', f"Title\n\n{long}"),
+        (f'<div class="content"><h1>Title</h1><p>{long}</p></div><ul class="comment-list"><li>{long} {long} {long}</li></ul>', f"Title\n\n{long}"),
+        (f'<article><h1>Title</h1><p data-a="un closed>{long}</p></article>', f"Title\n\n{long}"),
+    ):
+        assert html.main_text(f"<body>{page}</body>") == want
+
+
+def test_html_time_grows_with_the_page():
+    n, text = 50_000, "A sentence, of words, is here."
+    began = time.time()
+    for page in ("<div>" * n + text, "<div>" * n + text + "</div>" * n, "<p class=x>" * n + text, "<div>" * n + "</span-x>" * n + '<a b="' * n, "<svg>" * n + text, "<b" * n):
+        html.main_text(page)
+    assert time.time() - began < 60  # well below the minutes that a quadratic form takes
+
+
+def test_extract_over_a_table(spark):
+    text = "One long text, with commas, and so on. It is text."
+    rows = [(1, "u1", f"<article><p>{text}</p></article>"), (1, "u1", f"<article><p>{text}</p></article>"), (2, None, None), (None, "u3", ""), (2**53 + 1, "u4", f"<p>{text}</p>" + "<p>&eacute; 日本, so it is. And on.</p>" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("mine"), "n_chars": F.lit("mine")})
+    got = html.extract(pages).orderBy(F.col("page_id").asc_nulls_first(), "url").collect()
+    assert [(r.page_id, r.url, r.text) for r in got[:1] + got[2:4]] == [(None, "u3", ""), (1, "u1", text), (2, None, "")]
+    assert got[4].page_id == 2**53 + 1 and got[4].n_chars == len(got[4].text) == len(text) + 3000 * 25 and got[1] == got[2]
+    assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_licenses(make):
+    rows = [*CASES, (30, "Intro words here. Released under the MIT License. More."), (31, "x " * 500 + "licensed under the apache license version 2.0 " + "y " * 77), (32, "All rights reserved."), (33, "the license of the state")]
+    got = by_id(licenses.scan(make(rows)))
+    assert [got[i][0].licenses for i in (30, 31, 32, 33)] == ["mit", "apache-2.0", "all-rights-reserved", ""]
+    assert got[1][0].n_licenses == 0 and len(got[3]) == 2 and licenses.scan(make(rows).limit(0)).count() == 0
+
+
 def languages(n):
     r = random.Random(2)
     letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
