@@ -9,8 +9,8 @@ the template's distinct shingles in the window and its surroundings must reach `
 shingles that no other license's templates have (else "gnu general" would do for "gnu affero general").
 
 Templates (id, text) are a parameter, an id may have several; a text of more than 16 words is cut into parts that overlap by
-half, and the shares of its parts are summed. The templates' band values are sent as a bitmap with two places a value, of at
-least 64 bits a value, so that a text's windows are sifted before anything is joined; texts are read once and never shuffled.
+half, and the shares of its parts are summed. The templates' band values (a row per word, part and band, `MOST_VALUES` at most)
+and shingles are broadcast; a text's windows meet them in the task that reads the text, so texts are read once and never shuffled.
 
 Defined cases: null or empty text and texts of one word match nothing; repeated rows get the same result, rows of one doc_id
 that of all of them; a null doc_id is matched as one document; ties don't matter, as every license that reaches the shares is
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteforge.llm.base import fresh, read, staged
@@ -59,8 +59,8 @@ def _shingles(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.expr("if(size(_w) < 2, cast(array() AS array<bigint>), transform(sequence(0, greatest(size(_w) - 2, 0)), i -> xxhash64(get(_w, i), get(_w, i + 1))))")).drop("_w")
 
 
-#: Shingles in a window.
-SIZE = 4
+#: Shingles in a window; bound of the templates' band values, which are broadcast (about 24 bytes each).
+SIZE, MOST_VALUES = 4, 10_000_000
 
 
 def _windows(df: DataFrame, shingles: str, keep: list[str], step: int) -> DataFrame:
@@ -99,38 +99,16 @@ def _templates(spark: SparkSession, templates, rules: LicenseScan) -> DataFrame:
     return staged(df.join(df.groupBy("form").agg(F.sum(F.size("shingles")).alias("total"), F.sum(F.size("own")).alias("owned")), "form"), "templates")
 
 
-def _bitmap(values: DataFrame, bits: int) -> Column:
-    """An array of bits / 64 longs with the places of values(value) set, as a scalar."""
-    places = values.select(F.explode(F.array(*_places(F.col("value"), bits))).alias("p"))
-    words = places.groupBy(F.shiftright("p", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("w"))
-    all_words = values.sparkSession.range(bits // 64).join(words, "id", "left")
-    one = all_words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda x: x["w"]).alias("bits"))
-    return staged(one, "bitmap").scalar()
-
-
-def _places(value: Column, bits: int) -> list[Column]:
-    return [value.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(value, 32).bitwiseAND(F.lit(bits - 1))]
-
-
 def matches(docs: DataFrame, templates=TEMPLATES, rules: LicenseScan = LicenseScan()) -> DataFrame:
     """doc_id, license, containment of every document and license that match."""
     known = _templates(docs.sparkSession, templates, rules)
-    bands = F.expr("array(" + ", ".join(map(_band, range(rules.bands))) + ")")
-    table = staged(_windows(known, "shingles", ["form", "part"], 1).select("form", "part", F.posexplode(bands).alias("band", "value")).distinct(), "template-bands")
-    bits = max(1 << 20, 1 << (64 * table.count()).bit_length())
-    bitmap = _bitmap(table.select("value").distinct(), bits)
-
-    def among(value: Column) -> Column:
-        hit = lambda p: F.bit_get(F.element_at(bitmap, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
-        first, second = _places(value, bits)
-        return hit(first) & hit(second)
-
-    sifted = F.lit(False)
-    for j in range(rules.bands):
-        sifted = sifted | among(F.expr(_band(j)))
-    found = _windows(_shingles(docs.select("doc_id", "text"), "text", "shingles"), "shingles", ["doc_id", "shingles"], rules.step).where(sifted)
-    near = f"slice(shingles, greatest(at - {rules.part}, 0) + 1, {SIZE} + {rules.part} + least(at, {rules.part}))"
-    found = found.select("doc_id", F.expr(near).alias("near"), F.posexplode(bands).alias("band", "value")).join(F.broadcast(table), ["band", "value"])
+    bands = F.explode(F.expr("array(" + ", ".join(map(_band, range(rules.bands))) + ")")).alias("value")
+    table = staged(_windows(known, "shingles", ["form", "part"], 1).select("form", "part", bands).distinct(), "template-bands")
+    if table.count() > MOST_VALUES:
+        raise ValueError(f"the templates have more than {MOST_VALUES} band values: scan for them in several calls")
+    windows = _windows(_shingles(docs.select("doc_id", "text"), "text", "shingles"), "shingles", ["doc_id", "shingles"], rules.step)
+    near = F.expr(f"slice(shingles, greatest(at - {rules.part}, 0) + 1, {SIZE} + {rules.part} + least(at, {rules.part}))")
+    found = windows.select("doc_id", "shingles", "at", bands).join(F.broadcast(table), "value").select("doc_id", "form", "part", near.alias("near"))
     pairs = found.join(F.broadcast(known.select("form", "part", "license", F.col("shingles").alias("_t"), "own", "total", "owned")), ["form", "part"])
     n = lambda c: F.size(F.array_intersect("near", c))
     best = pairs.groupBy("doc_id", "license", "form", "part").agg(F.max(n("_t")).alias("n"), F.max(n("own")).alias("m"), F.first("total").alias("total"), F.first("owned").alias("owned"))
