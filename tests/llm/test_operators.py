@@ -286,6 +286,22 @@ def test_html_marks_hold_for_the_element_they_name():
         assert html.main_text(f"<body>{page}</body>") == want
 
 
+def test_html_of_the_fixture_by_plain_cuts(spark):
+    """The fixture's articles hold headings, paragraphs and line ends only: cutting at these tags gives their text too."""
+    import html as entities
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(pages).collect()}
+    rows = pages.collect()
+    for r in rows:
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
+        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1|ul|li|div)[^>]*>", inner)]
+        want = "\n\n".join(b for b in blocks if b)
+        assert got[r.page_id] == (want, len(want))
+    assert len(rows) > 200
+
+
 def test_html_time_grows_with_the_page():
     n, text = 50_000, "A sentence, of words, is here."
     began = time.time()
@@ -386,6 +402,38 @@ def test_language_id_held_out(make):
     assert alone[1][0].lang_pred == alone[3][0].lang_pred == "und"
 
 
+def test_language_id_held_out_on_the_fixture(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = langid.identify(docs).where("held_out AND lang IS NOT NULL").select("lang", "lang_pred", "score").collect()
+    known = [r for r in rows if r.lang_pred != "und"]
+    assert len(known) > 150 and np.mean([r.lang == r.lang_pred for r in known]) >= 0.99 and np.mean([r.score for r in known]) > 0.9
+
+
+def test_grams_are_those_of_plain_slices():
+    rules = langid.LanguageId(bits=12)
+    hash_of = {}
+    r = random.Random(1)
+    for _ in range(200):
+        text = "".join(r.choice("aàB ñ日😀z.") for _ in range(r.randrange(12)))
+        low = text.lower()
+        at, n = langid.grams(text, rules)
+        slices = [low[i : i + k] for k in (1, 2, 3) for i in range(len(low) - k + 1)]
+        for s in set(slices):  # a slice has one bucket, wherever it stands
+            hash_of.setdefault(s, langid.grams(s, langid.LanguageId(bits=12, longest=len(s)))[0])
+        assert n.sum() == len(slices) and len(set(at.tolist())) == len(at)
+        assert all(set(hash_of[s].tolist()) <= set(at.tolist()) for s in slices)
+
+
+def test_languages_beyond_the_bound_and_odd_columns(make):
+    rows = languages(200) + [(500 + i, "one two", f"rare{i}", "s") for i in range(5)]
+    docs = make(rows).withColumns({"lang_pred": F.lit("old"), "score": F.lit("old"), "held_out": F.lit("old"), "_language": F.lit("mine")})
+    got = langid.identify(docs.select("doc_id", "text", "lang", "lang_pred", "score", "held_out", "_language"), langid.LanguageId(most_languages=3)).collect()
+    assert {r.lang_pred for r in got} <= {"aa", "bb", "cc"} and len(got) == 205 and {r._language for r in got} == {"mine"} and {type(r.score) for r in got} == {float}
+    assert langid.identify(make(rows).limit(0)).count() == 0
+    long = langid.identify(make([*languages(200), (900, "abcde " * 50_000, None, "s"), (900, "abcde " * 50_000, None, "s")]))
+    assert [r.lang_pred for r in long.where("doc_id = 900").collect()] == ["aa", "aa"]
+
+
 def test_language_sample_takes_a_text_once(make):
     rows = [(d, t, "aa", "s") for d, t, _, _ in languages(400)]
     df = make(rows)
