@@ -334,21 +334,21 @@ class Corpus:
 
 
 def retrieve(queries: DataFrame, corpus: Corpus, settings: Settings = Settings(), requested: Iterable[str] | None = None, limit: int = 50, layer: str = "both", reranker: Reranker = identity_reranker) -> DataFrame:
-    """Fused hits (columns of fuse(), rank) of the requested and enabled retrievers, at most `limit` a query.
+    """Fused hits (columns of fuse(), rank) of the requested and enabled retrievers, at most `limit` a query (of each retriever 50 or more).
 
     queries(query_id, query[, vector]); blank ones find nothing. A retriever that can't be planned (no vectors, no graph, a
     missing column) finds nothing and is logged; the others stand.
     """
-    settings = settings.clamped()
+    settings, each_limit = settings.clamped(), max(limit, 50)
     queries = queries.where("trim(query) <> ''")
     names = chosen(requested, settings)
     index = corpus.index or (Index.of(corpus.chunks) if {"bm25", "tfidf"} & set(names) else None)
     each = {
-        "bm25": lambda: bm25(queries, corpus.chunks, limit, index),
-        "tfidf": lambda: tfidf(queries, corpus.chunks, limit, index),
-        "fuzzy": lambda: fuzzy_chunks(queries, corpus.notes, corpus.chunks, limit),
+        "bm25": lambda: bm25(queries, corpus.chunks, each_limit, index),
+        "tfidf": lambda: tfidf(queries, corpus.chunks, each_limit, index),
+        "fuzzy": lambda: fuzzy_chunks(queries, corpus.notes, corpus.chunks, each_limit),
         "dense": lambda: dense(queries.where("vector IS NOT NULL"), corpus.vectors.join(corpus.chunks.select("chunk_id"), "chunk_id", "left_semi"), settings.dense_k, key="chunk_id"),
-        "graph": lambda: graph_chunks(queries, corpus.nodes, corpus.edges, corpus.chunks, limit, layer),
+        "graph": lambda: graph_chunks(queries, corpus.nodes, corpus.edges, corpus.chunks, each_limit, layer),
     }
     hits: dict[str, DataFrame] = {}
     for name in names:
