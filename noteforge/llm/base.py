@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 #: A word is a run of characters that are neither blanks nor TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,6 +93,26 @@ def map_rows(df: DataFrame, begin: Callable[[], Callable[..., dict[str, list]]],
     return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, schema)
 
 
+def python_column(begin: Callable[[], Callable[[list], list]], column: Column, kind: str, rows: int = 200) -> Column:
+    """A column that an Arrow-batched Python step makes of another one: only that one is sent, the others wait in Spark.
+
+    begin() is called once per task; what it returns takes a slice of the column as a list and gives as many values of `kind`
+    (DDL; dicts for structs). Evaluated once, whatever filters follow.
+    """
+    t = to_arrow_type(T._parse_datatype_string(kind))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        compute = begin()
+        for batch in batches:
+            out: list = []
+            for at in range(0, len(batch), rows):
+                out += compute(batch.slice(at, rows).to_pylist())
+            yield pa.array(out, t)
+        free()
+
+    return F.arrow_udf(run, kind).asNondeterministic()(column)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one in local mode, an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

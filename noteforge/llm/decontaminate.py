@@ -26,7 +26,7 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.llm.base import drop_staged, fresh, map_rows, read, staged
+from noteforge.llm.base import drop_staged, fresh, map_rows, python_column, read, staged
 
 #: Bytes of words as they are kept: ASCII letters in lower case, digits and all bytes above 127; other bytes part words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -232,7 +232,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rules: Decontamination
 def _cutter(sent, max_coverage: float):
     def begin():
         a = sent.value
-        return lambda texts: {CUT: [None if t is None else a.cut(t, max_coverage) for t in texts]}
+        return lambda texts: [None if t is None else a.cut(t, max_coverage) for t in texts]
 
     return begin
 
@@ -305,7 +305,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, rules: Decontamination = Decont
     if more:
         docs = _clean_by_many(docs, benchmark, rules)
     else:
-        cut = map_rows(docs, _cutter(docs.sparkSession.sparkContext.broadcast(one), rules.max_coverage), ["text"], columns, f"{CUT} string")
+        sent = docs.sparkSession.sparkContext.broadcast(one)
+        cut = docs.withColumn(CUT, python_column(_cutter(sent, rules.max_coverage), F.col("text"), "string"))
         docs = cut.where(F.col("text").isNull() | F.col(CUT).isNotNull()).withColumn("text", F.col(CUT))
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteforge.llm.base import map_rows, read, released
+from noteforge.llm.base import fresh, python_column, read, released
 from noteforge.llm.ftrl import Ftrl, Leader
 
 #: Hash multipliers per place of an n-gram.
@@ -161,20 +161,17 @@ def predict(docs: DataFrame, model: Model, rules: LanguageId = LanguageId()) ->
     def begin():
         m = sent.value
 
-        def judge(t: str | None) -> tuple[str, float]:
+        def judge(t: str | None) -> dict:
             if t is None or not m.languages or not any(map(str.isalpha, t)):
-                return "und", 0.0
+                return {"lang": "und", "score": 0.0}
             p = _softmax(m.logits(grams(t, rules)) / m.temperature)
-            return m.languages[k := int(p.argmax())], float(min(1.0, p[k]))
+            return {"lang": m.languages[k := int(p.argmax())], "score": float(min(1.0, p[k]))}
 
-        def run(texts: list[str | None]) -> dict[str, list]:
-            rows = [judge(t) for t in texts]
-            return {"lang_pred": [a for a, _ in rows], "score": [b for _, b in rows]}
+        return lambda texts: list(map(judge, texts))
 
-        return run
-
-    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return map_rows(docs, begin, ["text"], keep, "lang_pred string, score double")
+    (out,) = fresh(docs, "_language")
+    found = docs.drop("lang_pred", "score").withColumn(out, python_column(begin, F.col("text"), "struct<lang:string,score:double>"))
+    return found.withColumns({"lang_pred": F.col(f"{out}.lang"), "score": F.col(f"{out}.score")}).drop(out)
 
 
 def fold(key: str = "doc_id") -> Column:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.llm.base import map_rows, read
+from noteforge.llm.base import fresh, map_rows, python_column, read
 from noteforge.llm.decontaminate import words
 from noteforge.llm.ftrl import Ftrl, Leader
 
@@ -147,14 +147,15 @@ def severity(docs: DataFrame, model: Model, rules: Toxicity = Toxicity()) -> Dat
     def begin():
         m = sent.value
 
-        def run(texts: list[str | None]) -> dict[str, list]:
-            each = [m.at_least(features(t, bits)) for t in texts]
-            return {"severity": [float(p.sum()) for p in each], "grade": [int((-np.diff(np.concatenate(([1.0], p, [0.0])))).argmax()) for p in each]}
+        def judge(text: str | None) -> dict:
+            p = m.at_least(features(text, bits))
+            return {"severity": float(p.sum()), "grade": int((-np.diff(np.concatenate(([1.0], p, [0.0])))).argmax())}
 
-        return run
+        return lambda texts: list(map(judge, texts))
 
-    keep = [c for c in docs.columns if c.lower() not in ("severity", "grade", "toxic")]
-    return map_rows(docs, begin, ["text"], keep, "severity double, grade int").withColumn("toxic", F.col("severity") >= rules.toxic_from)
+    (out,) = fresh(docs, "_severity")
+    judged = docs.drop("severity", "grade", "toxic").withColumn(out, python_column(begin, F.col("text"), "struct<severity:double,grade:int>"))
+    return judged.withColumns({"severity": F.col(f"{out}.severity"), "grade": F.col(f"{out}.grade")}).drop(out).withColumn("toxic", F.col("severity") >= rules.toxic_from)
 
 
 def op3_ordinal_toxicity(spark, sf_dir: str) -> DataFrame:
