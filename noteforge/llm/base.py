@@ -23,8 +23,17 @@ BLANKS = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table (all by default). One that is too small to give every core a partition is dealt over them: a row
+    group is read by a single task, whatever work follows; a large table is read as it lies, without a shuffle."""
+    path = f"{sf_dir}/{table}.parquet"
+    df = spark.read.parquet(path)
+    df = df.select(*columns) if columns else df
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(file).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if 1 < cores and size < cores * part else df
 
 
 @contextmanager

@@ -187,4 +187,4 @@ def identify(docs: DataFrame, rules: LanguageId = LanguageId(), key: str = "doc_
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
-    return identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")

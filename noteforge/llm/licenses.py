@@ -127,7 +127,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, rules: LicenseScan = LicenseScan(
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
     found = matches(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n_licenses"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
     out = docs.select("doc_id").join(staged(found, "licensed"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return out.select("doc_id", F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"))

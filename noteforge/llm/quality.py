@@ -165,7 +165,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), keep_te
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     out = quality_rules(docs, keep_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -118,7 +118,7 @@ def shards(docs: DataFrame, n_shards: int = 8, tolerance: float = TOLERANCE) ->
 
 
 def op9_hilbert_shards(spark, sf_dir: str) -> DataFrame:
-    out = shards(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = shards(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

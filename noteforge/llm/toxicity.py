@@ -159,6 +159,6 @@ def severity(docs: DataFrame, model: Model, rules: Toxicity = Toxicity()) -> Dat
 
 
 def op3_ordinal_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
     return severity(docs, model).select("doc_id", "severity", "grade", "toxic")
