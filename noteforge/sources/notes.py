@@ -10,9 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """df dealt over all cores if its table is too small to give each a partition (a row group is read by a single task); else as it is."""
+    spark = df.sparkSession
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(file).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if 1 < cores and size < cores * part else df
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """note_id, title, body, folder, tag of every document."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), f"{sf_dir}/documents.parquet")
     return d.select(F.concat(F.lit("d"), "doc_id").alias("note_id"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("text").alias("body"), F.col("source").alias("folder"), F.col("lang").alias("tag"))
 
 
