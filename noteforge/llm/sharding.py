@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve (DataFrame functions only): quantise, sort by curve index, cut runs.
 
-Language, source and magnitude of the size (its binary digits) are quantised to 5 bits each: a value's place among the sorted
-distinct values, scaled to the whole range whatever their number, so that each dimension takes part in the first bits of
-the curve. The index of a cell on the three-dimensional Hilbert curve orders the texts, a run of the order covers a
+Language, source and magnitude of the size (its binary digits) are quantised to 5 bits each: a value's cell is where the middle
+of its bytes stands among all bytes in the order of values, so that the halves of each dimension hold like shares whatever
+the number of its values, and each takes part in the first bits of the curve. The index of a cell on the three-dimensional Hilbert curve orders the texts, a run of the order covers a
 compact box of all three dimensions, and readers can skip shards. Rows of one text are neighbours (their cell is that of
 the text's least language and source). The order is cut into runs of nearly equal bytes. A group of equal texts goes as
 a whole to the run that its middle falls in; only a group larger than `tolerance` of a shard is cut like any other rows,
@@ -72,15 +72,16 @@ def hilbert_index(df: DataFrame, dims: list[str], bits: int, out: str) -> DataFr
 
 
 def _cells(texts: DataFrame, name: str) -> DataFrame:
-    """texts with c_<name>: the value's place among the sorted distinct values, scaled to BITS bits."""
-    values = staged(texts.select(F.col(name).alias("_v")).distinct(), f"values-{name}")
-    n = values.count()
-    ranged = staged(values.repartitionByRange(shuffle_parts(texts.sparkSession), F.col("_v").asc_nulls_first()).withColumn("_p", F.spark_partition_id()), f"ranges-{name}")
-    parts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    """texts(copies, size, name) with c_<name>: the place of the middle of the value's bytes among all, by sorted values, scaled to BITS bits."""
+    values = staged(texts.groupBy(F.col(name).alias("_v")).agg(F.sum(F.col("copies") * F.col("size")).alias("_w")), f"values-{name}")
+    n, total = values.agg(F.count(F.lit(1)), F.sum("_w")).first()
+    order = F.col("_v").asc_nulls_first()
+    ranged = staged(values.repartitionByRange(shuffle_parts(texts.sparkSession), order).withColumn("_p", F.spark_partition_id()), f"ranges-{name}")
+    parts = ranged.groupBy("_p").agg(F.sum("_w").alias("_n"))
     parts = parts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # bounded: a row per range partition
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(F.col("_v").asc_nulls_first())) - 1 + F.col("_before")
-    places = staged(ranged.join(F.broadcast(parts), "_p").select("_v", place.alias("_place")), f"places-{name}")
-    places = places.select("_v", F.expr(f"_place * {1 << BITS} div {max(n, 1)}").cast("long").alias(f"c_{name}"))
+    inside = F.coalesce(F.sum("_w").over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = staged(ranged.join(F.broadcast(parts), "_p").select("_v", (2 * (F.col("_before") + inside) + F.col("_w")).alias("_twice")), f"places-{name}")
+    places = places.select("_v", F.expr(f"_twice * {1 << BITS} div {2 * max(total or 0, 1)}").cast("long").alias(f"c_{name}"))
     return texts.join(small(places, n), F.col(name).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
@@ -126,15 +127,15 @@ def _oracle(n_shards: int = 8) -> str:
     """The same order and cuts over one sorted list; the checksum from its published table, byte by byte."""
     table = "SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) t(i))"
     crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, crc[xor(a & 255, b) + 1])), 4294967295)"
-    cell = lambda c: f"(dense_rank() OVER (ORDER BY {c} NULLS FIRST) - 1) * {1 << BITS} // (SELECT count(*) FROM (SELECT DISTINCT {c} FROM g))"
+    cell = lambda c: f"(SELECT any_value(x) FROM (SELECT {c} AS v, (2 * (sum(w) OVER (ORDER BY {c} NULLS FIRST) - w) + w)::BIGINT * {1 << BITS} // (2 * (SELECT total FROM s)) AS x FROM (SELECT {c}, sum(copies * size)::BIGINT AS w FROM g GROUP BY {c})) WHERE v IS NOT DISTINCT FROM g.{c})"
     curve = f"SELECT *, {cell('lang')} AS x0, {cell('source')} AS x1, {cell('digits')} AS x2, 0::BIGINT AS c, 0::BIGINT AS h, 0::BIGINT AS s FROM g"
     for step in _curve_steps(3, BITS, "[{0}][{1}]"):
         curve = f"SELECT * REPLACE ({', '.join(f'({sql})::BIGINT AS {c}' for c, sql in step.items())}) FROM ({curve})"
     return f"""
 WITH k AS ({table}),
 r AS MATERIALIZED (SELECT doc_id, strlen(t)::BIGINT + 1 AS size, {crc} AS text_crc32, ('0x' || substr(md5(t), 1, 15))::BIGINT AS key, lang, source FROM (SELECT *, coalesce(text, '') AS t FROM documents), k),
+s AS MATERIALIZED (SELECT sum(size)::BIGINT AS total FROM r),
 g AS MATERIALIZED (SELECT key, size, text_crc32, count(*) AS copies, min(lang) AS lang, min(source) AS source, length(bin(size)) AS digits FROM r GROUP BY key, size, text_crc32),
-s AS (SELECT sum(size)::BIGINT AS total FROM r),
 c AS (SELECT key, size, text_crc32, h AS curve, copies * size AS grp, copies * size * {n_shards} > floor({TOLERANCE} * total)::BIGINT AS large FROM ({curve}), s),
 o AS (SELECT r.doc_id, size, text_crc32, key, curve, grp, large, sum(size) OVER w - size AS b, row_number() OVER w AS n FROM r JOIN c USING (key, size, text_crc32) WINDOW w AS (ORDER BY curve, key, size, text_crc32, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, min(b) OVER (PARTITION BY curve, key, size, text_crc32) AS first FROM o),

@@ -93,10 +93,13 @@ def test_shards(make, spark):
 
 
 def test_cells_cover_the_whole_range_by_one_rule(spark):
-    for n, cells in ((4, {0, 8, 16, 24}), (20, None), (3000, set(range(32)))):
-        df = spark.createDataFrame([(f"s{i:05d}",) for i in range(n - 1)] + [(None,)], "source string")
+    for n in (4, 20, 3000):
+        weights = [1 + i % 3 for i in range(n)]
+        rows = [(None if i == 0 else f"s{i:05d}", w, 10) for i, w in enumerate(weights)]
+        df = spark.createDataFrame(rows, "source string, copies long, size long")
         out = [r.c_source for r in sharding._cells(df, "source").orderBy(F.col("source").asc_nulls_first()).collect()]
-        assert out == [i * 32 // n for i in range(n)] and (cells is None or set(out) == cells)
+        assert out == [(2 * sum(weights[:i]) + w) * 32 // (2 * sum(weights)) for i, w in enumerate(weights)]
+        assert n < 3000 or set(out) == set(range(32))
 
 
 def test_shards_are_boxes_and_cut_groups_only_where_the_law_needs_it(make):
