@@ -37,13 +37,13 @@ from noteforge.llm.ftrl import Ftrl, Leader
 class Toxicity:
     bits: int = 20
     per_label: int = 2000
-    epochs: int = 16
+    epochs: int = 8
     #: a word is a feature if this many sampled documents have it, and it tells grades apart by as many deviations
     min_docs: int = 5
     min_z: float = 4.0
     #: severity from which a document counts as toxic
     toxic_from: float = 0.5
-    ftrl: Ftrl = field(default_factory=lambda: Ftrl(alpha=1.0, l1=1.0, l2=0.001))
+    ftrl: Ftrl = field(default_factory=lambda: Ftrl(alpha=3.0, l1=1.0, l2=0.001))
 
 
 @dataclass
