@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteforge.llm import decontaminate, dedup, langid, packing, quality
-from noteforge.llm.base import fresh, read, staged
+from noteforge.llm.base import read, staged
 
 #: Documents whose language is uncertain go; so do those without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -23,9 +23,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language of at least LEAST_LANGUAGE_SCORE."""
-    (was,) = fresh(docs, "_was")
-    out = langid.identify(docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias(was)))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(f"{was}.*")
+    own = [f"c{i}" for i in range(len(docs.columns))]  # columns may be named like results
+    plain = docs.toDF(*own).withColumnsRenamed({own[i]: c for i, c in enumerate(docs.columns) if c in ("doc_id", "text", "lang")})
+    out = langid.identify(plain).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences and offsets."""
-    return packing.pack(docs, packing.Packing(packing.default_tokenizer()))
+    """Token pieces with their sequences and offsets. Workers share an executor with what earlier stages left, so they remember less."""
+    return packing.pack(docs, packing.Packing(packing.default_tokenizer(), remember=100_000))
 
 
 STAGES = [
