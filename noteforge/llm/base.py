@@ -113,10 +113,8 @@ def python_column(begin: Callable[[], Callable[[list], list]], column: Column, k
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compute = begin()
         for batch in batches:
-            out: list = []
-            for at in range(0, len(batch), rows):
-                out += compute(batch.slice(at, rows).to_pylist())
-            yield pa.array(out, t)
+            slices = [pa.array(compute(batch.slice(at, rows).to_pylist()), t) for at in range(0, len(batch), rows)]
+            yield pa.concat_arrays(slices) if slices else pa.array([], t)
         free()
 
     return F.arrow_udf(run, kind).asNondeterministic()(column)
