@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL."""
 
-from noteforge.llm import decontaminate, dedup, html, langid, licenses, packing, quality, sharding, toxicity, urls
+from noteforge.llm import audit, decontaminate, dedup, html, langid, licenses, packing, quality, sharding, toxicity, urls, variants
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_column_generation": packing.op8_column_generation,
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
     "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
+    "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_transposition_walk": audit.op12_transposition_walk,
 }
 ORACLE_SQL = {
     "op1_license_scan": licenses.ORACLE,
@@ -21,4 +23,6 @@ ORACLE_SQL = {
     "op7_digest_array": urls.ORACLE,
     "op9_hilbert_shards": sharding.ORACLE,
     "op10_suffix_automaton": decontaminate.ORACLE,
+    "op11_spelling_variants": variants.ORACLE,
+    "op12_transposition_walk": audit.ORACLE,
 }
