@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL."""
 
-from noteforge.llm import audit, decontaminate, dedup, html, langid, licenses, packing, quality, sharding, toxicity, urls, variants
+from noteforge.llm import audit, decontaminate, dedup, html, langid, licenses, packing, quality, repeats, sharding, toxicity, urls, variants
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_suffix_automaton": decontaminate.op10_suffix_automaton,
     "op11_spelling_variants": variants.op11_spelling_variants,
     "op12_transposition_walk": audit.op12_transposition_walk,
+    "op13_suffix_merge": repeats.op13_suffix_merge,
 }
 ORACLE_SQL = {
     "op1_license_scan": licenses.ORACLE,
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op10_suffix_automaton": decontaminate.ORACLE,
     "op11_spelling_variants": variants.ORACLE,
     "op12_transposition_walk": audit.ORACLE,
+    "op13_suffix_merge": repeats.ORACLE,
 }
