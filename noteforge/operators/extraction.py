@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,19 +16,45 @@ from noteforge.operators.providers import EXTRACT_PROMPT, Provider, StubProvider
 
 ENTITY = "struct<name:string,type:string,confidence:double>"
 RELATION = "struct<`from`:string,`to`:string,type:string,confidence:double>"
+#: Fields that a relation needs.
+ENDS = ("from", "to", "type")
 EXTRACTION = f"struct<entities:array<{ENTITY}>,relations:array<{RELATION}>>"
 
 
 def strip_fences(raw: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
+    return F.regexp_replace(F.regexp_replace(raw, r"^\s*(```[a-zA-Z]*\s*)?", ""), r"\s*(```\s*)?$", "")
+
+
+def _text(item: Column, field: str) -> Column:
+    """A field of a JSON item if it is a JSON string, else null."""
+    kind = F.schema_of_variant(F.try_variant_get(item, f"$.{field}", "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(item, f"$.{field}", "string"))
+
+
+def _number(item: Column, field: str) -> Column:
+    """A field of a JSON item if it is a JSON number, else null."""
+    kind = F.schema_of_variant(F.try_variant_get(item, f"$.{field}", "variant"))
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(item, f"$.{field}", "double"))
+
+
+def _items(answer: Column, name: str, kind: str, made: Callable[[Column], Column], needed: tuple[str, ...]) -> Column:
+    """The items of a list of a JSON answer that have the needed fields."""
+    found = F.coalesce(F.try_variant_get(answer, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+    rows = F.transform(found, made)
+    whole = lambda r: F.forall(F.array(*(r[f].isNotNull() for f in needed)), lambda x: x)
+    return F.filter(rows, whole).cast(f"array<{kind}>")
 
 
 def read_extraction(raw: Column) -> Column:
-    """Entities and relations of an answer as they stand, types `unknown` where none is given; malformed text gives empty lists."""
-    x = F.from_json(strip_fences(raw), EXTRACTION)
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    entities = F.transform(F.coalesce(x["entities"], none(ENTITY)), lambda e: F.struct(F.trim(e["name"]).alias("name"), F.coalesce(F.nullif(F.trim(e["type"]), F.lit("")), F.lit("unknown")).alias("type"), e["confidence"].alias("confidence")))
-    return F.struct(entities.alias("entities"), F.coalesce(x["relations"], none(RELATION)).alias("relations"))
+    """Entities and relations of an answer as they stand.
+
+    Items without the fields they need as JSON strings are left out, whatever else stands in their list; a type that is no
+    string is `unknown`, a confidence that is no number is null. Malformed text, a repeated key too, gives empty lists.
+    """
+    x = F.try_parse_json(strip_fences(raw))
+    entity = lambda e: F.struct(_text(e, "name").alias("name"), F.coalesce(_text(e, "type"), F.lit("unknown")).alias("type"), _number(e, "confidence").alias("confidence"))
+    relation = lambda r: F.struct(*(_text(r, f).alias(f) for f in ENDS), _number(r, "confidence").alias("confidence"))
+    return F.struct(_items(x, "entities", ENTITY, entity, ("name",)).alias("entities"), _items(x, "relations", RELATION, relation, ENDS).alias("relations"))
 
 
 def _blank(c: Column) -> Column:
@@ -37,12 +63,12 @@ def _blank(c: Column) -> Column:
 
 def extraction_errors(x: Column) -> Column:
     """What is wrong with each item of read_extraction(), by its place."""
-    e = F.transform(x["entities"], lambda e, i: F.when(_blank(e["name"]), F.concat(F.lit("entities["), i, F.lit("].name must be non-empty string"))))
+    e = F.transform(x["entities"], lambda e, i: F.when(_blank(e["name"]), F.concat(F.lit("entity "), i, F.lit(": blank name"))))
 
     def of(f: str) -> Column:
-        return F.transform(x["relations"], lambda r, i: F.when(_blank(r[f]), F.concat(F.lit("relations["), i, F.lit(f"].{f} must be non-empty string"))))
+        return F.transform(x["relations"], lambda r, i: F.when(_blank(r[f]), F.concat(F.lit("relation "), i, F.lit(f": blank {f}"))))
 
-    r = [of(f) for f in ("from", "to", "type")]
+    r = [of(f) for f in ENDS]
     in_order = F.flatten(F.transform(F.arrays_zip(*(c.alias(n) for c, n in zip(r, "abc"))), lambda z: F.array(z["a"], z["b"], z["c"])))
     return F.filter(F.concat(e, in_order), lambda m: m.isNotNull())
 
@@ -53,20 +79,33 @@ def parse_extraction(raw: Column) -> Column:
     return F.struct(F.filter(x["entities"], lambda e: ~_blank(e["name"])).alias("entities"), F.filter(x["relations"], lambda r: ~_blank(r["from"]) & ~_blank(r["to"]) & ~_blank(r["type"])).alias("relations"))
 
 
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    if len(found := dict(pairs)) < len(pairs):
+        raise ValueError("a key stands twice in an object")
+    return found
+
+
+def _no_constant(name: str) -> float:
+    raise ValueError(f"{name} is no JSON number")
+
+
 def parse_result(raw: str) -> dict:
-    """An answer as lists of entities and relations; malformed text gives empty ones."""
+    """The same of a text in Python: lists of entities and relations (without a confidence where there is none)."""
     try:
-        x = json.loads(re.sub(r"\s*```\Z", "", re.sub(r"\A```[a-zA-Z]*\s*", "", raw.strip())))
+        x = json.loads(re.sub(r"\s*```\Z", "", re.sub(r"\A```[a-zA-Z]*\s*", "", raw.strip())), object_pairs_hook=_once, parse_constant=_no_constant)
     except ValueError:
         x = {}
-    found = {k: [i for i in (x.get(k) if isinstance(x, dict) else None) or [] if isinstance(i, dict)] for k in ("entities", "relations")}
-    return {"entities": [{"type": "unknown", **e} for e in found["entities"]], "relations": found["relations"]}
+    lists = [v if isinstance(x, dict) and isinstance(v := x.get(k), list) else [] for k in ("entities", "relations")]
+    text = lambda i, f: isinstance(i, dict) and isinstance(i.get(f), str)
+    number = lambda i: {"confidence": float(c)} if isinstance(c := i.get("confidence"), int | float) and not isinstance(c, bool) else {}
+    entities = [{"name": i["name"], "type": i["type"] if text(i, "type") else "unknown"} | number(i) for i in lists[0] if text(i, "name")]
+    return {"entities": entities, "relations": [{f: i[f] for f in ENDS} | number(i) for i in lists[1] if all(text(i, f) for f in ENDS)]}
 
 
 def result_errors(x: dict) -> list[str]:
     blank = lambda v: not isinstance(v, str) or not v.strip()
-    out = [f"entities[{i}].{f} must be {'non-empty ' if f == 'name' else ''}string" for i, e in enumerate(x["entities"]) for f in ("name", "type") if (blank(e.get(f)) if f == "name" else not isinstance(e.get(f), str))]
-    return out + [f"relations[{i}].{f} must be non-empty string" for i, r in enumerate(x["relations"]) for f in ("from", "to", "type") if blank(r.get(f))]
+    out = [f"entity {i}: blank name" for i, e in enumerate(x["entities"]) if blank(e.get("name"))]
+    return out + [f"relation {i}: blank {f}" for i, r in enumerate(x["relations"]) for f in ENDS if blank(r.get(f))]
 
 
 def validated(provider: Provider, text: str) -> tuple[dict, str | None]:

@@ -58,7 +58,11 @@ def split_long(text: str, most: int) -> list[str]:
 
 
 def chunk_texts(title: str, body: str, most: int = 2000, overlap: int = 200) -> tuple[list[str], list[str]]:
-    """Chunks before and after overlap: sections merged while they fit, long ones split, each led by its predecessor's tail."""
+    """Chunks before and after overlap: sections merged while they fit, long ones split, each led by its predecessor's tail.
+
+    The tail is prefixed as it stands, blanks in front of it included; it is left out where it is blank, or longer than 20
+    characters and the chunk begins with the first 20 of them after its leading blanks.
+    """
     raw: list[str] = []
     now = ""
     title = title.strip()
@@ -77,9 +81,9 @@ def chunk_texts(title: str, body: str, most: int = 2000, overlap: int = 200) ->
     raw += [now] if now else []
     out = raw[:1]
     for before, text in zip(raw, raw[1:]):
-        tail = before[-overlap:].lstrip() if overlap else ""
-        led = not tail or (len(tail) > 20 and text.startswith(tail[:20]))
-        out.append(text if led else f"{tail}\n\n{text}")
+        tail = before[-overlap:] if overlap else ""
+        led = len(tail) > 20 and text.startswith(tail.lstrip()[:20])
+        out.append(f"{tail}\n\n{text}" if tail.strip() and not led else text)
     return raw, out
 
 

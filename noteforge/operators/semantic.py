@@ -8,28 +8,52 @@ is always an aggregate over its evidence, so what loses evidence is recomputed b
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteforge.functions.text import content_hash, entity_id, entity_key, relation_id, tag_slug
+from noteforge.operators.canonical import Near, greedy_merge
 from noteforge.operators.extraction import extract, extracted_entities, extracted_relations, merge_relations, units
 from noteforge.operators.indexing import insert_missing, merge, purge
 from noteforge.operators.providers import Health, Provider, StubProvider
-from noteforge.sources.staging import shared_dir, staged
+from noteforge.sources.staging import staged
 
-def canonicalize(mentions: DataFrame) -> DataFrame:
-    """entity_id, canonical_name, type, confidence, aliases, mentions of mentions(ord, name, type, confidence) by normal form."""
-    m = mentions.withColumn("key", entity_key(F.col("name"))).where("key <> ''")
+
+def canonicalize(mentions: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """entity_id, canonical_name, type, confidence, aliases, mentions of mentions(ord, name, type, confidence) by normal form.
+
+    merged(key, canonical) tells which normal forms go into another one; their names are aliases there.
+    """
+    m = _canonical(mentions.withColumn("key", entity_key(F.col("name"))).where("key <> ''"), "key", merged)
     g = m.groupBy("key").agg(F.min_by("type", "ord").alias("type"), F.max(F.coalesce("confidence", F.lit(0.6))).alias("confidence"), F.array_sort(F.collect_set(F.trim("name"))).alias("aliases"), F.count(F.lit(1)).alias("mentions"))
     return g.select(entity_id(F.col("key")).alias("entity_id"), F.col("key").alias("canonical_name"), "type", "confidence", "aliases", "mentions")
 
 
+def _canonical(df: DataFrame, column: str, merged: DataFrame | None) -> DataFrame:
+    """df with the canonical form in a column of normal forms."""
+    if merged is None:
+        return df
+    to = merged.select(F.col("key").alias(column), F.col("canonical").alias("_canonical"))
+    return df.join(to, column, "left").withColumn(column, F.coalesce("_canonical", column)).drop("_canonical")
+
+
+def merged_names(entities: DataFrame, known: DataFrame, vectors: DataFrame, rules: Near = Near()) -> DataFrame:
+    """key, canonical of the names of entities(note_id, ord, name) that go into another one.
+
+    Names are taken in the order in which notes name them first. One that known(canonical_name) holds stays itself; others go
+    into the best known or earlier new one by vectors(key, vector) of normal forms. Names without a vector stay themselves.
+    """
+    names = entities.select(entity_key(F.col("name")).alias("key"), F.struct("note_id", "ord").alias("at")).where("key <> ''").groupBy("key").agg(F.min("at").alias("at"))
+    old = known.select(F.col("canonical_name").alias("key")).distinct()
+    new = names.join(old, "key", "left_anti").join(vectors.select("key", "vector"), "key")
+    new = staged(new.orderBy("at", "key").select("key", "vector", F.monotonically_increasing_id().alias("ord")), "new-names")  # numbers of a global sort ascend
+    return greedy_merge(new, old.join(vectors.select("key", "vector"), "key"), rules).where("key <> canonical").select("key", "canonical")
+
+
 def noisy_or(confidence: Column) -> Column:
     """Aggregate: 1 - product of (1 - c), c in 0..1, unknown 0.6; 0 over nothing."""
     c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.6))))
@@ -58,73 +82,6 @@ def similar_entities(vectors: DataFrame, queries: DataFrame, threshold: float =
     return best.where(F.col("score") > threshold).groupBy("query_id").agg(F.max(F.struct("score", -F.col("vec_id"))).alias("m")).select("query_id", (-F.col("m.col2")).alias("vec_id"), F.col("m.score").alias("score"))
 
 
-def greedy_merge(entities: DataFrame, existing: DataFrame | None = None, threshold: float = 0.85, block: int = 2048) -> DataFrame:
-    """key, ord, canonical: in order, each entity joins the best earlier canonical one above the threshold or becomes one.
-
-    entities(ord, key, vector); existing(key, vector) are canonical from the start. The result depends on the order, so blocks
-    of `block` entities are taken in order: a block is compared with all canonical entities so far, which stay in a table, by a
-    distributed scan, then with itself on the driver. Ties go to the earliest. A null or zero vector is near nothing.
-    """
-    spark = entities.sparkSession
-    path = f"{shared_dir(spark)}/noteforge/canonical-{uuid.uuid4().hex}"
-    canonical, assigned = "ord long, key string, vector array<double>", "key string, ord long, canonical string"
-    if existing is not None:
-        order = F.row_number().over(Window.orderBy("key")) if "ord" not in existing.columns else F.col("ord")
-        existing.select((order - (1 << 62)).cast("long").alias("ord"), F.col("key").cast("string"), F.col("vector").cast("array<double>")).write.parquet(f"{path}/canonical")
-    else:
-        spark.createDataFrame([], canonical).write.parquet(f"{path}/canonical")
-    spark.createDataFrame([], assigned).write.parquet(f"{path}/assigned")
-    ordered = staged(entities.select(F.col("ord").cast("long"), F.col("key").cast("string"), F.col("vector").cast("array<double>")).orderBy("ord"), "entities")
-
-    def unit(v) -> np.ndarray:
-        v = np.asarray(v if v is not None else [], np.float64)
-        return v / (np.linalg.norm(v) or 1.0)
-
-    def settle(rows: list) -> None:
-        vectors = [unit(r.vector) for r in rows]
-        sent = spark.sparkContext.broadcast(vectors)
-
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: dict[int, tuple[float, int, str]] = {}
-            of_size: dict[int, list[int]] = {}
-            for i, w in enumerate(sent.value):
-                of_size.setdefault(len(w), []).append(i)
-            for b in batches:
-                for o, k, v in zip(b["ord"], b["key"], b["vector"], strict=True):
-                    u = unit(v)
-                    for i in of_size.get(len(u), []):
-                        score = float(u @ sent.value[i])
-                        if score > threshold and (i not in best or (score, -o) > (best[i][0], -best[i][1])):
-                            best[i] = (score, o, k)
-            yield pd.DataFrame([(i, s, o, k) for i, (s, o, k) in best.items()], columns=["i", "score", "ord", "key"]).astype({"i": "int64", "score": "float64", "ord": "int64"})
-
-        found = spark.read.schema(canonical).parquet(f"{path}/canonical").mapInPandas(nearest, "i long, score double, ord long, key string")
-        best = {r.i: r.m for r in found.groupBy("i").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "key")).alias("m")).collect()}  # a row per entity of the block
-        new: list[int] = []
-        out = []
-        for i, r in enumerate(rows):
-            score, name = (best[i].score, best[i].key) if i in best else (threshold, None)
-            for j in new:
-                if len(vectors[i]) == len(vectors[j]) and (s := float(vectors[i] @ vectors[j])) > score:
-                    score, name = s, rows[j].key
-            if name is None:
-                new.append(i)
-            out.append((r.key, r.ord, name or r.key))
-        spark.createDataFrame(out, assigned).coalesce(1).write.mode("append").parquet(f"{path}/assigned")
-        if new:
-            spark.createDataFrame([(rows[i].ord, rows[i].key, [float(x) for x in vectors[i]]) for i in new], canonical).coalesce(1).write.mode("append").parquet(f"{path}/canonical")
-
-    held: list = []
-    for row in ordered.orderBy("ord").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            settle(held)
-            held = []
-    if held:
-        settle(held)
-    return spark.read.schema(assigned).parquet(f"{path}/assigned")
-
-
 def neighbours(mentions: DataFrame, entities: DataFrame, seen: DataFrame, fanout: int) -> DataFrame:
     """note_id: at most fanout notes that mention one of entities(entity_id) and aren't seen, the latest first."""
     near = mentions.join(entities.select("entity_id").distinct(), "entity_id", "left_semi").join(seen.select("note_id"), "note_id", "left_anti")
@@ -166,9 +123,9 @@ def entities_of_notes(edges: DataFrame) -> DataFrame:
     return m.select(F.regexp_replace("source_id", "^note:", "").alias("note_id"), F.regexp_replace("target_id", "^entity:", "").alias("entity_id")).distinct()
 
 
-def with_mentions(kept: DataFrame, mentions: DataFrame) -> DataFrame:
+def with_mentions(kept: DataFrame, mentions: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     """note_id, entity_id of mentions(note_id, name) by canonical name of kept(entity_id, canonical_name)."""
-    named = mentions.select("note_id", entity_key(F.col("name")).alias("canonical_name"))
+    named = _canonical(mentions.select("note_id", entity_key(F.col("name")).alias("canonical_name")), "canonical_name", merged)
     return named.join(kept.select("canonical_name", "entity_id"), "canonical_name").select("note_id", "entity_id").distinct()
 
 
@@ -181,9 +138,9 @@ def upsert_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
     return merge(entities.select(*columns), new.select(*columns), ["entity_id"], keep)
 
 
-def resolve_names(names: DataFrame, column: str, entities: DataFrame, out: str) -> DataFrame:
+def resolve_names(names: DataFrame, column: str, entities: DataFrame, out: str, merged: DataFrame | None = None) -> DataFrame:
     """names with the entity id of a name column as out; rows whose name is no entity's go."""
-    keyed = names.withColumn("_key", entity_key(F.col(column)))
+    keyed = _canonical(names.withColumn("_key", entity_key(F.col(column))), "_key", merged)
     return keyed.join(entities.select(F.col("canonical_name").alias("_key"), F.col("entity_id").alias(out)), "_key").drop("_key")
 
 
@@ -240,19 +197,21 @@ class Layer:
     edges: DataFrame
 
 
-def persist(layer: Layer, notes: DataFrame, entities: DataFrame, relations: DataFrame, first_chunks: DataFrame) -> Layer:
+def persist(layer: Layer, notes: DataFrame, entities: DataFrame, relations: DataFrame, first_chunks: DataFrame, vectors: DataFrame | None = None, rules: Near = Near()) -> Layer:
     """The layer after new extractions of notes(note_id), which replace what these notes evidenced and mentioned before.
 
     entities(note_id, ord, name, type, confidence) and relations(note_id, ord, from, to, type, confidence) are all that was
     extracted; first_chunks(note_id, chunk_id) evidence the relations (`note:0` where a note has none). A relation whose ends
-    are no entities is left out; relations without evidence go, confidences follow the evidence.
+    are no entities is left out; relations without evidence go, confidences follow the evidence. With vectors(key, vector) of
+    normal forms, names near a known or earlier one are its aliases, and relations and mentions lead to it.
     """
+    merged = staged(merged_names(entities, layer.entities, vectors, rules), "merged-names") if vectors is not None else None
     evidence = remove_evidence(layer.evidence, notes)
     edges = drop_mentions(layer.edges, notes)
-    all_entities = staged(upsert_entities(layer.entities, canonicalize(entities)), "entities")
-    mentioned = with_mentions(all_entities, entities)
-    merged = merge_relations(relations)
-    ends = resolve_names(resolve_names(merged, "from", all_entities, "source_entity_id"), "to", all_entities, "target_entity_id")
+    all_entities = staged(upsert_entities(layer.entities, canonicalize(entities, merged)), "entities")
+    mentioned = with_mentions(all_entities, entities, merged)
+    ends = resolve_names(merge_relations(relations), "from", all_entities, "source_entity_id", merged)
+    ends = resolve_names(ends, "to", all_entities, "target_entity_id", merged)
     ends = ends.withColumn("relation_id", relation_id(F.col("source_entity_id"), F.col("target_entity_id"), F.col("kind")))
     ends = ends.join(first_chunks.select("note_id", "chunk_id"), "note_id", "left").withColumn("chunk_id", F.coalesce("chunk_id", F.concat("note_id", F.lit(":0"))))
     ends = staged(ends, "relation-ends")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noteforge.functions import text as tx
 from noteforge.operators import chats as ch
 from noteforge.operators import extraction as xt
+from noteforge.operators import canonical as cn
 from noteforge.operators import indexing as ix
 from noteforge.operators import retrieval as rt
 from noteforge.operators import runs as rn
@@ -173,8 +174,8 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 CHUNKS = f"""w AS (SELECT doc_id, trim('# Document ' || doc_id || chr(10) || chr(10) || text, {_BLANKS}) AS t FROM documents WHERE trim(text, {_BLANKS}) <> ''),
 r AS (SELECT doc_id, 0 AS n, NULL::VARCHAR AS piece, t AS rest FROM w UNION ALL SELECT doc_id, n + 1, trim(substr(rest, 1, cut), {_BLANKS}), trim(substr(rest, cut + 1), {_BLANKS}) FROM (SELECT *, CASE WHEN length(rest) <= 2000 THEN length(rest) ELSE {_CUT} END AS cut FROM r WHERE rest <> '')),
 raw AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index, piece AS raw FROM r WHERE piece <> ''),
-led AS (SELECT *, ltrim(right(lag(raw) OVER (PARTITION BY doc_id ORDER BY chunk_index), 200), {_BLANKS}) AS tail FROM raw),
-ch AS (SELECT 'd' || doc_id || ':' || chunk_index AS chunk_id, 'd' || doc_id AS note_id, chunk_index, raw, CASE WHEN coalesce(tail, '') = '' OR (length(tail) > 20 AND starts_with(raw, substr(tail, 1, 20))) THEN raw ELSE tail || chr(10) || chr(10) || raw END AS content FROM led)"""
+led AS (SELECT *, right(lag(raw) OVER (PARTITION BY doc_id ORDER BY chunk_index), 200) AS tail FROM raw),
+ch AS (SELECT 'd' || doc_id || ':' || chunk_index AS chunk_id, 'd' || doc_id AS note_id, chunk_index, raw, CASE WHEN tail IS NULL OR trim(tail, {_BLANKS}) = '' THEN raw WHEN length(tail) > 20 AND starts_with(raw, substr(ltrim(tail, {_BLANKS}), 1, 20)) THEN raw ELSE tail || chr(10) || chr(10) || raw END AS content FROM led)"""
 
 
 @query(f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, note_id, chunk_index, content, ceil(length(content) / 4.0)::BIGINT AS token_count FROM ch")
@@ -348,10 +349,29 @@ def entity_similarity_pairs(spark, d):
     return sm.similar_entities(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 0.3)
 
 
-@query()
+#: The plain loop: entities one after another, with the list of canonical ones so far.
+_GREEDY = """v AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+p AS MATERIALIZED (SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 12) AS s FROM v a JOIN v b ON b.vec_id < a.vec_id) WHERE s > {t}),
+n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, coalesce(bs, []) AS bs FROM v LEFT JOIN (SELECT a AS vec_id, list(b) AS bs FROM p GROUP BY a) USING (vec_id)),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS c UNION ALL SELECT n.i, CASE WHEN list_has_any(c, bs) THEN c ELSE list_append(c, vec_id) END FROM r JOIN n ON n.i = r.i + 1),
+c AS (SELECT unnest(c) AS b FROM r WHERE i = (SELECT max(i) FROM r)),
+g AS (SELECT a, first(b ORDER BY s DESC, b) AS b, max(s) AS s FROM p JOIN c USING (b) GROUP BY a)"""
+
+
+def _entities(spark, d):
+    return src.table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"))
+
+
+@query(f"WITH RECURSIVE {_GREEDY.format(t=0.4)} SELECT vec_id AS ord, vec_id::VARCHAR AS key, coalesce(b, vec_id)::VARCHAR AS canonical FROM v LEFT JOIN g ON a = vec_id")
 def entity_merge_greedy(spark, d):
-    e = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"))
-    return sm.greedy_merge(e, threshold=0.4)
+    return cn.greedy_merge(_entities(spark, d), rules=cn.Near(threshold=0.4)).select("ord", "key", "canonical")
+
+
+@query(f"WITH RECURSIVE {_GREEDY.format(t=0.35)} SELECT b::VARCHAR AS key, count(*) AS merged, round(min(s), 6) AS least FROM g GROUP BY b")
+def entity_merge_sizes(spark, d):
+    """How many entities went into each canonical one, with small blocks and prefixes."""
+    m = cn.greedy_merge(_entities(spark, d), rules=cn.Near(threshold=0.35, block=100, first=64)).where("score IS NOT NULL")
+    return m.groupBy(F.col("canonical").alias("key")).agg(F.count(F.lit(1)).alias("merged"), F.round(F.min("score"), 6).alias("least"))
 
 
 @query("SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS aliases, max(p_size)::BIGINT AS confidence FROM part GROUP BY p_brand")

@@ -224,13 +224,40 @@ def relations_merged(spark, d):
     return xt.merge_relations(r).select("note_id", "from_key", "to_key", "kind", "confidence")
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'entities[1].name must be non-empty string|relations[0].to must be non-empty string' WHEN 1 THEN '' ELSE 'relations[0].from must be non-empty string|relations[0].type must be non-empty string' END AS errors FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'entity 1: blank name|relation 0: blank to' WHEN 1 THEN '' ELSE 'relation 0: blank from|relation 0: blank type' END AS errors FROM orders")
 def extraction_errors(spark, d):
     k = F.col("o_orderkey") % 3
-    raw = F.when(k == 0, '{"entities":[{"name":"A","type":"t"},{"name":" "}],"relations":[{"from":"A","to":"","type":"r"}]}').when(k == 1, "no json").otherwise('```json\n{"entities":[],"relations":[{"to":"B"}]}\n```')
+    raw = F.when(k == 0, '{"entities":[{"name":"A","type":"t"},{"name":" "}],"relations":[{"from":"A","to":"","type":"r"}]}').when(k == 1, "no json").otherwise('```json\n{"entities":[],"relations":[{"from":" ","to":"B","type":""},{"to":"C"}]}\n```')
     return src.table(spark, d, "orders").select("o_orderkey", F.array_join(xt.extraction_errors(xt.read_extraction(raw)), "|").alias("errors"))
 
 
+#: Lists in which good items stand among others of every JSON kind; both sides put them together from the order's columns.
+_MIXED = """'{"entities":[' || array_to_string([
+  '"' || o_orderstatus || '"', '{"name":"' || o_custkey || '","type":"' || o_orderpriority || '","confidence":0.' || o_orderkey % 10 || '}', 'null', '{"name":' || o_custkey || '}', '[]', '{"name":"b","type":' || o_custkey || ',"confidence":"0.9"}', '{"type":"t"}', '{"name":null}', 'true', '{"name":"c","confidence":1}'
+][o_orderkey % 10 + 1:], ',') || '],"relations":' || (CASE WHEN o_orderkey % 7 = 0 THEN '{"from":"a"}' ELSE '[7,{"from":"a","to":"' || o_custkey || '","type":"r","confidence":' || o_custkey || '},{"from":"a","to":"b"},{"from":"a","to":1,"type":"r"},"x"]' END) || '}'"""
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, {_MIXED} AS raw FROM orders),
+e AS (SELECT o_orderkey, json_transform_strict(raw->'entities', '["JSON"]') AS es, CASE WHEN json_type(raw, '$.relations') = 'ARRAY' THEN json_transform_strict(raw->'relations', '["JSON"]') ELSE [] END AS rs FROM r),
+k AS (SELECT o_orderkey, list_filter(es, lambda x: json_type(x, '$.name') = 'VARCHAR') AS es, list_filter(rs, lambda x: json_type(x, '$.from') = 'VARCHAR' AND json_type(x, '$.to') = 'VARCHAR' AND json_type(x, '$.type') = 'VARCHAR') AS rs FROM e)
+SELECT o_orderkey, array_to_string(list_transform(es, lambda x: x->>'name'), '|') AS names, array_to_string(list_transform(es, lambda x: CASE WHEN json_type(x, '$.type') = 'VARCHAR' THEN x->>'type' ELSE 'unknown' END), '|') AS types,
+  array_to_string(list_transform(es, lambda x: CASE WHEN json_type(x, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN round(100 * (x->>'confidence')::DOUBLE)::BIGINT::VARCHAR ELSE '-' END), '|') AS hundredths, array_to_string(list_transform(rs, lambda x: x->>'to'), '|') AS ends FROM k""")
+def extraction_mixed(spark, d):
+    """Answers whose lists mix good items with strings, numbers, nulls, lists and items of wrong kinds: the good ones stay."""
+    o = src.table(spark, d, "orders")
+    c = lambda *parts: F.concat(*(F.lit(p) if p[:2] != "o_" else F.col(p).cast("string") for p in parts))
+    items = F.array(
+        c('"', "o_orderstatus", '"'), F.concat(c('{"name":"', "o_custkey", '","type":"', "o_orderpriority", '","confidence":0.'), F.col("o_orderkey") % 10, F.lit("}")), F.lit("null"), c('{"name":', "o_custkey", "}"), F.lit("[]"),
+        c('{"name":"b","type":', "o_custkey", ',"confidence":"0.9"}'), F.lit('{"type":"t"}'), F.lit('{"name":null}'), F.lit("true"), F.lit('{"name":"c","confidence":1}'),
+    )
+    relations = F.when(F.col("o_orderkey") % 7 == 0, '{"from":"a"}').otherwise(c('[7,{"from":"a","to":"', "o_custkey", '","type":"r","confidence":', "o_custkey", '},{"from":"a","to":"b"},{"from":"a","to":1,"type":"r"},"x"]'))
+    raw = F.concat(F.lit('{"entities":['), F.array_join(F.slice(items, (F.col("o_orderkey") % 10 + 1).cast("int"), F.lit(10)), ","), F.lit('],"relations":'), relations, F.lit("}"))
+    x = o.select("o_orderkey", xt.read_extraction(raw).alias("x"))
+    of = lambda column, f: F.array_join(F.transform(column, f), "|")
+    hundredths = lambda e: F.coalesce(F.round(100 * e["confidence"]).cast("long").cast("string"), F.lit("-"))
+    return x.select("o_orderkey", of("x.entities", lambda e: e["name"]).alias("names"), of("x.entities", lambda e: e["type"]).alias("types"), of("x.entities", hundredths).alias("hundredths"), of("x.relations", lambda r: r["to"]).alias("ends"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pending' WHEN doc_id % 3 = 1 THEN 'failed' ELSE 'success' END AS semantic_status, CASE WHEN doc_id % 3 = 1 THEN 'e' END AS error FROM documents")
 def semantic_status(spark, d):
     n = src.table(spark, d, "documents").select(F.col("doc_id").alias("note_id"))

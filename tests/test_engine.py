@@ -17,6 +17,7 @@ from noteforge.operators import providers as pv
 from noteforge.operators import retrieval as rt
 from noteforge.operators import runs as rn
 from noteforge.operators import semantic as sm
+from noteforge.operators.canonical import Near
 from noteforge.plans import catalog, layers
 from noteforge.sources import migrations as mg
 from noteforge.sources import notes as src
@@ -138,8 +139,8 @@ def test_greedy_merge_is_in_order(spark):
 
     df = spark.createDataFrame(rows, "ord long, key string, vector array<double>")
     existing = spark.createDataFrame(have, "key string, vector array<double>")
-    for block in (7, 1000):
-        assert {x.key: x.canonical for x in sm.greedy_merge(df, existing, block=block).collect()} == brute()
+    for rules in (Near(block=7, first=9), Near()):
+        assert {x.key: x.canonical for x in sm.greedy_merge(df, existing, rules).collect()} == brute()
     assert sm.greedy_merge(df.limit(0)).count() == 0
 
 
