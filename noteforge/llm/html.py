@@ -4,8 +4,9 @@ A page is read as a sequence of tags and texts. Every run of text inside one blo
 block elements from the root to it. Per path, text length, punctuation and blocks are summed; the ratios of length and of
 punctuation to blocks are smoothed over neighbouring paths in page order and fused into a score. Paths that pass through
 elements which mark menus, headers, footers, sidebars, notices, adverts, forms or reader comments (by element, role, id or
-class) score nothing. A form, or an element marked by a name other than a comment's, that holds more than half of the
-page's unlinked text isn't apart (a page may lie in one form); of an article's own header the headings stay. A path of
+class) score nothing, and neither does what is hidden (by attribute or style). Where no unmarked text lies outside of forms,
+the page lies in one: then forms that hold an article or main, else a heading or paragraph, aren't apart. What a marked
+element's share of the page is changes nothing. Of an article's own header the headings stay. A path of
 links is one whose text is linked for the most part. Chosen is the smallest element that
 holds every block of other paths which passes the threshold or is a heading, cell, item, caption or pre, but never one
 inside the article or main that holds them all. Its blocks are the main text, short ones too; only those on paths of
@@ -39,7 +40,8 @@ TOKEN = re.compile(
     r"|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-ATTR = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTR = re.compile(r"([a-zA-Z_:@][\w:.@-]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]++)))?", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # HTML's void and phrasing elements, elements that are no main text, and names that mark such.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -50,16 +52,17 @@ NESTED = frozenset("svg object template".split())
 ARTICLE = frozenset(["article", "main"])
 # Elements that hold the page or the article, whose names tell of its layout.
 PLAIN = ARTICLE | {"html", "body"}
+HOLDERS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 APART = frozenset("nav header footer aside form head menu dialog fieldset".split())
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright footer header masthead menu modal nav navbar navigation newsletter "
+    "ad ads adv advert alert alerts adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion discussions disqus footer header masthead menu modal nav navbar navigation newsletter "
     "notice notices pagination pager popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 PLACES = frozenset(["top", "bottom", "site", "global", "page", "main"])
 # Of a compound name: parts that a marking name may be followed by, and those that tell of something else than the element.
-SHAPES = frozenset("area bar block body box button buttons container content footer form inner item items link links list message outer overlay panel posts section text thread title wrap wrapper".split())
+SHAPES = frozenset("area bar block body box button buttons container content footer form inner item items link links list message outer overlay panel posts section slot space text thread title unit wrap wrapper zone".split())
 OTHERS = frozenset("enabled has hide hides no not show shows with without".split())
-COMMENTS = frozenset("comment comments replies reply respond".split())
+COMMENTS = frozenset("comment comments discussion discussions disqus replies reply respond".split())
 ENDS = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt td th tr".split()),
     "li": frozenset(["li"]),
@@ -91,7 +94,7 @@ class _Element:
     def __init__(self, tag: str, parent: _Element | None, at: int, path: int, own: str = ""):
         self.tag, self.parent, self.path = tag, parent, path
         self.at = self.last = at  # its number, and the last one inside
-        self.own = own  # what marks it: "apart", "claim" (void if it holds most of the text), "header" (of an article) or nothing
+        self.own = own  # what marks it: "apart", "form" (void if the page lies in forms), "header" (of an article) or nothing
         self.apart = self.header = False  # by itself or what it is in; by an article's header only
 
 
@@ -107,18 +110,22 @@ def _names(token: str) -> str:
     return "apart" if whole else ""
 
 
-def _marks(attrs: str) -> tuple[set[str], str]:
-    """What names in class, id or role mark; the class."""
-    marks: set[str] = set()
+def _marks(attrs: str) -> tuple[bool, str, bool]:
+    """Whether names in class, id or role mark an element; its class; whether it is hidden."""
+    marked = hidden = False
     mark = ""
     for name, a, b, c in ATTR.findall(attrs) if attrs else ():
-        value = a or b or c
-        marks.update(filter(None, map(_names, value.split())))
-        if name.lower() == "role" and value.lower() in ("contentinfo", "complementary", "search"):
-            marks.add("apart")
-        if name.lower() == "class":
-            mark = "." + value.strip()
-    return marks, mark
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role"):
+            marked |= any(map(_names, value.split()))
+            marked |= name == "role" and value.lower() in ("contentinfo", "complementary", "search")
+            if name == "class":
+                mark = "." + value.strip()
+        elif name == "hidden":
+            hidden |= value.lower() != "until-found"
+        elif name == "style":
+            hidden |= bool(UNSEEN.search(value))
+    return marked, mark, hidden
 
 
 def _skips(tokens: list[re.Match]) -> dict[int, int]:
@@ -148,6 +155,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
     out: list[tuple[_Element, str, int]] = []
     run: list[str] = []
     linked, in_link, made = 0, 0, 0
+    unseen, depth = "", 0  # a hidden phrasing element, and how many of its name are open in it
 
     def close() -> None:
         nonlocal linked
@@ -168,6 +176,8 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             continue
         text = m["text"]
         if text is not None:
+            if unseen:
+                continue
             run.append(text)
             linked += len(text) if in_link else 0
             continue
@@ -179,6 +189,11 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             until = skips.get(i, i)
             continue
         if tag in INLINE or tag in MATH:
+            if unseen:
+                depth += (tag == unseen) * (-1 if ends else 1)
+                unseen = unseen if depth else ""
+            elif not ends and not attrs.endswith("/") and attrs and _marks(attrs)[2]:
+                unseen, depth = tag, 1
             if tag == "a":
                 in_link = 0 if ends else 1
             continue
@@ -186,6 +201,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             run.append(" ")
             continue
         close()
+        unseen = ""
         if tag in VOID:
             continue
         if ends:
@@ -200,15 +216,17 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             in_link = 0
         if attrs.endswith("/") and tag not in ("p", "div", "li"):
             continue
-        marks, mark = _marks(attrs)
-        if tag in PLAIN or HEADING.match(tag):
+        marked, mark, hidden = _marks(attrs)
+        if hidden:
+            own = "hidden"
+        elif tag in PLAIN or HEADING.match(tag):
             own = ""
         elif tag == "header" and any(opened[x] > 0 for x in ARTICLE):
             own = "header"
-        elif "comments" in marks or tag in APART - {"form"}:
+        elif marked or tag in APART - {"form"}:
             own = "apart"
         else:
-            own = "claim" if marks or tag == "form" else ""
+            own = "form" if tag == "form" else ""
         made += 1
         stack.append(_Element(tag, stack[-1], made, paths.setdefault((stack[-1].path, tag, mark), len(paths) + 1), own))
         elements.append(stack[-1])
@@ -222,20 +240,33 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
 
 def _judge(elements: list[_Element], found: list[tuple[_Element, str, int]]) -> None:
     """Set apart and header of the elements (in order of their numbers)."""
-    upto = [0] * (len(elements) + 1)  # unlinked text of the elements before a number
-    for e, text, linked in found:
-        upto[e.at + 1] += len(text) - linked
-    for i in range(len(elements)):
-        upto[i + 1] += upto[i]
+    in_form = [False] * len(elements)
     for e in elements[1:]:
         above = e.parent
         if above.apart:
             e.header = above.header
-            e.apart = not (e.header and HEADING.match(e.tag))
+            e.apart = not (e.header and HEADING.match(e.tag)) or e.own == "hidden"
         else:
             e.header = e.own == "header"
-            most = e.own == "claim" and 2 * (upto[e.last + 1] - upto[e.at]) > upto[-1]
-            e.apart = bool(e.own) and not most
+            e.apart = e.own not in ("", "form")
+        in_form[e.at] = e.own == "form" or in_form[above.at]
+    forms = [e for e in elements[1:] if e.own == "form" and not e.apart]
+    if not forms:
+        return
+    whole = not any(len(text) > linked and not e.apart and not in_form[e.at] for e, text, linked in found)
+    for names in (ARTICLE, HOLDERS) if whole else ():
+        upto = [0]  # elements of these names before a number
+        for e in elements:
+            upto.append(upto[-1] + (e.tag in names and not e.apart))
+        if kept := [e for e in forms if upto[e.last + 1] > upto[e.at]]:
+            break
+    else:
+        kept = []
+    void = {e.at for e in kept}
+    inside = [False] * len(elements)  # in a form that is apart
+    for e in elements[1:]:
+        inside[e.at] = inside[e.parent.at] or e.own == "form" and e.at not in void
+        e.apart |= inside[e.at]
 
 
 def main_text(page: str | None, rules: TagPaths = TagPaths()) -> str:

@@ -275,20 +275,6 @@ def test_html_names_and_raw_elements_take_no_more_than_their_own():
     assert html.main_text("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so.") == "Let x=1 be so."
 
 
-def test_html_marks_hold_for_the_element_they_name():
-    long = ("A sentence, of words, is here. " * 4).strip()
-    own = '<header class="entry-header"><h1>Title</h1><span>by me</span><nav>n</nav></header>'
-    for page, want in (
-        (f"<form><nav>x</nav><article><h1>Title</h1><p>{long}</p></article></form>", f"Title\n\n{long}"),
-        (f'<form action="/"><div><h1>Title</h1><p>{long}</p></div><div class="footer">F</div></form>', f"Title\n\n{long}"),
-        (f'<article class="no-comments">{own}<p>{long}</p><section class="post-comments"><p>{long} {long} {long}</p></section></article>', f"Title\n\n{long}"),
-        (f'<div class="layout-with-header"><h1>Title</h1><p>{long}</p></div><div class="related-posts"><p>{long}</p></div>', f"Title\n\n{long}"),
-        (f'<div class="content"><h1>Title</h1><p>{long}</p></div><ul class="comment-list"><li>{long} {long} {long}</li></ul>', f"Title\n\n{long}"),
-        (f'<article><h1>Title</h1><p data-a="un closed>{long}</p></article>', f"Title\n\n{long}"),
-    ):
-        assert html.main_text(f"<body>{page}</body>") == want
-
-
 def test_html_of_the_fixture_by_plain_cuts(spark):
     """The fixture's articles hold headings, paragraphs and line ends only: cutting at these tags gives their text too."""
     import html as entities
@@ -305,31 +291,6 @@ def test_html_of_the_fixture_by_plain_cuts(spark):
     assert len(rows) > 200
 
 
-def test_html_time_grows_with_the_page():
-    n, text = 50_000, "A sentence, of words, is here."
-    began = time.time()
-    for page in ("<div>" * n + text, "<div>" * n + text + "</div>" * n, "<p class=x>" * n + text, "<div>" * n + "</span-x>" * n + '<a b="' * n, "<svg>" * n + text, "<b" * n):
-        html.main_text(page)
-    assert time.time() - began < 60  # well below the minutes that a quadratic form takes
-
-
-def test_extract_over_a_table(spark):
-    text = "One long text, with commas, and so on. It is text."
-    rows = [(1, "u1", f"<article><p>{text}</p></article>"), (1, "u1", f"<article><p>{text}</p></article>"), (2, None, None), (None, "u3", ""), (2**53 + 1, "u4", f"<p>{text}</p>" + "<p>&eacute; 日本, so it is. And on.</p>" * 3000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("mine"), "n_chars": F.lit("mine")})
-    got = html.extract(pages).orderBy(F.col("page_id").asc_nulls_first(), "url").collect()
-    assert [(r.page_id, r.url, r.text) for r in got[:1] + got[2:4]] == [(None, "u3", ""), (1, "u1", text), (2, None, "")]
-    assert got[4].page_id == 2**53 + 1 and got[4].n_chars == len(got[4].text) == len(text) + 3000 * 25 and got[1] == got[2]
-    assert html.extract(pages.limit(0)).count() == 0
-
-
-def test_licenses(make):
-    rows = [*CASES, (30, "Intro words here. Released under the MIT License. More."), (31, "x " * 500 + "licensed under the apache license version 2.0 " + "y " * 77), (32, "All rights reserved."), (33, "the license of the state")]
-    got = by_id(licenses.scan(make(rows)))
-    assert [got[i][0].licenses for i in (30, 31, 32, 33)] == ["mit", "apache-2.0", "all-rights-reserved", ""]
-    assert got[1][0].n_licenses == 0 and len(got[3]) == 2 and licenses.scan(make(rows).limit(0)).count() == 0
-
-
 def test_each_license_by_its_own_words(make):
     rows = [(1, "under the terms of the gnu general public license version 3"), (2, "Under the terms of the GNU Affero General Public License, version 3."), (3, "under the terms of the GNU Lesser General Public License"), (4, "This work is licensed under the GNU General Public License, version 3")]
     rows += [(10 + i, f"word{i} " * 9 + text + " and on " * 50) for i, (_, text) in enumerate(licenses.TEMPLATES)]
@@ -497,3 +458,30 @@ def test_severity_grades_are_ordered():
     model = toxicity.fit(rows, toxicity.Toxicity())
     each = [np.mean([model.at_least(x).sum() for x, y in rows if y == g]) for g in range(4)]
     assert each == sorted(each) and each[3] > each[0] + 1
+
+
+def test_html_marked_elements_stay_apart_whatever_their_share():
+    """Sidebars, notices, adverts and comments beside an article or plain text, however long they are; hidden text."""
+    part = "<p>A sentence, of words, is here.</p>"
+    text = "A sentence, of words, is here."
+    two = f"{text}\n\n{text}"
+    for names in ("sidebar", "sidebar widget", "cookie-notice", "alert", "ad-slot", "disqus_thread", "discussion", "post-discussion", "comments-area"):
+        for kind in ("class", "id"):
+            aside = f'<div {kind}="{names}">{part * 6}</div>'
+            for page in (f"<body>{aside}<article>{part * 2}</article></body>", f"<body><div>{part * 2}</div>{aside}</body>", f"<body><article>{part}{aside}{part}</article></body>", f"<body><main>{part * 2}</main>{aside}</body>"):
+                assert html.main_text(page) == two, page
+    for hidden in ("hidden", 'hidden="hidden"', 'style="color:red; display : none"', "style='visibility:hidden'", "HIDDEN"):
+        assert html.main_text(f"<article>{part}<div {hidden}>{part * 3}</div><p {hidden}>x</p>{part}</article>") == two
+        assert html.main_text(f"<article>{part}<p>A sentence, of <span {hidden}>more <span>or</span> less</span>words, is here.</p></article>") == two
+    assert html.main_text(f'<article><p class="hidden-gem" data-hidden="x" title="hidden">{text}</p><p hidden="until-found">{text}</p></article>') == two
+
+
+def test_html_forms_hold_the_page_only_where_nothing_lies_outside():
+    part = "<p>A sentence, of words, is here.</p>"
+    text = "A sentence, of words, is here."
+    form = f"<form><label>Name</label>{part * 5}</form>"
+    assert html.main_text(f"<body><article>{part}</article>{form}</body>") == text
+    assert html.main_text(f"<body><div>{part}</div>{form}</body>") == text
+    assert html.main_text(f'<body><form><nav>x</nav><div class="sidebar">{part * 9}</div><h1>T</h1>{part}</form><form><label>Search, please.</label></form></body>') == f"T\n\n{text}"
+    assert html.main_text(f"<body><form>{part * 4}</form><form><article>{part}</article></form></body>") == text
+    assert html.main_text("<body><form><label>Name</label><input></form></body>") == ""
