@@ -8,7 +8,8 @@
 3. Hubs. In each bucket all members are paired with its hub, the member that shares most buckets overall, not with each
    other. Pairs whose corrected register estimate is 4.5 deviations below the threshold are dropped, the others are
    verified on full sets; verified links are brought to components.
-4. Rest. Buckets that still hold more than one component are compared in blocks of about 512 members, registers against
+4. Rest. Buckets that still hold more than one component are compared in blocks of about 512 members, or fewer if their sets
+   are large (about `block_shingles` in a block; a larger set is a block for itself), registers against
    registers, across components only (the largest component's blocks only with the others'); pairs with a high estimate that no hub has tested are verified too, in large
    buckets on the spot. So no bucket is cut short, while a group of copies costs a link each.
 
@@ -46,6 +47,8 @@ class NearDuplicates:
     rows: int = 4
     deviations: float = 4.5
     block: int = 512
+    #: shingles of a block's sets (8 bytes each), of which large buckets hand two to a task at once
+    block_shingles: int = 4_000_000
     #: buckets with more members than this are verified in place
     most_pairs: int = 64
 
@@ -196,8 +199,9 @@ def _rest(buckets: DataFrame, docs: DataFrame, classes: DataFrame, labels: DataF
     large = rows.where(F.col("size") > rules.most_pairs).select("node").distinct()
     sets = _sets(docs, classes.join(large, "node", "left_semi").select("node", "doc_id", "digest"), rules)
     # A bucket's largest component isn't compared with itself: its members stay in their block, met by the blocks of the others.
-    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).selectExpr("bucket", "most.label AS major", f"cast(ceil(most.n / {rules.block}) AS int) AS mains", f"cast(ceil((all - most.n) / {rules.block}) AS int) AS others")
+    sizes = rows.join(classes.select("node", "n_shingles"), "node").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    blocks = lambda n, shingles: f"cast(greatest(ceil(({n}) / {rules.block}), ceil(({shingles}) / {rules.block_shingles})) AS int)"
+    major = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label", "shingles")).alias("most"), F.sum("n").alias("all"), F.sum("shingles").alias("sum")).selectExpr("bucket", "most.label AS major", f"{blocks('most.n', 'most.shingles')} AS mains", f"{blocks('all - most.n', 'sum - most.shingles')} AS others")
     rows = rows.join(staged(major, "major"), "bucket").withColumn("main", F.expr("label = major"))
     rows = rows.selectExpr("bucket", "node", "label", "size", "mains", "others", "main", "cast(if(main, pmod(xxhash64(node), mains), mains + pmod(xxhash64(node), others)) AS int) AS own")
     rows = rows.selectExpr("bucket", "own", "node", "label", "size", "explode(if(main, sequence(mains, mains + others - 1), sequence(0, mains + others - 1))) AS other")

@@ -2,19 +2,21 @@
 
 Features are hashed 1- to 3-grams of the lower-cased text's code points, weighted (1 + log count) * idf and brought to unit
 length. Document frequencies count every labelled document that may be learnt from. The regression is fitted by
-follow-the-regularised-leader with elastic-net penalties on a bounded sample, `per_language` distinct texts of each language
-at most (those of least hash); a temperature is then fitted on documents that the regression didn't see, and divides the
+follow-the-regularised-leader with elastic-net penalties on a bounded sample: `per_language` distinct texts of each language
+at most (those of least hash), and of all languages together about `grams` n-grams and `texts` texts, but one text of each
+language at least. Every language is learnt; where they are more than `weights` allow, n-grams share fewer buckets, which
+bounds the model that the driver fits and the executors get. A temperature is then fitted on documents that the regression didn't see, and divides the
 logits of every prediction. Only the text is an input of a prediction.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; null labels aren't learnt from; with nothing to
 learn from every text is `und`; ties go to the language that sorts first; repeated rows are judged one by one and alike; an empty
-table gives an empty result; extra columns are kept, lang_pred, score and held_out are replaced.
+table gives an empty result; a null doc_id counts as held out; extra columns are kept, lang_pred, score and held_out are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteforge.llm.base import fresh, python_column, read, released
+from noteforge.llm.base import drop_staged, fresh, python_column, read, released, staged
 from noteforge.llm.ftrl import Ftrl, Leader
 
 #: Hash multipliers per place of an n-gram.
@@ -35,14 +37,24 @@ class LanguageId:
     longest: int = 3
     #: bound of the sample's distinct texts per language: for fitting, and a third of it for calibration
     per_language: int = 600
-    #: bound of the languages that are learnt, those of most documents: what bounds the model's size
-    most_languages: int = 400
+    #: bounds of the sample over all languages: texts, and n-grams (of 8 bytes each on the driver)
+    texts: int = 24_000
+    grams: int = 40_000_000
+    #: bound of the model: buckets times languages
+    weights: int = 1 << 24
     epochs: int = 4
     ftrl: Ftrl = field(default_factory=lambda: Ftrl(alpha=1.0, l1=0.02, l2=0.01))
 
 
+    def of(self, languages: int) -> LanguageId:
+        """These rules with as many buckets as the model of so many languages may have (256 at least)."""
+        room = (self.weights // max(1, languages)).bit_length() - 1
+        return replace(self, bits=max(8, min(self.bits, room)))
+
+
 @dataclass
 class Model:
+    rules: LanguageId
     languages: list[str]
     idf: np.ndarray
     weights: np.ndarray  # features x languages
@@ -99,26 +111,32 @@ def frequencies(labelled: DataFrame, rules: LanguageId) -> tuple[int, np.ndarray
     return docs, df
 
 
-def _sample(labelled: DataFrame, counts: dict[str, int], most: int, rules: LanguageId) -> list[tuple[str, tuple[np.ndarray, np.ndarray]]]:
-    """At most `most` distinct texts per language, those of least hash, as features (never texts) on the driver.
+def _sample(labelled: DataFrame, counts: dict[str, int], share: float, rules: LanguageId) -> list[tuple[str, tuple[np.ndarray, np.ndarray]]]:
+    """That share of the sample, distinct texts of least hash of each language, as features (never texts) on the driver.
 
-    counts: about how many distinct texts each language has. A share of the hashes that holds somewhat more than `most` of
-    them is looked at; copies go, and so does what is over, before anything is brought to the driver.
+    counts: about how many distinct texts each language has. A share of the hashes that holds somewhat more than wanted is
+    looked at; copies go, and so does what is over in texts or n-grams, before anything is brought to the driver.
     """
     if not counts:
         return []
+    most = max(1, int(share * min(rules.per_language, rules.texts // len(counts))))
+    room = int(share * rules.grams / len(counts))
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.1 * most + 50) / max(n, 1)))))
+    rates = [(lang, min(1.0, (1.1 * most + 50) / max(n, 1))) for lang, n in counts.items()]
+    rate = F.broadcast(labelled.sparkSession.createDataFrame(rates, "lang string, rate double"))  # a row per language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             f = [grams(t, rules) for t in b["text"]]
             yield pd.DataFrame({"lang": b["lang"].array, "h": b["h"].array, "at": [x for x, _ in f], "n": [x for _, x in f]})
 
-    chosen = labelled.select("lang", "text", h.alias("h"), F.xxhash64("text").alias("key")).where(F.col("h") < F.element_at(rate, F.col("lang"))).dropDuplicates(["lang", "key"])
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))  # bounded: about `most` rows per language
-    chosen = chosen.withColumn("place", place).where(F.col("place") <= most).select("lang", "text", "h")
-    rows = chosen.mapInPandas(released(run), "lang string, h double, at array<int>, n array<int>").toPandas().sort_values(["h", "lang"], kind="stable")
+    chosen = labelled.select("lang", "text", h.alias("h"), F.xxhash64("text").alias("key")).join(rate, "lang").where("h < rate").dropDuplicates(["lang", "key"])
+    line = Window.partitionBy("lang").orderBy("h", "key")  # bounded: about `most` rows per language
+    chosen = chosen.withColumn("place", F.row_number().over(line)).where(F.col("place") <= most).select("lang", "text", "h")
+    found = staged(chosen.mapInPandas(released(run), "lang string, h double, at array<int>, n array<int>"), "language-sample")
+    upto = F.sum(F.size("at")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    rows = found.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < max(1, room)).drop("upto").toPandas().sort_values(["h", "lang"], kind="stable")
+    drop_staged(found)
     return [(r.lang, (np.asarray(r.at, np.int32), np.asarray(r.n, np.int32))) for r in rows.itertuples()]
 
 
@@ -127,11 +145,12 @@ def fit(docs: DataFrame, learn: Column, calibrate: Column, rules: LanguageId = L
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     own, other = usable.where(learn), usable.where(calibrate)
     per = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(F.when(c, F.xxhash64("text")), 0.02) for c in (learn, calibrate)))
-    counts = {r[0]: (r[2], r[3]) for r in per.orderBy(F.desc("n"), "lang").limit(rules.most_languages).collect()}
+    counts = {r[0]: (r[2], r[3]) for r in per.orderBy("lang").collect()}  # a row per language
+    rules = rules.of(len(counts))
     n, df = frequencies(usable.where(learn | calibrate), rules)
     idf = np.log((n + 1) / (df + 1)) + 1
-    train = _sample(own, {k: v[0] for k, v in counts.items() if v[0]}, rules.per_language, rules)
-    held = _sample(other, {k: v[1] for k, v in counts.items() if v[0] and v[1]}, max(1, rules.per_language // 3), rules)
+    train = _sample(own, {k: v[0] for k, v in counts.items() if v[0]}, 1.0, rules)
+    held = _sample(other, {k: v[1] for k, v in counts.items() if v[0] and v[1]}, 1 / 3, rules)
     languages = sorted({lang for lang, _ in train})
     place = {lang: i for i, lang in enumerate(languages)}
     leader, bias = Leader((1 << rules.bits, len(languages)), rules.ftrl), Leader((1, len(languages)), rules.ftrl)
@@ -144,7 +163,7 @@ def fit(docs: DataFrame, learn: Column, calibrate: Column, rules: LanguageId = L
             error[place[lang]] -= 1
             leader.step(at, np.outer(x, error), w)
             bias.step(slice(None), error[None], b)
-    model = Model(languages, idf, leader.weights(), bias.weights()[0], 1.0)
+    model = Model(rules, languages, idf, leader.weights(), bias.weights()[0], 1.0)
     z = [(model.logits(f), place[lang]) for lang, f in held if lang in place]
     if z:
         logits, want = np.array([a for a, _ in z]), np.array([b for _, b in z])
@@ -154,9 +173,9 @@ def fit(docs: DataFrame, learn: Column, calibrate: Column, rules: LanguageId = L
     return model
 
 
-def predict(docs: DataFrame, model: Model, rules: LanguageId = LanguageId()) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score (the calibrated probability)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits * languages weights
+    sent, rules = docs.sparkSession.sparkContext.broadcast(model), model.rules  # at most `weights` weights
 
     def begin():
         m = sent.value
@@ -183,7 +202,7 @@ def identify(docs: DataFrame, rules: LanguageId = LanguageId(), key: str = "doc_
     known = docs.select(key, "text", "lang")
     f = F.coalesce(fold(key), F.lit(0))
     model = fit(known, f >= 2, f == 1, rules)
-    return predict(docs, model, rules).withColumn("held_out", f == 0)
+    return predict(docs, model).withColumn("held_out", f == 0)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

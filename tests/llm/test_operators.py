@@ -388,11 +388,11 @@ def test_grams_are_those_of_plain_slices():
         assert all(set(hash_of[s].tolist()) <= set(at.tolist()) for s in slices)
 
 
-def test_languages_beyond_the_bound_and_odd_columns(make):
+def test_rare_languages_and_odd_columns(make):
     rows = languages(200) + [(500 + i, "one two", f"rare{i}", "s") for i in range(5)]
     docs = make(rows).withColumns({"lang_pred": F.lit("old"), "score": F.lit("old"), "held_out": F.lit("old"), "_language": F.lit("mine")})
-    got = langid.identify(docs.select("doc_id", "text", "lang", "lang_pred", "score", "held_out", "_language"), langid.LanguageId(most_languages=3)).collect()
-    assert {r.lang_pred for r in got} <= {"aa", "bb", "cc"} and len(got) == 205 and {r._language for r in got} == {"mine"} and {type(r.score) for r in got} == {float}
+    got = langid.identify(docs.select("doc_id", "text", "lang", "lang_pred", "score", "held_out", "_language"), langid.LanguageId(texts=40, weights=1 << 12)).collect()
+    assert {r.lang_pred for r in got if r.doc_id < 500} <= {"aa", "bb", "cc"} and len(got) == 205 and {r._language for r in got} == {"mine"} and {type(r.score) for r in got} == {float}
     assert langid.identify(make(rows).limit(0)).count() == 0
     long = langid.identify(make([*languages(200), (900, "abcde " * 50_000, None, "s"), (900, "abcde " * 50_000, None, "s")]))
     assert [r.lang_pred for r in long.where("doc_id = 900").collect()] == ["aa", "aa"]
@@ -402,8 +402,8 @@ def test_language_sample_takes_a_text_once(make):
     rows = [(d, t, "aa", "s") for d, t, _, _ in languages(400)]
     df = make(rows)
     least = df.orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30))).first().text
-    rules = langid.LanguageId()
-    got = langid._sample(df.union(make([(1000 + i, least, "aa", "s") for i in range(2000)])), {"aa": 400}, 50, rules)
+    rules = langid.LanguageId(per_language=50)
+    got = langid._sample(df.union(make([(1000 + i, least, "aa", "s") for i in range(2000)])), {"aa": 400}, 1.0, rules)
     assert len(got) == 50 and len({at.tobytes() for _, (at, _) in got}) == 50
 
 
@@ -485,3 +485,39 @@ def test_html_forms_hold_the_page_only_where_nothing_lies_outside():
     assert html.main_text(f'<body><form><nav>x</nav><div class="sidebar">{part * 9}</div><h1>T</h1>{part}</form><form><label>Search, please.</label></form></body>') == f"T\n\n{text}"
     assert html.main_text(f"<body><form>{part * 4}</form><form><article>{part}</article></form></body>") == text
     assert html.main_text("<body><form><label>Name</label><input></form></body>") == ""
+
+
+def test_every_language_is_learnt_within_the_bounds(make):
+    """Three hundred languages, one of them with two thirds of all rows: each is told, by a model of bounded size."""
+    r = random.Random(21)
+    stems = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzéèàçñöü") for _ in range(6)) for _ in range(300)]
+    text = lambda k: " ".join(stems[k] + r.choice("aeiou") for _ in range(30))
+    rows = [(i, text(0), "l0", "s") for i in range(1200)] + [(2000 + i, text(i % 299 + 1), f"l{i % 299 + 1}", "s") for i in range(1794)]
+    rules = langid.LanguageId(weights=1 << 20, texts=900, grams=900 * 80, epochs=2)
+    assert rules.of(300).bits == 11 and rules.of(4).bits == 15 and rules.of(10**6).bits == 8
+    got = langid.identify(make(rows, extra=False), rules).where("held_out").collect()
+    assert len({x.lang_pred for x in got}) > 200 and sum(x.lang == x.lang_pred for x in got) > 0.9 * len(got)
+
+
+def test_near_duplicates_of_very_long_texts_share_a_bucket(make):
+    """Long texts in one large bucket are compared in blocks that hold few of them."""
+    from noteforge.llm import dedup
+
+    r = random.Random(22)
+    base = [f"w{r.randrange(10**6)}" for _ in range(6_000)]
+    rows = []
+    for i in range(12):
+        words = base.copy()
+        for _ in range(i * 55):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    link = {(a, b) for a in range(12) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    label = list(range(12))
+    for _ in range(12):
+        for a, b in link:
+            label[a] = label[b] = min(label[a], label[b])
+    df = make(rows).withColumns({"digest": F.lit("x"), "regs": F.lit("y"), "label": F.lit(0), "node": F.lit(1)})
+    for rules in (dedup.NearDuplicates(), dedup.NearDuplicates(most_pairs=2, block=3, block_shingles=20_000)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in dedup.near_duplicates(df, rules).collect()}
+        assert got == {i: (len(sets[i]), label[i]) for i in range(12)} and len(set(label)) > 1
