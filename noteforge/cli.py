@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteforge.operators import indexing as ix
+from noteforge.operators import inverted as iv
 from noteforge.operators import retrieval as rt
 from noteforge.operators import runs as rn
 from noteforge.operators.providers import StubProvider, create_provider
@@ -77,17 +78,24 @@ def index(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
     old = store.load(spark, args.store).get("runs")
     new = {f.name: getattr(made["tables"], f.name) for f in fields(ix.Tables)} if made else {}
     store.save(spark, args.store, {**new, "runs": log if old is None else old.unionByName(log)})
+    if made:
+        iv.sync(spark, _inverted(args.store), _tables(spark, args.store).chunks)
     if run.status != "success":
         raise RuntimeError("; ".join(run.errors))
     return [{"id": run.id, "status": run.status, **run.counts}]
 
 
+def _inverted(folder: str) -> str:
+    """Where the inverted index of a store lies."""
+    return f"{folder.rstrip('/')}/inverted"
+
+
 def search(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
     limit = rt.check_query(args.query, args.limit)
     t = _tables(spark, args.store)
     vector = [float(x) for x in StubProvider().embeddings([args.query])[0]]
     asked = spark.createDataFrame([(0, args.query, vector)], "query_id long, query string, vector array<float>")
-    corpus = rt.Corpus(t.chunks, t.snapshot.select("note_id", "title"), t.vectors, t.nodes, t.edges)
+    corpus = rt.Corpus(t.chunks, t.snapshot.select("note_id", "title"), t.vectors, t.nodes, t.edges, iv.load(spark, _inverted(args.store)))
     wanted = [r.strip() for r in args.retrievers.split(",")] if args.retrievers else None
     if wanted and (unknown := set(wanted) - set(rt.RETRIEVERS)):
         raise ValueError(f"unknown retrievers: {', '.join(sorted(unknown))}")

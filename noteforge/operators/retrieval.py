@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteforge.functions.text import damerau_levenshtein, edit_key, estimate_tokens, tokens, trigrams
+from noteforge.operators.inverted import Inverted
 from noteforge.sources.staging import staged
 
 #: Queries are broadcast up to this many rows of terms; beyond it the join shuffles.
@@ -59,8 +60,10 @@ def top(df: DataFrame, k: int | None, by: list[Column]) -> DataFrame:
     return (out.where(F.col("rank") <= k) if k else out).withColumn("rank", F.col("rank").cast("long"))
 
 
-def tfidf(queries: DataFrame, chunks: DataFrame, k: int | None = 50, index: Index | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank: cosine of TF-IDF vectors, positive scores only. All chunks are scored."""
+def tfidf(queries: DataFrame, chunks: DataFrame, k: int | None = 50, index: Index | Inverted | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: cosine of TF-IDF vectors, positive scores only. All chunks are scored, unless a kept index bounds them."""
+    if isinstance(index, Inverted):
+        return index.tfidf(queries, k)
     index = index or Index.of(chunks)
     p, n = index.postings, index.chunks
     df = staged(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
@@ -75,8 +78,10 @@ def tfidf(queries: DataFrame, chunks: DataFrame, k: int | None = 50, index: Inde
     return top(scored.where("score > 0"), k, [F.desc("score"), F.col("chunk_id")])
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = 50, index: Index | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = 50, index: Index | Inverted | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: chunks with all terms of the query, higher is better."""
+    if isinstance(index, Inverted):
+        return index.bm25(queries, k)
     index = index or Index.of(chunks)
     average = index.tokens / index.chunks if index.chunks else 1.0
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
@@ -330,7 +335,7 @@ class Corpus:
     vectors: DataFrame | None = None
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
-    index: Index | None = None
+    index: Index | Inverted | None = None
 
 
 def retrieve(queries: DataFrame, corpus: Corpus, settings: Settings = Settings(), requested: Iterable[str] | None = None, limit: int = 50, layer: str = "both", reranker: Reranker = identity_reranker) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,11 +12,13 @@ from noteforge.operators import chats as ch
 from noteforge.operators import extraction as xt
 from noteforge.operators import canonical as cn
 from noteforge.operators import indexing as ix
+from noteforge.operators import inverted as iv
 from noteforge.operators import retrieval as rt
 from noteforge.operators import runs as rn
 from noteforge.operators import search as se
 from noteforge.operators import semantic as sm
 from noteforge.sources import notes as src
+from noteforge.sources.staging import shared_dir
 from noteforge.streaming import events as ev
 
 QUERIES: dict = {}
@@ -75,6 +79,31 @@ def bm25_topk(spark, d):
     return rt.bm25(src.benchmark_queries(spark, d), src.chunks(spark, d))
 
 
+def _kept_index(spark, d):
+    """An index of three runs: some of the chunks, of which many change, go and come again; in the end all of them as they are."""
+    c = src.chunks(spark, d)
+    k = F.xxhash64("chunk_id") % 7
+    folder = f"{shared_dir(spark)}/noteforge/inverted-{uuid.uuid4().hex}"
+    iv.sync(spark, folder, c.where(k != 0).withColumn("content", F.when(k == 1, F.concat(F.lit("once upon a time "), "content")).otherwise(F.col("content"))))
+    iv.sync(spark, folder, c.where(k != 2).withColumn("content", F.when(k == 3, "nothing of what it was").otherwise(F.col("content"))))
+    return iv.sync(spark, folder, c)
+
+
+@query(f"WITH {DOCS}, {TERMS}, {BM25} SELECT * FROM bm25")
+def bm25_kept_index(spark, d):
+    return _kept_index(spark, d).bm25(src.benchmark_queries(spark, d))
+
+
+@query(f"WITH {TFIDF} SELECT * FROM tfidf")
+def tfidf_kept_index(spark, d):
+    return _kept_index(spark, d).tfidf(src.benchmark_queries(spark, d))
+
+
+@query(f"WITH {DOCS}, {TERMS} SELECT term, df FROM df")
+def kept_frequencies(spark, d):
+    return _kept_index(spark, d).frequencies
+
+
 @query("SELECT item_id AS query_id, 'd' || doc_id AS note_id, 0.0::DOUBLE AS score FROM documents, benchmark WHERE contains(lower(documents.text), lower(benchmark.text))")
 def like_fallback(spark, d):
     return rt.like(src.benchmark_queries(spark, d), src.notes(spark, d), ["body"], "note_id")
