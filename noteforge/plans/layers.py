@@ -360,13 +360,31 @@ def flush_batches(spark, d):
     return out.select("flush_at", "n", F.array_join("notes", ",").alias("notes"))
 
 
-@query("SELECT event_id AS request_id, hour(ts) IN (3, 4) AS deferred, CASE WHEN hour(ts) IN (3, 4) THEN date_trunc('day', ts) + INTERVAL 5 HOUR ELSE ts END AS run_at FROM events")
-def lock_gate(spark, d):
-    """The store is locked from three to five every day."""
+def _locks(spark, d):
+    """Requests, and the store's locks from three to five every day."""
     e = src.table(spark, d, "events").select(F.col("event_id").alias("request_id"), "ts")
     days = e.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).distinct()
-    locks = days.select((F.col("day") + F.expr("interval 3 hours")).alias("began"), (F.col("day") + F.expr("interval 5 hours")).alias("ended"))
-    return ev.gate(e, locks).select("request_id", "deferred", "run_at")
+    return e, days.select((F.col("day") + F.expr("interval 3 hours")).alias("began"), (F.col("day") + F.expr("interval 5 hours")).alias("ended"))
+
+
+@query("SELECT event_id AS request_id, hour(ts) IN (3, 4) AS deferred, CASE WHEN hour(ts) IN (3, 4) THEN date_trunc('day', ts) + INTERVAL 5 HOUR ELSE ts END AS run_at FROM events")
+def lock_gate(spark, d):
+    return ev.gate(*_locks(spark, d)).select("request_id", "deferred", "run_at")
+
+
+@query("""SELECT date_trunc('day', ts) + INTERVAL 5 HOUR AS run_at, 'deferred' AS kind, event_id AS request_id, ts FROM events WHERE hour(ts) IN (3, 4)
+UNION ALL SELECT DISTINCT date_trunc('day', ts) + INTERVAL 5 HOUR, 'catch-up', NULL, NULL FROM events""")
+def unlock_replay(spark, d):
+    e, locks = _locks(spark, d)
+    return ev.on_unlock(ev.gate(e, locks), locks)
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+f AS (SELECT user_id, max(ts) + INTERVAL 5 MINUTE AS ts FROM s GROUP BY user_id, k), h AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM f), j AS (SELECT *, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM h)
+SELECT DISTINCT max(ts) OVER (PARTITION BY k) + INTERVAL 5 MINUTE AS flush_at, user_id AS note_id FROM j""")
+def flushed_notes(spark, d):
+    """A row per flush and note; with this gap flushes take many notes."""
+    return ev.flushes(_events(spark, d), "5 minutes")
 
 
 @query()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteforge.sources.staging import staged
+
 
 def debounce(events: DataFrame, gap: str, key: str = "note_id", watermark: str | None = None) -> DataFrame:
     """key, began, ended, n: events of a key closer than gap are one; batch or, with a watermark, a stream."""
@@ -80,25 +82,77 @@ def bounded_buffer(keys: list, most: int = 1000) -> tuple[list, list]:
     return list(waiting), dropped
 
 
-def flush_batches(events: DataFrame, gap: str, key: str = "note_id") -> DataFrame:
-    """flush_at, notes (sorted), n: the second debounce. Debounced notes whose timers fire closer than gap go in one flush, a gap after the last.
+def _ranges(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df dealt over ranges of the order, each with its number as _part; staged, as it is read more than once."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return staged(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), name)
+
+
+def _before(parts: DataFrame, carried: dict[str, Column]) -> DataFrame:
+    """_part and what the ranges before it leave: aggregates over a row per range."""
+    line = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(parts.select("_part", *(c.over(line).alias(n) for n, c in carried.items())))
+
 
-    One shared timer takes few rows (a flush for each quiet time), from sessions of keys that were already aggregated.
+def flushes(events: DataFrame, gap: str, key: str = "note_id") -> DataFrame:
+    """flush_at and key of every note that a flush takes: the second debounce, with one timer for all keys.
+
+    Debounced notes whose timers fire closer than gap go in one flush, a gap after the last. The timers are cut into ranges
+    of time; a range learns the last timer and the number of flushes of those before it from a row per range, so neither the
+    timers nor a flush that takes most notes lie in one task. A null time fires nothing.
     """
-    fired = debounce(events, gap, key).select(key, (F.col("ended") + F.expr(f"interval {gap}")).alias("ts"))
-    flushed = fired.groupBy(F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_set(key)).alias("notes"), F.max("ts").alias("_last"))
-    return flushed.select((F.col("_last") + F.expr(f"interval {gap}")).alias("flush_at"), "notes", F.size("notes").cast("long").alias("n"))
+    span = F.expr(f"interval {gap}")
+    fired = debounce(events.where("ts IS NOT NULL"), gap, key).select(key, (F.col("ended") + span).alias("ts"))
+    fired = _ranges(fired, [F.col("ts"), F.xxhash64(key)], "fired")
+    line = Window.partitionBy("_part").orderBy("ts")
+    rows = fired.withColumn("_last", F.lag("ts").over(line))
+    ends = _before(fired.groupBy("_part").agg(F.max("ts").alias("_max")), {"_upto": F.max("_max")})
+    begins = rows.join(ends, "_part").withColumn("_last", F.coalesce("_last", "_upto"))
+    begins = begins.withColumn("_new", (F.col("_last").isNull() | (F.col("ts") >= F.col("_last") + span)).cast("long"))
+    begins = staged(begins.select(key, "ts", "_part", "_new"), "flush-begins")
+    numbers = _before(begins.groupBy("_part").agg(F.sum("_new").alias("_sum")), {"_earlier": F.sum("_sum")})
+    upto = F.sum("_new").over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = begins.withColumn("_upto", upto).join(numbers, "_part").select(key, "ts", (F.col("_upto") + F.coalesce("_earlier", F.lit(0))).alias("_flush"))
+    each = staged(numbered.groupBy("_flush", key).agg(F.max("ts").alias("ts")), "flush-notes")
+    last = each.groupBy("_flush").agg((F.max("ts") + span).alias("flush_at"))
+    return each.join(staged(last, "flush-ends"), "_flush").select("flush_at", key)
+
+
+def flush_batches(events: DataFrame, gap: str, key: str = "note_id") -> DataFrame:
+    """flush_at, notes (sorted), n of flushes(), for flushes whose notes fit a row (the buffer holds a bounded number)."""
+    return flushes(events, gap, key).groupBy("flush_at").agg(F.array_sort(F.collect_set(key)).alias("notes"), F.count(F.lit(1)).alias("n"))
 
 
 def gate(requests: DataFrame, locks: DataFrame) -> DataFrame:
     """requests(request_id, ts) with deferred and run_at: what comes while locked (locks: began, ended) waits for the unlock.
 
-    A lock without an end holds what comes for good (run_at null). Locks don't overlap.
+    Requests and locks are merged in order of time; each request sees the last lock before it, across ranges by a row per
+    range, so no lock is sent to every task and the work grows with requests and locks together. A lock without an end holds
+    what comes for good (run_at null). Locks don't overlap; one without a beginning is none; a request without a time isn't held.
+    """
+    lock = F.struct("began", "ended")
+    own = F.struct(*requests.columns)
+    moments = requests.select("ts", F.lit(1).alias("_kind"), F.xxhash64("request_id").alias("_deal"), own.alias("_own"))
+    of_lock = locks.where("began IS NOT NULL").select(F.col("began").alias("ts"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_deal"), lock.alias("_lock"))
+    rows = _ranges(moments.unionByName(of_lock, allowMissingColumns=True), [F.col(c) for c in ("ts", "_kind", "_deal")], "gate")
+    line = Window.partitionBy("_part").orderBy("ts", "_kind", "_deal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = rows.where("_kind = 0").groupBy("_part").agg(F.max_by("_lock", "ts").alias("_end"))
+    every = rows.select("_part").distinct().join(last, "_part", "left")
+    seen = rows.withColumn("_seen", F.last("_lock", ignorenulls=True).over(line)).where("_kind = 1")
+    seen = seen.join(_before(every, {"_earlier": F.last("_end", ignorenulls=True)}), "_part").withColumn("_seen", F.coalesce("_seen", "_earlier"))
+    ended = F.col("_seen.ended")
+    held = F.coalesce(F.col("_seen").isNotNull() & F.col("ts").isNotNull() & (ended.isNull() | (F.col("ts") < ended)), F.lit(False))
+    return seen.select("_own.*", held.alias("deferred"), F.when(held, ended).otherwise(F.col("ts")).alias("run_at"))
+
+
+def on_unlock(gated: DataFrame, locks: DataFrame) -> DataFrame:
+    """run_at, kind, request_id, ts of what an unlock sets off: the deferred requests (`deferred`), and one scan of all (`catch-up`).
+
+    To be run in order of run_at, kind descending, ts and request_id; no order is made here, as one unlock may free most requests.
     """
-    l = locks.select(F.col("began").alias("_b"), F.col("ended").alias("_e"))
-    inside = (F.col("ts") >= F.col("_b")) & (F.col("_e").isNull() | (F.col("ts") < F.col("_e")))
-    hit = requests.join(F.broadcast(l) if l.limit(10_001).count() <= 10_000 else l, inside, "left")
-    return hit.withColumn("deferred", F.col("_b").isNotNull()).withColumn("run_at", F.when(F.col("_b").isNull(), F.col("ts")).otherwise(F.col("_e"))).drop("_b", "_e")
+    waiting = gated.where("deferred AND run_at IS NOT NULL").select("run_at", F.lit("deferred").alias("kind"), "request_id", "ts")
+    scans = locks.where("began IS NOT NULL AND ended IS NOT NULL").select(F.col("ended").alias("run_at"), F.lit("catch-up").alias("kind")).distinct()
+    return waiting.unionByName(scans, allowMissingColumns=True)
 
 
 class Coalesce:
