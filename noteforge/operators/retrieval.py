@@ -175,6 +175,8 @@ def _near_titles(queries: DataFrame, titles: DataFrame, closer_than: int | None)
     t = titles.select("title", edit_key(F.col("title")).alias("tk")).distinct()
     grams = t.select("tk").distinct().select("tk", F.explode(trigrams(F.col("tk"))).alias("g"))
     pairs = q.select("qk").distinct().select("qk", F.explode(trigrams(F.col("qk"))).alias("g")).join(grams, "g").select("qk", "tk").distinct()
+    if closer_than is not None:  # the lengths' difference is the least that the distance can be
+        pairs = pairs.where(F.abs(F.length("qk") - F.length("tk")) < closer_than)
     near = pairs.withColumn("distance", damerau_levenshtein("qk", "tk"))
     near = near if closer_than is None else near.where(F.col("distance") < closer_than)
     return q.join(near, "qk").join(t, "tk").select("query_id", "title", "distance")

@@ -226,7 +226,8 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = 50, fallback:
         terms = terms.union(vocabulary.join(_hint(starts), "start").select("query_id", "phrase", "token", "term"))
     hits = post.join(_hint(terms), "term").groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("phrase", "token", "places")).alias("hits"), F.first("len").alias("len"))
     trees = parsed.where("tree IS NOT NULL").select("query_id", "tree", "sizes")
-    seen = hits.join(_hint(trees), "query_id").select("query_id", "chunk_id", "len", _evaluated()("tree", "sizes", "hits").alias("e")).select("query_id", "chunk_id", "len", "e.matched", F.explode("e.found").alias("f")).select("query_id", "chunk_id", "len", "matched", "f.phrase", "f.n")
+    seen = hits.join(_hint(trees), "query_id").select("query_id", "chunk_id", "len", _evaluated()("tree", "sizes", "hits").alias("e"))
+    seen = staged(seen.select("query_id", "chunk_id", "len", "e.matched", F.explode("e.found").alias("f")).select("query_id", "chunk_id", "len", "matched", "f.phrase", "f.n"), "seen")
     frequency = seen.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
     size = post.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.sum("len")).first()[0] or 0
     rows = chunks.count()
