@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -47,6 +48,24 @@ def sections(text: str) -> list[tuple[int, str, str]]:
     return [(lv, h, body) for lv, h, lines in out if (body := "\n".join(lines).strip())]
 
 
+@F.udtf(returnType="position int, level int, heading string, text string")
+class SectionScan:
+    """The sections of a note's text, one row each, as they are met."""
+
+    def eval(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+        for i, (level, heading, body) in enumerate(sections(text or "")):
+            yield i, level, heading, body
+
+
+def note_sections(notes: DataFrame) -> DataFrame:
+    """note_id, position, level, heading, text of every section of notes(note_id, body); level 0 before a heading, -1 in a fence.
+
+    A lateral join streams a note's sections one after another; an empty or null body has none.
+    """
+    n = notes.select("note_id", "body")
+    return n.lateralJoin(SectionScan(F.col("body").outer())).select("note_id", "position", "level", "heading", "text")
+
+
 def split_long(text: str, most: int) -> list[str]:
     """Pieces of at most `most` characters: cut at a blank line, a line end or a blank in the second half, else anywhere."""
     out, rest = [], text.strip()

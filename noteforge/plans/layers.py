@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from noteforge.functions import text as tx
@@ -360,6 +362,23 @@ def flush_batches(spark, d):
     return out.select("flush_at", "n", F.array_join("notes", ",").alias("notes"))
 
 
+#: Sections of the notes below, by their place; a fence holds what looks like a heading, an underline makes one.
+_SECTIONS = """[{'level': 0, 'heading': '', 'text': 'Order ' || o_orderkey || '.'}, {'level': 1, 'heading': 'Status ' || o_orderstatus, 'text': '# Status ' || o_orderstatus || chr(10) || 'The status.'},
+  {'level': 1, 'heading': 'Priority', 'text': 'Priority' || chr(10) || '=======' || chr(10) || o_orderpriority}, {'level': -1, 'heading': 'Priority', 'text': '```sql' || chr(10) || '# no heading' || chr(10) || 'select ' || o_custkey || chr(10) || '```'},
+  {'level': 1, 'heading': 'Priority', 'text': 'Behind.'}, {'level': 2, 'heading': 'Last', 'text': '## Last ##' || chr(10) || 'End of ' || o_orderkey || '.'}]"""
+
+
+@query(f"SELECT o_orderkey AS note_id, (generate_subscripts(s, 1) - 1)::INT AS position, unnest(s).level::INT AS level, unnest(s).heading AS heading, unnest(s).text AS text FROM (SELECT o_orderkey, {_SECTIONS} AS s FROM orders)")
+def note_sections(spark, d):
+    """Notes with headings, an underlined one, a fence and, every third, front matter."""
+    lines = "Order {0}.|# Status {1}|The status.||Priority|=======|{2}|```sql|# no heading|select {3}|```|Behind.|## Last ##|End of {0}.".replace("|", "\n")
+    parts = re.split(r"\{(\d)\}", lines)
+    columns = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey"]
+    body = F.concat(*(F.col(columns[int(p)]).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+    front = F.when(F.col("o_orderkey") % 3 == 0, "---\ntags: x\n# no heading\n---\n").otherwise("")
+    return ix.note_sections(src.table(spark, d, "orders").select(F.col("o_orderkey").alias("note_id"), F.concat(front, body).alias("body")))
+
+
 def _locks(spark, d):
     """Requests, and the store's locks from three to five every day."""
     e = src.table(spark, d, "events").select(F.col("event_id").alias("request_id"), "ts")
