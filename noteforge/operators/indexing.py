@@ -183,16 +183,26 @@ def purge(child: DataFrame, gone: DataFrame, on: str) -> DataFrame:
     return child.join(gone.select(on).distinct(), on, "left_anti")
 
 
-def descendants(folders: DataFrame, roots: DataFrame, deepest: int = 100) -> DataFrame:
-    """root, id: every folder below each root, itself included. folders(id, parent_id) is a tree; each level is staged."""
-    level = staged(roots.select(F.col("id").alias("root"), F.col("id").alias("id")), "folders")
-    out = level
-    for _ in range(deepest):
-        level = staged(level.join(folders.select(F.col("id").alias("_c"), F.col("parent_id").alias("id")), "id").select("root", F.col("_c").alias("id")), "folders")
-        if level.isEmpty():
-            return out
-        out = out.union(level)
-    raise ValueError("folders aren't a tree")
+def descendants(folders: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, id: every folder below each root, itself included, by pointer doubling. folders(id, parent_id) is a tree.
+
+    Each folder points at an ancestor, at first its parent, and each round at that one's pointer, while the roots found among
+    the ancestors in between are united: a tree of any depth takes as many rounds as the logarithm of it. A root needs no row
+    of its own; rows without an id or parent end a path; folders that lead into a cycle are an error that names some of them.
+    """
+    found = staged(roots.select(F.col("id").alias("root"), F.col("id").alias("id")).where("id IS NOT NULL").distinct(), "folder-roots")
+    jumps = staged(folders.where("id IS NOT NULL AND parent_id IS NOT NULL").select("id", F.col("parent_id").alias("up")).distinct(), "folder-jumps")
+    left, steps = jumps.count(), 1
+    longest = left
+    while left:
+        if steps > longest:
+            named = ", ".join(sorted(str(r[0]) for r in jumps.select("id").distinct().orderBy("id").limit(5).collect()))
+            raise ValueError(f"folders aren't a tree; a cycle is above {named}")
+        over = jumps.join(found.withColumnRenamed("id", "up"), "up").select("root", "id")
+        found = staged(found.union(over).distinct(), "folder-roots")
+        jumps = staged(jumps.join(jumps.select(F.col("id").alias("up"), F.col("up").alias("_next")), "up").select("id", F.col("_next").alias("up")).distinct(), "folder-jumps")
+        left, steps = jumps.count(), 2 * steps
+    return found
 
 
 def by_ids(notes: DataFrame, ids: DataFrame) -> DataFrame:
