@@ -255,12 +255,12 @@ def test_extraction_with_retry_and_granularity(spark):
             return {"entities": [{"name": "", "type": "t"}], "relations": []} if "bad" in text else super().extract(text)
 
         def chat(self, messages, temperature=None, max_tokens=None):
-            return "{}" if "again" in messages[1]["content"] else '```json\n{"entities": [{"name": 3}], "relations": [{"from": "a"}]}\n```'
+            return "{}" if "again" in messages[1]["content"] else '```json\n{"entities": [{"name": 3}, {"name": " "}], "relations": [{"from": "a"}, {"from": "a", "to": "b", "type": ""}]}\n```'
 
     texts = spark.createDataFrame([("a", 0, "Alice met Bob Stone"), ("b", 0, "bad"), ("c", 0, "bad again"), ("d", 0, "boom")], "note_id string, unit int, text string")
     got = {x.note_id: x for x in xt.extract(texts, Wrong()).collect()}
     assert [e.name for e in got["a"].entities] == ["Alice", "Bob Stone"] and got["a"].relations[0].to == "Bob Stone" and got["a"].error is None
-    assert "entities[0].name" in got["b"].error and "relations[0].type" in got["b"].error and got["c"].error is None and got["d"].error
+    assert "entity 0: blank name" in got["b"].error and "relation 0: blank type" in got["b"].error and got["c"].error is None and got["d"].error
     n = spark.createDataFrame([("s", "T", "short " + tx.marker(1, [], [])), ("l", "", "word " * 3000), ("e", "", " ")], "note_id string, title string, body string")
     count = lambda g: {x.note_id: x.n for x in xt.units(n, g, 8000).groupBy("note_id").agg(F.count("*").alias("n")).collect()}
     assert count("per-note") == {"s": 1, "l": 8} and count("per-chunk") == {"s": 1, "l": 8} and count("per-note+per-chunk") == {"s": 2, "l": 16}
