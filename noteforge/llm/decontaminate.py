@@ -7,8 +7,8 @@ the items that hold the window; an item of fewer words is hit where it occurs as
 spans from texts, and drops texts of which more than `max_coverage` of the words are hit.
 
 The benchmark is small by nature, but its size is checked: items are dealt into automata of at most `max_tokens` words,
-each of which is sent by itself and makes one pass over the documents. clean() with several of them unites their spans before it
-cuts, and goes over the texts that were hit again until no automaton finds any.
+each of which is sent by itself and makes one pass over the documents, which are read where they lie. clean() with several of
+them unites their spans before it cuts, and goes over the texts that were hit again until no automaton finds any.
 
 Defined cases: a null or empty document has no words and no hits; a null or empty item occurs nowhere; items with a null
 id hit words but aren't counted; equal items count each; repeated documents are judged one by one; an empty benchmark hits
@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import islice
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -187,33 +187,50 @@ SPANS = "n_words long, spans array<struct<begin:int,end:int>>, items array<strin
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, rules: Decontamination = Decontamination()) -> DataFrame:
-    """doc_id, n_words, spans (hit word ranges), items (ids with an occurring window) of every row of docs."""
-    out = None
-    for a in automata(benchmark, rules):
-        sent = docs.sparkSession.sparkContext.broadcast(a)
-        if out is None:
-            out = docs.select("doc_id", "text")
-            out = map_rows(out, _scanner(sent), ["text"], out.columns, SPANS)
+    """doc_id, n_words, spans (hit word ranges), items (ids with an occurring window) of every row of docs.
+
+    With several automata, each reads the texts where they lie and hands on what it hit, by two hashes of the text; texts are
+    never written again, and what one automaton hit is united with what others did by these hashes.
+    """
+    spark = docs.sparkSession
+    found = automata(benchmark, rules)
+    begun = list(islice(found, 2))
+    if len(begun) == 1:
+        return map_rows(docs.select("doc_id", "text"), _scanner(spark.sparkContext.broadcast(begun[0])), ["text"], ["doc_id"], SPANS)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    rows, hits = None, []
+    for a in chain(begun, found):
+        sent = spark.sparkContext.broadcast(a)
+        if rows is None:  # the first one counts the words
+            rows = staged(map_rows(keyed, _scanner(sent), ["text"], ["doc_id", "h1", "h2"], SPANS), "scanned")
+            hits.append(rows.where(F.size("spans") > 0).select("h1", "h2", "spans", "items"))
         else:
-            out = staged(out, "scanned").withColumnsRenamed({"n_words": "_n", "spans": "_spans", "items": "_items"})
-            out = map_rows(out, _scanner(sent), ["text", "_spans", "_items"], ["doc_id", "text"], SPANS)
-    return out.drop("text")
+            own = map_rows(keyed, _scanner(sent), ["text"], ["h1", "h2"], SPANS)
+            hits.append(staged(own.where(F.size("spans") > 0).select("h1", "h2", "spans", "items"), "hits"))
+        sent.unpersist()
+    each = reduce(DataFrame.union, (h.withColumn("by", F.lit(i)) for i, h in enumerate(hits))).dropDuplicates(["h1", "h2", "by"])
+    of_text = each.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row per automaton
+    united = python_column(lambda: lambda rows: [[{"begin": b, "end": e} for b, e in _union([(x["begin"], x["end"]) for x in r])] for r in rows], F.col("s"), "array<struct<begin:int,end:int>>")
+    of_text = staged(of_text.select("h1", "h2", united.alias("spans"), "items"), "united")
+    out = rows.select("doc_id", "h1", "h2", "n_words").join(of_text, ["h1", "h2"], "left")
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(of_text.schema[c].dataType)).alias(c)
+    return out.select("doc_id", "n_words", none("spans"), none("items"))
 
 
 def _scanner(sent):
-    """Adds one automaton's hits to those of earlier ones."""
+    """Words, hit spans and items of texts by one automaton."""
 
     def begin():
         a = sent.value
 
-        def run(texts: list[str | None], *before: list) -> dict[str, list]:
+        def run(texts: list[str | None]) -> dict[str, list]:
             n, spans, items = [], [], []
-            for t, old, had in zip(texts, *(before or ([()] * len(texts), [()] * len(texts))), strict=True):
+            for t in texts:
                 w = words(t)
                 now, found = a.match(w)
                 n.append(len(w))
-                spans.append([{"begin": x, "end": y} for x, y in (_union([*now, *((o["begin"], o["end"]) for o in old)]) if old else now)])
-                items.append(sorted({a.ids[i] for i in found} - {None} | {*had}))
+                spans.append([{"begin": x, "end": y} for x, y in now])
+                items.append(sorted({a.ids[i] for i in found} - {None}))
             return {"n_words": n, "spans": spans, "items": items}
 
         return run

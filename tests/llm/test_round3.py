@@ -217,3 +217,24 @@ def test_anchors_depend_on_the_window_alone():
         of_window = np.repeat(at - len(before), last - first + 1)
         places.append(of_window[len(before) : len(before) + 501].tolist())
     assert all(p == places[0] for p in places)
+
+
+def test_several_automata_find_what_one_finds(spark, make):
+    """Texts are read once per automaton; copies and rows without an id are told apart from their text alone."""
+    from noteforge.llm import decontaminate
+
+    r = random.Random(13)
+    word = lambda: f"w{r.randrange(60)}"
+    items = [(f"i{n}", " ".join(word() for _ in range(r.choice([3, 9, 10, 14, 30])))) for n in range(25)] + [(None, " ".join(word() for _ in range(12))), ("empty", ""), ("null", None)]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(r.randrange(8)))]
+        for _ in range(r.randrange(3)):
+            parts += [r.choice(items)[1] or "", " ".join(word() for _ in range(r.randrange(5)))]
+        rows.append((i, " ".join(parts)))
+    rows += [(3, rows[3][1]), (100, rows[3][1]), (None, rows[4][1]), (101, None), (102, "")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = make(rows).withColumns({"h1": F.lit("x"), "spans": F.lit("y"), "n_hit": F.lit(1), "items": F.lit("z")})
+    one, many = (sorted(map(str, decontaminate.contamination(docs, benchmark, decontaminate.Decontamination(max_tokens=n)).collect())) for n in (10_000, 40))
+    assert one == many and any("contaminated=True" in x for x in one) and len(one) == len(rows)
+    assert decontaminate.contamination(docs.limit(0), benchmark, decontaminate.Decontamination(max_tokens=40)).count() == 0
