@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,30 +116,67 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
 
 
+def distances(a: list[str], b: list[str], cells: int = 1 << 22) -> np.ndarray:
+    """Edit distances of pairs, with insertions, deletions, substitutions and transpositions that may span edits.
+
+    All pairs of a slice fill their tables together, a cell of each at a time; pairs of like lengths share a slice, and a
+    slice's tables hold at most about so many cells.
+    """
+    out = np.zeros(len(a), dtype=np.int64)
+    size = np.array([(len(x) + 2) * (len(y) + 2) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    order = np.argsort(size, kind="stable")[::-1]
+    at = 0
+    while at < len(order):
+        rows, columns = len(a[order[at]]), len(b[order[at]])
+        end = at
+        while end < len(order):
+            rows, columns = max(rows, len(a[order[end]])), max(columns, len(b[order[end]]))
+            if end > at and (rows + 2) * (columns + 2) * (end + 1 - at) > cells:
+                break
+            end += 1
+        part = order[at:end]
+        out[part] = _slice_distances([a[i] for i in part], [b[i] for i in part])
+        at = end
+    return out
+
+
+def _slice_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Tables are shifted by one: row and column 0 stand before the empty prefix and are never the cheapest way."""
+    n, la, lb = len(a), np.array([len(x) for x in a]), np.array([len(y) for y in b])
+    letters = {c: i for i, c in enumerate(sorted(set("".join(a) + "".join(b))))}
+    codes = [np.full((n, max(lens.max(), 1)), -1) for lens in (la, lb)]
+    for made, texts in zip(codes, (a, b), strict=True):
+        for i, text in enumerate(texts):
+            made[i, : len(text)] = [letters[c] for c in text]
+    rows, columns, pair = la.max(), lb.max(), np.arange(n)
+    table = np.full((n, rows + 2, columns + 2), rows + columns, dtype=np.int32)
+    table[:, 1:, 1] = np.arange(rows + 1)
+    table[:, 1, 1:] = np.arange(columns + 1)
+    last_row = np.zeros((n, len(letters) + 1), dtype=np.int64)  # where a letter stood last in a; the last column is for padding
+    for i in range(1, rows + 1):
+        last_column = np.zeros(n, dtype=np.int64)
+        x = codes[0][:, i - 1]
+        for j in range(1, columns + 1):
+            y = codes[1][:, j - 1]
+            k, m, same = last_row[pair, y], last_column, x == y
+            swapped = table[pair, k, m] + (i - k) + (j - m) - 1
+            edited = np.minimum(table[:, i, j + 1], table[:, i + 1, j]) + 1
+            table[:, i + 1, j + 1] = np.minimum(np.minimum(table[:, i, j] + ~same, edited), swapped)
+            last_column = np.where(same, j, last_column)
+        last_row[pair, x] = i
+    return table[pair, la + 1, lb + 1]
+
+
 def distance(a: str, b: str) -> int:
-    """Edit distance with insertions, deletions, substitutions and transpositions that may span edits."""
-    far = len(a) + len(b)
-    table = {(-1, -1): far}
-    for i in range(len(a) + 1):
-        table[i, -1], table[i, 0] = far, i
-    for j in range(len(b) + 1):
-        table[-1, j], table[0, j] = far, j
-    row_of: dict[str, int] = {}
-    for i, x in enumerate(a, 1):
-        column = 0
-        for j, y in enumerate(b, 1):
-            k, m = row_of.get(y, 0), column
-            if x == y:
-                column = j
-            swap = table[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1)
-            table[i, j] = min(table[i - 1, j - 1] + (x != y), table[i, j - 1] + 1, table[i - 1, j] + 1, swap)
-        row_of[x] = i
-    return table[len(a), len(b)]
+    return int(distances([a], [b])[0])
 
 
 @F.pandas_udf(T.LongType())
 def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+    both = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series(pd.array([pd.NA] * len(a), dtype="Int64"))
+    out[both] = distances(list(a[both]), list(b[both]))
+    return out
 
 
 #: Units of an interval and their milliseconds (fixed values).

@@ -16,11 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteforge.functions.text import damerau_levenshtein, edit_key, estimate_tokens, tokens, trigrams
+from noteforge.operators.cells import Cells
 from noteforge.operators.inverted import Inverted
 from noteforge.sources.staging import staged
 
 #: Queries are broadcast up to this many rows of terms; beyond it the join shuffles.
 MOST_TERMS = 500_000
+#: Trigrams that one edit can take from a text.
+EDIT_GRAMS = 4
+#: Of a query's trigrams, the rarest so many find the titles that bound the distance of the k nearest.
+RAREST = 4
 
 
 def _hint(df: DataFrame, most: int = MOST_TERMS, judged: DataFrame | None = None) -> DataFrame:
@@ -119,12 +124,14 @@ def like(queries: DataFrame, texts: DataFrame, columns: list[str], key: str) ->
     return hits.select("query_id", F.col("id").alias(key), F.lit(0.0).alias("score")).distinct()
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096, key: str = "vec_id") -> DataFrame:
-    """query_id, key, score, rank: exact cosine of queries(query_id, vector) and vectors(key, vector).
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096, key: str = "vec_id", index: Cells | None = None) -> DataFrame:
+    """query_id, key, score, rank: exact cosine of queries(query_id, vector) and vectors(key, vector); by a kept index if there is one.
 
     Queries are taken in blocks of a fixed size; a block is a matrix that each task multiplies with its batches, keeping
     k rows of a query and batch. Vectors of other dimensions are left out; a zero vector scores 0.
     """
+    if index is not None:
+        return index.search(queries, k, key=key)
     parts = []
     rows = queries.select("query_id", "vector").orderBy("query_id")
     ids: list = []
@@ -169,22 +176,49 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096
     return top(out.withColumn("score", F.round("score", 6)), k, [F.desc("score"), F.col(key)])
 
 
-def _near_titles(queries: DataFrame, titles: DataFrame, closer_than: int | None) -> DataFrame:
-    """query_id, title, distance of titles that share a trigram with the query; each pair of normal forms is measured once."""
+def _title_pairs(sought: DataFrame, grams: DataFrame) -> DataFrame:
+    """qk, tk, most, least of sought(qk, g, most) and grams(tk, g): pairs that share a sought trigram and may be as near as `most` (null: any).
+
+    An edit takes at most four trigrams away (a swap of neighbours; others three), and a length differs by at most the edits:
+    the larger of both bounds is `least`. An edit distance without swaps is at most twice the one with them.
+    """
+    pairs = sought.join(grams, "g").groupBy("qk", "tk").agg(F.first("most").alias("most"))
+    q, t = trigrams(F.col("qk")), trigrams(F.col("tk"))
+    lost = F.greatest(F.size(q), F.size(t)) - F.size(F.array_intersect(q, t))
+    pairs = pairs.withColumn("least", F.greatest(F.ceil(lost / EDIT_GRAMS), F.abs(F.length("qk") - F.length("tk")).cast("long")))
+    return pairs.where("most IS NULL OR least <= most AND levenshtein(qk, tk, cast(2 * most AS int)) >= 0")
+
+
+def _near_titles(queries: DataFrame, titles: DataFrame, closer_than: int | None, k: int | None = None) -> DataFrame:
+    """query_id, title, distance of titles that share a trigram with the query: all that are closer, of the k nearest at least.
+
+    With a bound of d edits only the 4 d + 1 rarest trigrams of a query are joined, since one of them stays in every title as
+    near as that. For the k nearest the bound is the k-th distance among the titles that share one of the rarest trigrams.
+    Each pair of normal forms is measured once.
+    """
     q = queries.select("query_id", edit_key(F.col("query")).alias("qk"))
     t = titles.select("title", edit_key(F.col("title")).alias("tk")).distinct()
-    grams = t.select("tk").distinct().select("tk", F.explode(trigrams(F.col("tk"))).alias("g"))
-    pairs = q.select("qk").distinct().select("qk", F.explode(trigrams(F.col("qk"))).alias("g")).join(grams, "g").select("qk", "tk").distinct()
-    if closer_than is not None:  # the lengths' difference is the least that the distance can be
-        pairs = pairs.where(F.abs(F.length("qk") - F.length("tk")) < closer_than)
-    near = pairs.withColumn("distance", damerau_levenshtein("qk", "tk"))
-    near = near if closer_than is None else near.where(F.col("distance") < closer_than)
+    grams = staged(t.select("tk").distinct().select("tk", F.explode(trigrams(F.col("tk"))).alias("g")), "title-grams")
+    own = q.select("qk").distinct().select("qk", F.explode(trigrams(F.col("qk"))).alias("g"))
+    held = grams.join(_hint(own.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rare_first = F.row_number().over(Window.partitionBy("qk").orderBy("n", "g"))
+    own = staged(own.join(held, "g").withColumn("place", rare_first).withColumn("most", F.lit(None if closer_than is None else closer_than - 1).cast("long")), "query-grams")
+    if k is not None:
+        some = _title_pairs(own.where(F.col("place") <= RAREST), grams)
+        some = some.withColumn("r", F.row_number().over(Window.partitionBy("qk").orderBy("least", "tk"))).where(F.col("r") <= 4 * k)
+        measured = some.select("qk", "tk").withColumn("distance", damerau_levenshtein("qk", "tk"))
+        by = Window.partitionBy("qk").orderBy("distance", "tk")
+        bound = measured.withColumn("r", F.row_number().over(by)).where(F.col("r") == k).select("qk", F.col("distance").alias("bound"))
+        own = own.join(bound, "qk", "left").withColumn("most", F.least("most", "bound")).drop("bound")
+    pairs = _title_pairs(own.where(F.col("most").isNull() | (F.col("place") <= EDIT_GRAMS * F.col("most") + 1)), grams)
+    near = staged(pairs.select("qk", "tk", "most"), "title-pairs").withColumn("distance", damerau_levenshtein("qk", "tk"))
+    near = near.where("most IS NULL OR distance <= most")
     return q.join(near, "qk").join(t, "tk").select("query_id", "title", "distance")
 
 
 def fuzzy(queries: DataFrame, titles: DataFrame, k: int = 10, closer_than: int | None = None) -> DataFrame:
     """query_id, title, distance, rank: nearest titles that share a trigram with the query, by edit distance."""
-    return top(_near_titles(queries, titles, closer_than), k, [F.col("distance"), F.col("title")])
+    return top(_near_titles(queries, titles, closer_than, k), k, [F.col("distance"), F.col("title")])
 
 
 def fuzzy_chunks(queries: DataFrame, notes: DataFrame, chunks: DataFrame, k: int = 50, closer_than: int | None = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from noteforge.functions import text as tx
 from noteforge.operators import chats as ch
 from noteforge.operators import extraction as xt
 from noteforge.operators import canonical as cn
+from noteforge.operators import cells as ce
 from noteforge.operators import indexing as ix
 from noteforge.operators import inverted as iv
 from noteforge.operators import retrieval as rt
@@ -121,13 +122,35 @@ def fuzzy_title_topk(spark, d):
     return rt.fuzzy(part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query")), part.select(F.col("p_name").alias("title")))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(round(list_cosine_similarity(q.v, v.v), 9), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0)
-SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""")
+DENSE_KNN = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(round(list_cosine_similarity(q.v, v.v), 9), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0)
+SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
+@query(DENSE_KNN)
 def dense_knn(spark, d):
     v = src.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return rt.dense(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), v)
 
 
+def _cells(spark, d):
+    v = src.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), ce.build(spark, f"{shared_dir(spark)}/noteforge/cells-{uuid.uuid4().hex}", v)
+
+
+@query(DENSE_KNN)
+def dense_index_exact(spark, d):
+    """What `dense_knn` finds, by cells whose bound reaches the k-th score."""
+    q, kept = _cells(spark, d)
+    return kept.search(q, 20, exact=True)
+
+
+@query()
+def dense_index_knn(spark, d):
+    """The nearest vectors of the most promising cells; the test asks for nine of ten of the exact hits."""
+    q, kept = _cells(spark, d)
+    return kept.search(q, 20)
+
+
 GRAPH_NODES = "n AS (SELECT 'c' || c_custkey AS id, 'note' AS kind, c_name AS label FROM customer UNION ALL SELECT 's' || s_suppkey, 'note', s_name FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'tag', n_name FROM nation)"
 GRAPH_EDGES = "e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b, 1.0::DOUBLE AS w FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 0.5 FROM supplier)"
 
