@@ -5,7 +5,8 @@ are fitted by k-means on a sample of classes (bounded, chosen by hash); every cl
 cell is stored in blocks of about BLOCK classes, so a crowded cell is many rows. A class keeps its difference from the centre in
 bytes, and how far the bytes are from the difference: the coded score and that distance bound the true score from both sides.
 
-A search looks into the `probes` cells of highest bound. The k-th lower bound found is what others have to reach: whatever may
+A search looks into the `probes` cells whose centres are nearest. How many those are is found when the index is built: so many
+that sampled vectors find `target` of their true neighbours, which is few in clustered data and most of all cells in random data. The k-th lower bound found is what others have to reach: whatever may
 reach it is scored from its whole vector. In exact mode every further cell whose bound reaches it is searched as well, so the
 hits are those of a full scan whatever the cells are like. Queries are dealt into blocks per cell and joined with the cell's
 blocks; neither queries nor vectors pass the driver, which sees the centres and the cells' sizes only.
@@ -55,6 +56,9 @@ class Fit:
     values: int = 1 << 23
     rounds: int = 8
     seed: int = 7
+    trials: int = 256  # indexed vectors, at most, that the number of cells to search is found with
+    neighbours: int = 20
+    target: float = 0.95
 
     def cells(self, classes: int, dim: int) -> int:
         return max(2, min(self.most, self.values // dim, math.ceil(math.sqrt(classes))))
@@ -131,23 +135,49 @@ def build(spark: SparkSession, folder: str, vectors: DataFrame, key: str = "vec_
     at = placed.join(numbers, "cell").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     blocks = at.groupBy("cell", "block").agg(F.collect_list(F.struct("cls", "scale", "err", "code")).alias("m")).select("cell", "block", "m.cls", "m.scale", "m.err", "m.code")
     whole = at.select("cls", "cell").join(classes, "cls").repartitionByRange("cell", "cls").sortWithinPartitions("cell", "cls")
-    store.save(spark, folder, {"members": rows.select("cls", "key"), "classes": whole, "blocks": blocks.repartitionByRange("cell", "block").sortWithinPartitions("cell", "block"), "centres": heads})
+    members, whole = rows.select("cls", "key"), staged(whole, "classes-by-cell")
+    blocks = staged(blocks.repartitionByRange("cell", "block").sortWithinPartitions("cell", "block"), "blocks")
+    probes = _probes(_cells(members, whole, blocks, heads, 1), n, fit)
+    store.save(spark, folder, {"members": members, "classes": whole, "blocks": blocks, "centres": heads, "settings": spark.range(1).select(F.lit(probes).alias("probes"))})
     return load(spark, folder)
 
 
+def _probes(index: Cells, n: int, fit: Fit) -> int:
+    """Nearest cells that hold `target` of the true neighbours of sampled classes, themselves left out; trials and hits are bounded."""
+    share = fit.trials / max(n, 1)
+    chosen = index.classes.where(F.pmod(F.xxhash64(F.lit(2), "cls"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else index.classes
+    asked = staged(chosen.where(f"{_NORM.format('vector')} > 0").limit(fit.trials).select(F.col("cls").alias("query_id"), "vector"), "trials")
+    if asked.isEmpty():
+        return 1
+    hits = index._nearest(index._units(asked), fit.neighbours + 1, 1, exact=True).where("query_id <> cls").select("query_id", "cell").collect()
+    if not hits:
+        return 1
+    trials = {r["query_id"]: np.asarray(r["vector"]) for r in asked.collect()}
+    place = {}
+    for name, vector in trials.items():
+        order = np.argsort(-(index.centres @ (vector / np.sqrt((vector * vector).sum()))), kind="stable")
+        place[name] = {int(index.cells[c]): i for i, c in enumerate(order, 1)}
+    places = np.sort([place[h["query_id"]][h["cell"]] for h in hits])
+    return int(places[min(len(places) - 1, math.ceil(fit.target * len(places)) - 1)])
+
+
+def _cells(members: DataFrame, classes: DataFrame, blocks: DataFrame, heads: DataFrame, probes: int) -> Cells:
+    held = heads.orderBy("cell").collect()
+    centres = np.array([r["centre"] for r in held], dtype=np.float64) if held else np.zeros((0, 1))
+    return Cells(members, classes, blocks, np.array([r["cell"] for r in held], dtype=np.int64), centres, np.array([r["radius"] for r in held], dtype=np.float64), probes)
+
+
 def load(spark: SparkSession, folder: str) -> Cells | None:
     """The index of the folder; None without one."""
     t = store.load(spark, folder)
     if not t:
         return None
-    held = t["centres"].orderBy("cell").collect()
-    centres = np.array([r["centre"] for r in held], dtype=np.float64) if held else np.zeros((0, 1))
-    return Cells(t["members"], t["classes"], t["blocks"], np.array([r["cell"] for r in held], dtype=np.int64), centres, np.array([r["radius"] for r in held], dtype=np.float64))
+    return _cells(t["members"], t["classes"], t["blocks"], t["centres"], t["settings"].first()["probes"])
 
 
 @dataclass(frozen=True)
 class Cells:
-    """The index: members(cls, key), classes(cls, cell, key, vector), blocks, and its cells' numbers, centres and radii."""
+    """The index: members(cls, key), classes(cls, cell, key, vector), blocks, its cells' numbers, centres and radii, and how many a search looks into."""
 
     members: DataFrame
     classes: DataFrame
@@ -155,11 +185,27 @@ class Cells:
     cells: np.ndarray
     centres: np.ndarray
     radii: np.ndarray
+    probes: int
 
-    def search(self, queries: DataFrame, k: int = 20, probes: int = 8, exact: bool = False, key: str = "vec_id") -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 20, probes: int | None = None, exact: bool = False, key: str = "vec_id") -> DataFrame:
         """query_id, key, score, rank: the k nearest by cosine of queries(query_id, vector); exact: as a full scan finds them."""
+        q = self._units(queries)
+        scores = self._nearest(q, k, self.probes if probes is None else probes, exact)
+        hits = scores.join(self._copies(scores, k), "cls").select("query_id", "key", "score")
+        none = q.where("norm = 0").select("query_id")
+        if not none.isEmpty():  # everything scores 0
+            least = self.members.select("key").orderBy("key").limit(k).agg(F.collect_list("key").alias("keys"))
+            hits = hits.union(none.join(F.broadcast(least)).select("query_id", F.explode("keys").alias("key"), F.lit(0.0).alias("score")))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
+        return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score", F.col("rank").cast("long").alias("rank"))
+
+    def _units(self, queries: DataFrame) -> DataFrame:
+        """query_id, unit, norm of the queries that can be compared."""
         q = _finite(queries, "query_id").where(F.size("vector") == self.centres.shape[1]).withColumn("norm", F.expr(_NORM.format("vector")))
-        q = staged(q.select("query_id", F.expr("transform(vector, x -> if(norm > 0, x / norm, 0D))").alias("unit"), "norm"), "vector-queries")
+        return staged(q.select("query_id", F.expr("transform(vector, x -> if(norm > 0, x / norm, 0D))").alias("unit"), "norm"), "vector-queries")
+
+    def _nearest(self, q: DataFrame, k: int, probes: int, exact: bool) -> DataFrame:
+        """query_id, cls, cell, score: the k best classes of queries that aren't zero."""
         some = q.where("norm > 0").select("query_id", "unit")
         found = self._scanned(self._to_search(some.withColumn("floor", F.lit(-2.0)), probes, first=True), k)
         floors = self._floors(found, k)
@@ -168,17 +214,10 @@ class Cells:
             found = found.union(self._scanned(rest, k))
             floors = self._floors(found, k)
         left = found.join(floors, "query_id", "left").where(F.col("high") >= F.coalesce("floor", F.lit(-2.0)) - SLACK)
-        scores = self._scores(staged(left.select("query_id", "cls", "cell"), "near-classes"), some, k)
-        hits = scores.join(self._copies(scores, k), "cls").select("query_id", "key", "score")
-        none = q.where("norm = 0").select("query_id")
-        if not none.isEmpty():  # everything scores 0
-            least = self.members.select("key").orderBy("key").limit(k).agg(F.collect_list("key").alias("keys"))
-            hits = hits.union(none.join(F.broadcast(least)).select("query_id", F.explode("keys").alias("key"), F.lit(0.0).alias("score")))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
-        return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score", F.col("rank").cast("long").alias("rank"))
+        return self._scores(staged(left.select("query_id", "cls", "cell"), "near-classes"), some, k)
 
     def _to_search(self, queries: DataFrame, probes: int, first: bool) -> DataFrame:
-        """query_id, unit, floor, cell of queries(query_id, unit, floor): the first cells by bound, or the others that may reach the floor."""
+        """query_id, unit, floor, cell of queries(query_id, unit, floor): the cells of the nearest centres, or the others that may reach the floor."""
         sent = queries.sparkSession.sparkContext.broadcast((self.cells, self.centres, self.radii))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +228,7 @@ class Cells:
                     angle = np.arccos(np.clip(np.stack(part["unit"].to_numpy()) @ centres.T, -1, 1))
                     bound = np.cos(np.maximum(angle - radii, 0)) + 1e-9
                     bound[:, cells == NOWHERE] = 1e-9
-                    order = np.argsort(-bound, axis=1, kind="stable")
+                    order = np.argsort(angle, axis=1, kind="stable")
                     wanted = np.zeros(bound.shape, dtype=bool)
                     np.put_along_axis(wanted, order[:, :probes], True, axis=1)
                     if not first:
@@ -235,14 +274,14 @@ class Cells:
         return found.select("query_id", "low", F.row_number().over(by).alias("r")).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", F.col("low").alias("floor"))
 
     def _scores(self, near: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, cls, score of the k best classes by their whole vectors."""
+        """query_id, cls, cell, score of the k best classes by their whole vectors."""
         cells = [r[0] for r in near.select("cell").distinct().limit(BY_VALUE + 1).collect()]
         classes = self.classes.where(F.col("cell").isin(cells)) if len(cells) <= BY_VALUE else self.classes
         pairs = classes.join(near, ["cell", "cls"]).join(queries, "query_id").withColumn("norm", F.expr(_NORM.format("vector")))
         dot = "aggregate(zip_with(unit, vector, (a, b) -> a * (b / norm)), 0D, (a, x) -> a + x)"
-        scored = pairs.select("query_id", "cls", "key", F.round(F.round(F.expr(f"if(norm > 0, {dot}, 0D)"), 9), 6).alias("score"))
+        scored = pairs.select("query_id", "cls", "cell", "key", F.round(F.round(F.expr(f"if(norm > 0, {dot}, 0D)"), 9), 6).alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
-        return staged(scored.withColumn("r", rank).where(F.col("r") <= k).select("query_id", "cls", "score"), "class-scores")
+        return staged(scored.withColumn("r", rank).where(F.col("r") <= k).select("query_id", "cls", "cell", "score"), "class-scores")
 
     def _copies(self, scores: DataFrame, k: int) -> DataFrame:
         """cls, key: at most k rows of each class that is found, the least keys (cut before the shuffle too)."""

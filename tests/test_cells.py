@@ -31,7 +31,17 @@ def test_exact_mode_equals_a_full_scan_and_quick_mode_finds_nine_of_ten(spark, t
     quick = rows(rt.dense(q, v, 20, index=kept))
     assert len(quick) == len(want) and len({x[:2] for x in quick} & {x[:2] for x in want}) >= 0.9 * len(want)
     again = ce.load(spark, (tmp_path / "i").as_uri())
-    assert rows(again.search(q, 20)) == quick and again.members.count() == 4000
+    assert rows(again.search(q, 20)) == quick and kept.probes < 10 and again.members.count() == 4000
+
+
+def test_random_vectors_are_found_too(spark, tmp_path):
+    """Without clusters the index looks into more cells: its number of cells is learnt from its own vectors."""
+    r = np.random.default_rng(9)
+    v = spark.createDataFrame([(i, r.normal(size=16).tolist()) for i in range(1500)], VECTORS)
+    q = spark.createDataFrame([(i, r.normal(size=16).tolist()) for i in range(40)], QUERIES)
+    kept = ce.build(spark, (tmp_path / "i").as_uri(), v)
+    want = {x[:2] for x in rows(rt.dense(q, v, 20))}
+    assert kept.probes > 8 and len({x[:2] for x in rows(kept.search(q, 20))} & want) >= 0.9 * len(want)
 
 
 def test_copies_ties_and_odd_vectors(spark, tmp_path, monkeypatch):
@@ -42,7 +52,7 @@ def test_copies_ties_and_odd_vectors(spark, tmp_path, monkeypatch):
     data = [(i, [1.0, 2.0, 0.0] if i % 3 == 0 else [float(r.randrange(-2, 3)) for _ in range(3)]) for i in range(300)]
     odd = [(900, None), (901, [1.0]), (902, [1.0, None, 2.0]), (903, [float("nan"), 1.0, 1.0]), (904, [float("inf"), 1.0, 1.0]), (905, []), (906, [0.0, 0.0, 0.0])]
     v = spark.createDataFrame(r.sample(data + odd, len(data) + len(odd)), VECTORS)
-    kept = ce.build(spark, (tmp_path / "i").as_uri(), v)
+    kept = ce.build(spark, (tmp_path / "i").as_uri(), v, fit=ce.Fit(trials=0))
     good = spark.createDataFrame(data + odd[-1:], VECTORS)
     asked = [(1, [1.0, 2.0, 0.0]), (2, [-1.0, 0.5, 2.0]), (3, [0.0, 0.0, 0.0]), (4, [0.0, 0.0, 5.0]), (5, [-1.0, -2.0, 0.0])]
     q = spark.createDataFrame(asked + [(6, None), (7, [1.0]), (8, [float("nan")] * 3)], QUERIES)
