@@ -41,6 +41,15 @@ def postings(chunks: DataFrame) -> DataFrame:
     return begins.selectExpr("chunk_id", "cast(size(t) AS bigint) AS len", f"explode({runs}) AS x").selectExpr("chunk_id", "x.term", "x.tf", "len")
 
 
+def _once(queries: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `find` gives for queries(query_id, query), where equal queries are sought once, under the least of their query_ids."""
+    asking = staged(queries.groupBy("query_id").agg(F.array_sort(F.collect_list("query")).alias("asked")), "asking")
+    kinds = staged(asking.groupBy("asked").agg(F.min("query_id").alias("first")), "asked")
+    hits = find(kinds.select(F.col("first").alias("query_id"), F.explode("asked").alias("query")))
+    each = asking.join(kinds, "asked").select("query_id", "first")
+    return hits.withColumnRenamed("query_id", "first").join(_hint(each, judged=asking), "first").select(*hits.columns)
+
+
 @dataclass(frozen=True)
 class Index:
     """Postings of a corpus with its number of chunks and tokens."""
@@ -65,20 +74,49 @@ def top(df: DataFrame, k: int | None, by: list[Column]) -> DataFrame:
     return (out.where(F.col("rank") <= k) if k else out).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _frequent(df: DataFrame, most: int = MOST_TERMS) -> tuple[DataFrame, DataFrame | None]:
+    """df(term, df) as the most frequent terms, about `most` of them at most, and the others (None without any); told apart by powers of two."""
+    power = F.floor(F.log2("df"))
+    sizes = df.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("power")).collect()  # 64 rows at most
+    held, least = 0, None
+    for r in sizes:
+        held += r["n"]
+        if held > most:
+            break
+        least = r["power"]
+    else:
+        return df, None
+    if least is None:
+        return df.limit(0), df
+    return df.where(power >= least), df.where(power < least)
+
+
 def tfidf(queries: DataFrame, chunks: DataFrame, k: int | None = 50, index: Index | Inverted | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: cosine of TF-IDF vectors, positive scores only. All chunks are scored, unless a kept index bounds them."""
     if isinstance(index, Inverted):
-        return index.tfidf(queries, k)
-    index = index or Index.of(chunks)
+        return _once(queries, lambda q: index.tfidf(q, k))
+    own = index or Index.of(chunks)
+    return _once(queries, lambda q: _tfidf(q, k, own))
+
+
+def _tfidf(queries: DataFrame, k: int | None, index: Index) -> DataFrame:
+    """As tfidf(). Frequent terms come to the postings, which lie chunk by chunk; only the postings of rare terms are moved by their term."""
     p, n = index.postings, index.chunks
     df = staged(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
     idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
-    d = p.join(df, "term").select("chunk_id", "term", (F.col("tf") / F.col("len") * idf).alias("w"))
-    norms = d.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    weigh = lambda x: x.select("chunk_id", "term", (F.col("tf") / F.col("len") * idf).alias("w"))
+    known, rare = _frequent(df)
+    d = weigh(p.join(F.broadcast(known), "term"))
+    sums = d.groupBy("chunk_id").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
+    if rare is not None:
+        seldom = weigh(p.join(F.broadcast(known.select("term")), "term", "left_anti").join(rare, "term"))
+        sums = sums.union(seldom.groupBy("chunk_id").agg(F.sum(F.col("w") * F.col("w")).alias("s"))).groupBy("chunk_id").agg(F.sum("s").alias("s"))
+    norms = sums.select("chunk_id", F.sqrt("s").alias("dn"))
     own = postings(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("content"))).withColumnRenamed("chunk_id", "query_id")
     q = staged(own.join(df, "term", "left").select("query_id", "term", (F.col("tf") / F.col("len") * F.coalesce(idf, F.lit(1.0))).alias("qw")), "query-weights")
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    dots = d.join(_hint(q), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    met = p.join(_hint(q.join(df, "term"), judged=q), "term")  # a query's terms are few: their frequencies come along
+    dots = met.withColumn("w", F.col("tf") / F.col("len") * idf).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     scored = dots.join(norms, "chunk_id").join(_hint(qn, judged=q), "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
     return top(scored.where("score > 0"), k, [F.desc("score"), F.col("chunk_id")])
 
@@ -86,8 +124,12 @@ def tfidf(queries: DataFrame, chunks: DataFrame, k: int | None = 50, index: Inde
 def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = 50, index: Index | Inverted | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: chunks with all terms of the query, higher is better."""
     if isinstance(index, Inverted):
-        return index.bm25(queries, k)
-    index = index or Index.of(chunks)
+        return _once(queries, lambda q: index.bm25(q, k))
+    own = index or Index.of(chunks)
+    return _once(queries, lambda q: _bm25(q, k, own))
+
+
+def _bm25(queries: DataFrame, k: int | None, index: Index) -> DataFrame:
     average = index.tokens / index.chunks if index.chunks else 1.0
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     q = staged(q.withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy("query_id"))), "query-terms")
@@ -228,10 +270,16 @@ def fuzzy(queries: DataFrame, titles: DataFrame, k: int = 10, closer_than: int |
 
 def fuzzy_chunks(queries: DataFrame, notes: DataFrame, chunks: DataFrame, k: int = 50, closer_than: int | None = 10) -> DataFrame:
     """query_id, chunk_id, score, rank: chunks of the notes with the nearest titles, score the negative distance."""
-    near = _near_titles(queries, notes.select("title"), closer_than)
-    hits = near.join(notes.select("note_id", "title"), "title").join(chunks.select("chunk_id", "note_id"), "note_id")
-    hits = hits.groupBy("query_id", "chunk_id").agg(F.min("distance").alias("distance"))
-    return top(hits.select("query_id", "chunk_id", (-F.col("distance")).cast("double").alias("score")), k, [F.desc("score"), F.col("chunk_id")])
+    # of a title no more than the k least chunks can be among a query's first k (dense ranks: rows given twice don't count)
+    of_title = notes.select("note_id", "title").join(chunks.select("chunk_id", "note_id"), "note_id").select("title", "chunk_id")
+    of_title = of_title.withColumn("r", F.dense_rank().over(Window.partitionBy("title").orderBy("chunk_id"))).where(F.col("r") <= k).drop("r")
+
+    def find(q: DataFrame) -> DataFrame:
+        hits = _near_titles(q, notes.select("title"), closer_than).join(of_title, "title")
+        hits = hits.groupBy("query_id", "chunk_id").agg(F.min("distance").alias("distance"))
+        return top(hits.select("query_id", "chunk_id", (-F.col("distance")).cast("double").alias("score")), k, [F.desc("score"), F.col("chunk_id")])
+
+    return _once(queries, find)
 
 
 def _labelled(terms: DataFrame, labels: DataFrame) -> DataFrame:
@@ -254,7 +302,9 @@ def graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int | None
     if layer != "both":
         nodes, edges = (x.where(F.col("layer") == layer) for x in (nodes, edges))
     terms = queries.select("query_id", F.explode(F.filter(F.split(F.lower("query"), r"\s+"), lambda t: t != "")).alias("term"))
-    seeds = _labelled(terms, nodes.select(F.col("id").alias("seed"), F.lower("label").alias("label")))
+    labels = nodes.select(F.col("id").alias("node"), F.lower("label").alias("label"))
+    held = staged(_labelled(terms, labels.select(F.col("label").alias("seed"), "label").distinct()), "labels-held")  # equal labels are compared once
+    seeds = labels.join(_hint(held.withColumnRenamed("seed", "label")), "label").select("query_id", F.col("node").alias("seed"))
     both = edges.select(F.col("source_id").alias("seed"), F.col("target_id").alias("id"), "weight").union(edges.select("target_id", "source_id", "weight"))
     hits = seeds.join(both, "seed").groupBy("query_id", "id").agg(F.max("weight").alias("weight"))
     hits = hits.join(nodes.where("kind = 'note'").select("id"), "id")
@@ -263,9 +313,13 @@ def graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int | None
 
 def graph_chunks(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 50, layer: str = "both") -> DataFrame:
     """query_id, chunk_id, score, rank: the chunks of graph()'s notes. nodes(id, kind, label, note_id)."""
-    hits = graph(queries, nodes, edges, None, layer).drop("rank").join(nodes.select(F.col("id").alias("node_id"), "note_id"), "node_id")
-    hits = hits.join(chunks.select("chunk_id", "note_id"), "note_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return top(hits, k, [F.desc("score"), F.col("chunk_id")])
+
+    def find(q: DataFrame) -> DataFrame:
+        hits = graph(q, nodes, edges, None, layer).drop("rank").join(nodes.select(F.col("id").alias("node_id"), "note_id"), "node_id")
+        hits = hits.join(chunks.select("chunk_id", "note_id"), "note_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+        return top(hits, k, [F.desc("score"), F.col("chunk_id")])
+
+    return _once(queries, find)
 
 
 #: Order of retrievers where ranks tie.

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from noteforge.operators import retrieval as rt
@@ -19,3 +20,61 @@ def test_like_moves_no_pairs_of_equal_queries(spark):
     assert not re.search(r"hashpartitioning\(query_id#\d+L", plan(got))  # query_id is a long, the words that stand for queries are not
     pairs = [(r["query_id"], r["id"]) for r in got.collect()]
     assert sorted(pairs) == sorted((q, n) for q in range(300) for n in ("n1", "n2"))
+
+
+def _corpus(spark):
+    words = ["red", "blue", "ring", "bolt", "plate"]
+    notes = [(f"n{i}", f"{words[i % 2]} {words[2 + i % 3]}") for i in range(60)]
+    chunks = [(f"n{i}:{j}", f"n{i}", f"{t} part {i % 7} of kind{j}") for i, (_, t) in enumerate(notes) for j in range(2)]
+    return spark.createDataFrame(notes, "note_id string, title string"), spark.createDataFrame(chunks, "chunk_id string, note_id string, content string")
+
+
+def _finders(spark):
+    notes, chunks = _corpus(spark)
+    nodes = notes.select(F.concat(F.lit("node:"), "note_id").alias("id"), F.lit("structural").alias("layer"), F.lit("note").alias("kind"), F.col("title").alias("label"), "note_id")
+    edges = nodes.select("layer", F.col("id").alias("source_id"), F.expr("concat('node:n', cast(substring(note_id, 2) AS int) + 1)").alias("target_id"), F.lit(1.0).alias("weight"))
+    return {
+        "fuzzy": lambda q: rt.fuzzy_chunks(q, notes, chunks, 5),
+        "graph": lambda q: rt.graph_chunks(q, nodes, edges, chunks, 5),
+        "bm25": lambda q: rt.bm25(q, chunks, 5),
+        "tfidf": lambda q: rt.tfidf(q, chunks, 5),
+    }
+
+
+@pytest.mark.parametrize("name", ["fuzzy", "graph", "bm25", "tfidf"])
+def test_equal_queries_are_scored_once(spark, monkeypatch, name):
+    find = _finders(spark)[name]
+    scored, top = [], rt.top
+    monkeypatch.setattr(rt, "top", lambda df, *a: scored.append(df.count()) or top(df, *a))
+    asked = ["red ring", "blue plate", None]
+    alone = {r: [] for r in asked}
+    for r in find(spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")).orderBy("query_id", "rank").collect():
+        alone[asked[r["query_id"]]].append((r["chunk_id"], r["score"], r["rank"]))
+    many = find(spark.range(60).select(F.col("id").alias("query_id"), F.element_at(F.array(*map(F.lit, asked)), (F.col("id") % 3 + 1).cast("int")).alias("query")))
+    assert scored[len(scored) // 2 :] == scored[: len(scored) // 2]
+    got = {i: [] for i in range(60)}
+    for r in many.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["chunk_id"], r["score"], r["rank"]))
+    assert len(alone["red ring"]) == 5 and all(got[i] == alone[asked[i % 3]] for i in got)
+
+
+def test_a_title_gives_its_first_chunks_only(spark, monkeypatch):
+    """Notes of one title are as many as the corpus likes; a query meets no more of their chunks than it returns."""
+    notes, chunks = _corpus(spark)
+    scored, top = [], rt.top
+    monkeypatch.setattr(rt, "top", lambda df, *a: scored.append(df.count()) or top(df, *a))
+    got = rt.fuzzy_chunks(spark.createDataFrame([(1, "red ring")], "query_id long, query string"), notes.union(notes), chunks, 3)
+    assert scored[0] <= 3 * 6
+    assert [r["chunk_id"] for r in got.orderBy("rank").collect()] == sorted(f"n{i}:{j}" for i in range(0, 60, 6) for j in range(2))[:3]
+
+
+@pytest.mark.parametrize("most", [0, 3, 8])
+def test_rare_terms_count_in_norms(spark, monkeypatch, most):
+    _, chunks = _corpus(spark)
+    queries = spark.createDataFrame([(1, "red ring part"), (2, "kind0 blue unknown")], "query_id long, query string")
+    want = sorted(map(tuple, rt.tfidf(queries, chunks, 20).collect()))
+    split = rt._frequent
+    monkeypatch.setattr(rt, "_frequent", lambda df: split(df, most))
+    known, rare = split(rt.document_frequency(chunks), most)
+    assert known.count() <= most and rare is not None and known.count() + rare.count() == rt.document_frequency(chunks).count()
+    assert sorted(map(tuple, rt.tfidf(queries, chunks, 20).collect())) == want
