@@ -22,6 +22,8 @@ from noteforge.sources.staging import staged
 
 #: Queries are broadcast up to this many rows of terms; beyond it the join shuffles.
 MOST_TERMS = 500_000
+#: Scores of vectors that a task holds at once, about.
+TILE = 1 << 20
 #: Trigrams that one edit can take from a text.
 EDIT_GRAMS = 4
 #: Of a query's trigrams, the rarest so many find the titles that bound the distance of the k nearest.
@@ -174,8 +176,8 @@ def like(queries: DataFrame, texts: DataFrame, columns: list[str], key: str) ->
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096, key: str = "vec_id", index: Cells | None = None) -> DataFrame:
     """query_id, key, score, rank: exact cosine of queries(query_id, vector) and vectors(key, vector); by a kept index if there is one.
 
-    Queries are taken in blocks of a fixed size; a block is a matrix that each task multiplies with its batches, keeping
-    k rows of a query and batch. Vectors of other dimensions are left out; a zero vector scores 0.
+    Queries are taken in blocks of a fixed size; a block is a matrix that each task multiplies with its batches, about TILE
+    scores at a time, keeping k rows of a query and batch. Vectors of other dimensions are left out; a zero vector scores 0.
     """
     if index is not None:
         return index.search(queries, k, key=key)
@@ -192,20 +194,22 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
+            names = np.array(ids)
             for b in batches:
                 b = b[[v is not None and len(v) == q.shape[1] for v in b["vector"]]]
                 if not len(b):
                     continue
                 m = np.stack(b["vector"].to_numpy()).astype(np.float64)
                 norm = np.sqrt((m * m).sum(axis=1))
-                s = np.einsum("nd,qd->qn", m / np.maximum(norm, 1e-300)[:, None], q)
-                s[:, norm == 0] = 0.0
-                s = np.round(s, 9)
-                at = np.argsort(-s, axis=1, kind="stable")[:, :k] if len(b) > k else np.tile(np.arange(len(b)), (len(q), 1))
-                low = np.take_along_axis(s, at, 1).min(axis=1)
-                keep = s >= low[:, None]  # ties at the cut stay
-                i, j = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": np.array(ids)[i], key: b[key].to_numpy()[j], "score": s[i, j]})
+                m /= np.maximum(norm, 1e-300)[:, None]
+                keys, step = b[key].to_numpy(), max(1, TILE // len(b))
+                for first in range(0, len(q), step):
+                    s = np.einsum("nd,qd->qn", m, q[first : first + step])
+                    s[:, norm == 0] = 0.0
+                    s = np.round(s, 9)
+                    low = np.partition(s, len(b) - k, axis=1)[:, len(b) - k] if len(b) > k else s.min(axis=1)
+                    i, j = np.nonzero(s >= low[:, None])  # ties at the cut stay
+                    yield pd.DataFrame({"query_id": names[first + i], key: keys[j], "score": s[i, j]})
 
         return vectors.select(key, "vector").mapInPandas(run, schema)
 

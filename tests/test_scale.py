@@ -1,7 +1,10 @@
 """What grows with the answer, or with the square of the input, stays out of shuffles, of the driver and of a task's memory."""
 
 import re
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +81,21 @@ def test_rare_terms_count_in_norms(spark, monkeypatch, most):
     known, rare = split(rt.document_frequency(chunks), most)
     assert known.count() <= most and rare is not None and known.count() + rare.count() == rt.document_frequency(chunks).count()
     assert sorted(map(tuple, rt.tfidf(queries, chunks, 20).collect())) == want
+
+
+def test_a_task_holds_few_scores_of_vectors(spark, monkeypatch):
+    """4,096 queries against a batch of 10,000 vectors: 328 MB of scores, if they were held at once."""
+    asked = np.random.default_rng(1).normal(size=(4096, 2))
+    queries = spark.createDataFrame(list(enumerate(asked.tolist())), "query_id long, vector array<double>")
+    run, take = [], type(queries).mapInPandas
+    monkeypatch.setattr(type(queries), "mapInPandas", lambda self, f, *a, **b: run.append(f) or take(self, f, *a, **b))
+    rt.dense(queries, queries.withColumnRenamed("query_id", "vec_id"), 5)
+    held = np.random.default_rng(2).normal(size=(10_000, 2))
+    tracemalloc.start()
+    found = pd.concat(run[0](iter([pd.DataFrame({"vec_id": np.arange(len(held)), "vector": list(held)})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert (found.groupby("query_id").size() >= 5).all() and found["query_id"].nunique() == len(asked)
+    one = held @ asked[7] / np.sqrt((held * held).sum(axis=1)) / np.sqrt((asked[7] ** 2).sum())
+    assert set(np.argsort(-one)[:5]) <= set(found.loc[found["query_id"] == 7, "vec_id"])
