@@ -238,7 +238,8 @@ class Cells:
 
         schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, cell int"
         cells = staged(queries.select("query_id", "unit", "floor").mapInPandas(run, schema), "cells-to-search", 256)
-        return cells.join(queries, "query_id")
+        # cells of queries are many rows in few bytes: their files look small enough to be sent to every task
+        return cells.join(queries.hint("shuffle_hash"), "query_id")
 
     def _scanned(self, wanted: DataFrame, k: int) -> DataFrame:
         """query_id, cls, cell, low, high: classes of the wanted cells that may be among the k best of their block and reach the floor."""
@@ -265,7 +266,8 @@ class Cells:
                     yield pd.DataFrame({"query_id": np.asarray(ids)[i], "cls": np.asarray(cls, dtype=object)[j], "cell": cell, "low": low[i, j], "high": high[i, j]})
 
         schema = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, cls string, cell int, low double, high double"
-        met = blocks.join(asked, "cell").select("cell", "cls", "scale", "err", "code", "ids", "units", "floors")
+        # a query's vector stands in the row of each of its cells, and compresses well: not to be judged by its bytes in the shuffle
+        met = blocks.join(asked.hint("merge"), "cell").select("cell", "cls", "scale", "err", "code", "ids", "units", "floors")
         return staged(met.mapInPandas(run, schema), "scanned", 16)
 
     def _floors(self, found: DataFrame, k: int) -> DataFrame:
@@ -277,7 +279,7 @@ class Cells:
         """query_id, cls, cell, score of the k best classes by their whole vectors."""
         cells = [r[0] for r in near.select("cell").distinct().limit(BY_VALUE + 1).collect()]
         classes = self.classes.where(F.col("cell").isin(cells)) if len(cells) <= BY_VALUE else self.classes
-        pairs = classes.join(near, ["cell", "cls"]).join(queries, "query_id").withColumn("norm", F.expr(_NORM.format("vector")))
+        pairs = classes.join(near.hint("merge"), ["cell", "cls"]).join(queries, "query_id").withColumn("norm", F.expr(_NORM.format("vector")))
         dot = "aggregate(zip_with(unit, vector, (a, b) -> a * (b / norm)), 0D, (a, x) -> a + x)"
         scored = pairs.select("query_id", "cls", "cell", "key", F.round(F.round(F.expr(f"if(norm > 0, {dot}, 0D)"), 9), 6).alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))

@@ -67,3 +67,15 @@ def test_few_vectors(spark, tmp_path, data):
     q = spark.createDataFrame([(1, [1.0, 0.0])], QUERIES)
     want = [(1, i, round(float(v[0]) / max(np.hypot(*v), 1), 6), n) for n, (i, v) in enumerate(sorted(data), 1)]
     assert rows(kept.search(q, 3)) == rows(kept.search(q, 3, exact=True)) == want
+
+
+def test_no_cells_of_queries_pass_the_driver(spark, tmp_path, monkeypatch):
+    """Cells times queries outgrow both tables: whatever their bytes, no join sends them to every task by way of the driver."""
+    data = clustered(600, 8, 6, 4)
+    v, q = spark.createDataFrame(data, VECTORS), spark.createDataFrame(data[::10], QUERIES)
+    plans, staged = {}, ce.staged
+    monkeypatch.setattr(ce, "staged", lambda df, name, *a: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name, *a))
+    kept = ce.build(spark, (tmp_path / "i").as_uri(), v)
+    assert rows(kept.search(q, 5, exact=True)) == rows(rt.dense(q, v, 5))
+    assert len(plans["scanned"]) == 4 and all("SortMergeJoin [cell" in p for p in plans["scanned"])
+    assert all("ShuffledHashJoin [query_id" in p for p in plans["cells-of-queries"]) and all("SortMergeJoin [cell" in p for p in plans["class-scores"])
