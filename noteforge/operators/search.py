@@ -21,6 +21,10 @@ from noteforge.sources.staging import staged
 
 LEX = re.compile(r'\s*(?:("(?:[^"]|"")*")|([A-Za-z0-9_\x1a\u0080-\U0010ffff]+)|([()*+,]))')
 NEAR_DEFAULT = 10
+#: Texts, and chunks of queries, that go to a Python worker at once.
+BATCH = 256
+#: Words of texts that a worker holds before it gives their stems away, about.
+WORDS = 1 << 16
 
 
 class SearchSyntaxError(ValueError):
@@ -156,15 +160,20 @@ def positions(chunks: DataFrame) -> DataFrame:
     """chunk_id, len, term, places (word numbers) of every stem of every chunk."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["chunk_id", "len", "term", "places"]
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for chunk, text in zip(b["chunk_id"], b["content"], strict=True):
                 at: dict[str, list[int]] = {}
                 words = analyze(text)
                 for i, w in enumerate(words):
                     at.setdefault(w, []).append(i)
                 rows += [(chunk, len(words), w, p) for w, p in at.items()]
-            yield pd.DataFrame(rows, columns=["chunk_id", "len", "term", "places"])
+                held += len(words)
+                if held >= WORDS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return chunks.select(F.col("chunk_id").cast("string"), "content").mapInPandas(run, "chunk_id string, len long, term string, places array<int>")
 
@@ -216,7 +225,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = 50, fallback:
 
     With fallback, queries with a syntax error are looked up as substrings (of the text in `literal`, if queries have it), with score 0.
     """
-    parsed, post = staged(_parsed(queries), "parsed"), staged(positions(chunks), "positions")
+    parsed, post = staged(_parsed(queries), "parsed"), staged(positions(chunks), "positions", BATCH)
     words = parsed.where("tree IS NOT NULL").select("query_id", F.explode("words").alias("w")).select("query_id", "w.*")
     starts = words.where("prefix").withColumnRenamed("term", "start")
     terms = words.where("NOT prefix").select("query_id", "phrase", "token", "term")
@@ -227,7 +236,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = 50, fallback:
     hits = post.join(_hint(terms), "term").groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("phrase", "token", "places")).alias("hits"), F.first("len").alias("len"))
     trees = parsed.where("tree IS NOT NULL").select("query_id", "tree", "sizes")
     seen = hits.join(_hint(trees), "query_id").select("query_id", "chunk_id", "len", _evaluated()("tree", "sizes", "hits").alias("e"))
-    seen = staged(seen.select("query_id", "chunk_id", "len", "e.matched", F.explode("e.found").alias("f")).select("query_id", "chunk_id", "len", "matched", "f.phrase", "f.n"), "seen")
+    seen = staged(seen.select("query_id", "chunk_id", "len", "e.matched", F.explode("e.found").alias("f")).select("query_id", "chunk_id", "len", "matched", "f.phrase", "f.n"), "seen", BATCH)
     frequency = seen.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
     size = post.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.sum("len")).first()[0] or 0
     rows = chunks.count()

@@ -78,3 +78,21 @@ def test_snippet():
     cut = se.snippet(text, {"cat", "dog"}, 5)
     assert cut.startswith("…") and "[cats] and [dogs]" in cut and len(analyze(cut)) == 5
     assert se.snippet("plain words", {"cat"}) == "plain words" and se.snippet(None, {"cat"}) == ""
+
+
+def test_a_worker_holds_few_words_of_texts(spark, monkeypatch):
+    """A batch of many texts comes out in parts, whose stems are given away before the next texts are read; batches are small."""
+    texts = spark.createDataFrame([(f"c{i}", f"alpha beta{i} gamma " * 20) for i in range(40)], "chunk_id string, content string")
+    run, take = [], type(texts).mapInPandas
+    with monkeypatch.context() as m:
+        m.setattr(type(texts), "mapInPandas", lambda self, f, *a, **b: run.append(f) or take(self, f, *a, **b))
+        want = sorted(map(str, se.positions(texts).collect()))
+    monkeypatch.setattr(se, "WORDS", 300)
+    parts = list(run[0](iter([texts.toPandas()])))
+    assert len(parts) > 5 and max(sum(map(len, p["places"])) for p in parts) <= 360
+    assert sorted((r.chunk_id, r.len, r.term, tuple(r.places)) for p in parts for r in p.itertuples()) == sorted((f"c{i}", 60, t, tuple(range(j, 60, 3))) for i in range(40) for j, t in enumerate(("alpha", f"beta{i}", "gamma")))
+    assert len(want) == 120
+    batches, staged = {}, se.staged
+    monkeypatch.setattr(se, "staged", lambda df, name, batch=None: batches.setdefault(name, batch) and False or staged(df, name, batch))
+    assert se.search(spark.createDataFrame([(1, "alpha gamma")], "query_id long, query string"), texts, None).count() == 40
+    assert 0 < batches["positions"] <= 1000 and 0 < batches["seen"] <= 1000
