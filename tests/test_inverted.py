@@ -64,3 +64,33 @@ def test_blocks_that_cannot_reach_the_best_hits_are_not_scored(spark, tmp_path):
     for kind in ("bm25", "tfidf"):
         blocks, read = kept.read_share(q, kind, 20).where("query_id = 1").select("blocks", "read").first()
         assert blocks >= 35 and read <= 0.3 * blocks, (kind, blocks, read)
+
+
+def test_norms_are_summed_where_texts_lie(spark, tmp_path, monkeypatch):
+    """Frequent terms come to the texts and only rare ones' postings are moved by their term, however many terms there are."""
+    monkeypatch.setattr(iv, "BLOCK", 16)
+    texts = corpus(random.Random(8), 120)
+    split, sizes = iv.frequent, []
+    plain = iv.sync(spark, (tmp_path / "all").as_uri(), frame(spark, texts))
+    want = {(c, round(v, 9)) for c, v in plain.members.join(plain.norms, "num").select("chunk_id", "norm").collect()}
+
+    def few(df):
+        known, rare = split(df, 40)
+        sizes.append((known.count(), rare.count()))
+        return known, rare
+
+    monkeypatch.setattr(iv, "frequent", few)
+    folder = (tmp_path / "few").as_uri()
+    iv.sync(spark, folder, frame(spark, dict(list(texts.items())[:70]) | {"c3": "w1 gone"}))
+    kept = iv.sync(spark, folder, frame(spark, texts))
+    assert all(0 < a <= 40 < b for a, b in sizes) and len(sizes) == 2
+    assert {(c, round(v, 9)) for c, v in kept.members.join(kept.dead, "num", "left_anti").join(kept.norms, "num").select("chunk_id", "norm").collect()} == want
+
+
+def test_an_index_without_texts_is_rebuilt(spark, tmp_path):
+    folder, texts = (tmp_path / "kept").as_uri(), corpus(random.Random(8), 30)
+    iv.sync(spark, folder, frame(spark, texts))
+    listed = iv.store.load(spark, folder)["runs"].drop("texts").collect()
+    iv.store.save(spark, folder, {"runs": spark.createDataFrame(listed, "number long, run string, chunks long, tokens long")})
+    kept = iv.sync(spark, folder, frame(spark, texts | {"new": "w1 w2"}))
+    assert kept.chunks == 31 and iv.store.load(spark, folder)["runs"].count() == 1
