@@ -203,7 +203,8 @@ def persist(layer: Layer, notes: DataFrame, entities: DataFrame, relations: Data
     entities(note_id, ord, name, type, confidence) and relations(note_id, ord, from, to, type, confidence) are all that was
     extracted; first_chunks(note_id, chunk_id) evidence the relations (`note:0` where a note has none). A relation whose ends
     are no entities is left out; relations without evidence go, confidences follow the evidence. With vectors(key, vector) of
-    normal forms, names near a known or earlier one are its aliases, and relations and mentions lead to it.
+    normal forms, names near a known or earlier one are its aliases, and relations and mentions lead to it. Edges, a row for
+    each mention, are made when they are asked for.
     """
     merged = staged(merged_names(entities, layer.entities, vectors, rules), "merged-names") if vectors is not None else None
     evidence = remove_evidence(layer.evidence, notes)
@@ -222,7 +223,7 @@ def persist(layer: Layer, notes: DataFrame, entities: DataFrame, relations: Data
     kept = staged(kept.select("relation_id", "source_entity_id", "target_entity_id", "relation_type", "confidence"), "relations")
     rest = edges.where("NOT (layer = 'semantic' AND type = 'relation')")
     edges = rest.unionByName(relation_edges(kept).select(*edges.columns)).unionByName(mention_edges(mentioned).select(*edges.columns))
-    return Layer(all_entities, kept, evidence, staged(edges, "edges"))
+    return Layer(all_entities, kept, evidence, edges)
 
 
 def purge_notes(layer: Layer, notes: DataFrame) -> Layer:
@@ -302,6 +303,7 @@ def run_semantic(layer: Layer, notes: DataFrame, state: DataFrame, first_chunks:
     good = todo.join(failed.select("note_id"), "note_id", "left_anti")
     before = entities_of_notes(layer.edges).join(good.select("note_id"), "note_id", "left_semi")
     new = persist(layer, good, extracted_entities(found), extracted_relations(found), first_chunks)
+    new = replace(new, edges=staged(new.edges, "edges"))  # read twice
     after = entities_of_notes(new.edges).join(good.select("note_id"), "note_id", "left_semi")
     rows = todo.join(failed, "note_id", "left").select("note_id", content_hash(F.col("title"), F.col("body")).alias("content_hash"), F.when(F.col("error").isNull(), "success").otherwise("failed").alias("semantic_status"), F.lit(model).alias("extraction_model"), "error")
     return new, staged(merge(state, rows, ["note_id"]), "semantic-state"), affected(before, after)
