@@ -23,6 +23,8 @@ from noteforge.sources.staging import staged
 
 #: Queries are broadcast up to this many rows of terms; beyond it the join shuffles.
 MOST_TERMS = 500_000
+#: Postings met by queries' terms that a task takes, about.
+MET = 1 << 22
 #: Scores of vectors that a task holds at once, about.
 TILE = 1 << 20
 #: Trigrams that one edit can take from a text.
@@ -31,9 +33,13 @@ EDIT_GRAMS = 4
 RAREST = 4
 
 
+def _few(df: DataFrame, most: int = MOST_TERMS) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def _hint(df: DataFrame, most: int = MOST_TERMS, judged: DataFrame | None = None) -> DataFrame:
     """df with a broadcast hint if `judged` (df by default; give its cheap source where df depends on the corpus) has at most `most` rows."""
-    return F.broadcast(df) if (df if judged is None else judged).limit(most + 1).count() <= most else df
+    return F.broadcast(df) if _few(df if judged is None else judged, most) else df
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -67,6 +73,15 @@ class Index:
         return Index(p, chunks.count(), p.agg(F.sum("tf")).first()[0] or 0)
 
 
+def _dealt(asked: DataFrame, q: DataFrame, few: bool) -> DataFrame:
+    """asked, the postings of the terms of q(query_id, term, df), dealt by chunk: what queries make of a chunk is summed and cut to the best
+    in its task, and no pair of a query and a chunk is moved. Where q's terms aren't few, the join with them moves the postings anyhow."""
+    if not few:
+        return asked
+    met = q.agg(F.sum("df")).first()[0] or 0
+    return asked.repartition(max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // MET)), "chunk_id")
+
+
 def document_frequency(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -99,11 +114,16 @@ def _tfidf(queries: DataFrame, k: int | None, index: Index) -> DataFrame:
         sums = sums.union(seldom.groupBy("chunk_id").agg(F.sum(F.col("w") * F.col("w")).alias("s"))).groupBy("chunk_id").agg(F.sum("s").alias("s"))
     norms = sums.select("chunk_id", F.sqrt("s").alias("dn"))
     own = postings(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("content"))).withColumnRenamed("chunk_id", "query_id")
-    q = staged(own.join(df, "term", "left").select("query_id", "term", (F.col("tf") / F.col("len") * F.coalesce(idf, F.lit(1.0))).alias("qw")), "query-weights")
+    few = _few(own)
+    small = F.broadcast if few else (lambda x: x)
+    held = df.join(small(own.select("term").distinct()), "term", "left_semi")
+    q = staged(own.join(small(held), "term", "left").select("query_id", "term", "df", (F.col("tf") / F.col("len") * F.coalesce(idf, F.lit(1.0))).alias("qw")), "query-weights")
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    met = p.join(_hint(q.join(df, "term"), judged=q), "term")  # a query's terms are few: their frequencies come along
-    dots = met.withColumn("w", F.col("tf") / F.col("len") * idf).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(norms, "chunk_id").join(_hint(qn, judged=q), "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
+    q = q.where("df IS NOT NULL")
+    asked = _dealt(p.join(small(q.select("term").distinct()), "term", "left_semi"), q, few).join(norms, "chunk_id")
+    met = asked.join(small(q), "term").withColumn("w", F.col("tf") / F.col("len") * idf)
+    dots = met.groupBy("query_id", "chunk_id", "dn").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    scored = dots.join(small(qn), "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
     return top(scored.where("score > 0"), k, [F.desc("score"), F.col("chunk_id")])
 
 
@@ -119,12 +139,15 @@ def _bm25(queries: DataFrame, k: int | None, index: Index) -> DataFrame:
     average = index.tokens / index.chunks if index.chunks else 1.0
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     q = staged(q.withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy("query_id"))), "query-terms")
-    p = index.postings.join(_hint(q.select("term").distinct(), judged=q), "term", "left_semi")
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    few = _few(q)
+    small = F.broadcast if few else (lambda x: x)
+    p = index.postings.join(small(q.select("term").distinct()), "term", "left_semi")
+    df = staged(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "asked-frequencies")
+    q = q.join(small(df), "term")
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(index.chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     gain = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(average)))
-    weighted = p.join(_hint(df, judged=q), "term").select("chunk_id", "term", gain.alias("gain"))
-    hits = weighted.join(_hint(q), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("gain"), 6).alias("score"), F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))
+    met = _dealt(p, q, few).join(small(q), "term").withColumn("gain", gain)
+    hits = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum("gain"), 6).alias("score"), F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))
     return top(hits.where("n = terms").select("query_id", "chunk_id", "score"), k, [F.desc("score"), F.col("chunk_id")])
 
 

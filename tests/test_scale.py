@@ -99,3 +99,21 @@ def test_a_task_holds_few_scores_of_vectors(spark, monkeypatch):
     assert (found.groupby("query_id").size() >= 5).all() and found["query_id"].nunique() == len(asked)
     one = held @ asked[7] / np.sqrt((held * held).sum(axis=1)) / np.sqrt((asked[7] ** 2).sum())
     assert set(np.argsort(-one)[:5]) <= set(found.loc[found["query_id"] == 7, "vec_id"])
+
+
+@pytest.mark.parametrize("name", ["bm25", "tfidf"])
+def test_no_pair_of_query_and_chunk_is_moved(spark, monkeypatch, name):
+    """Pairs are summed where a chunk's postings lie; only the best of each task go on. Results don't depend on how postings are dealt."""
+    find = _finders(spark)[name]
+    queries = spark.createDataFrame([(1, "red ring part"), (2, "kind0 blue"), (3, "blue nothing"), (4, "red ring")], "query_id long, query string")
+    found = find(queries)
+    assert "hashpartitioning(chunk_id#" in plan(found)
+    assert not re.search(r"hashpartitioning\(query_id#\w+, chunk_id#", plan(found))
+    want = sorted(map(tuple, found.collect()))
+    assert {r[0] for r in want} >= {1, 2, 4}
+    monkeypatch.setattr(rt, "MET", 1)
+    dealt = find(queries)
+    assert int(re.search(r"hashpartitioning\(chunk_id#\w+, (\d+)\), REPARTITION_BY_NUM", plan(dealt))[1]) > 100
+    assert sorted(map(tuple, dealt.collect())) == want
+    monkeypatch.setattr(rt, "_few", lambda df, most=0: False)
+    assert sorted(map(tuple, find(queries).collect())) == want
