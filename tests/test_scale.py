@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noteforge.operators import retrieval as rt
+from noteforge.plans import catalog
 
 
 def plan(df) -> str:
@@ -117,3 +118,17 @@ def test_no_pair_of_query_and_chunk_is_moved(spark, monkeypatch, name):
     assert sorted(map(tuple, dealt.collect())) == want
     monkeypatch.setattr(rt, "_few", lambda df, most=0: False)
     assert sorted(map(tuple, find(queries).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["context_block"])
+def test_no_text_is_moved_to_hits(spark, name):
+    """Hits are few and go to their chunks, however large these are."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin [chunk_id#" in found
+    assert "hashpartitioning(chunk_id#" not in found
