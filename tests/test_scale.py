@@ -120,7 +120,7 @@ def test_no_pair_of_query_and_chunk_is_moved(spark, monkeypatch, name):
     assert sorted(map(tuple, find(queries).collect())) == want
 
 
-@pytest.mark.parametrize("name", ["context_block"])
+@pytest.mark.parametrize("name", ["context_block", "context_assemble"])
 def test_no_text_is_moved_to_hits(spark, name):
     """Hits are few and go to their chunks, however large these are."""
     key = "spark.sql.autoBroadcastJoinThreshold"
