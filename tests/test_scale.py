@@ -132,3 +132,10 @@ def test_no_text_is_moved_to_hits(spark, name):
         spark.conf.set(key, before)
     assert "BroadcastHashJoin [chunk_id#" in found
     assert "hashpartitioning(chunk_id#" not in found
+
+
+@pytest.mark.parametrize("name", ["rrf_fuse"])
+def test_fused_queries_move_no_pairs(spark, name):
+    found = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "hashpartitioning(chunk_id#" in found
+    assert not re.search(r"hashpartitioning\(query_id#\w+, chunk_id#", found)
