@@ -134,7 +134,7 @@ def test_no_text_is_moved_to_hits(spark, name):
     assert "hashpartitioning(chunk_id#" not in found
 
 
-@pytest.mark.parametrize("name", ["rrf_fuse", "contributing_retrievers"])
+@pytest.mark.parametrize("name", ["rrf_fuse", "contributing_retrievers", "rrf_disabled_retriever"])
 def test_fused_queries_move_no_pairs(spark, name):
     found = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "hashpartitioning(chunk_id#" in found
