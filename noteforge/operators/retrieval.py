@@ -23,8 +23,8 @@ from noteforge.sources.staging import staged
 
 #: Queries are broadcast up to this many rows of terms; beyond it the join shuffles.
 MOST_TERMS = 500_000
-#: Postings met by queries' terms that a task takes, about.
-MET = 1 << 22
+#: Postings met by queries' terms that a task takes, about. A pair of a query and a chunk takes some 200 bytes in sums and sorts.
+MET = 1 << 20
 #: Scores of vectors that a task holds at once, about.
 TILE = 1 << 20
 #: Trigrams that one edit can take from a text.
@@ -44,7 +44,8 @@ def _hint(df: DataFrame, most: int = MOST_TERMS, judged: DataFrame | None = None
 
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf, len (tokens of the chunk): runs of each chunk's sorted tokens, without a shuffle."""
-    t = chunks.select("chunk_id", F.array_sort(tokens(F.col("content"))).alias("t")).where("t IS NOT NULL")
+    # the contents are judged, not their tokens: a condition on these would make them once more, below a shuffle of the chunks
+    t = chunks.where("content IS NOT NULL").select("chunk_id", F.array_sort(tokens(F.col("content"))).alias("t"))
     begins = t.withColumn("b", F.expr("filter(sequence(0, size(t)), i -> i < size(t) AND (i = 0 OR t[i] <> t[i - 1]))"))
     runs = "transform(b, (p, i) -> struct(t[p] AS term, cast(coalesce(get(b, i + 1), size(t)) - p AS bigint) AS tf))"
     return begins.selectExpr("chunk_id", "cast(size(t) AS bigint) AS len", f"explode({runs}) AS x").selectExpr("chunk_id", "x.term", "x.tf", "len")
@@ -73,13 +74,15 @@ class Index:
         return Index(p, chunks.count(), p.agg(F.sum("tf")).first()[0] or 0)
 
 
-def _dealt(asked: DataFrame, q: DataFrame, few: bool) -> DataFrame:
-    """asked, the postings of the terms of q(query_id, term, df), dealt by chunk: what queries make of a chunk is summed and cut to the best
-    in its task, and no pair of a query and a chunk is moved. Where q's terms aren't few, the join with them moves the postings anyhow."""
+def _dealt(q: DataFrame, few: bool, *sides: DataFrame) -> tuple[DataFrame, ...]:
+    """sides, the postings of the terms of q(query_id, term, df) and what is joined to them by chunk, dealt by chunk: what queries make of a
+    chunk is summed and cut to the best in its task, and no pair of a query and a chunk is moved. All sides are dealt alike, since a join
+    else takes the number of partitions of the side that needs no shuffle. Where q's terms aren't few, the join with them moves the postings anyhow."""
     if not few:
-        return asked
+        return sides
     met = q.agg(F.sum("df")).first()[0] or 0
-    return asked.repartition(max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // MET)), "chunk_id")
+    parts = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // MET))
+    return tuple(side.repartition(parts, "chunk_id") for side in sides)
 
 
 def document_frequency(chunks: DataFrame) -> DataFrame:
@@ -120,8 +123,8 @@ def _tfidf(queries: DataFrame, k: int | None, index: Index) -> DataFrame:
     q = staged(own.join(small(held), "term", "left").select("query_id", "term", "df", (F.col("tf") / F.col("len") * F.coalesce(idf, F.lit(1.0))).alias("qw")), "query-weights")
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     q = q.where("df IS NOT NULL")
-    asked = _dealt(p.join(small(q.select("term").distinct()), "term", "left_semi"), q, few).join(norms, "chunk_id")
-    met = asked.join(small(q), "term").withColumn("w", F.col("tf") / F.col("len") * idf)
+    asked, norms = _dealt(q, few, p.join(small(q.select("term").distinct()), "term", "left_semi"), norms)
+    met = asked.join(norms, "chunk_id").join(small(q), "term").withColumn("w", F.col("tf") / F.col("len") * idf)
     dots = met.groupBy("query_id", "chunk_id", "dn").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     scored = dots.join(small(qn), "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
     return top(scored.where("score > 0"), k, [F.desc("score"), F.col("chunk_id")])
@@ -146,7 +149,8 @@ def _bm25(queries: DataFrame, k: int | None, index: Index) -> DataFrame:
     q = q.join(small(df), "term")
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(index.chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     gain = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(average)))
-    met = _dealt(p, q, few).join(small(q), "term").withColumn("gain", gain)
+    (asked,) = _dealt(q, few, p)
+    met = asked.join(small(q), "term").withColumn("gain", gain)
     hits = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum("gain"), 6).alias("score"), F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"))
     return top(hits.where("n = terms").select("query_id", "chunk_id", "score"), k, [F.desc("score"), F.col("chunk_id")])
 

@@ -139,3 +139,30 @@ def test_fused_queries_move_no_pairs(spark, name):
     found = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "hashpartitioning(chunk_id#" in found
     assert not re.search(r"hashpartitioning\(query_id#\w+, chunk_id#", found)
+
+
+def test_tokens_are_made_once(spark):
+    """A condition on tokens would make them a second time, below the shuffle that deals the chunks."""
+    chunks = spark.createDataFrame([("a:0", "Red ring, red bolt"), ("b:0", None), ("c:0", " "), ("d:0", "the of")], "chunk_id string, content string").repartition(3)
+    found = rt.postings(chunks)
+    assert plan(found).count("regexp_replace(") == 1
+    assert sorted(map(tuple, found.select("chunk_id", "term", "tf", "len").collect())) == [("a:0", "bolt", 1, 4), ("a:0", "red", 2, 4), ("a:0", "ring", 1, 4)]
+
+
+@pytest.mark.parametrize("name", ["bm25", "tfidf"])
+def test_a_task_meets_few_postings(spark, monkeypatch, name):
+    """The join with the norms must not take the postings back to few partitions, whose tasks spill what they sum."""
+    find = _finders(spark)[name]
+    queries = spark.createDataFrame([(1, "red ring part"), (2, "kind0 blue")], "query_id long, query string")
+    want = sorted(map(tuple, find(queries).collect()))
+    monkeypatch.setattr(rt, "MET", 1)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = find(queries)
+        dealt = re.findall(r"hashpartitioning\(chunk_id#\w+, (\d+)\)", plan(found))
+        assert sorted(map(tuple, found.collect())) == want
+    finally:
+        spark.conf.set(key, before)
+    assert int(dealt[0]) > 100  # the first from above is the postings'
