@@ -177,10 +177,11 @@ def graph_degree(spark, d):
     return e.select(F.col("source_id").alias("node_id"), "weight").union(e.select("target_id", "weight")).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weight"))
 
 
-def _hits(spark, d):
+def _hits(spark, d, enabled=None):
+    """Hits of the enabled retrievers; the others don't run."""
     q, c = src.benchmark_queries(spark, d), src.chunks(spark, d)
     index = rt.Index.of(c)
-    return {"bm25": rt.bm25(q, c, index=index), "tfidf": rt.tfidf(q, c, index=index)}
+    return {name: find(q, c, index=index) for name, find in (("bm25", rt.bm25), ("tfidf", rt.tfidf)) if (enabled or {}).get(name, True)}
 
 
 @query(f"WITH {TFIDF}, {BM25}, {RRF} SELECT query_id, chunk_id, score FROM rrf")
@@ -190,7 +191,8 @@ def rrf_fuse(spark, d):
 
 @query(f"WITH {TFIDF} SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM tfidf")
 def rrf_disabled_retriever(spark, d):
-    return rt.fuse(_hits(spark, d), enabled={"bm25": False}).select("query_id", "chunk_id", "score")
+    enabled = {"bm25": False}
+    return rt.fuse(_hits(spark, d, enabled), enabled=enabled).select("query_id", "chunk_id", "score")
 
 
 @query(f"WITH {TFIDF}, {BM25}, {RRF} SELECT query_id, chunk_id, retrievers FROM rrf")

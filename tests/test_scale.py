@@ -166,3 +166,11 @@ def test_a_task_meets_few_postings(spark, monkeypatch, name):
     finally:
         spark.conf.set(key, before)
     assert int(dealt[0]) > 100  # the first from above is the postings'
+
+
+def test_a_disabled_retriever_does_not_run(spark, monkeypatch):
+    asked = []
+    for name in ("bm25", "tfidf"):
+        monkeypatch.setattr(rt, name, lambda *a, name=name, find=getattr(rt, name), **b: asked.append(name) or find(*a, **b))
+    catalog.QUERIES["rrf_disabled_retriever"](spark, "/root/testdata/sf0.001")
+    assert asked == ["tfidf"]
