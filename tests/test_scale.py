@@ -174,3 +174,16 @@ def test_a_disabled_retriever_does_not_run(spark, monkeypatch):
         monkeypatch.setattr(rt, name, lambda *a, name=name, find=getattr(rt, name), **b: asked.append(name) or find(*a, **b))
     catalog.QUERIES["rrf_disabled_retriever"](spark, "/root/testdata/sf0.001")
     assert asked == ["tfidf"]
+
+
+def test_contributing_retrievers_deal_postings_and_norms_alike(spark, monkeypatch):
+    monkeypatch.setattr(rt, "MET", 1)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = plan(catalog.QUERIES["contributing_retrievers"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set(key, before)
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(chunk_id#\w+, (\d+)\), REPARTITION_BY_NUM", found)]
+    assert len(dealt) == 3 and min(dealt) > 100  # postings of either retriever, and the norms
