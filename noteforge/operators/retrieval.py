@@ -451,8 +451,8 @@ class Corpus:
 def retrieve(queries: DataFrame, corpus: Corpus, settings: Settings = Settings(), requested: Iterable[str] | None = None, limit: int = 50, layer: str = "both", reranker: Reranker = identity_reranker) -> DataFrame:
     """Fused hits (columns of fuse(), rank) of the requested and enabled retrievers, at most `limit` a query (of each retriever 50 or more).
 
-    queries(query_id, query[, vector]); blank ones find nothing. A retriever that can't be planned (no vectors, no graph, a
-    missing column) finds nothing and is logged; the others stand.
+    queries(query_id, query[, vector]); blank ones find nothing. A retriever finds nothing where there is nothing to search by it:
+    `dense` without vectors of chunks or queries, `graph` without nodes or edges. What fails is raised, not left out of the hits.
     """
     settings, each_limit = settings.clamped(), max(limit, 50)
     queries = queries.where("trim(query) <> ''")
@@ -465,18 +465,14 @@ def retrieve(queries: DataFrame, corpus: Corpus, settings: Settings = Settings()
         "dense": lambda: dense(queries.where("vector IS NOT NULL"), corpus.vectors.join(corpus.chunks.select("chunk_id"), "chunk_id", "left_semi"), settings.dense_k, key="chunk_id"),
         "graph": lambda: graph_chunks(queries, corpus.nodes, corpus.edges, corpus.chunks, each_limit, layer),
     }
-    hits: dict[str, DataFrame] = {}
-    for name in names:
-        try:
-            hits[name] = each[name]()
-        except Exception:
-            logging.getLogger(__name__).warning("%s failed", name, exc_info=True)
+    lacking = {"dense": corpus.vectors is None or "vector" not in queries.columns, "graph": corpus.nodes is None or corpus.edges is None}
+    hits = {name: each[name]() for name in names if not lacking.get(name, False)}
     if not hits:
         return queries.select("query_id").limit(0).selectExpr("query_id", *(f"cast(null AS {t}) AS {c}" for c, t in (("key", "string"), ("chunk_id", "string"), ("note_id", "string"), ("score", "double"), ("retrievers", "string"), ("rank", "bigint"))))
     fused = fuse(hits, settings.rrf_k).drop("note_id").join(corpus.chunks.select("chunk_id", "note_id"), "chunk_id", "left")
     fused = fused.select("query_id", "key", "chunk_id", "note_id", "score", "retrievers")
     if settings.rerank:
-        fused = rerank(fused, queries, reranker)
+        fused = reranker(fused, queries)
     return top(fused, limit, [F.desc("score"), F.col("key")])
 
 

@@ -187,3 +187,21 @@ def test_contributing_retrievers_deal_postings_and_norms_alike(spark, monkeypatc
         spark.conf.set(key, before)
     dealt = [int(n) for n in re.findall(r"hashpartitioning\(chunk_id#\w+, (\d+)\), REPARTITION_BY_NUM", found)]
     assert len(dealt) == 3 and min(dealt) > 100  # postings of either retriever, and the norms
+
+
+def test_a_retriever_that_fails_is_no_result(spark, monkeypatch):
+    notes, chunks = _corpus(spark)
+    queries = spark.createDataFrame([(1, "red ring")], "query_id long, query string")
+    corpus = rt.Corpus(chunks, notes)
+    assert {r["retrievers"] for r in rt.retrieve(queries, corpus).collect()} >= {"bm25,fuzzy,tfidf"}
+
+    def down(*_):
+        raise RuntimeError("down")
+
+    with pytest.raises(RuntimeError, match="down"):
+        rt.retrieve(queries, corpus, rt.Settings(rerank=True), reranker=down)
+    monkeypatch.setattr(rt, "tfidf", down)
+    with pytest.raises(RuntimeError, match="down"):
+        rt.retrieve(queries, corpus)
+    with pytest.raises(Exception):  # vectors without their column
+        rt.retrieve(queries.withColumn("vector", F.array(F.lit(1.0))), rt.Corpus(chunks, notes, vectors=chunks.select("chunk_id")), requested=["dense"])
