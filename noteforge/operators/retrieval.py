@@ -38,8 +38,14 @@ def _few(df: DataFrame, most: int = MOST_TERMS) -> bool:
 
 
 def _hint(df: DataFrame, most: int = MOST_TERMS, judged: DataFrame | None = None) -> DataFrame:
-    """df with a broadcast hint if `judged` (df by default; give its cheap source where df depends on the corpus) has at most `most` rows."""
-    return F.broadcast(df) if _few(df if judged is None else judged, most) else df
+    """df with a broadcast hint if `judged` (df by default; give its cheap source where df depends on the corpus) has at most `most` rows, else as _large()."""
+    return F.broadcast(df) if _few(df if judged is None else judged, most) else _large(df)
+
+
+def _large(df: DataFrame) -> DataFrame:
+    """df, which grows with the corpus, with a hint that keeps it and what it meets from the driver: Spark broadcasts what it takes to be small by
+    the size of its files, and rows are many times as large as those. A side with a broadcast hint of its own is still broadcast."""
+    return df.hint("merge")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -113,7 +119,7 @@ def _tfidf(queries: DataFrame, k: int | None, index: Index) -> DataFrame:
     d = weigh(p.join(F.broadcast(known), "term"))
     sums = d.groupBy("chunk_id").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
     if rare is not None:
-        seldom = weigh(p.join(F.broadcast(known.select("term")), "term", "left_anti").join(rare, "term"))
+        seldom = weigh(p.join(F.broadcast(known.select("term")), "term", "left_anti").join(_large(rare), "term"))
         sums = sums.union(seldom.groupBy("chunk_id").agg(F.sum(F.col("w") * F.col("w")).alias("s"))).groupBy("chunk_id").agg(F.sum("s").alias("s"))
     norms = sums.select("chunk_id", F.sqrt("s").alias("dn"))
     own = postings(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("content"))).withColumnRenamed("chunk_id", "query_id")
@@ -124,7 +130,7 @@ def _tfidf(queries: DataFrame, k: int | None, index: Index) -> DataFrame:
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     q = q.where("df IS NOT NULL")
     asked, norms = _dealt(q, few, p.join(small(q.select("term").distinct()), "term", "left_semi"), norms)
-    met = asked.join(norms, "chunk_id").join(small(q), "term").withColumn("w", F.col("tf") / F.col("len") * idf)
+    met = asked.join(_large(norms), "chunk_id").join(small(q), "term").withColumn("w", F.col("tf") / F.col("len") * idf)
     dots = met.groupBy("query_id", "chunk_id", "dn").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     scored = dots.join(small(qn), "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
     return top(scored.where("score > 0"), k, [F.desc("score"), F.col("chunk_id")])
@@ -238,13 +244,13 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 4096
     return top(out.withColumn("score", F.round("score", 6)), k, [F.desc("score"), F.col(key)])
 
 
-def _title_pairs(sought: DataFrame, grams: DataFrame) -> DataFrame:
-    """qk, tk, most, least of sought(qk, g, most) and grams(tk, g): pairs that share a sought trigram and may be as near as `most` (null: any).
+def _title_pairs(sought: DataFrame, grams: DataFrame, judged: DataFrame) -> DataFrame:
+    """qk, tk, most, least of sought(qk, g, most; rows of `judged`) and grams(tk, g): pairs that share a sought trigram and may be as near as `most` (null: any).
 
     An edit takes at most four trigrams away (a swap of neighbours; others three), and a length differs by at most the edits:
     the larger of both bounds is `least`. An edit distance without swaps is at most twice the one with them.
     """
-    pairs = sought.join(grams, "g").groupBy("qk", "tk").agg(F.first("most").alias("most"))
+    pairs = grams.join(_hint(sought, judged=judged), "g").groupBy("qk", "tk").agg(F.first("most").alias("most"))
     q, t = trigrams(F.col("qk")), trigrams(F.col("tk"))
     lost = F.greatest(F.size(q), F.size(t)) - F.size(F.array_intersect(q, t))
     pairs = pairs.withColumn("least", F.greatest(F.ceil(lost / EDIT_GRAMS), F.abs(F.length("qk") - F.length("tk")).cast("long")))
@@ -264,18 +270,18 @@ def _near_titles(queries: DataFrame, titles: DataFrame, closer_than: int | None,
     own = q.select("qk").distinct().select("qk", F.explode(trigrams(F.col("qk"))).alias("g"))
     held = grams.join(_hint(own.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     rare_first = F.row_number().over(Window.partitionBy("qk").orderBy("n", "g"))
-    own = staged(own.join(held, "g").withColumn("place", rare_first).withColumn("most", F.lit(None if closer_than is None else closer_than - 1).cast("long")), "query-grams")
+    own = asked = staged(own.join(held, "g").withColumn("place", rare_first).withColumn("most", F.lit(None if closer_than is None else closer_than - 1).cast("long")), "query-grams")
     if k is not None:
-        some = _title_pairs(own.where(F.col("place") <= RAREST), grams)
+        some = _title_pairs(own.where(F.col("place") <= RAREST), grams, asked)
         some = some.withColumn("r", F.row_number().over(Window.partitionBy("qk").orderBy("least", "tk"))).where(F.col("r") <= 4 * k)
         measured = some.select("qk", "tk").withColumn("distance", damerau_levenshtein("qk", "tk"))
         by = Window.partitionBy("qk").orderBy("distance", "tk")
         bound = measured.withColumn("r", F.row_number().over(by)).where(F.col("r") == k).select("qk", F.col("distance").alias("bound"))
         own = own.join(bound, "qk", "left").withColumn("most", F.least("most", "bound")).drop("bound")
-    pairs = _title_pairs(own.where(F.col("most").isNull() | (F.col("place") <= EDIT_GRAMS * F.col("most") + 1)), grams)
+    pairs = _title_pairs(own.where(F.col("most").isNull() | (F.col("place") <= EDIT_GRAMS * F.col("most") + 1)), grams, asked)
     near = staged(pairs.select("qk", "tk", "most"), "title-pairs").withColumn("distance", damerau_levenshtein("qk", "tk"))
     near = near.where("most IS NULL OR distance <= most")
-    return q.join(near, "qk").join(t, "tk").select("query_id", "title", "distance")
+    return q.join(_large(near), "qk").join(_large(t), "tk").select("query_id", "title", "distance")
 
 
 def fuzzy(queries: DataFrame, titles: DataFrame, k: int = 10, closer_than: int | None = None) -> DataFrame:
@@ -286,11 +292,11 @@ def fuzzy(queries: DataFrame, titles: DataFrame, k: int = 10, closer_than: int |
 def fuzzy_chunks(queries: DataFrame, notes: DataFrame, chunks: DataFrame, k: int = 50, closer_than: int | None = 10) -> DataFrame:
     """query_id, chunk_id, score, rank: chunks of the notes with the nearest titles, score the negative distance."""
     # of a title no more than the k least chunks can be among a query's first k (dense ranks: rows given twice don't count)
-    of_title = notes.select("note_id", "title").join(chunks.select("chunk_id", "note_id"), "note_id").select("title", "chunk_id")
+    of_title = notes.select("note_id", "title").join(_large(chunks.select("chunk_id", "note_id")), "note_id").select("title", "chunk_id")
     of_title = of_title.withColumn("r", F.dense_rank().over(Window.partitionBy("title").orderBy("chunk_id"))).where(F.col("r") <= k).drop("r")
 
     def find(q: DataFrame) -> DataFrame:
-        hits = _near_titles(q, notes.select("title"), closer_than).join(of_title, "title")
+        hits = _near_titles(q, notes.select("title"), closer_than).join(_large(of_title), "title")
         hits = hits.groupBy("query_id", "chunk_id").agg(F.min("distance").alias("distance"))
         return top(hits.select("query_id", "chunk_id", (-F.col("distance")).cast("double").alias("score")), k, [F.desc("score"), F.col("chunk_id")])
 
@@ -309,29 +315,52 @@ def _labelled(terms: DataFrame, labels: DataFrame) -> DataFrame:
     return found.where(F.expr(r"label LIKE concat('%', replace(term, '\\', '\\\\'), '%')")).select("query_id", "seed").distinct()
 
 
+def _of_layer(layer: str, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    return tables if layer == "both" else tuple(x.where(F.col("layer") == layer) for x in tables)
+
+
+def _held_labels(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id, label: the lower-case labels of nodes that hold a term of the query. Equal labels are compared once."""
+    terms = queries.select("query_id", F.explode(F.filter(F.split(F.lower("query"), r"\s+"), lambda t: t != "")).alias("term"))
+    labels = nodes.select(F.lower("label").alias("label")).distinct()
+    return staged(_labelled(terms, labels.select(F.col("label").alias("seed"), "label")).withColumnRenamed("seed", "label"), "labels-held")
+
+
+def _reached(seeds: DataFrame, by: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """by, id, weight: notes one hop from seeds(by, seed), either way, by their heaviest edge."""
+    both = edges.select(F.col("source_id").alias("seed"), F.col("target_id").alias("id"), "weight").union(edges.select("target_id", "source_id", "weight"))
+    hits = seeds.join(_large(both), "seed").groupBy(by, "id").agg(F.max("weight").alias("weight"))
+    return hits.join(_large(nodes.where("kind = 'note'").select("id")), "id").select(by, "id", "weight")
+
+
 def graph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int | None = 50, layer: str = "both") -> DataFrame:
     """query_id, node_id, score, rank: notes one hop from nodes whose label holds a term of the query, either way.
 
     layer: `structural`, `semantic` or `both`, where nodes and edges have a layer.
     """
-    if layer != "both":
-        nodes, edges = (x.where(F.col("layer") == layer) for x in (nodes, edges))
-    terms = queries.select("query_id", F.explode(F.filter(F.split(F.lower("query"), r"\s+"), lambda t: t != "")).alias("term"))
-    labels = nodes.select(F.col("id").alias("node"), F.lower("label").alias("label"))
-    held = staged(_labelled(terms, labels.select(F.col("label").alias("seed"), "label").distinct()), "labels-held")  # equal labels are compared once
-    seeds = labels.join(_hint(held.withColumnRenamed("seed", "label")), "label").select("query_id", F.col("node").alias("seed"))
-    both = edges.select(F.col("source_id").alias("seed"), F.col("target_id").alias("id"), "weight").union(edges.select("target_id", "source_id", "weight"))
-    hits = seeds.join(both, "seed").groupBy("query_id", "id").agg(F.max("weight").alias("weight"))
-    hits = hits.join(nodes.where("kind = 'note'").select("id"), "id")
+    nodes, edges = _of_layer(layer, nodes, edges)
+    labels = nodes.select(F.col("id").alias("seed"), F.lower("label").alias("label"))
+    seeds = labels.join(_hint(_held_labels(queries, nodes)), "label").select("query_id", "seed")
+    hits = _reached(seeds, "query_id", nodes, edges)
     return top(hits.select("query_id", F.col("id").alias("node_id"), F.round(F.col("weight") / 2, 6).alias("score")), k, [F.desc("score"), F.col("node_id")])
 
 
 def graph_chunks(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 50, layer: str = "both") -> DataFrame:
-    """query_id, chunk_id, score, rank: the chunks of graph()'s notes. nodes(id, kind, label, note_id)."""
+    """query_id, chunk_id, score, rank: the chunks of graph()'s notes. nodes(id, kind, label, note_id).
+
+    Chunks are found label by label. A chunk among a query's first k is among the first k of the label that gives its score, so
+    queries meet no more of a label's chunks than these.
+    """
+    own, links = _of_layer(layer, nodes, edges)
 
     def find(q: DataFrame) -> DataFrame:
-        hits = graph(q, nodes, edges, None, layer).drop("rank").join(nodes.select(F.col("id").alias("node_id"), "note_id"), "node_id")
-        hits = hits.join(chunks.select("chunk_id", "note_id"), "note_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+        held = _held_labels(q, own)
+        labels = own.select(F.col("id").alias("seed"), F.lower("label").alias("label"))
+        seeds = labels.join(_hint(held.select("label").distinct(), judged=held), "label", "left_semi")
+        of_label = _reached(seeds, "label", own, links).join(_large(nodes.select("id", "note_id")), "id").join(_large(chunks.select("chunk_id", "note_id")), "note_id")
+        of_label = of_label.groupBy("label", "chunk_id").agg(F.max(F.round(F.col("weight") / 2, 6)).alias("score"))
+        of_label = of_label.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "chunk_id"))).where(F.col("r") <= k).drop("r")
+        hits = of_label.join(_hint(held), "label").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
         return top(hits, k, [F.desc("score"), F.col("chunk_id")])
 
     return _once(queries, find)
@@ -462,14 +491,14 @@ def retrieve(queries: DataFrame, corpus: Corpus, settings: Settings = Settings()
         "bm25": lambda: bm25(queries, corpus.chunks, each_limit, index),
         "tfidf": lambda: tfidf(queries, corpus.chunks, each_limit, index),
         "fuzzy": lambda: fuzzy_chunks(queries, corpus.notes, corpus.chunks, each_limit),
-        "dense": lambda: dense(queries.where("vector IS NOT NULL"), corpus.vectors.join(corpus.chunks.select("chunk_id"), "chunk_id", "left_semi"), settings.dense_k, key="chunk_id"),
+        "dense": lambda: dense(queries.where("vector IS NOT NULL"), corpus.vectors.join(_large(corpus.chunks.select("chunk_id")), "chunk_id", "left_semi"), settings.dense_k, key="chunk_id"),
         "graph": lambda: graph_chunks(queries, corpus.nodes, corpus.edges, corpus.chunks, each_limit, layer),
     }
     lacking = {"dense": corpus.vectors is None or "vector" not in queries.columns, "graph": corpus.nodes is None or corpus.edges is None}
     hits = {name: each[name]() for name in names if not lacking.get(name, False)}
     if not hits:
         return queries.select("query_id").limit(0).selectExpr("query_id", *(f"cast(null AS {t}) AS {c}" for c, t in (("key", "string"), ("chunk_id", "string"), ("note_id", "string"), ("score", "double"), ("retrievers", "string"), ("rank", "bigint"))))
-    fused = fuse(hits, settings.rrf_k).drop("note_id").join(corpus.chunks.select("chunk_id", "note_id"), "chunk_id", "left")
+    fused = fuse(hits, settings.rrf_k).drop("note_id").join(_large(corpus.chunks.select("chunk_id", "note_id")), "chunk_id", "left")
     fused = fused.select("query_id", "key", "chunk_id", "note_id", "score", "retrievers")
     if settings.rerank:
         fused = reranker(fused, queries)
@@ -502,7 +531,7 @@ def of_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def with_texts(hits: DataFrame, corpus: Corpus) -> DataFrame:
     """hits with title and content of their chunks and notes."""
-    return hits.join(corpus.chunks.select("chunk_id", "content"), "chunk_id", "left").join(corpus.notes.select("note_id", "title"), "note_id", "left")
+    return hits.join(_large(corpus.chunks.select("chunk_id", "content")), "chunk_id", "left").join(_large(corpus.notes.select("note_id", "title")), "note_id", "left")
 
 
 def chat_context(context: DataFrame) -> DataFrame:

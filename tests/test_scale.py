@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from noteforge.operators import retrieval as rt
 from noteforge.plans import catalog
+from noteforge.sources.staging import staged
 
 
 def plan(df) -> str:
@@ -205,3 +206,42 @@ def test_a_retriever_that_fails_is_no_result(spark, monkeypatch):
         rt.retrieve(queries, corpus)
     with pytest.raises(Exception):  # vectors without their column
         rt.retrieve(queries.withColumn("vector", F.array(F.lit(1.0))), rt.Corpus(chunks, notes, vectors=chunks.select("chunk_id")), requested=["dense"])
+
+
+def test_no_table_of_the_corpus_is_broadcast_by_its_files(spark, monkeypatch):
+    """Files far below Spark's threshold may hold more rows than the driver; only what was counted is broadcast."""
+    notes, chunks = (staged(x, "corpus") for x in _corpus(spark))
+    nodes = staged(notes.select(F.concat(F.lit("node:"), "note_id").alias("id"), F.lit("structural").alias("layer"), F.lit("note").alias("kind"), F.col("title").alias("label"), "note_id"), "corpus")
+    edges = staged(nodes.select("layer", F.col("id").alias("source_id"), F.lit("node:n1").alias("target_id"), F.lit(1.0).alias("weight")), "corpus")
+    vectors = staged(chunks.select("chunk_id", F.array(F.length("content").cast("double"), F.lit(1.0)).alias("vector")), "corpus")
+    queries = staged(spark.createDataFrame([(1, "red ring", [3.0, 1.0])], "query_id long, query string, vector array<double>"), "corpus-queries")
+    corpus = rt.Corpus(chunks, notes, vectors, nodes, edges)
+    got = rt.with_texts(rt.retrieve(queries, corpus), corpus)
+    lines, seen = plan(got).splitlines(), 0
+    depth = [len(x) - len(x.lstrip(" :+-|")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            seen += 1
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            scans = [x for x in lines[i + 1 : below] if "FileScan" in x]
+            assert scans and not any(re.search(r"\b(chunk_id|note_id|title|source_id|id)#", x.split("]")[0]) for x in scans), lines[i:below]
+    assert seen and got.count() == 50
+    assert {r for x in got.collect() for r in x["retrievers"].split(",")} == set(rt.RETRIEVERS)
+
+
+def test_a_label_gives_its_first_chunks_only(spark, monkeypatch):
+    """Nodes of one label are as many as the corpus likes; a query meets no more of their chunks than it returns."""
+    notes, chunks = _corpus(spark)
+    nodes = notes.select(F.concat(F.lit("node:"), "note_id").alias("id"), F.lit("structural").alias("layer"), F.lit("note").alias("kind"), F.col("title").alias("label"), "note_id")
+    edges = nodes.select("layer", F.col("id").alias("source_id"), F.expr("concat('node:n', cast(substring(note_id, 2) AS int) + 1)").alias("target_id"), (F.expr("cast(substring(note_id, 2) AS int) % 4") / 3).alias("weight"))
+    queries = spark.createDataFrame([(1, "red"), (2, "ring plate")], "query_id long, query string")
+    want = {}
+    for r in rt.graph(queries, nodes, edges, None).join(nodes.withColumnRenamed("id", "node_id"), "node_id").join(chunks, "note_id").collect():
+        want.setdefault(r["query_id"], []).append((-r["score"], r["chunk_id"]))
+    scored, top = [], rt.top
+    monkeypatch.setattr(rt, "top", lambda df, *a: scored.append(df.count()) or top(df, *a))
+    got = {}
+    for r in rt.graph_chunks(queries, nodes, edges, chunks, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["chunk_id"]))
+    assert got == {q: sorted(x)[:3] for q, x in want.items()} and len(got) == 2
+    assert sum(scored) <= 2 * 6 * 3
