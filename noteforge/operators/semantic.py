@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from noteforge.functions.text import content_hash, entity_id, entity_key, relation_id, tag_slug
 from noteforge.operators.canonical import Near, greedy_merge
-from noteforge.operators.extraction import extract, extracted_entities, extracted_relations, merge_relations, units
+from noteforge.operators.extraction import extract, extracted_entities, extracted_relations, first_of, units
 from noteforge.operators.indexing import insert_missing, merge, purge
 from noteforge.operators.providers import Health, Provider, StubProvider
+from noteforge.operators.retrieval import _hint, _large
 from noteforge.sources.staging import staged
 
 
@@ -28,11 +29,28 @@ def canonicalize(mentions: DataFrame, merged: DataFrame | None = None) -> DataFr
 
     merged(key, canonical) tells which normal forms go into another one; their names are aliases there.
     """
-    m = _canonical(mentions.withColumn("key", entity_key(F.col("name"))).where("key <> ''"), "key", merged)
-    g = m.groupBy("key").agg(F.min_by("type", "ord").alias("type"), F.max(F.coalesce("confidence", F.lit(0.6))).alias("confidence"), F.array_sort(F.collect_set(F.trim("name"))).alias("aliases"), F.count(F.lit(1)).alias("mentions"))
+    return _entities_of(by_name(mentions), merged)
+
+
+def by_name(mentions: DataFrame) -> DataFrame:
+    """name, type, ord, confidence, n: mentions of one name and type, counted where they lie before anything is moved."""
+    return mentions.groupBy("name", "type").agg(F.min("ord").alias("ord"), F.max(F.coalesce("confidence", F.lit(0.6))).alias("confidence"), F.count(F.lit(1)).alias("n"))
+
+
+def _entities_of(named: DataFrame, merged: DataFrame | None) -> DataFrame:
+    """canonicalize() of what by_name() gives."""
+    m = _canonical(named.withColumn("key", entity_key(F.col("name"))).where("key <> ''"), "key", merged)
+    g = m.groupBy("key").agg(F.min_by("type", "ord").alias("type"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.trim("name"))).alias("aliases"), F.sum("n").alias("mentions"))
     return g.select(entity_id(F.col("key")).alias("entity_id"), F.col("key").alias("canonical_name"), "type", "confidence", "aliases", "mentions")
 
 
+def named_entities(names: DataFrame, entities: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """name, key, entity_id of names(name) by canonical name, staged: names are few beside the rows that hold them, which needn't be moved to be resolved."""
+    n = names.distinct().withColumn("key", entity_key(F.col("name"))).where("key <> ''")
+    n = _canonical(n.withColumn("canonical_name", F.col("key")), "canonical_name", merged)
+    return staged(n.join(entities.select("canonical_name", "entity_id"), "canonical_name").select("name", "key", "entity_id"), "named-entities")
+
+
 def _canonical(df: DataFrame, column: str, merged: DataFrame | None) -> DataFrame:
     """df with the canonical form in a column of normal forms."""
     if merged is None:
@@ -125,8 +143,27 @@ def entities_of_notes(edges: DataFrame) -> DataFrame:
 
 def with_mentions(kept: DataFrame, mentions: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     """note_id, entity_id of mentions(note_id, name) by canonical name of kept(entity_id, canonical_name)."""
-    named = _canonical(mentions.select("note_id", entity_key(F.col("name")).alias("canonical_name")), "canonical_name", merged)
-    return named.join(kept.select("canonical_name", "entity_id"), "canonical_name").select("note_id", "entity_id").distinct()
+    return _mentions_of(mentions, named_entities(mentions.select("name"), kept, merged))
+
+
+def _mentions_of(mentions: DataFrame, named: DataFrame) -> DataFrame:
+    """with_mentions() by named_entities()."""
+    return mentions.select("note_id", "name").join(_hint(named), "name").select("note_id", "entity_id").distinct()
+
+
+def _ends(relations: DataFrame, named: DataFrame) -> DataFrame:
+    """note_id, source_entity_id, target_entity_id, kind, confidence: of each relation in a note, by normal forms, the highest confidence.
+
+    Rows are moved once, by their note.
+    """
+    keys, ids = named.select("name", "key").distinct(), named.select("key", "entity_id").distinct()
+    x = relations.select("note_id", "from", "to", F.lower(F.trim("type")).alias("kind"), "confidence").where("kind <> ''")
+    for column in ("from", "to"):
+        x = x.join(_hint(keys.select(F.col("name").alias(column), F.col("key").alias(f"{column}_key")), judged=named), column).drop(column)
+    x = x.repartition("note_id").groupBy("note_id", "from_key", "to_key", "kind").agg(F.max("confidence").alias("confidence"))
+    for column, out in (("from_key", "source_entity_id"), ("to_key", "target_entity_id")):
+        x = x.join(_hint(ids.select(F.col("key").alias(column), F.col("entity_id").alias(out)), judged=named), column)
+    return x.select("note_id", "source_entity_id", "target_entity_id", "kind", "confidence")
 
 
 def upsert_entities(entities: DataFrame, new: DataFrame) -> DataFrame:
@@ -207,18 +244,21 @@ def persist(layer: Layer, notes: DataFrame, entities: DataFrame, relations: Data
     each mention, are made when they are asked for.
     """
     merged = staged(merged_names(entities, layer.entities, vectors, rules), "merged-names") if vectors is not None else None
-    evidence = remove_evidence(layer.evidence, notes)
+    evidence = layer.evidence if layer.evidence.isEmpty() else remove_evidence(layer.evidence, notes)
     edges = drop_mentions(layer.edges, notes)
-    all_entities = staged(upsert_entities(layer.entities, canonicalize(entities, merged)), "entities")
-    mentioned = with_mentions(all_entities, entities, merged)
-    ends = resolve_names(merge_relations(relations), "from", all_entities, "source_entity_id", merged)
-    ends = resolve_names(ends, "to", all_entities, "target_entity_id", merged)
-    ends = ends.withColumn("relation_id", relation_id(F.col("source_entity_id"), F.col("target_entity_id"), F.col("kind")))
-    ends = ends.join(first_chunks.select("note_id", "chunk_id"), "note_id", "left").withColumn("chunk_id", F.coalesce("chunk_id", F.concat("note_id", F.lit(":0"))))
-    ends = staged(ends, "relation-ends")
-    evidence = staged(add_evidence(evidence, ends.select("relation_id", "chunk_id", "note_id").dropDuplicates(["relation_id", "chunk_id"])), "evidence")
-    found = ends.groupBy("relation_id", "source_entity_id", "target_entity_id").agg(F.min("kind").alias("relation_type"), F.max(F.coalesce("confidence", F.lit(0.6))).alias("reported"))
-    both = insert_missing(found.select("relation_id", "source_entity_id", "target_entity_id", "relation_type", "reported"), layer.relations.withColumn("reported", F.lit(0.0)).select("relation_id", "source_entity_id", "target_entity_id", "relation_type", "reported"), ["relation_id"])
+    names = staged(by_name(entities), "names")
+    all_entities = staged(upsert_entities(layer.entities, _entities_of(names, merged)), "entities")
+    mentioned = _mentions_of(entities, named_entities(names.select("name"), all_entities, merged))
+    named = named_entities(relations.select(F.explode(F.array("from", "to")).alias("name")), all_entities, merged)
+    ends = _ends(relations, named).join(_large(first_chunks.select("note_id", "chunk_id")), "note_id", "left")
+    ends = staged(ends.withColumn("chunk_id", F.coalesce("chunk_id", F.concat("note_id", F.lit(":0")))), "relation-ends")
+    with_id = lambda x: x.withColumn("relation_id", relation_id(F.col("source_entity_id"), F.col("target_entity_id"), F.col("kind")))
+    new = with_id(ends).select("relation_id", "chunk_id", "note_id")
+    evidence = staged(add_evidence(evidence, new), "evidence")
+    found = with_id(ends.groupBy("source_entity_id", "target_entity_id", "kind").agg(F.max(F.coalesce("confidence", F.lit(0.6))).alias("reported")))
+    both = found.select("relation_id", "source_entity_id", "target_entity_id", F.col("kind").alias("relation_type"), "reported")
+    if not layer.relations.isEmpty():
+        both = insert_missing(both, layer.relations.withColumn("reported", F.lit(0.0)).select(*both.columns), ["relation_id"])
     kept, _ = recompute(both.withColumn("confidence", F.lit(0.0)), evidence, edges)
     kept = staged(kept.select("relation_id", "source_entity_id", "target_entity_id", "relation_type", "confidence"), "relations")
     rest = edges.where("NOT (layer = 'semantic' AND type = 'relation')")
@@ -241,6 +281,7 @@ def merge_into(layer: Layer, mapping: DataFrame, nodes: DataFrame) -> tuple[Laye
     """
     known = layer.entities.select("entity_id")
     pairs = mapping.where("absorbed <> surviving").join(known.withColumnRenamed("entity_id", "absorbed"), "absorbed", "left_semi").join(known.withColumnRenamed("entity_id", "surviving"), "surviving", "left_semi").dropDuplicates(["absorbed"])
+    pairs = staged(pairs, "merged-pairs")
     gone = pairs.select(F.col("absorbed").alias("entity_id"), "surviving")
     extra = layer.entities.join(gone, "entity_id").groupBy(F.col("surviving").alias("entity_id")).agg(F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("_more"))
     left = layer.entities.join(gone, "entity_id", "left_anti").join(extra, "entity_id", "left")
@@ -248,12 +289,14 @@ def merge_into(layer: Layer, mapping: DataFrame, nodes: DataFrame) -> tuple[Laye
 
     def renamed(df: DataFrame, column: str) -> DataFrame:
         m = gone.withColumnsRenamed({"entity_id": column, "surviving": "_to"})
-        return df.join(m, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to").select(*df.columns)
+        return df.join(_hint(m, judged=pairs), column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to").select(*df.columns)
 
     moved = renamed(renamed(layer.relations, "source_entity_id"), "target_entity_id")
     moved = moved.withColumn("_id", relation_id(F.col("source_entity_id"), F.col("target_entity_id"), F.col("relation_type")))
     ids = moved.select("relation_id", "_id")
-    relations = moved.groupBy(F.col("_id").alias("relation_id")).agg(*(F.min(c).alias(c) for c in ("source_entity_id", "target_entity_id", "relation_type")), F.max("confidence").alias("confidence"))
+    # the id tells the other columns, but for the letters' case of the type
+    relations = moved.groupBy(F.col("_id").alias("relation_id"), "source_entity_id", "target_entity_id", "relation_type").agg(F.max("confidence").alias("confidence"))
+    relations = first_of(relations.withColumn("confidence", F.max("confidence").over(Window.partitionBy("relation_id"))), ["relation_id"], [F.col("relation_type")])
     evidence = layer.evidence.join(ids, "relation_id").withColumn("relation_id", F.col("_id")).drop("_id").dropDuplicates(["relation_id", "chunk_id"]).select(*layer.evidence.columns)
     kept, _ = recompute(relations.withColumn("reported", F.col("confidence")), evidence, layer.edges.limit(0))
     kept = kept.drop("reported")

@@ -12,6 +12,7 @@ from noteforge.operators import extraction as xt
 from noteforge.operators import indexing as ix
 from noteforge.operators import runs as rn
 from noteforge.operators import semantic as sm
+from noteforge.operators.retrieval import _hint
 from noteforge.plans.catalog import _ENT, NOW, _events, _linked, _messages, query
 from noteforge.sources import notes as src
 from noteforge.sources.staging import staged
@@ -123,7 +124,7 @@ def _lines(spark, d):
     p = src.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
     s = src.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     l = src.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount")
-    return staged(l.join(p, "l_partkey").join(s, "l_suppkey"), "lines")
+    return staged(l.join(_hint(p, judged=p.select("l_partkey")), "l_partkey").join(_hint(s), "l_suppkey"), "lines")
 
 
 def _extracted(lines):

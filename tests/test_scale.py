@@ -245,3 +245,31 @@ def test_a_label_gives_its_first_chunks_only(spark, monkeypatch):
         got.setdefault(r["query_id"], []).append((-r["score"], r["chunk_id"]))
     assert got == {q: sorted(x)[:3] for q, x in want.items()} and len(got) == 2
     assert sum(scored) <= 2 * 6 * 3
+
+
+def test_persist_moves_a_relation_once_and_no_names(spark, monkeypatch):
+    """What a note says is moved by its note, once, with normal forms; names and types are counted where they lie."""
+    from noteforge.operators import semantic as sm
+    from noteforge.plans import layers
+
+    rows = [(f"n{i % 40}", i, f" Bolt {i % 7}.", f"ring {i % 5}", "USES" if i % 2 else "uses ", None if i % 3 else 0.2 + i % 4 / 10) for i in range(200)]
+    said = spark.createDataFrame(rows, "note_id string, ord long, from string, to string, type string, confidence double")
+    entities = said.select("note_id", "ord", F.col("from").alias("name"), F.lit("tool").alias("type"), "confidence")
+    entities = entities.union(said.select("note_id", "ord", F.upper("to"), F.lit("part"), F.lit(None).cast("double")))
+    notes = said.select("note_id").distinct()
+    plans, write = {}, sm.staged
+    monkeypatch.setattr(sm, "staged", lambda df, name, *a: plans.setdefault(name, plan(df)) and write(df, name, *a))
+    got = sm.persist(layers._empty_layer(spark), notes, entities, said, notes.select("note_id", F.concat("note_id", F.lit(":0")).alias("chunk_id")))
+    assert "SortAggregate" not in plans["names"] and "SortAggregate" not in plans["relation-ends"] and "SortAggregate" not in plans["evidence"]
+    assert plans["relation-ends"].count("Exchange hashpartitioning(note_id") <= 3  # the relations, their chunks and, for these, the notes
+    of_note = {}  # of a relation in a note the highest confidence, 0.6 if none is known
+    for n, _, a, b, _, c in rows:
+        known = of_note.setdefault((a.strip(" .").lower(), b, n), [])
+        known += [] if c is None else [c]
+    want = {}
+    for (a, b, n), known in of_note.items():
+        want.setdefault((a, b), []).append(max(known, default=0.6))
+    names = {e["entity_id"]: e["canonical_name"] for e in got.entities.collect()}
+    assert {(names[r["source_entity_id"]], names[r["target_entity_id"]]): r["confidence"] for r in got.relations.collect()} == {k: round(max(1 - 0.4 ** len(v), *v), 6) for k, v in want.items()}
+    assert got.evidence.count() == len(of_note) and all(r["relation_type"] == "uses" for r in got.relations.collect())
+    assert {e["canonical_name"]: e["aliases"] for e in got.entities.collect()}["ring 1"] == ["RING 1"]
