@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from noteforge.operators.canonical import Near, greedy_merge
 from noteforge.operators.extraction import extract, extracted_entities, extracted_relations, first_of, units
 from noteforge.operators.indexing import insert_missing, merge, purge
 from noteforge.operators.providers import Health, Provider, StubProvider
-from noteforge.operators.retrieval import _hint, _large
+from noteforge.operators.retrieval import TILE, _hint, _large
 from noteforge.sources.staging import staged
 
 
@@ -92,12 +94,65 @@ def without_evidence(relations: DataFrame, evidence: DataFrame, keys: list[str])
     return relations.join(evidence.select(*keys).distinct(), keys, "left_anti")
 
 
-def similar_entities(vectors: DataFrame, queries: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """query_id, vec_id, score of the best match above the threshold (strictly) other than itself."""
-    from noteforge.operators.retrieval import dense
+def _vector_blocks(vectors: DataFrame, key: str, block: int) -> DataFrame:
+    """block, ids, dims, flat: about `block` vectors a row, staged."""
+    n = max(1, -(-vectors.count() // block))
+    v = vectors.where(F.col(key).isNotNull() & F.col("vector").isNotNull()).select(F.col(key).alias("id"), F.col("vector").cast("array<double>").alias("v"))
+    rows = v.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.size("v").alias("dims")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("m"))
+    return staged(rows.select("block", F.col("m.id").alias("ids"), "dims", F.flatten("m.v").alias("flat")), "vector-blocks")
 
-    best = dense(queries, vectors, k=2).where("query_id <> vec_id")
-    return best.where(F.col("score") > threshold).groupBy("query_id").agg(F.max(F.struct("score", -F.col("vec_id"))).alias("m")).select("query_id", (-F.col("m.col2")).alias("vec_id"), F.col("m.score").alias("score"))
+
+def similar_entities(vectors: DataFrame, queries: DataFrame, threshold: float = 0.85, block: int = 4096) -> DataFrame:
+    """query_id, vec_id, score of the best match above the threshold (strictly) other than itself; the least vec_id of equal ones.
+
+    Exact, so quadratic: blocks of queries meet blocks of vectors, about TILE scores at a time, and a run of blocks with the same
+    queries leaves a row a query. No vector passes the driver. Vectors of other dimensions don't match; a zero vector scores 0.
+    """
+    left, right = _vector_blocks(queries, "query_id", block), _vector_blocks(vectors, "vec_id", block)
+    met = left.crossJoin(right.select(*(F.col(c).alias(f"r_{c}") for c in ("ids", "dims", "flat"))))
+
+    def unit(flat: np.ndarray, dims: int) -> np.ndarray:
+        m = flat.reshape(-1, dims)
+        return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, best, score = None, None, None, None
+
+        def found() -> pa.RecordBatch:
+            hit = score > threshold
+            return pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(best[hit], pa.int64()), pa.array(score[hit], pa.float64())], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                now = (batch.column("block")[row].as_py(), batch.column("dims")[row].as_py())
+                dims = now[1]
+                if now != at:
+                    if at is not None:
+                        yield found()
+                    at, ids = now, batch.column("ids")[row].values.to_numpy(zero_copy_only=False)
+                    best, score = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
+                    asked = unit(batch.column("flat")[row].values.to_numpy(zero_copy_only=False), dims) if dims > 0 else None
+                if dims < 1 or batch.column("r_dims")[row].as_py() != dims:
+                    continue
+                keys = batch.column("r_ids")[row].values.to_numpy(zero_copy_only=False)  # ascending, so the first of equal scores is the least
+                held = unit(batch.column("r_flat")[row].values.to_numpy(zero_copy_only=False), dims)
+                step = max(1, TILE // len(keys))
+                for first in range(0, len(ids), step):
+                    some = slice(first, first + step)
+                    s = np.round(np.round(asked[some] @ held.T, 9), 6)
+                    s[np.isnan(s) | (keys[None, :] == ids[some, None])] = -np.inf
+                    j = s.argmax(axis=1)
+                    top = s[np.arange(len(j)), j]
+                    better = (top > score[some]) | ((top == score[some]) & (keys[j] < best[some]))
+                    best[some] = np.where(better, keys[j], best[some])
+                    score[some] = np.where(better, top, score[some])
+        if at is not None:
+            yield found()
+
+    near = met.select("block", "ids", "dims", "flat", "r_ids", "r_dims", "r_flat").mapInArrow(run, "query_id long, vec_id long, score double")
+    near = staged(near, "similar", 1)  # a row holds two blocks
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
 def neighbours(mentions: DataFrame, entities: DataFrame, seen: DataFrame, fanout: int) -> DataFrame:

@@ -396,11 +396,11 @@ def entity_canonicalize(spark, d):
     return sm.canonicalize(p).withColumns({"aliases": F.array_join("aliases", "|"), "confidence": F.round("confidence", 6)})
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(round(list_cosine_similarity(q.v, v.v), 9), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(round(list_cosine_similarity(q.v, v.v), 9), 6) AS score FROM v q, v WHERE q.vec_id <> v.vec_id)
 SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r = 1 AND score > 0.3""")
 def entity_similarity_pairs(spark, d):
     v = src.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return sm.similar_entities(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 0.3)
+    return sm.similar_entities(v, v.withColumnRenamed("vec_id", "query_id"), 0.3)
 
 
 #: The plain loop: entities one after another, with the list of canonical ones so far.

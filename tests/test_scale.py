@@ -273,3 +273,20 @@ def test_persist_moves_a_relation_once_and_no_names(spark, monkeypatch):
     assert {(names[r["source_entity_id"]], names[r["target_entity_id"]]): r["confidence"] for r in got.relations.collect()} == {k: round(max(1 - 0.4 ** len(v), *v), 6) for k, v in want.items()}
     assert got.evidence.count() == len(of_note) and all(r["relation_type"] == "uses" for r in got.relations.collect())
     assert {e["canonical_name"]: e["aliases"] for e in got.entities.collect()}["ring 1"] == ["RING 1"]
+
+
+def test_every_entity_looks_for_a_similar_one(spark):
+    from noteforge.operators import semantic as sm
+
+    v = np.random.default_rng(3).integers(-2, 3, size=(150, 3)).astype(float)  # with copies, ties and zero vectors
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, [1.0, 2.0]), (901, [1.0, 2.1]), (902, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    n = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    s = np.round(np.round(n @ n.T, 9), 6)
+    np.fill_diagonal(s, -1)
+    c = 5.2 / (5 * 5.41) ** 0.5
+    want = {i: (int(s[i].argmax()), s[i].max()) for i in range(150) if s[i].max() > 0.3} | {900: (901, c), 901: (900, c)}
+    got = sm.similar_entities(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 0.3, block=16).collect()
+    assert len(got) == len(want)
+    assert {r["query_id"]: (r["vec_id"], round(r["score"], 5)) for r in got} == {k: (j, round(x, 5)) for k, (j, x) in want.items()}
+    assert any(r["query_id"] % 50 for r in catalog.entity_similarity_pairs(spark, "/root/testdata/sf0.001").collect())
