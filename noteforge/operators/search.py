@@ -10,13 +10,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteforge.functions.porter import analyze, spans
-from noteforge.operators.retrieval import _hint, like, top
+from noteforge.functions.porter import FOLD, analyze, spans, stem
+from noteforge.functions.porter import WORDS as WORD
+from noteforge.operators.retrieval import _dealt, _few, _hint, _large, like, top
 from noteforge.sources.staging import staged
 
 LEX = re.compile(r'\s*(?:("(?:[^"]|"")*")|([A-Za-z0-9_\x1a\u0080-\U0010ffff]+)|([()*+,]))')
@@ -25,6 +27,10 @@ NEAR_DEFAULT = 10
 BATCH = 256
 #: Words of texts that a worker holds before it gives their stems away, about.
 WORDS = 1 << 16
+#: Words whose stems a worker remembers.
+REMEMBERED = 200_000
+#: Phrases of a query whose combinations are tabled, at most.
+TABLED = 8
 
 
 class SearchSyntaxError(ValueError):
@@ -156,43 +162,77 @@ def evaluate(tree, places: dict[int, list[int]], sizes: dict[int, int]) -> dict[
     return None if a is None and b is None else (a or {}) | (b or {})
 
 
-def positions(chunks: DataFrame) -> DataFrame:
-    """chunk_id, len, term, places (word numbers) of every stem of every chunk."""
+class _Stems(dict):
+    """Stems of words as they are written; null for those that aren't wanted (terms, or what begins like one of starts; null: all are)."""
+
+    def __init__(self, terms: set[str] | None, starts: set[str]):
+        self.terms, self.starts, self.lengths = terms, starts, sorted({len(s) for s in starts})
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        w = stem(word.translate(FOLD).lower())
+        held = self.terms is None or w in self.terms or any(w[:n] in self.starts for n in self.lengths)
+        self[word] = w if held else None
+        return self[word]
+
+
+def positions(chunks: DataFrame, terms: set[str] | None = None, starts: set[str] = frozenset()) -> DataFrame:
+    """chunk_id, len, term, places (word numbers) of every stem of every chunk; with `terms`, of these and of what begins like one of
+    starts only, and rows without a chunk and term whose len is the words of some chunks together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["chunk_id", "len", "term", "places"]
+        stems = _Stems(terms, starts)
         for b in batches:
-            rows, held = [], 0
+            rows, held, every = [], 0, 0
             for chunk, text in zip(b["chunk_id"], b["content"], strict=True):
                 at: dict[str, list[int]] = {}
-                words = analyze(text)
-                for i, w in enumerate(words):
-                    at.setdefault(w, []).append(i)
+                words = WORD.findall(text or "")
+                for i, w in enumerate(map(stems.__getitem__, words)):
+                    if w is not None:
+                        at.setdefault(w, []).append(i)
                 rows += [(chunk, len(words), w, p) for w, p in at.items()]
-                held += len(words)
+                held, every = held + len(words), every + len(words)
                 if held >= WORDS:
                     yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows if terms is None else [*rows, (None, every, None, None)], columns=columns)
 
     return chunks.select(F.col("chunk_id").cast("string"), "content").mapInPandas(run, "chunk_id string, len long, term string, places array<int>")
 
 
+def _table(tree, phrases: list) -> list[int] | None:
+    """For queries of at most TABLED phrases, of one word each: by the phrases that occur (as bits), those whose matches count, -1
+    where the tree doesn't match, -2 where places decide, as all phrases of a NEAR with several occur."""
+    if tree is None or len(phrases) > TABLED or any(len(p) > 1 for p in phrases):
+        return None
+    nears = lambda t: [t[2]] if t[0] == "NEAR" else nears(t[1]) + nears(t[2])
+    out = []
+    for bits in range(1 << len(phrases)):
+        if any(len(ns) > 1 and all(bits >> n & 1 for n in ns) for ns in nears(tree)):
+            out.append(-2)
+            continue
+        got = evaluate(tree, {n: [0] for n in range(len(phrases)) if bits >> n & 1}, dict.fromkeys(range(len(phrases)), 1))
+        out.append(-1 if got is None else sum(1 << n for n in got if got[n]))
+    return out
+
+
 def _parsed(queries: DataFrame) -> DataFrame:
-    """query_id, tree, sizes, error and, per word of a phrase, phrase, token, term, prefix."""
+    """query_id, tree, sizes, table, error and, per word of a phrase, phrase, token, term, prefix."""
 
-    @F.pandas_udf("tree string, sizes string, error boolean, words array<struct<phrase:int,token:int,term:string,prefix:boolean>>")
+    @F.pandas_udf("tree string, sizes string, table array<int>, error boolean, words array<struct<phrase:int,token:int,term:string,prefix:boolean>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             try:
                 tree, phrases = parse(t)
             except SearchSyntaxError:
-                rows.append((None, None, True, []))
+                rows.append((None, None, None, True, []))
                 continue
             words = [{"phrase": n, "token": i, "term": w, "prefix": p} for n, ws in enumerate(phrases) for i, (w, p) in enumerate(ws)]
-            rows.append((json.dumps(tree) if tree else None, json.dumps([len(p) for p in phrases]), False, words))
-        return pd.DataFrame(rows, columns=["tree", "sizes", "error", "words"])
+            rows.append((json.dumps(tree) if tree else None, json.dumps([len(p) for p in phrases]), _table(tree, phrases), False, words))
+        return pd.DataFrame(rows, columns=["tree", "sizes", "table", "error", "words"])
 
     return queries.select("query_id", "query", run("query").alias("p")).select("query_id", "query", "p.*")
 
@@ -202,9 +242,9 @@ def _evaluated():
 
     @F.pandas_udf("matched boolean, found array<struct<phrase:int,n:int>>")
     def run(trees: pd.Series, sizes: pd.Series, hits: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, read = [], lru_cache(maxsize=10_000)(json.loads)
         for tree, size, hit in zip(trees, sizes, hits, strict=True):
-            lengths = dict(enumerate(json.loads(size)))
+            lengths = dict(enumerate(read(size)))
             begins: dict[tuple[int, int], set[int]] = {}
             for h in hit:
                 begins.setdefault((h["phrase"], h["token"]), set()).update(int(p) - h["token"] for p in h["places"])
@@ -213,7 +253,7 @@ def _evaluated():
                 both = set.intersection(*(begins.get((n, i), set()) for i in range(k)))
                 if both:
                     places[n] = sorted(both)
-            got = evaluate(json.loads(tree), places, lengths)
+            got = evaluate(read(tree), places, lengths)
             rows.append((got is not None, [{"phrase": n, "n": (got or {}).get(n, 0)} for n in places]))
         return pd.DataFrame(rows, columns=["matched", "found"])
 
@@ -225,24 +265,43 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = 50, fallback:
 
     With fallback, queries with a syntax error are looked up as substrings (of the text in `literal`, if queries have it), with score 0.
     """
-    parsed, post = staged(_parsed(queries), "parsed"), staged(positions(chunks), "positions", BATCH)
-    words = parsed.where("tree IS NOT NULL").select("query_id", F.explode("words").alias("w")).select("query_id", "w.*")
+    parsed = staged(_parsed(queries), "parsed")
+    words = staged(parsed.where("tree IS NOT NULL").select("query_id", F.explode("words").alias("w")).select("query_id", "w.*"), "asked-words")
     starts = words.where("prefix").withColumnRenamed("term", "start")
     terms = words.where("NOT prefix").select("query_id", "phrase", "token", "term")
+    few = _few(words)
+    wanted = {p: {r[0] for r in words.where(F.col("prefix") == p).select("term").distinct().collect()} for p in (True, False)} if few else {False: None, True: set()}
+    made = staged(positions(chunks, wanted[False], wanted[True]), "positions", BATCH)
+    post = made.where("term IS NOT NULL")
+    frequent = staged(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "asked-stems")
     if not starts.isEmpty():  # a stem's first signs, as many as a start has at most, are its keys
         most = starts.agg(F.max(F.length("start"))).first()[0]
-        vocabulary = post.select("term").distinct().withColumn("start", F.explode(F.expr(f"transform(sequence(1, least(length(term), {most})), i -> substring(term, 1, i))")))
+        vocabulary = frequent.select("term").withColumn("start", F.explode(F.expr(f"transform(sequence(1, least(length(term), {most})), i -> substring(term, 1, i))")))
         terms = terms.union(vocabulary.join(_hint(starts), "start").select("query_id", "phrase", "token", "term"))
-    hits = post.join(_hint(terms), "term").groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("phrase", "token", "places")).alias("hits"), F.first("len").alias("len"))
-    trees = parsed.where("tree IS NOT NULL").select("query_id", "tree", "sizes")
-    seen = hits.join(_hint(trees), "query_id").select("query_id", "chunk_id", "len", _evaluated()("tree", "sizes", "hits").alias("e"))
-    seen = staged(seen.select("query_id", "chunk_id", "len", "e.matched", F.explode("e.found").alias("f")).select("query_id", "chunk_id", "len", "matched", "f.phrase", "f.n"), "seen", BATCH)
-    frequency = seen.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
-    size = post.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.sum("len")).first()[0] or 0
+    trees = parsed.where("tree IS NOT NULL").select("query_id", "tree", "sizes", "table")
+    ways = trees.select("query_id", F.col("table").isNotNull().alias("tabled"), F.expr("table IS NULL OR array_contains(table, -2)").alias("placed"))
+    terms = staged(terms.join(_hint(ways), "query_id"), "asked-terms")
+    (post,) = _dealt(terms.join(_large(frequent), "term"), _few(terms), post)  # a chunk's stems lie in one task, so no pair of a query and a chunk is moved
+    met = lambda way: post.join(_hint(terms.where(way), judged=terms), "term")
+    counted = met("tabled").groupBy("query_id", "chunk_id", "phrase").agg(F.sum(F.size("places")).cast("int").alias("n"), F.first("len").alias("len"))
+    counted = counted.groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("phrase", "n")).alias("all"), F.first("len").alias("len")).join(_hint(trees.select("query_id", "table")), "query_id")
+    good = "table[aggregate({0}, 0, (a, f) -> a | shiftleft(1, f.phrase))]"
+    counted = counted.withColumn("good", F.expr(good.format("all"))).where("good <> -2")
+    counted = counted.select("query_id", "chunk_id", "len", (F.col("good") >= 0).alias("matched"), F.expr("transform(all, f -> struct(f.phrase AS phrase, CASE WHEN good >= 0 AND good & shiftleft(1, f.phrase) <> 0 THEN f.n ELSE 0 END AS n))").alias("found"))
+    hits = met("placed").groupBy("query_id", "chunk_id").agg(F.collect_list(F.struct("phrase", "token", "places")).alias("hits"), F.first("len").alias("len"))
+    # nothing occurs of a single phrase that lacks a word
+    open_ = F.coalesce(F.expr(good.format("hits")) == -2, ~F.expr("sizes LIKE '[%' AND sizes NOT LIKE '%,%'") | (F.size(F.array_distinct("hits.token")) == F.expr("cast(trim(BOTH '[]' FROM sizes) AS int)")))
+    placed = hits.join(_hint(trees), "query_id").where(open_).select("query_id", "chunk_id", "len", _evaluated()("tree", "sizes", "hits").alias("e"))
+    seen = staged(counted.union(placed.select("query_id", "chunk_id", "len", "e.matched", "e.found")), "seen", BATCH)
+    frequency = seen.select("query_id", F.explode("found.phrase").alias("phrase")).groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
+    each = made.where("term IS NULL") if few else made.groupBy("chunk_id").agg(F.first("len").alias("len"))
+    size = each.agg(F.sum("len")).first()[0] or 0
     rows = chunks.count()
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    gain = F.when(F.col("n") > 0, idf * F.col("n") * 2.2 / (F.col("n") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(size / rows if size else 1.0)))).otherwise(0.0)
-    scored = seen.where("matched").join(frequency, ["query_id", "phrase"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), 6).alias("score"))
+    idfs = frequency.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("phrase", idf))).alias("idfs"))  # a row for each phrase of a query
+    gain = lambda f: F.when(f["n"] > 0, F.col("idfs")[f["phrase"]] * f["n"] * 2.2 / (f["n"] + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(size / rows if size else 1.0)))).otherwise(0.0)
+    scored = seen.where("matched AND size(found) > 0").join(_hint(idfs, judged=trees), "query_id")
+    scored = scored.select("query_id", "chunk_id", F.round(F.aggregate("found", F.lit(0.0), lambda a, f: a + gain(f)), 6).alias("score"))
     if fallback:
         wrong = parsed.where("error").select("query_id", "query")
         if "literal" in queries.columns:
@@ -288,5 +347,5 @@ def with_snippets(hits: DataFrame, chunks: DataFrame, queries: DataFrame, most:
 
         return pd.Series([snippet(t, stems(q), most, marks) for t, q in zip(texts, asked, strict=True)], dtype=object)
 
-    full = chunks.select(F.col("chunk_id").cast("string"), "content").join(hits, "chunk_id").join(_hint(queries.select("query_id", "query")), "query_id")
+    full = chunks.select(F.col("chunk_id").cast("string"), "content").join(_hint(staged(hits, "hits")), "chunk_id").join(_hint(queries.select("query_id", "query")), "query_id")
     return full.withColumn("snippet", run("content", "query")).drop("content", "query")

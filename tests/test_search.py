@@ -96,3 +96,25 @@ def test_a_worker_holds_few_words_of_texts(spark, monkeypatch):
     monkeypatch.setattr(se, "staged", lambda df, name, batch=None: batches.setdefault(name, batch) and False or staged(df, name, batch))
     assert se.search(spark.createDataFrame([(1, "alpha gamma")], "query_id long, query string"), texts, None).count() == 40
     assert 0 < batches["positions"] <= 1000 and 0 < batches["seen"] <= 1000
+
+
+def test_only_asked_stems_are_kept_and_no_pair_is_moved(spark, monkeypatch):
+    """Other stems of the texts are neither staged nor moved; queries of single words need no places."""
+    texts = [(f"c{i}", f"cats {'dogs ' * (i % 3)}or birds x{i} {'far ' * (i % 7)}mice {'running' if i % 2 else 'runs'}") for i in range(60)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, content string")
+    forms = ["cat AND dog", "dog NOT bird", "bird OR zebra", "(zebra OR dog) NOT x3", "NEAR(bird mice, 3)", "NEAR(dog zebra)", '"cats dogs"', "mouse + ru*", "run* NOT dog", "mice"]
+    queries = spark.createDataFrame(list(enumerate(forms)), "query_id long, query string")
+    plans, kept, write = {}, {}, se.staged
+
+    def staged(df, name, *a):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        kept[name] = write(df, name, *a)
+        return kept[name]
+
+    monkeypatch.setattr(se, "staged", staged)
+    got = sorted(map(tuple, se.search(queries, chunks, None).collect()))
+    assert {r[0] for r in kept["positions"].where("term IS NOT NULL").select("term").distinct().collect()} == {"cat", "dog", "bird", "mice", "run", "x3"}
+    assert "hashpartitioning(query_id" not in plans["seen"] and "hashpartitioning(chunk_id" in plans["seen"]
+    monkeypatch.setattr(se, "TABLED", -1)  # all by their places
+    monkeypatch.setattr(se, "_few", lambda df: False)  # and with all stems
+    assert sorted(map(tuple, se.search(queries, chunks, None).collect())) == got and len({r[0] for r in got}) >= 7
